@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, secrets, token_files
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, secrets, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), words=3, num=9, den=10).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"cairn_digests_{uuid.uuid4().hex}")
     found = index.add(table(spark, sf_dir, "documents"))
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), kind="bytes", end_id=2, capacity=1024).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op4_token_files, op7_mixing, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op4_token_files, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_packing)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""
