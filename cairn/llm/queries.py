@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, secrets, token_files
+from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, packing, pitman_yor, quality, secrets, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1).withColumnRenamed("id", "doc_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), kind="words", end_id=1)
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -65,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), kind="bytes", end_id=2, capacity=1024).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op4_token_files, op5_embedding_dedup, op6_quality_classifier, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_pitman_yor, op4_token_files, op5_embedding_dedup, op6_quality_classifier, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_packing)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""
