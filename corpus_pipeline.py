@@ -1,5 +1,74 @@
-"""The corpus pipeline (in work)."""
-STAGES = []
+"""The corpus pipeline: quality classifier, exact dedup, n-gram Jaccard join, mixing of sources, packing.
+
+Each stage takes what its predecessor kept. All but the last return the columns of documents; the last returns the pieces
+of the packed documents. Nulls, empty texts, repeated rows and empty tables are as the operators' docstrings define them:
+rows with a null id are judged, mixed and packed like others, but are no near duplicates of anything.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cairn.llm import exact_dedup, jaccard_join, mixing, packing, quality
+from cairn.llm.common import SPACE_CLASS, Scratch
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject (a score of 0.7 or more)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.fit(docs, labels), "__quality").where("__quality >= 0.7").drop("__quality")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal without white space: the longest, then the smallest id."""
+    found = exact_dedup.DigestIndex(spark, f"cairn_corpus_{uuid.uuid4().hex}").add(docs)
+    gone = found.where("not kept").select(F.col("id").alias("__id"), F.col("digest").alias("__gone")).distinct()
+    marked = docs.withColumn("__digest", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_CLASS, ""), 256))
+    kept = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__digest"] == gone["__gone"]), "left_anti")
+    if found.where("kept").groupBy("id", "digest").count().where("count > 1").limit(1).count():  # rows that repeat id and text
+        best = Window.partitionBy("doc_id", "__digest").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), "text", "lang", "source", "n_chars")
+        kept = kept.withColumn("__best", F.row_number().over(best)).where("__best = 1").drop("__best")
+    return kept.drop("__digest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles at a similarity of 0.8 or more connect: the smallest id."""
+    found = jaccard_join.jaccard_join(docs, words=5, num=4, den=5)
+    gone = found.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    copies = mixing.mix_sources(docs).where("copies > 0").groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
+    sized = docs.withColumn("__words", mixing.word_count(F.col("text")))
+    taken = sized.join(copies, sized["doc_id"].eqNullSafe(copies["__id"]) & sized["source"].eqNullSafe(copies["__source"]) & (sized["__words"] == copies["__size"]))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces, packed into sequences of 1024."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kind="bytes", end_id=2, capacity=1024).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality classifier", keep_good), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies), ("mixing sources", mix), ("best-fit packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(docs, f"stage{k}")
+    return docs
+
+
+#: The classifier and the tokenizer have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
