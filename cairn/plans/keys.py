@@ -106,7 +106,7 @@ _SIZE = "(1 << CAST(6 - {} AS INTEGER))"
 _UP = "".join(f" UNION SELECT {d}, {_PARENT(64 >> d)} FROM {{0}} WHERE d > {d}" for d in range(3))
 ORACLE = {
     "key_encode": f"{_P} SELECT DISTINCT x, y, z, {_KEY} AS code, {key_sql('x', 'y', 'z', 3, 6)} AS key, x - x % 8 AS bx, y - y % 8 AS by, z - z % 8 AS bz, y AS y_back FROM points",
-    "key_family": f"""{_BLOCKS} SELECT {_KEY} + 3 AS key, 3 AS depth, {key_sql('x', 'y', 'z', 2, 6)} AS parent, (x // 8) % 2 + 2 * ((y // 8) % 2) + 4 * ((z // 8) % 2) AS child,
+    "key_family": f"""{_BLOCKS} SELECT {_KEY} + 3 AS key, CAST(3 AS BIGINT) AS depth, {key_sql('x', 'y', 'z', 2, 6)} AS parent, (x // 8) % 2 + 2 * ((y // 8) % 2) + 4 * ((z // 8) % 2) AS child,
       {morton_sql('(x - x % 16)', '(y - y % 16)', '(z - z % 16)', 6)} + 3 AS first_sibling, {morton_sql('(x - x % 16 + 8)', '(y - y % 16 + 8)', '(z - z % 16 + 8)', 6)} + 3 AS last_sibling,
       {key_sql('x', 'y', 'z', 1, 6)} AS top, true AS below, x + CASE WHEN x % 16 >= 8 THEN 8 ELSE 0 END AS far_x, y + CASE WHEN y % 16 >= 8 THEN 8 ELSE 0 END AS far_y, z + CASE WHEN z % 16 >= 8 THEN 8 ELSE 0 END AS far_z FROM blocks""",
     "key_neighbours": f"{_BLOCKS}, near AS (SELECT x, y, z, face, greatest(0, least(63, x + dx)) AS nx, greatest(0, least(63, y + dy)) AS ny, greatest(0, least(63, z + dz)) AS nz FROM blocks, (VALUES (0, -8, 0, 0), (1, 8, 0, 0), (2, 0, -8, 0), (3, 0, 8, 0), (4, 0, 0, -8), (5, 0, 0, 8)) f(face, dx, dy, dz)) SELECT *, {key_sql('nx', 'ny', 'nz', 3, 6)} AS key FROM near",

@@ -10,8 +10,8 @@ COLUMNS = {
     "points": ("lineitem", ["l_partkey % 64 AS x", "l_suppkey % 64 AS y", "CAST(floor(l_quantity) AS BIGINT) AS z", "l_shipdate AS ts", "l_linenumber AS frame", "l_orderkey AS o1", "l_partkey AS o2", "l_suppkey AS o3", "CAST(l_extendedprice AS DOUBLE) AS o4", "CAST(l_discount AS DOUBLE) AS disc", "CAST(l_tax AS DOUBLE) AS tax", "CASE WHEN l_returnflag = 'R' THEN 5.015E0 * CAST(l_tax AS DOUBLE) / 8E-2 ELSE -5.015E0 * (1E0 - CAST(l_discount AS DOUBLE) / 1E-1) END AS sample", "(CAST(l_discount AS DOUBLE) - 5E-2) / 5E-2 AS tsdf"]),
     "dense": ("lineitem", ["l_partkey % 32 AS x", "l_suppkey % 32 AS y", "CAST(floor(l_quantity / 2) AS BIGINT) AS z", "l_shipdate AS ts", "l_linenumber AS frame", "l_orderkey AS o1", "l_partkey AS o2", "l_suppkey AS o3", "CAST(l_extendedprice AS DOUBLE) AS o4", "CASE WHEN l_returnflag = 'R' THEN 5.015E0 * CAST(l_tax AS DOUBLE) / 8E-2 ELSE -5.015E0 * (1E0 - CAST(l_discount AS DOUBLE) / 1E-1) END AS sample", "(CAST(l_discount AS DOUBLE) - 5E-2) / 5E-2 AS tsdf"]),
     "detections": ("embeddings", ["vec_id AS det_id", "label AS instance_id", "embedding AS conf", "CAST(1 + vec_id % 3 AS BIGINT) AS n_updates"]),
-    "object_pixels": ("lineitem", ["year(l_shipdate) AS frame", "CAST(l_linenumber AS BIGINT) AS obj_id", "l_partkey % 40 AS u", "CAST(floor(l_quantity) AS BIGINT) AS v"]),
-    "pixels": ("lineitem", ["year(l_shipdate) AS frame", "l_suppkey AS det_id", "l_partkey % 40 AS u", "CAST(floor(l_quantity) AS BIGINT) AS v"]),
+    "object_pixels": ("lineitem", ["CAST(year(l_shipdate) AS BIGINT) AS frame", "CAST(l_linenumber AS BIGINT) AS obj_id", "l_partkey % 40 AS u", "CAST(floor(l_quantity) AS BIGINT) AS v"]),
+    "pixels": ("lineitem", ["CAST(year(l_shipdate) AS BIGINT) AS frame", "l_suppkey AS det_id", "l_partkey % 40 AS u", "CAST(floor(l_quantity) AS BIGINT) AS v"]),
     "poses": ("orders", ["o_orderkey AS seq", "o_custkey AS body", "CAST(o_custkey % 20 AS DOUBLE) AS x", "CAST(floor(o_custkey / 20) AS BIGINT) % 20 * 1E0 AS y", "0E0 AS z", "CAST(o_totalprice AS DOUBLE) - floor(CAST(o_totalprice AS DOUBLE) / 6.283185307E0) * 6.283185307E0 AS yaw", "CAST(o_totalprice AS DOUBLE) AS price"]),
 }
 DISTINCT = {"pixels", "object_pixels"}
