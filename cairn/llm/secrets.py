@@ -19,6 +19,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: The models' alphabet: the candidates' characters in order of code points; index 0 stands for the start and any other.
 ALPHABET = "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
 WIDTH = len(ALPHABET) + 1
+BACKOFF = 10.0
 
 
 def _pairs(text: Column) -> Column:
@@ -27,24 +28,31 @@ def _pairs(text: Column) -> Column:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """log2 P(char | previous, random) - log2 P(char | previous, ordinary) for each pair of the alphabet, add-half smoothed.
+    """log2 P(char | previous, random) - log2 P(char | previous, ordinary) for each pair of the alphabet.
 
+    Pairs are smoothed by the label's single characters (BACKOFF of them for each previous one), and these by adding a half.
     samples: text, random (boolean). Null texts or labels are left out; with no samples of a label its model is uniform.
     The counts are at most 2 * WIDTH ** 2 rows, whatever the samples, and only they come to the driver.
     """
     counts = samples.where("text is not null and random is not null and text <> ''").select("random", F.explode(_pairs(F.col("text"))).alias("pair")).groupBy("random", "pair").count()
-    table = {k: [0.5] * WIDTH**2 for k in (True, False)}
+    table = {k: [0.0] * WIDTH**2 for k in (True, False)}
     for r in counts.collect():
         table[r["random"]][r["pair"]] += r["count"]
-    rows = {k: [sum(v[i * WIDTH : (i + 1) * WIDTH]) for i in range(WIDTH)] for k, v in table.items()}
-    return [math.log2(table[True][i] / rows[True][i // WIDTH]) - math.log2(table[False][i] / rows[False][i // WIDTH]) for i in range(WIDTH**2)]
+
+    def likelihoods(n: list[float]) -> list[float]:
+        single = [sum(n[c::WIDTH]) + 0.5 for c in range(WIDTH)]
+        single = [x / sum(single) for x in single]
+        row = [sum(n[i * WIDTH : (i + 1) * WIDTH]) + BACKOFF for i in range(WIDTH)]
+        return [math.log2((x + BACKOFF * single[i % WIDTH]) / row[i // WIDTH]) for i, x in enumerate(n)]
+
+    return [a - b for a, b in zip(likelihoods(table[True]), likelihoods(table[False]))]
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, size: int = 4000, text_col: str = "text") -> DataFrame:
     """Labelled strings: random ones are seeded digests in hex, base64 and base36; ordinary ones are identifiers as in code, and words.
 
     size strings of each label (a documented bound on what the models are fitted on). Ordinary ones are joins of common words
-    in snake, camel, kebab and path style with small numbers, and, if docs are given, long words without digits from them.
+    in snake, camel, kebab, path and constant style with small numbers, and, if docs are given, long words without digits from them, as they are and in capitals.
     """
     words = "get set user name file path index count value data table column row list map key parse read write open close load save config server client request response handler manager factory builder test case main module package version update delete insert select create remove start stop time date size length width height left right first last next previous error message status result default option source target input output buffer cache model train batch node edge graph tree leaf block chunk token vector matrix image frame pixel sensor camera pose depth street north county library museum international development information".split()
     n = F.col("id")
@@ -56,13 +64,14 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, size: i
     upper = F.upper(F.concat(*[F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 36) for i in range(4)]))
     random = F.when(n % 3 == 0, F.substring(digest, 1, 40)).when(n % 3 == 1, F.substring(F.base64(F.unhex(digest)), 1, 40)).otherwise(F.substring(upper, 1, 32))
     cap = [F.initcap(word(k)) for k in range(4)]
-    ordinary = (F.when(n % 5 == 0, F.concat_ws("_", *map(word, range(4)))).when(n % 5 == 1, F.concat(word(0), *cap[1:])).when(n % 5 == 2, F.concat_ws("/", *map(word, range(4))))
-                .when(n % 5 == 3, F.concat_ws("-", word(0), word(1), word(2), (n % 100).cast("string"))).otherwise(F.concat(*map(word, range(3)))))
+    ordinary = (F.when(n % 6 == 0, F.concat_ws("_", *map(word, range(4)))).when(n % 6 == 1, F.concat(word(0), *cap[1:])).when(n % 6 == 2, F.concat_ws("/", *map(word, range(4))))
+                .when(n % 6 == 3, F.concat_ws("-", word(0), word(1), word(2), (n % 100).cast("string"))).when(n % 6 == 4, F.upper(F.concat_ws("_", *map(word, range(3))))).otherwise(F.concat(*map(word, range(3)))))
     ids = spark.range(size)
     samples = ids.select(random.alias("text"), F.lit(True).alias("random")).unionByName(ids.select(ordinary.alias("text"), F.lit(False).alias("random")))
     if docs is not None:
         long_words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\b[A-Za-z]{12,}\b"), F.lit(0))).alias("text")).distinct()
-        samples = samples.unionByName(long_words.orderBy(F.xxhash64("text"), "text").limit(size).withColumn("random", F.lit(False)))
+        long_words = long_words.orderBy(F.xxhash64("text"), "text").limit(size // 2)
+        samples = samples.unionByName(long_words.select(F.explode(F.array("text", F.upper("text"))).alias("text"), F.lit(False).alias("random")))
     return samples
 
 
