@@ -1,26 +1,22 @@
-"""Writing maps, clouds, meshes and paths. Text files are rows (part, n, line); parts keep their order in the files that Spark writes."""
+"""Writing maps, clouds, meshes and paths. Text files are rows (part, at, line), sorted in parallel by part and then the numbers in at."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def save_lines(lines: DataFrame, path: str, files: int = 1) -> None:
-    """Writes line in the order of (part, n), to consecutive files."""
-    lines.repartitionByRange(files, "part", "n").sortWithinPartitions("part", "n").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    """Writes line in the order of (part, at), to consecutive files."""
+    lines.repartitionByRange(files, "part", "at").sortWithinPartitions("part", "at").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def _head(spark, *lines: str) -> DataFrame:
-    return spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "part int, n long, line string")
+    return spark.createDataFrame([(0, [float(i)], x) for i, x in enumerate(lines)], "part int, at array<double>, line string")
 
 
 def _body(df: DataFrame, part: int, order: list[str], line) -> DataFrame:
-    return df.select(F.lit(part).alias("part"), F.struct(*order).alias("__o"), line.alias("line")).select("part", F.row_number().over(_order()).cast("long").alias("n"), "line")
-
-
-def _order():
-    return Window.orderBy("__o")
+    return df.select(F.lit(part).alias("part"), F.array(*[F.col(c).cast("double") for c in order]).alias("at"), line.alias("line"))
 
 
 def _row(*columns):
@@ -42,8 +38,8 @@ def pcd_points(points: DataFrame, width: int, height: int, order: list[str], pos
 def obj_mesh(triangles: DataFrame, order: list[str]) -> DataFrame:
     """Triangles (order, vertex, vx, vy, vz): three vertices each, and a face of them."""
     corners = _body(triangles, 1, [*order, "vertex"], F.concat(F.lit("v "), _row("vx", "vy", "vz")))
-    faces = triangles.where("vertex = 0").select(*order).select(F.struct(*order).alias("__o")).select(F.row_number().over(_order()).cast("long").alias("n"))
-    faces = faces.select(F.lit(2).alias("part"), "n", F.concat_ws(" ", F.lit("f"), (3 * F.col("n") - 2).cast("string"), (3 * F.col("n") - 1).cast("string"), (3 * F.col("n")).cast("string")).alias("line"))
+    faces = triangles.sparkSession.range(1, triangles.where("vertex = 0").count() + 1).withColumnRenamed("id", "n")
+    faces = faces.select(F.lit(2).alias("part"), F.array(F.col("n").cast("double")).alias("at"), F.concat_ws(" ", F.lit("f"), (3 * F.col("n") - 2).cast("string"), (3 * F.col("n") - 1).cast("string"), (3 * F.col("n")).cast("string")).alias("line"))
     return corners.unionByName(faces)
 
 

@@ -49,7 +49,7 @@ def test_writers(spark, tmp_path):
     lines = "".join(p.read_text() for p in sorted((tmp_path / "ply").glob("part-*"))).splitlines()
     assert lines[0] == "ply" and lines[2] == "element vertex 2" and lines[-2:] == ["1.5 2.0 3.0", "0.5 1.0 2.0"]
     triangle = spark.createDataFrame([(0, v, float(v), 0.0, 1.0) for v in range(3)], "t int, vertex int, vx double, vy double, vz double")
-    assert [r["line"] for r in writers.obj_mesh(triangle, ["t"]).orderBy("part", "n").collect()][-1] == "f 1 2 3"
+    assert [r["line"] for r in writers.obj_mesh(triangle, ["t"]).orderBy("part", "at").collect()][-1] == "f 1 2 3"
     voxels = spark.createDataFrame([(0, 0, 0, -1.0), (0, 0, 1, 0.0), (1, 0, 0, 2.0)], "x long, y long, z long, value double")
     assert {r["occupied"] for r in writers.occupancy(voxels).collect()} == {True, False} and writers.occupancy(voxels, True).count() == 2
     octants = spark.createDataFrame([(0, None), (1, 0)], "key long, parent long")
