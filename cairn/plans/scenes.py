@@ -82,7 +82,7 @@ def interpolated_poses(spark, sf_dir):
     q = scalars.yaw_quaternion(yaw)
     poses = f.where("stream <> 'view'").select("t", (F.col("frame") % 20).cast("double").alias("tx"), F.col("value").alias("ty"), F.lit(0.0).alias("tz"), *[c.alias(k) for k, c in zip(("qx", "qy", "qz", "qw"), q)])
     got = association.interpolate_poses(f.where("stream = 'view'").select("frame", "t"), poses, "t", 900.0)
-    return got.select("frame", F.round("tx", 5).alias("tx"), F.round("ty", 5).alias("ty"), F.round("qz", 5).alias("qz"), F.round("qw", 5).alias("qw"))
+    return got.select("frame", F.round("tx", 5).alias("tx"), F.round("ty", 5).alias("ty"), (F.round("qz", 5) + F.lit(0.0)).alias("qz"), (F.round("qw", 5) + F.lit(0.0)).alias("qw"))
 
 
 def path_segments(spark, sf_dir):
@@ -202,6 +202,16 @@ ORACLE = {
     "nearest_hits": f"{sql('points')}, h AS (SELECT DISTINCT x AS u, y AS v, z * 1e-1 AS dist, o3 % 11 / 10e0 AS fg, o2 AS obj_id FROM points), r AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY dist, fg DESC, obj_id) AS n FROM h WHERE fg > 0.5) SELECT u, v, dist, fg, obj_id FROM r WHERE n = 1",
     "depth_outliers": f"{sql('points')}, p AS (SELECT frame AS det, pow(z, 3) / 1000e0 AS depth FROM points), s AS (SELECT det, avg(depth) AS m, stddev_pop(depth) AS d FROM p GROUP BY det) SELECT det, count(*) AS n, round(max(depth), 6) AS most FROM p JOIN s USING (det) WHERE d <= 0.5 OR depth - m <= 3 * d GROUP BY det",
     "nearest_frames": f"{sql('frames')}, r AS (SELECT a.frame, b.frame AS other, abs(a.t - b.t) AS gap, row_number() OVER (PARTITION BY a.frame ORDER BY abs(a.t - b.t), b.t, b.frame) AS n FROM frames a JOIN frames b ON b.t BETWEEN a.t - 300 AND a.t + 300 WHERE a.stream = 'view' AND b.stream = 'click') SELECT frame, other, round(gap, 6) AS gap FROM r WHERE n = 1",
+    "interpolated_poses": f"""{sql('frames')}, q AS (SELECT t, frame % 20 AS tx, value AS ty, sin(frame % 7 * 0.8e0 / 2) AS z, cos(frame % 7 * 0.8e0 / 2) AS w, row_number() OVER (PARTITION BY t ORDER BY frame % 20, value, frame % 7) AS n FROM frames WHERE stream <> 'view'), p AS (SELECT * FROM q WHERE n = 1),
+      b AS (SELECT f.frame, f.t, a.t AS t0, a.tx AS ax, a.ty AS ay, a.z AS az, a.w AS aw, c.t AS ct, c.tx AS cx, c.ty AS cy, c.z AS cz, c.w AS cw FROM (SELECT * FROM frames WHERE stream = 'view') f ASOF JOIN p a ON f.t >= a.t ASOF JOIN p c ON f.t <= c.t),
+      k AS (SELECT *, CASE WHEN ct > t0 THEN (t - t0) / (ct - t0) ELSE 0 END AS k, az * cz + aw * cw AS d FROM b WHERE ct - t0 <= 900), m AS (SELECT *, acos(least(abs(d), 1)) AS g FROM k),
+      s AS (SELECT *, CASE WHEN abs(d) > 1 - 1e-12 THEN 1 - k ELSE sin((1 - k) * g) / sin(g) END AS u, CASE WHEN abs(d) > 1 - 1e-12 THEN k ELSE sin(k * g) / sin(g) END * CASE WHEN d < 0 THEN -1 ELSE 1 END AS v FROM m)
+      SELECT frame, round(ax + (cx - ax) * k, 5) AS tx, round(ay + (cy - ay) * k, 5) AS ty, round(u * az + v * cz, 5) + 0e0 AS qz, round(u * aw + v * cw, 5) + 0e0 AS qw FROM s""",
+    "surface_normals": f"""{sql('image')}, w AS (SELECT i.u, i.v, l.depth AS ld, r.depth AS rd, a.depth AS ad, b.depth AS bd, (greatest(0, i.u - 1) - 31.5e0) / 60 AS lx, (least(63, i.u + 1) - 31.5e0) / 60 AS rx, (greatest(0, i.v - 1) - 31.5e0) / 60 AS ay, (least(63, i.v + 1) - 31.5e0) / 60 AS by_, (i.u - 31.5e0) / 60 AS x, (i.v - 31.5e0) / 60 AS y
+      FROM image i LEFT JOIN image l ON l.v = i.v AND l.u = greatest(0, i.u - 1) LEFT JOIN image r ON r.v = i.v AND r.u = least(63, i.u + 1) LEFT JOIN image a ON a.u = i.u AND a.v = greatest(0, i.v - 1) LEFT JOIN image b ON b.u = i.u AND b.v = least(63, i.v + 1)),
+      d AS (SELECT u, v, rx * rd - lx * ld AS ux, y * (rd - ld) AS uy, rd - ld AS uz, x * (bd - ad) AS vx, by_ * bd - ay * ad AS vy, bd - ad AS vz FROM w),
+      c AS (SELECT u, v, vy * uz - vz * uy AS a, vz * ux - vx * uz AS b, vx * uy - vy * ux AS c FROM d), n AS (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM c)
+      SELECT u, v, CASE WHEN n > 0 THEN round(a / n, 5) + 0e0 END AS nx, CASE WHEN n > 0 THEN round(b / n, 5) + 0e0 END AS ny, CASE WHEN n > 0 THEN round(c / n, 5) + 0e0 END AS nz FROM n""",
     "path_segments": f"{sql('poses')}, l AS (SELECT body, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(yaw) OVER w - yaw AS da FROM poses WINDOW w AS (PARTITION BY body ORDER BY seq)), s AS (SELECT body, sqrt(dx * dx + dy * dy) AS d, {_WRAPPI('da')} AS a FROM l WHERE dx IS NOT NULL), t AS (SELECT *, greatest(d / 1.5e0, abs(a) / 0.75e0) AS sec FROM s) SELECT body, count(*) AS segments, round(sum(d), 6) AS distance, round(sum(CASE WHEN sec > 1e-9 THEN sec END), 6) AS seconds, round(max(abs(a)), 6) AS turn FROM t GROUP BY body",
     "trajectory_error": f"{sql('poses')}, e AS (SELECT sqrt(pow(price % 1.7e0, 2) + pow(seq % 5 * 0.1e0, 2)) AS e FROM poses) SELECT round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS mean, round(median(e), 6) AS median, round(stddev_pop(e), 6) AS std, round(min(e), 6) AS min, round(max(e), 6) AS max, count(*) AS n FROM e",
     "pose_grid": f"{_GRID} SELECT * FROM g",
