@@ -61,6 +61,22 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int,
     return rows.join(hot, key, "inner").unionByName(cold_rows.join(rest, key, how))
 
 
+def prefilter(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
+    """Rows whose key is in wanted, and a few others: a bitmap of key hashes is broadcast, so that only these rows are shuffled later.
+
+    The bitmap has 16 bits for each wanted row, but never more than most_bits (16 MB): beyond, more rows pass.
+    """
+    bits = 1 << max(15, min(most_bits.bit_length() - 1, (16 * wanted.count()).bit_length()))
+
+    def place(df: DataFrame) -> DataFrame:
+        return df.withColumn("__at", F.pmod(F.xxhash64(key), F.lit(bits))).withColumns({"__bucket": F.expr("bitmap_bucket_number(__at)"), "__bit": F.expr("bitmap_bit_position(__at)")})
+
+    bitmap = place(wanted.select(key)).groupBy("__bucket").agg(F.expr("bitmap_construct_agg(__bit)").alias("__bitmap"))
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("shiftright(__byte, cast(__bit % 8 as int)) & 1") == 1
+    return place(rows).join(F.broadcast(bitmap), "__bucket").withColumn("__byte", byte).where(hit).select(*rows.columns)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
     """(node, component): for each node of an edge, the smallest node that edges lead to.
 

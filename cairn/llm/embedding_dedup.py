@@ -110,7 +110,7 @@ def _compare(threshold: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, trees: int = 4, leaf: int = 400, spill: float = 0.04, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, trees: int = 4, leaf: int = 400, spill: float = 0.02, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept): links between vectors found with cosine >= threshold in double precision.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and stand alone; so do rows with a

@@ -1,4 +1,4 @@
-"""Whole texts to token ids with a public tokenizer, within tasks. Each distinct piece between spaces is encoded once."""
+"""Whole texts to token ids with a public tokenizer, within tasks. Each distinct part of a text is encoded once."""
 
 from __future__ import annotations
 
@@ -6,24 +6,28 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces, and parts of them, that a worker remembers; beyond, it forgets all and starts anew.
-MEMO = 300_000
+#: Parts, and pieces made of several, that a worker remembers; beyond, it forgets all and starts anew.
 PARTS = 800_000
+PIECES = 600_000
+#: Characters of text that are cut at once.
+SLICE = 6 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Pieces of these characters only are cut further, always where the tokenizer's own pattern ends a token: behind letters, and
-#: (words) before letters unless an apostrophe stands there or (bytes) behind a line feed that no white space adjoins.
-_PLAIN = re.compile(rf"(?!.*\s\s)[ \n!-~{_LETTERS}]+", re.DOTALL)
+#: Texts of these characters only, without runs of white space, are cut further than at spaces, always where the tokenizer's own
+#: pattern ends a token: behind letters, and (words) before letters unless an apostrophe stands there or (bytes) behind a line feed.
+_PLAIN = re.compile(rf"[\n!-~{_LETTERS}]?(?:[ \n]?[!-~{_LETTERS}]+)*[ \n]?")
 _CUTS = {"words": re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]*'[{_LETTERS}]*|[^{_LETTERS}]+"), "bytes": re.compile(rf" ?[{_LETTERS}]+|\n|[^{_LETTERS}\n]+[{_LETTERS}]*")}
 
 
 class Encoder:
     """Encodes texts exactly as the tokenizer would encode them whole, add_special_tokens=False.
 
-    kind "words": the tokenizer drops white space, so texts are cut at each space and line feed. kind "bytes": a space starts
-    a token unless other white space stands before it, so texts are cut before each space; texts with such a run, which are
-    rare, are encoded whole. Strings of special tokens in a text are ordinary text. Null texts are empty.
+    kind "words": the tokenizer drops white space and case. kind "bytes": a space starts a token unless other white space
+    stands before it. Texts other than _PLAIN are encoded whole. Strings of special tokens in a text are ordinary text. Null
+    texts are empty.
     """
 
     _own: dict[tuple[str, str], Encoder] = {}
@@ -42,46 +46,74 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kind, self.memo, self.parts = kind, {}, {}
-        self._run = re.compile(r"\s ")
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.kind == "words":
-            return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _bytes(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _new(self, pieces: list[str]) -> None:
-        cut = _CUTS[self.kind].findall
-        low = self.kind == "words"
-        split = [cut(p.lower() if low else p) if _PLAIN.fullmatch(p) else [p] for p in pieces]
-        new = list(set().union(*split) - self.parts.keys())
+        self.kind, self.pieces, self.parts = kind, {}, {}
+
+    def _bytes(self, parts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, every: set[str]) -> None:
+        new = list(every - self.parts.keys())
         if len(self.parts) + len(new) > PARTS:
-            self.parts = {}
-            new = list(set().union(*split))
+            self.parts, new = {}, list(every)
         self.parts.update(zip(new, self._bytes(new)))
+
+    def _of_pieces(self, pieces: list[str], heads: list[str] = []) -> list[bytes]:
+        """Ids of distinct pieces, which are single words mostly; others are cut into parts. heads: pieces without a space before them."""
+        cut, lead = _CUTS[self.kind].findall, " " if self.kind == "bytes" else ""
+        out = list(map(self.pieces.get, pieces))
+        new = [i for i, x in enumerate(out) if x is None]
+        keys = [lead + pieces[i] if lead else pieces[i].lower() for i in new]
+        split = [[k] if pieces[i].isalpha() else cut(k) for i, k in zip(new, keys)]
+        first = [cut(x) for x in heads]
+        self._learn(set().union(*split, *first))
         get = self.parts.__getitem__
-        self.memo.update((p, b"".join(map(get, x))) for p, x in zip(pieces, split))
+        for i, x in zip(new, split):
+            out[i] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
+        if len(self.pieces) + len(new) > PIECES:
+            self.pieces = {}
+        self.pieces.update((pieces[i], out[i]) for i in new)
+        return out + [b"".join(map(get, x)) for x in first]
+
+    def _slice(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts: their distinct pieces are encoded, and gathered by number."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends, coded = lists.offsets.to_numpy()[1:], lists.values.dictionary_encode()
+        at = coded.indices.to_numpy()
+        if self.kind == "bytes":  # a text's first piece has no space before it
+            firsts = np.concatenate([[0], ends[:-1]])
+            heads = coded.dictionary.take(pa.array(at[firsts])).to_pylist()
+            at = at.copy()
+            at[firsts] = len(coded.dictionary) + np.arange(len(texts))
+            ids = self._of_pieces(coded.dictionary.to_pylist(), heads)
+        else:
+            ids = self._of_pieces(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), self.dtype)
+        n = size[at]
+        upto = np.cumsum(n)
+        tokens = flat[np.repeat(start[at] - (upto - n), n) + np.arange(upto[-1])]
+        return np.split(tokens, upto[ends[:-1] - 1])
 
     def encode(self, texts) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = []
-        cut, whole = [], []
-        for text in texts:
-            text = text or ""
-            (whole if self.kind == "bytes" and self._run.search(text) else cut).append((len(out), text))
-            out.append(None)
-        pieces = [self._pieces(x) for _, x in cut]
-        new = list(set().union(*pieces) - self.memo.keys())
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list(set().union(*pieces))
-        self._new(new)
-        get = self.memo.__getitem__
-        for (i, _), p in zip(cut, pieces):
-            out[i] = np.frombuffer(b"".join(map(get, p)), self.dtype)
-        for i, text in whole:
-            out[i] = np.frombuffer(self._bytes([text])[0], self.dtype)
+        out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
+        plain, size = [], 0
+
+        def flush():
+            if plain:
+                for (i, _), ids in zip(plain, self._slice([x for _, x in plain])):
+                    out[i] = ids
+                plain.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if _PLAIN.fullmatch(text):
+                plain.append((i, text))
+                size += len(text)
+                if size >= SLICE:
+                    flush()
+                    size = 0
+            else:
+                out[i] = np.frombuffer(self._bytes([text])[0], self.dtype)
+        flush()
         return out

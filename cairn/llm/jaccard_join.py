@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, connected_components, mix
+from .common import Scratch, attach, connected_components, mix, prefilter
 from .shingles import shingle_sets
 
 #: Shingles in one block of a group; larger groups are compared block by block.
@@ -223,7 +223,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id
         pairs = link([sets[k] for k in keep], pdf["side"].to_numpy()[keep], num, den) if len(keep) > 1 else []
         return pd.DataFrame([(ids[keep[x]], ids[keep[y]]) for x, y in pairs], columns=["a", "b"])
 
-    texts = rows.join(routed, "id").repartition("component", "i", "j")
+    texts = prefilter(rows, routed, "id").join(routed.hint("merge"), "id").repartition("component", "i", "j")
     links = scratch.save(texts.groupBy("component", "i", "j").applyInPandas(verify, "a long, b long"), "links")
     joined = scratch.save(connected_components(links, scratch, "links"), "joined")
     found = scratch.save(classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component_id")), "found")

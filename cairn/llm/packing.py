@@ -89,9 +89,9 @@ def pack(docs: DataFrame, tokenizer_path: str, kind: str = "bytes", end_id: int
         encoder, seen = Encoder.of(tokenizer_path, kind), Counter()
         task, end = TaskContext.get().partitionId(), np.array([end_id], "<u4")
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
+            for lo in range(0, len(pdf), 2048):
                 out = []
-                for k, ids in zip(pdf["key"][lo : lo + 256], encoder.encode(pdf["text"][lo : lo + 256])):
+                for k, ids in zip(pdf["key"][lo : lo + 2048], encoder.encode(pdf["text"][lo : lo + 2048])):
                     ids = np.concatenate([ids.astype("<u4"), end])
                     at, n, piece = 0, (len(ids) - 1) % capacity + 1, 0
                     while at < len(ids):

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,8 +114,8 @@ class WaveletMatrix:
         return ids
 
     def to_bytes(self, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
-        """The file: magic, ids, documents, planes, sizes of the parts; then document ids, lengths and planes, each deflated."""
-        parts = [zlib.compress(x.tobytes(), 1) for x in (np.asarray(doc_ids, "<i8"), np.asarray(lengths, "<i8"), *self.planes)]
+        """The file: magic, ids, documents, planes, sizes of the parts; then document ids, lengths and planes, each compressed by zstd."""
+        parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (np.asarray(doc_ids, "<i8"), np.asarray(lengths, "<i8"), *self.planes)]
         return MAGIC + struct.pack(f"<QQI{len(parts)}I", self.n, len(doc_ids), len(self.planes), *map(len, parts)) + b"".join(parts)
 
     @classmethod
@@ -122,10 +123,10 @@ class WaveletMatrix:
         """The matrix, the document ids and their lengths."""
         if bytes(data[:4]) != MAGIC:
             raise ValueError("not a token file")
-        n, _, planes = struct.unpack_from("<QQI", data, 4)
+        n, docs, planes = struct.unpack_from("<QQI", data, 4)
         at, parts = 24 + 4 * (planes + 2), []
-        for size in struct.unpack_from(f"<{planes + 2}I", data, 24):
-            parts.append(zlib.decompress(data[at : at + size]))
+        for k, size in enumerate(struct.unpack_from(f"<{planes + 2}I", data, 24)):
+            parts.append(pa.decompress(data[at : at + size], decompressed_size=8 * docs if k < 2 else (n + 7) // 8, codec="zstd", asbytes=True) if size else b"")
             at += size
         return cls(n, [np.frombuffer(x, np.uint8) for x in parts[2:]]), np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8")
 
@@ -153,8 +154,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str
             return pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [size], "n_docs": [len(keys)], "file": [WaveletMatrix.build(np.concatenate(ids)).to_bytes(np.array(keys, "<i8"), np.array([len(x) for x in ids], "<i8"))]})
 
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                for k, x in zip(pdf["id"][lo : lo + 256], encoder.encode(pdf["text"][lo : lo + 256])):
+            for lo in range(0, len(pdf), 2048):
+                for k, x in zip(pdf["id"][lo : lo + 2048], encoder.encode(pdf["text"][lo : lo + 2048])):
                     x = np.concatenate([x, end])
                     keys.append(k)
                     ids.append(x)
