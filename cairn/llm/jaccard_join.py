@@ -14,6 +14,9 @@ from .shingles import shingle_sets
 #: Shingles in one block of a group; larger groups are compared block by block.
 BLOCK_SHINGLES = 1_500_000
 FANOUT = 8
+#: Bits of the bitmap that stands for a set while groups are narrowed down, and members that are then compared at once.
+SKETCH = 4096
+MEMBERS = 4000
 
 
 # ---- routing: two sets with a link share the hash of a part of themselves
@@ -44,6 +47,12 @@ def part_signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    bits = np.zeros(SKETCH, bool)
+    bits[(s & np.uint64(SKETCH - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     import hashlib
 
@@ -55,7 +64,7 @@ def _signed(words: int, num: int, den: int):
     """Per batch: of each distinct set its signatures, those that another set of the batch has too being links to that one."""
     def run(batches):
         for batch in batches:
-            n, d1, d2, keys, owner, seen = [], [], [], [], [], set()
+            n, d1, d2, maps, keys, owner, seen = [], [], [], [], [], [], set()
             for s in shingle_sets(batch.column("text"), words):
                 a, b = digest(s) if len(s) else (0, 0)
                 if len(s) and (a, b) not in seen:
@@ -65,7 +74,8 @@ def _signed(words: int, num: int, den: int):
                 n.append(len(s))
                 d1.append(a)
                 d2.append(b)
-            sigs, links = [np.empty(0, np.int64)] * len(n), [np.empty(0, np.int64)] * len(n)
+                maps.append(sketch(s))
+            sigs, links, heads = ([np.empty(0, np.int64)] * len(n) for _ in range(3))
             if keys:
                 at = np.repeat(owner, [len(x) for x in keys])
                 keys = np.concatenate(keys)
@@ -73,18 +83,19 @@ def _signed(words: int, num: int, den: int):
                 keys, at = keys[order], at[order]
                 first = np.concatenate([[True], keys[1:] != keys[:-1]])
                 head = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
-                for out, mask, value in ((sigs, first, keys.view(np.int64)), (links, ~first & (head != at), np.array(d1, np.int64)[head])):
+                other = ~first & (head != at)
+                for out, mask, value in ((sigs, first, keys.view(np.int64)), (links, other, keys.view(np.int64)), (heads, other, np.array(d1, np.int64)[head])):
                     rows, value = at[mask], value[mask]
                     order = np.argsort(rows, kind="stable")
                     who, starts = np.unique(rows[order], return_index=True)
                     for i, x in zip(who.tolist(), np.split(value[order], starts[1:])):
-                        out[i] = np.unique(x)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(links, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "sigs", "links"])
+                        out[i] = x
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(links, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["id", "n", "d1", "d2", "sigs", "links", "heads", "map"])
     return run
 
 
 def _stars(batches):
-    """Rows (sig, d1) sorted: links each d1 of a signature with the first one."""
+    """Rows (sig, d1) sorted: each further d1 of a signature, with the first one."""
     sig, head = None, None
     for pdf in batches:
         s, d = pdf["sig"].to_numpy(), pdf["d1"].to_numpy()
@@ -94,7 +105,7 @@ def _stars(batches):
         at = np.maximum.accumulate(np.where(first, np.arange(len(s)), -1))
         heads = np.where(at >= 0, d[np.maximum(at, 0)], head if head is not None else 0)
         sig, head = s[-1], heads[-1]
-        out = pd.DataFrame({"a": d, "b": heads})
+        out = pd.DataFrame({"sig": s, "a": d, "b": heads})
         yield out[out["a"] != out["b"]].drop_duplicates()
 
 
@@ -113,8 +124,19 @@ class SignatureTree:
         maps = np.zeros((len(sets), bits), bool)
         for row, s in zip(maps, self.sets):
             row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-        size = np.array([len(s) for s in self.sets])
-        self.levels = [(np.packbits(maps, axis=1).view(np.uint64), size, size, size - maps.sum(1))]
+        self._grow(np.packbits(maps, axis=1).view(np.uint64), np.array([len(s) for s in self.sets]), depth)
+
+    @classmethod
+    def of_maps(cls, maps: np.ndarray, sizes: np.ndarray, depth: int | None = None) -> SignatureTree:
+        """From bitmaps alone."""
+        tree = cls.__new__(cls)
+        tree.order = np.lexsort((maps[:, 0], sizes)).tolist()
+        tree.sets = None
+        tree._grow(maps[tree.order], sizes[tree.order], depth)
+        return tree
+
+    def _grow(self, maps: np.ndarray, size: np.ndarray, depth: int | None) -> None:
+        self.levels = [(maps, size, size, size - np.bitwise_count(maps).sum(1, dtype=np.int64))]
         while len(self.levels[-1][1]) > 1 or depth and len(self.levels) < depth:
             m, lo, hi, hidden = self.levels[-1]
             at = np.arange(0, len(lo), FANOUT)
@@ -190,6 +212,31 @@ def link(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[t
     return out
 
 
+def narrow(maps: np.ndarray, sizes: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Indices of a spanning forest of the pairs that bitmaps and sizes don't rule out, within side 0 or between sides 0 and 1."""
+    root = np.arange(len(sizes))
+    at = [np.flatnonzero(side == k) for k in (0, 1)]
+    if not len(at[0]):
+        return []
+    depth = max(len(SignatureTree.of_maps(maps[x], sizes[x]).levels) for x in at if len(x))
+    left = SignatureTree.of_maps(maps[at[0]], sizes[at[0]], depth)
+    right = SignatureTree.of_maps(maps[at[1]], sizes[at[1]], depth) if len(at[1]) else left
+    a_names, b_names = at[0][left.order], (at[1] if len(at[1]) else at[0])[right.order]
+    for a, b in candidate_pairs(left, right, num, den):
+        a, b = a_names[a], b_names[b]
+        while True:
+            ra, rb = root[a], root[b]
+            low = np.minimum(ra, rb)
+            if (ra == rb).all():
+                break
+            np.minimum.at(root, ra, low)
+            np.minimum.at(root, rb, low)
+            while (root[root] != root).any():
+                root = root[root]
+    hung = np.flatnonzero(root != np.arange(len(sizes)))
+    return list(zip(hung.tolist(), root[hung].tolist()))
+
+
 def jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): for each row the number of its distinct shingles and the smallest id that links lead to.
 
@@ -198,23 +245,38 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id
     are one class, compared once. Rows with a null id link with nothing and have a null component; rows that share an id are
     compared by each of their sets. An empty table gives no rows.
 
-    Sets that can link share a part's hash, exactly (part_signatures); what such hashes connect is one group. Each group's
-    texts meet once, in a task of bounded size, or, if the group is larger, in one for each two of its blocks, where
+    Sets that can link share a part's hash, exactly (part_signatures). Among the sets of one such hash, signature trees over
+    bitmaps tell which pairs can link at all; what these connect is one group. Each group's texts meet once, in a task of bounded size, or, if the group is larger, in one for each two of its blocks, where
     signature trees are traversed in pairs and what remains is compared exactly.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = scratch.save(rows.mapInArrow(_signed(words, num, den), "id long, n long, d1 long, d2 long, sigs array<long>, links array<long>"), "sets")
-    stars = sets.select(F.explode("sigs").alias("sig"), "d1").repartition("sig").sortWithinPartitions("sig", "d1").mapInPandas(_stars, "a long, b long")
-    near = sets.select(F.col("d1").alias("a"), F.explode("links").alias("b")).unionByName(stars).distinct()
-    groups = scratch.save(connected_components(scratch.save(near, "near"), scratch, "route"), "groups")
+    sets = scratch.save(rows.mapInArrow(_signed(words, num, den), "id long, n long, d1 long, d2 long, sigs array<long>, links array<long>, heads array<long>, map binary"), "sets")
+    stars = sets.select(F.explode("sigs").alias("sig"), "d1").repartition("sig").sortWithinPartitions("sig", "d1").mapInPandas(_stars, "sig long, a long, b long")
+    near = sets.where(F.size("links") > 0).select("d1", F.explode(F.arrays_zip("links", "heads")).alias("x")).select(F.col("x.links").alias("sig"), F.col("d1").alias("a"), F.col("x.heads").alias("b"))
+    shared = scratch.save(near.unionByName(stars), "shared")
+    members = scratch.save(shared.select("sig", F.explode(F.array("a", "b")).alias("d1")).distinct(), "members")
+    # many hashes have the same members, as near copies share most of their parts: one hash of each is enough
+    same = members.groupBy("sig").agg(F.count("*").alias("m"), F.sum(F.pmod(F.xxhash64("d1"), F.lit(1 << 40))).alias("h"), F.sum(F.pmod(F.xxhash64("d1", F.lit(1)), F.lit(1 << 40))).alias("h2"))
+    blocks = scratch.save(same.groupBy("m", "h", "h2").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / MEMBERS).cast("int").alias("blocks")), "hashes")
+    maps = sets.where("n > 0").groupBy("d1").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    spread = lambda df, key: df.withColumn("mine", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")})
+
+    def narrowed(pdf):
+        maps = np.frombuffer(b"".join(pdf["map"]), np.uint64).reshape(len(pdf), SKETCH // 64)
+        d = pdf["d1"].to_numpy()
+        pairs = narrow(maps, pdf["n"].to_numpy(), pdf["side"].to_numpy(), num, den)
+        return pd.DataFrame([(d[x], d[y]) for x, y in pairs], columns=["a", "b"])
+
+    asked = scratch.save(members.join(blocks, "sig").join(maps, "d1"), "asked")
+    edges = spread(asked, "d1").groupBy("sig", "i", "j").applyInPandas(narrowed, "a long, b long").distinct()
+    groups = scratch.save(connected_components(scratch.save(edges, "edges"), scratch, "route"), "groups")
+    scratch.drop("shared", "members", "asked", "edges")
     classes = scratch.save(sets.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
-    asked = scratch.save(classes.join(groups.withColumnRenamed("node", "d1"), "d1").select("rep", "n", "component"), "asked")
+    asked = scratch.save(classes.join(groups.withColumnRenamed("node", "d1"), "d1").select("rep", "n", "component"), "candidates")
     blocks = asked.groupBy("component").agg(F.sum("n").alias("work"), F.count("*").alias("members")).where("members > 1").select("component", F.ceil(F.col("work") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    routed = asked.join(blocks, "component").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    routed = scratch.save(routed.select(F.col("rep").alias("id"), "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side")), "routed")
+    routed = scratch.save(spread(asked.join(blocks, "component"), "rep").select(F.col("rep").alias("id"), "component", "i", "j", "side"), "routed")
 
     def verify(pdf):
         sets = list(shingle_sets(pa.array(pdf["text"]), words))
