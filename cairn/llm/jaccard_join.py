@@ -63,7 +63,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 def _signed(words: int, num: int, den: int):
     """Per batch: of each distinct set its signatures, those that another set of the batch has too being links to that one."""
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):  # bounds what a task holds
             n, d1, d2, maps, keys, owner, seen = [], [], [], [], [], [], set()
             for s in shingle_sets(batch.column("text"), words):
                 a, b = digest(s) if len(s) else (0, 0)
@@ -214,13 +214,19 @@ def link(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[t
 
 def narrow(maps: np.ndarray, sizes: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Indices of a spanning forest of the pairs that bitmaps and sizes don't rule out, within side 0 or between sides 0 and 1."""
+    if len(sizes) == 2:  # most groups
+        (a, b), hidden = sizes, sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
+        common = min(int(np.bitwise_count(maps[0] & maps[1]).sum(dtype=np.int64)) + hidden.min(), a, b)
+        return [(1, 0)] if (den + num) * common >= num * (a + b) and min(a, b) * den >= num * max(a, b) else []
     root = np.arange(len(sizes))
     at = [np.flatnonzero(side == k) for k in (0, 1)]
     if not len(at[0]):
         return []
-    depth = max(len(SignatureTree.of_maps(maps[x], sizes[x]).levels) for x in at if len(x))
-    left = SignatureTree.of_maps(maps[at[0]], sizes[at[0]], depth)
-    right = SignatureTree.of_maps(maps[at[1]], sizes[at[1]], depth) if len(at[1]) else left
+    left = right = SignatureTree.of_maps(maps[at[0]], sizes[at[0]])
+    if len(at[1]):
+        right = SignatureTree.of_maps(maps[at[1]], sizes[at[1]], len(left.levels))
+        if len(right.levels) > len(left.levels):
+            left = SignatureTree.of_maps(maps[at[0]], sizes[at[0]], len(right.levels))
     a_names, b_names = at[0][left.order], (at[1] if len(at[1]) else at[0])[right.order]
     for a, b in candidate_pairs(left, right, num, den):
         a, b = a_names[a], b_names[b]
@@ -252,15 +258,15 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = scratch.save(rows.mapInArrow(_signed(words, num, den), "id long, n long, d1 long, d2 long, sigs array<long>, links array<long>, heads array<long>, map binary"), "sets")
-    stars = sets.select(F.explode("sigs").alias("sig"), "d1").repartition("sig").sortWithinPartitions("sig", "d1").mapInPandas(_stars, "sig long, a long, b long")
-    near = sets.where(F.size("links") > 0).select("d1", F.explode(F.arrays_zip("links", "heads")).alias("x")).select(F.col("x.links").alias("sig"), F.col("d1").alias("a"), F.col("x.heads").alias("b"))
+    signed = scratch.save(rows.mapInArrow(_signed(words, num, den), "id long, n long, d1 long, d2 long, sigs array<long>, links array<long>, heads array<long>, map binary"), "signed")
+    stars = signed.select(F.explode("sigs").alias("sig"), "d1").repartition("sig").sortWithinPartitions("sig", "d1").mapInPandas(_stars, "sig long, a long, b long")
+    near = signed.where(F.size("links") > 0).select("d1", F.explode(F.arrays_zip("links", "heads")).alias("x")).select(F.col("x.links").alias("sig"), F.col("d1").alias("a"), F.col("x.heads").alias("b"))
     shared = scratch.save(near.unionByName(stars), "shared")
     members = scratch.save(shared.select("sig", F.explode(F.array("a", "b")).alias("d1")).distinct(), "members")
     # many hashes have the same members, as near copies share most of their parts: one hash of each is enough
     same = members.groupBy("sig").agg(F.count("*").alias("m"), F.sum(F.pmod(F.xxhash64("d1"), F.lit(1 << 40))).alias("h"), F.sum(F.pmod(F.xxhash64("d1", F.lit(1)), F.lit(1 << 40))).alias("h2"))
     blocks = scratch.save(same.groupBy("m", "h", "h2").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / MEMBERS).cast("int").alias("blocks")), "hashes")
-    maps = sets.where("n > 0").groupBy("d1").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    maps = signed.where("n > 0").groupBy("d1").agg(F.first("n").alias("n"), F.first("map").alias("map"))
     spread = lambda df, key: df.withColumn("mine", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")})
 
     def narrowed(pdf):
@@ -271,8 +277,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id
 
     asked = scratch.save(members.join(blocks, "sig").join(maps, "d1"), "asked")
     edges = spread(asked, "d1").groupBy("sig", "i", "j").applyInPandas(narrowed, "a long, b long").distinct()
-    groups = scratch.save(connected_components(scratch.save(edges, "edges"), scratch, "route"), "groups")
-    scratch.drop("shared", "members", "asked", "edges")
+    edges = scratch.save(edges, "edges")
+    sets = scratch.save(signed.select("id", "n", "d1", "d2"), "sets")
+    scratch.drop("signed", "shared", "members", "asked")
+    groups = scratch.save(connected_components(edges, scratch, "route"), "groups")
     classes = scratch.save(sets.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
     asked = scratch.save(classes.join(groups.withColumnRenamed("node", "d1"), "d1").select("rep", "n", "component"), "candidates")
     blocks = asked.groupBy("component").agg(F.sum("n").alias("work"), F.count("*").alias("members")).where("members > 1").select("component", F.ceil(F.col("work") / BLOCK_SHINGLES).cast("int").alias("blocks"))

@@ -7,7 +7,7 @@ import numpy as np
 from .common import mix, text_buffer, word_hashes
 
 #: Bytes of text hashed at once.
-PART = 8 << 20
+PART = 2 << 20
 
 
 def word_batches(column):
