@@ -43,7 +43,8 @@ def same():
             for c in columns:
                 if df[c].dtype.kind == "f":
                     df[c] = df[c].round(9) + 0.0
-            return sorted(map(tuple, df.astype(object).where(df.notna(), None).astype(str).values.tolist()))
+            plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v
+            return sorted(tuple(str(plain(v)) for v in row) for row in df.astype(object).where(df.notna(), None).values.tolist())
 
         assert rows(a) == rows(b)
 
