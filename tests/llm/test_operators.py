@@ -271,6 +271,12 @@ def test_signature_tree_and_routing():
         assert labels_of(120, jaccard_join.link(sets, side, num, den)) == labels_of(120, [p for p in pairs if side[p[0]] != side[p[1]]])
         signed = [set(jaccard_join.part_signatures(s, num, den).tolist()) for s in sets]
         assert all(signed[i] & signed[j] for i, j in pairs)
+        maps = np.frombuffer(b"".join(map(jaccard_join.sketch, sets)), np.uint64).reshape(120, -1)
+        sizes = np.array([len(s) for s in sets])
+        for sides in (np.zeros(120, int), side):
+            near = labels_of(120, jaccard_join.narrow(maps, sizes, sides, num, den))
+            assert all(near[i] == near[j] for i, j in pairs if not sides.any() or sides[i] != sides[j])
+            assert len(set(near)) >= 5  # sets of different texts are told apart
 
 
 # ---- 9
