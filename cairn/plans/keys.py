@@ -81,9 +81,15 @@ def delete_subtrees(spark, sf_dir):
     return allocation.delete_subtrees(keys, roots, DEPTH)
 
 
+def _leaves_by_occupancy(spark, sf_dir):
+    """Leaves that hold all points: blocks with at least the mean of points in a block, and the depth-1 octants of the others."""
+    blocks = relation(spark, sf_dir, "points").groupBy(_key().alias("key")).agg(F.count("*").alias("n"))
+    mean = F.broadcast(blocks.agg(F.avg("n").alias("mean")))
+    return blocks.crossJoin(mean).select(F.when(F.col("n") >= F.col("mean"), F.col("key")).otherwise(morton.prefix(F.col("key"), 1, DEPTH)).alias("key")).distinct()
+
+
 def balance(spark, sf_dir):
-    keys = relation(spark, sf_dir, "points").where("x < 8 and y < 8 and z < 8").select(_key().alias("key")).distinct()
-    return allocation.balance(keys, DEPTH).withColumn("depth", morton.depth(F.col("key")))
+    return allocation.balance(_leaves_by_occupancy(spark, sf_dir), DEPTH).withColumn("depth", morton.depth(F.col("key")))
 
 
 def boxes(spark, sf_dir):
