@@ -88,24 +88,27 @@ def _dishes(words, lengths, at, contexts):
 # ---- seating
 
 
-def _ratios(discount: float, most: int) -> np.ndarray:
-    """[c, t]: chance that one of c customers at t tables sits alone, from generalised Stirling numbers, for c up to most."""
-    out = np.zeros((most + 1, most + 1))
-    log = np.full(most + 2, -np.inf)
-    log[0] = 0.0
+def _stirling(discount: float, most: int) -> np.ndarray:
+    """[c, t]: logarithms of the generalised Stirling numbers of c customers at t tables, for c up to most."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
     for c in range(1, most + 1):
         t = np.arange(1, c + 1)
-        alone = log[t - 1]
-        stay = np.log(np.maximum(c - 1 - discount * t, 1e-300)) + log[t]
-        both = np.logaddexp(alone, np.where(c - 1 - discount * t > 0, stay, -np.inf))
-        out[c, t] = np.exp(alone - both)
-        log[1 : c + 1] = both
-        log[0] = -np.inf
+        stay = c - 1 - discount * t
+        out[c, 1 : c + 1] = np.logaddexp(out[c - 1, t - 1], np.where(stay > 0, np.log(np.maximum(stay, 1e-300)) + out[c - 1, t], -np.inf))
     return out
 
 
-_LOOK = 128
-_TABLES: dict[float, np.ndarray] = {}
+def _lone_shares(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tables a customer, ascending, and the share of tables with one customer there: sizes of tables are Sibuya numbers tilted to that mean, by the saddle point."""
+    log = -np.geomspace(140, 1e-8, 4000)  # of 1 - r, r being the tilt
+    r, f = -np.expm1(log), -np.expm1(discount * log)
+    return f * np.exp((1 - discount) * log) / (discount * r), discount * r / f
+
+
+#: Dishes of so many customers are drawn from the Stirling numbers; cells of them at once; leaps of a round over all customers of larger ones.
+_LOOK, _CELLS, _LEAPS = 128, 1 << 20, 8
+_TABLES: dict[float, tuple] = {}
 
 
 def _seat(rng, c, weight, discount):
@@ -122,13 +125,37 @@ def _seat(rng, c, weight, discount):
 
 
 def _gibbs(rng, c, t, weight, discount):
-    """Takes one customer of each dish away and seats them anew. A removed one sat alone by the Stirling ratio; for many customers, the share of lone ones among tables tends to the discount."""
-    table = _TABLES.setdefault(discount, _ratios(discount, _LOOK))
-    small = c <= _LOOK
-    alone = np.where(small, table[np.where(small, c, 0).astype(np.int64), np.where(small, t, 0).astype(np.int64)], discount * t / np.maximum(c, 1))
-    left = t - (rng.random(len(c)) < alone) * (c > 0)
-    rest = np.maximum(c - 1 - discount * left, 0)
-    return np.clip(left + (rng.random(len(c)) * (weight + rest) < weight), np.minimum(c, 1), c)
+    """Resamples all customers of each dish; its table count's conditional is S(c, t) * weight ** t.
+
+    Up to _LOOK customers it is drawn at once. Beyond, as many customers as the dish has are taken away one by one and seated
+    anew, in leaps: of an eighth of them, those that sat alone close a table, others open one. So t forgets its start within
+    some rounds, whatever c is.
+    """
+    if discount not in _TABLES:
+        _TABLES[discount] = (_stirling(discount, _LOOK), *_lone_shares(discount))
+    stirling, ratio, share = _TABLES[discount]
+    n, out = c.astype(np.int64), np.minimum(c, 1).astype(np.float64)
+    few = np.flatnonzero((n > 1) & (n <= _LOOK))
+    few = few[np.argsort(n[few].astype(np.int16), kind="stable")]
+    for k, lo, hi in _runs(n[few]):
+        for i in range(lo, hi, _CELLS // k):
+            rows = few[i : min(hi, i + _CELLS // k)]
+            log = stirling[k, 1 : k + 1] + np.arange(1, k + 1) * np.log(weight[rows])[:, None]
+            chance = np.cumsum(np.exp(log - log.max(1, keepdims=True)), axis=1)
+            out[rows] = 1 + (rng.random((len(rows), 1)) * chance[:, -1:] > chance).sum(1)
+    many = np.flatnonzero(n > _LOOK)
+    if len(many):
+        h, w, x = c[many].astype(np.float64), weight[many], np.clip(np.rint(t[many]), 1, c[many])
+        for _ in range(_LEAPS):
+            alone = (x - 1) / (h - 1) * np.interp(x / h, ratio, share)
+            opened = (1 - alone) * w / (w + h - 1 - discount * x) * h / _LEAPS
+            stayed = h - 1 - discount * (x - 1)
+            closed = alone * stayed / (w + stayed) * h / _LEAPS
+            less = rng.binomial((x - 1).astype(np.int64), -np.expm1(-closed / np.maximum(x - 1, 1)))
+            more = rng.binomial((h - x).astype(np.int64), -np.expm1(-opened / np.maximum(h - x, 1)))
+            x = x - less + more
+        out[many] = x
+    return out
 
 
 def _seating(words, w, context, c, width, tokens, seed):
