@@ -14,8 +14,6 @@ from .shingles import word_batches
 
 #: Tokens that one row of the token table holds, about.
 CHUNK = 2 << 20
-#: A word opens a restaurant of its own for the words behind it if it is at least one in CONTEXTS tokens: so no more can exist.
-CONTEXTS = 1024
 #: Discounts and strengths of the restaurants of contexts and of the one that they share as parent.
 DISCOUNT, STRENGTH = 0.8, 10.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 100.0
@@ -50,7 +48,7 @@ def _tokens(batches):
         words, at = np.unique(np.concatenate(hashes), return_inverse=True)
         n = np.array(lengths, np.uint32)
         train = np.bincount(at[np.repeat(~np.array(held), n)], minlength=len(words)).astype(np.uint32)
-        return pa.RecordBatch.from_pydict({"chunk": [part << 24 | seq], "ids": [ids], "held": [held], "lengths": [_packed(n)], "words": [_packed(words, True)], "train": [_packed(train)], "at": [_packed(at.astype(np.uint32))]}, schema=_ARROW)
+        return pa.RecordBatch.from_pydict({"chunk": [part << 24 | seq], "ids": [ids], "held": [held], "lengths": [_packed(n)], "words": [_packed(words, True)], "train": [_packed(train)], "at": [_packed(at.astype(np.uint32))], "size": [len(at)], "trained": [int(train.sum())]}, schema=_ARROW)
 
     for batch in batches:
         keys, out = batch.column("id").to_pylist(), batch.column("held").to_pylist()
@@ -68,21 +66,26 @@ def _tokens(batches):
         yield row()
 
 
-_TOKENS = "chunk long, ids array<string>, held array<boolean>, lengths binary, words binary, train binary, at binary"
-_ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), *[(n, pa.binary()) for n in ("lengths", "words", "train", "at")]])
+_TOKENS = "chunk long, ids array<string>, held array<boolean>, lengths binary, words binary, train binary, at binary, size long, trained long"
+_ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), *[(n, pa.binary()) for n in ("lengths", "words", "train", "at")], ("size", pa.int64()), ("trained", pa.int64())])
 
 
-def _dishes(words, lengths, at, contexts):
-    """For each token the number of its word and its context: word * width + context, the last context being none."""
-    width = len(contexts) + 1
-    where = np.searchsorted(contexts, words)
-    hit = (where < len(contexts)) & (contexts[np.minimum(where, len(contexts) - 1)] == words) if len(contexts) else np.zeros(len(words), bool)
-    context = np.where(hit, where, width - 1)
-    before = context[at[:-1]]
-    end = int(np.searchsorted(contexts, END)) if END in contexts else width - 1
-    previous = np.concatenate([[end], before])
+def _dishes(words, lengths, at):
+    """For each token its word's number * how many words there are + its context's: the word before, or the end for a text's first."""
+    at, end = at.astype(np.int64), np.searchsorted(words, END)
+    previous = np.concatenate([[end], at[:-1]])
     previous[np.cumsum(lengths.astype(np.int64))[:-1]] = end
-    return at.astype(np.int64) * width + previous
+    return at * len(words) + previous
+
+
+def _owners(words, buckets):
+    """(bucket, from, until) of the runs of ascending words that a task owns."""
+    return _runs(((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+
+
+def _joined(parts, name, dtype):
+    """A column of packed parts, in the order of buckets."""
+    return np.concatenate([_unpacked(x[name], dtype) for x in sorted(parts, key=lambda x: x["bucket"]) if x[name] is not None])
 
 
 # ---- seating
@@ -158,43 +161,38 @@ def _gibbs(rng, c, t, weight, discount):
     return out
 
 
-def _seating(words, w, context, c, width, tokens, seed):
-    """Mean tables of each dish in its context and of each word in the shared parent, and the parent's mean customers, over samples.
+def _seating(w, u, c, guests, tokens, seed):
+    """Mean tables of each dish (word w, context u, c customers) and of each word in the shared parent, and the parent's mean customers, over samples.
 
-    A task has all contexts of its words. What it needs of the others, a context's number of tables, it takes from its own in
-    proportion to the customers; the predictions later use exact sums.
+    A task has all contexts of its words, and the customers (guests) of each context exactly. What it needs of the contexts'
+    other words, their tables, it takes from its own in proportion to the customers; the predictions later use exact sums.
     """
     rng = np.random.default_rng(seed)
-    inside = context < width - 1
-    direct = np.bincount(w, weights=np.where(inside, 0, c), minlength=len(words))
-    u, x, cu = context[inside], w[inside], c[inside].astype(np.float64)
-    guests = np.bincount(u, weights=cu, minlength=width)
-    mine = c.sum()
-    p = np.bincount(w, weights=c, minlength=len(words)) / max(1, tokens)
-    grown = lambda t: np.bincount(u, weights=t, minlength=width) * (tokens_in / np.maximum(guests, 1))
-    tokens_in = guests * (tokens / max(1, mine))
-    tables = np.minimum(0.3 * tokens_in, tokens_in)
-    t = _seat(rng, cu, (STRENGTH + DISCOUNT * tables[u]) * p[x], DISCOUNT)
+    n_words, c = int(w.max()) + 1 if len(w) else 0, c.astype(np.float64)
+    p = np.bincount(w, weights=c, minlength=n_words) / max(1, tokens)
+    share = guests / np.maximum(np.bincount(u, weights=c, minlength=len(guests)), 1)
+    grown = lambda t: np.bincount(u, weights=t, minlength=len(guests)) * share
+    t = _seat(rng, c, (STRENGTH + DISCOUNT * 0.3 * guests[u]) * p[w], DISCOUNT)
     root = None
-    sums = [np.zeros(len(cu)), np.zeros(len(words)), np.zeros(len(words))]
-    scale = tokens / max(1, mine)
+    sums = [np.zeros(len(c)), np.zeros(n_words), np.zeros(n_words)]
+    scale = tokens / max(1, c.sum())
     for sweep in range(BURN_IN + SAMPLES):
-        customers = direct + np.bincount(x, weights=t, minlength=len(words))
+        customers = np.bincount(w, weights=t, minlength=n_words)
         total = customers.sum() * scale
         if root is None:
-            root = _seat(rng, customers, np.full(len(words), ROOT_STRENGTH / max(1, total)) + 0.5, ROOT_DISCOUNT)
+            root = _seat(rng, customers, np.full(n_words, ROOT_STRENGTH / max(1, total)) + 0.5, ROOT_DISCOUNT)
         root = np.clip(root, np.minimum(customers, 1), customers)
         for _ in range(STEPS):
-            base = (ROOT_STRENGTH + ROOT_DISCOUNT * root.sum() * scale) / (len(words) * scale + 1)
-            root = _gibbs(rng, customers, root, np.full(len(words), base), ROOT_DISCOUNT)
+            base = (ROOT_STRENGTH + ROOT_DISCOUNT * root.sum() * scale) / (n_words * scale + 1)
+            root = _gibbs(rng, customers, root, np.full(n_words, base), ROOT_DISCOUNT)
         p = (customers - ROOT_DISCOUNT * root + base) / (ROOT_STRENGTH + total)
         for _ in range(STEPS):
-            t = _gibbs(rng, cu, t, (STRENGTH + DISCOUNT * grown(t)[u]) * p[x], DISCOUNT)
+            t = _gibbs(rng, c, t, (STRENGTH + DISCOUNT * grown(t)[u]) * p[w], DISCOUNT)
         if sweep >= BURN_IN:
-            customers = direct + np.bincount(x, weights=t, minlength=len(words))
+            customers = np.bincount(w, weights=t, minlength=n_words)
             for total_, now in zip(sums, (t, np.minimum(root, customers), customers)):
                 total_ += now / SAMPLES
-    return inside, sums
+    return sums
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,12 +200,13 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     Tokens are words with A-Z lower-cased, then one end for each text; null and empty texts are the end alone. The model
     learns from the rows where the column held_out is not true. base_score is the unigram's with add-half smoothing; score the
-    log10 probability under the hierarchical model: each frequent word is the context of a restaurant for the word behind it
-    (the end also for a text's first), all share one parent for words of any context, whose base is uniform over the words
-    known and one for the others. Rows are independent given the model; repeated rows, null ids and an empty table are fine.
+    log10 probability under the hierarchical model: each word is the context of a restaurant for the word behind it (the end
+    also for a text's first), all share one parent for words of any context, whose base is uniform over the words known and
+    one for the others. Rows are independent given the model; repeated rows, null ids and an empty table are fine.
 
-    Texts become rows of some million tokens. Their distinct (word, context) pairs go once to the task that owns the word,
-    which samples the seating of all its restaurants, and the probabilities come back the same way.
+    Texts become rows of some million tokens. Their distinct words go to the tasks that own them, which count; their distinct
+    (word, context) pairs, counted, go to the task that owns the word, which samples the seating of all its restaurants. The
+    tables of each context are summed by the task that owns it as a word, and all comes back the same way.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pitman-yor")
@@ -215,100 +214,124 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tokens = scratch.save(rows.mapInArrow(_tokens, _TOKENS), "tokens")
 
-    def counted(batches):
+    total, size = tokens.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = max(8, int(size // CHUNK))
+
+    def listed(batches):
         for pdf in batches:
-            for words, train in zip(pdf["words"], pdf["train"]):
-                w, n = _unpacked(words, np.uint64, True), _unpacked(train, np.uint32)
-                yield pd.DataFrame({"w": w[n > 0].view(np.int64), "n": n[n > 0].astype(np.int64)})
-
-    vocabulary = scratch.save(tokens.select("words", "train").mapInPandas(counted, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "vocabulary")
-    total, known = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = [r["w"] for r in vocabulary.where(F.col("n") * CONTEXTS >= total).select("w").collect()]  # at most CONTEXTS
-    contexts = np.sort(np.array(frequent, np.int64).view(np.uint64))
-    width = len(contexts) + 1
-    buckets = max(8, int(total // (3 * CHUNK)))
-    scratch.drop("vocabulary")
+            for r in pdf.itertuples():
+                words, train = _unpacked(r.words, np.uint64, True), _unpacked(r.train, np.uint32)
+                for b, lo, hi in _owners(words, buckets):
+                    yield pd.DataFrame({"bucket": [b], "chunk": [r.chunk], "words": [_packed(words[lo:hi], True)], "train": [_packed(train[lo:hi])]})
+
+    def counted(pdf):
+        parts = [_unpacked(x, np.uint64, True) for x in pdf["words"]]
+        words, at = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([_unpacked(x, np.uint32) for x in pdf["train"]])).astype(np.uint64)
+        starts = np.cumsum([0, *map(len, parts)])
+        known = [int((n > 0).sum()), *[0] * (len(parts) - 1)]
+        return pd.DataFrame({"bucket": pdf["bucket"], "chunk": pdf["chunk"], "known": known, "counts": [_packed(n[at[i:j]]) for i, j in zip(starts, starts[1:])]})
+
+    counts = scratch.save(tokens.select("chunk", "words", "train").mapInPandas(listed, "bucket long, chunk long, words binary, train binary").groupBy("bucket").applyInPandas(counted, "bucket long, chunk long, known long, counts binary"), "counts")
+    known = counts.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    numbered = scratch.save(tokens.select("chunk", "ids", "held", "lengths", "words", "at").join(counts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("known")), "chunk"), "numbered")
+    scratch.drop("tokens", "counts")
 
     def asked(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 words, lengths, at = _unpacked(r.words, np.uint64, True), _unpacked(r.lengths, np.uint32), _unpacked(r.at, np.uint32)
-                dish = _dishes(words, lengths, at, contexts)
+                counts, width = _joined(r.known, "counts", np.uint64), len(words)
+                dish = _dishes(words, lengths, at)
                 keys, n = np.unique(dish, return_counts=True)
                 held = np.repeat(np.array(r.held, bool), lengths)
-                train = n.copy()
                 if held.any():
                     other, m = np.unique(dish[held], return_counts=True)
-                    train[np.searchsorted(keys, other)] -= m
-                owner = ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                for b, lo, hi in _runs(owner):
+                    n[np.searchsorted(keys, other)] -= m
+                for b, lo, hi in _owners(words, buckets):
                     i, j = np.searchsorted(keys, (lo * width, hi * width))
-                    yield pd.DataFrame({"bucket": [b], "chunk": [r.chunk], "words": [_packed(words[lo:hi], True)], "dishes": [_packed(keys[i:j] - lo * width, True)], "n": [_packed(train[i:j].astype(np.uint32))]})
+                    used, context = np.unique(keys[i:j] % width, return_inverse=True)
+                    yield pd.DataFrame({"bucket": [b], "chunk": [r.chunk], "words": [_packed(words[lo:hi], True)], "contexts": [_packed(words[used], True)], "guests": [_packed(counts[used])], "dishes": [_packed((keys[i:j] // width - lo) * len(used) + context, True)], "n": [_packed(n[i:j].astype(np.uint32))]})
 
     def seated(pdf):
-        parts = [(_unpacked(a, np.uint64, True), _unpacked(b, np.int64, True), _unpacked(c, np.uint32)) for a, b, c in zip(pdf["words"], pdf["dishes"], pdf["n"])]
-        words = np.unique(np.concatenate([x[0] for x in parts]))
-        keys = [np.searchsorted(words, a)[b // width] * width + b % width for a, b, _ in parts]
+        every = [_unpacked(x, np.uint64, True) for x in pdf["words"]], [_unpacked(x, np.uint64, True) for x in pdf["contexts"]]
+        words = np.unique(np.concatenate(every[0]))
+        contexts, first = np.unique(np.concatenate(every[1]), return_index=True)
+        guests, width = np.concatenate([_unpacked(x, np.uint64) for x in pdf["guests"]])[first].astype(np.float64), len(contexts)
+        places, keys = [np.searchsorted(words, x) for x in every[0]], []
+        for x, place, own in zip(pdf["dishes"], places, every[1]):
+            dish = _unpacked(x, np.int64, True)
+            keys.append(place[dish // len(own)] * width + np.searchsorted(contexts, own)[dish % len(own)])
+        starts = np.cumsum([0, *map(len, keys)])
         dishes, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([x[2] for x in parts]), minlength=len(dishes))
+        n = np.bincount(at, weights=np.concatenate([_unpacked(x, np.uint32) for x in pdf["n"]]), minlength=len(dishes))
+        del keys, every
         trained = n > 0
-        used = np.unique(dishes[trained] // width)
-        w, context = np.searchsorted(used, dishes[trained] // width), dishes[trained] % width
-        inside, (t, root, customers) = _seating(used, w, context, n[trained], width, total, int(pdf["bucket"].iloc[0]))
-        tables, guests = np.zeros(len(dishes)), np.zeros(width)
-        tables[np.flatnonzero(trained)[inside]] = t
-        np.add.at(guests, context[inside], n[trained][inside])
-        roots, rooted = np.zeros(len(words)), np.zeros(len(words))
-        roots[used], rooted[used] = root, customers
-        held = np.bincount(dishes // width, weights=n, minlength=len(words))
-        starts = np.cumsum([0, *map(len, keys)])
-        sums = {int(k): (float(a), float(b)) for k, a, b in zip(range(width - 1), np.bincount(context[inside], weights=t, minlength=width), guests) if b}
+        used, w = np.unique(dishes[trained] // width, return_inverse=True)
+        u, n = dishes[trained] % width, n[trained]
+        t, root, customers = _seating(w, u, n, guests, total, int(pdf["bucket"].iloc[0]))
+        rest, roots = np.zeros(len(dishes), np.float32), np.zeros(len(words), np.float32)
+        rest[trained], roots[used] = n - DISCOUNT * t, customers - ROOT_DISCOUNT * root
+        tables = np.bincount(u, weights=t, minlength=width)
         return pd.DataFrame({
-            "bucket": pdf["bucket"][:1].tolist(), "chunks": [pdf["chunk"].tolist()], "words": [[_packed(np.searchsorted(words, a).astype(np.uint32), True) for a, _, _ in parts]],
+            "bucket": pdf["bucket"][:1].tolist(), "chunks": [pdf["chunk"].tolist()], "words": [[_packed(x.astype(np.uint32), True) for x in places]],
             "places": [[_packed(at[i:j].astype(np.uint32), True) for i, j in zip(starts, starts[1:])]],
-            "dishes": [_packed(dishes, True)], "n": [_packed(n.astype(np.uint32))], "held": [_packed(held.astype(np.uint32))],
-            "tables": [_packed(tables.astype(np.float32).view(np.uint32))], "roots": [_packed(roots.astype(np.float32).view(np.uint32))], "rooted": [_packed(rooted.astype(np.float32).view(np.uint32))],
-            "contexts": [list(sums)], "context_tables": [[x[0] for x in sums.values()]], "context_guests": [[x[1] for x in sums.values()]], "root_tables": [float(roots.sum())], "root_guests": [float(rooted.sum())],
+            "rest": [_packed(rest.view(np.uint32))], "roots": [_packed(roots.view(np.uint32))], "contexts": [_packed(contexts[tables > 0], True)], "tables": [_packed(tables[tables > 0].view(np.uint64))],
+            "root_tables": [float(root.sum())], "root_guests": [float(customers.sum())],
         })
 
-    requests = tokens.select("chunk", "held", "lengths", "words", "at").mapInPandas(asked, "bucket long, chunk long, words binary, dishes binary, n binary")
-    state = scratch.save(requests.groupBy("bucket").applyInPandas(seated, "bucket long, chunks array<long>, words array<binary>, places array<binary>, dishes binary, n binary, held binary, tables binary, roots binary, rooted binary, contexts array<long>, context_tables array<double>, context_guests array<double>, root_tables double, root_guests double"), "state")
-    each = state.select(F.explode(F.arrays_zip("contexts", "context_tables", "context_guests")).alias("x")).groupBy("x.contexts").agg(F.sum("x.context_tables"), F.sum("x.context_guests"))
-    tables, guests = np.zeros(width), np.zeros(width)
-    for k, a, b in each.collect():  # at most CONTEXTS rows
-        tables[k], guests[k] = a, b
+    requests = numbered.select("chunk", "held", "lengths", "words", "at", "known").mapInPandas(asked, "bucket long, chunk long, words binary, contexts binary, guests binary, dishes binary, n binary")
+    state = scratch.save(requests.groupBy("bucket").applyInPandas(seated, "bucket long, chunks array<long>, words array<binary>, places array<binary>, rest binary, roots binary, contexts binary, tables binary, root_tables double, root_guests double"), "state")
     root_tables, root_guests = state.agg(F.coalesce(F.sum("root_tables"), F.lit(0.0)), F.coalesce(F.sum("root_guests"), F.lit(0.0))).first()
 
+    def dealt(batches):
+        for pdf in batches:
+            for chunk, x, y in zip(pdf["chunk"], pdf["words"], pdf["tables"]):
+                words = _unpacked(x, np.uint64, True)
+                tables = None if y is None else _unpacked(y, np.uint64)
+                for b, lo, hi in _owners(words, buckets):
+                    yield pd.DataFrame({"bucket": [b], "chunk": [chunk], "words": [_packed(words[lo:hi], True)], "tables": pd.Series([None if tables is None else _packed(tables[lo:hi])], dtype=object)})
+
+    def summed(pdf):
+        parts = [_unpacked(x, np.uint64, True) for x in pdf["words"]]
+        words, at = np.unique(np.concatenate(parts), return_inverse=True)
+        sums, starts, out = np.zeros(len(words)), np.cumsum([0, *map(len, parts)]), []
+        for i, j, tables in zip(starts, starts[1:], pdf["tables"]):
+            if tables is not None:
+                sums[at[i:j]] += _unpacked(tables, np.uint64).view(np.float64)
+        for chunk, i, j in zip(pdf["chunk"], starts, starts[1:]):
+            if chunk >= 0:
+                out.append((chunk, _packed(sums[at[i:j]].astype(np.float32).view(np.uint32))))
+        return pd.DataFrame({"chunk": [x for x, _ in out], "bucket": pdf["bucket"].iloc[0], "rest": pd.Series([None] * len(out), dtype=object), "roots": pd.Series([None] * len(out), dtype=object), "tables": [x for _, x in out]})
+
     def answered(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                dishes, n = _unpacked(r.dishes, np.int64, True), _unpacked(r.n, np.uint32).astype(np.float64)
-                t = _unpacked(r.tables, np.uint32).view(np.float32)
-                root, rooted = (_unpacked(x, np.uint32).view(np.float32).astype(np.float64) for x in (r.roots, r.rooted))
-                p = (np.maximum(rooted - ROOT_DISCOUNT * root, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1)) / (ROOT_STRENGTH + root_guests)
-                u, p = dishes % width, p[dishes // width]
-                inside = np.maximum(n - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * tables[u]) * p
-                log = np.log10(np.where(u < width - 1, inside / (STRENGTH + guests[u]), p)).astype(np.float32).view(np.uint32)
-                held = _unpacked(r.held, np.uint32)
+                rest, roots = _unpacked(r.rest, np.uint32), _unpacked(r.roots, np.uint32)
                 for chunk, a, b in zip(r.chunks, r.words, r.places):
-                    yield pd.DataFrame({"chunk": [chunk], "bucket": [r.bucket], "counts": [_packed(held[_unpacked(a, np.uint32, True)])], "logs": [_packed(log[_unpacked(b, np.uint32, True)])]})
+                    yield pd.DataFrame({"chunk": [chunk], "bucket": [r.bucket], "rest": [_packed(rest[_unpacked(b, np.uint32, True)])], "roots": [_packed(roots[_unpacked(a, np.uint32, True)])], "tables": pd.Series([None], dtype=object)})
 
-    replies = state.select("bucket", "chunks", "words", "places", "dishes", "n", "held", "tables", "roots", "rooted").mapInPandas(answered, "chunk long, bucket long, counts binary, logs binary")
+    reply = "chunk long, bucket long, rest binary, roots binary, tables binary"
+    replies = state.select("bucket", "chunks", "words", "places", "rest", "roots").mapInPandas(answered, reply)
+    told = state.select(F.lit(-1).cast("long").alias("chunk"), F.col("contexts").alias("words"), "tables").unionByName(numbered.select("chunk", "words", F.lit(None).cast("binary").alias("tables")))
+    tabled = told.mapInPandas(dealt, "bucket long, chunk long, words binary, tables binary").groupBy("bucket").applyInPandas(summed, reply)
 
     def scored(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 words, lengths, at = _unpacked(r.words, np.uint64, True), _unpacked(r.lengths, np.uint32), _unpacked(r.at, np.uint32)
-                _, which = np.unique(_dishes(words, lengths, at, contexts), return_inverse=True)
-                parts = sorted(r.parts, key=lambda x: x["bucket"])
-                counts = np.concatenate([_unpacked(x["counts"], np.uint32) for x in parts])
-                logs = np.concatenate([_unpacked(x["logs"], np.uint32).view(np.float32) for x in parts]).astype(np.float64)
+                counts = _joined(r.known, "counts", np.uint64).astype(np.float64)
+                rest, roots, tables = (_joined(r.parts, x, np.uint32).view(np.float32).astype(np.float64) for x in ("rest", "roots", "tables"))
+                keys, which = np.unique(_dishes(words, lengths, at), return_inverse=True)
+                w, u = keys // len(words), keys % len(words)
+                p = (np.maximum(roots, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1)) / (ROOT_STRENGTH + root_guests)
+                logs = np.log10((np.maximum(rest, 0) + (STRENGTH + DISCOUNT * tables[u]) * p[w]) / (STRENGTH + counts[u]))
                 base = np.log10((counts + 0.5) / (total + 0.5 * (known + 1)))
                 starts = np.cumsum(lengths.astype(np.int64)) - lengths
                 yield pd.DataFrame({"id": list(r.ids), "held_out": np.array(r.held, bool), "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((counts[at] > 0).astype(np.int64), starts), "base_score": np.add.reduceat(base[at], starts), "score": np.add.reduceat(logs[which], starts)})
 
-    back = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "logs")).alias("parts"))
-    found = tokens.join(back, "chunk").mapInPandas(scored, "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    back = replies.unionByName(tabled).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "rest", "roots", "tables")).alias("parts"))
+    found = numbered.join(back, "chunk").mapInPandas(scored, "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.when(F.col("id") != "", F.col("id")).cast("long").alias("id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

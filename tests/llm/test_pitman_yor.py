@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import pitman_yor
 
@@ -34,3 +35,12 @@ def test_table_counts_agree_with_the_conditional(weight):
             t = pitman_yor._gibbs(rng, np.full(2000, float(c)), t, np.full(2000, weight), 0.8)
             kept += [t.mean()] if step >= 8 else []
         assert abs(np.mean(kept) - want) < 0.06 * want, (c, np.mean(kept), want)
+
+
+def test_rare_contexts_have_restaurants(spark):
+    texts = [(3 * i + k, f"left{i} right{i}") for i in range(1500) for k in range(3)]  # no word is one in 1024 tokens
+    asked = [(10_000, "left7 right7"), (10_001, "left7 right8"), (10_002, "unseen right7")]
+    docs = spark.createDataFrame(texts + asked, "doc_id long, text string")
+    got = {r["id"]: r for r in pitman_yor.score_texts(docs, F.col("doc_id") >= 10_000).collect()}
+    assert got[10_000]["score"] > got[10_001]["score"] + 0.5
+    assert got[21]["score"] > got[21]["base_score"] + 0.5
