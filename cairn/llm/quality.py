@@ -28,7 +28,11 @@ for _k, _c in enumerate(_SINGLE):
 N_CLASSES = len(_SINGLE) + 6
 #: Terms behind the trigrams: words like the one before, word pairs and triples seen before in the text, in all and after the first of them.
 EXTRA = 4
-TERMS = N_CLASSES**3 + EXTRA
+#: Hashed terms between them: words (A-Z lower-cased), and runs of four bytes, which tell texts apart in scripts without spaces too.
+WORDS, GRAMS = 1 << 17, 1 << 16
+TERMS = N_CLASSES**3 + WORDS + GRAMS + EXTRA
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def term_counts(column):
@@ -44,6 +48,14 @@ def term_counts(column):
             w = words[ends[i - lo] - counts[i - lo] : ends[i - lo]]
             terms, n = np.unique((c[:-2] * N_CLASSES + c[1:-1]) * N_CLASSES + c[2:], return_counts=True) if len(c) > 2 else (np.empty(0, np.int64), np.empty(0, np.int64))
             share = n / max(1, len(c) - 2)
+            if len(w):
+                at, n = np.unique((w >> np.uint64(47)).astype(np.uint32), return_counts=True)
+                terms, share = np.concatenate([terms, N_CLASSES**3 + at.astype(np.int64)]), np.concatenate([share, n / len(w)])
+            if len(c) > 3:
+                x = _LOWER[data[offsets[i] : offsets[i + 1]]].astype(np.uint32)
+                x = (x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)) * np.uint32(0x9E3779B1)
+                at, n = np.unique(((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.uint16), return_counts=True)
+                terms, share = np.concatenate([terms, N_CLASSES**3 + WORDS + at.astype(np.int64)]), np.concatenate([share, n / len(x)])
             if len(w) > 3:
                 two = mix(w[:-1] * np.uint64(3) + w[1:])
                 three = mix(two[:-1] * np.uint64(3) + w[2:])
@@ -60,20 +72,29 @@ class Model:
         self.idf, self.labels, self.neighbours = idf.astype(np.float32), labels.astype(np.float32), neighbours
         self.prior = float(labels.mean()) if len(labels) else 0.5
         used = np.unique(np.concatenate([t for t, _ in rows])) if rows else np.empty(0, np.int64)
-        a = np.zeros((len(rows), len(used)), np.float32)
-        for x, (t, s) in zip(a, rows):
-            x[np.searchsorted(used, t)] = self._weights(t, s)
-        # randomised truncated SVD of the labelled rows
-        rank = max(1, min(rank, *a.shape)) if a.size else 0
-        q = np.random.default_rng(seed).standard_normal((a.shape[1], min(rank + 12, a.shape[1]))).astype(np.float32) if rank else np.zeros((a.shape[1], 0), np.float32)
+        sparse = [(np.searchsorted(used, t), self._weights(t, s)) for t, s in rows]
+        shape = len(rows), len(used)
+
+        def times(q):
+            return np.array([w @ q[t] for t, w in sparse], np.float32).reshape(len(sparse), q.shape[1])
+
+        def back(y):
+            out = np.zeros((len(used), y.shape[1]), np.float32)
+            for (t, w), z in zip(sparse, y):
+                out[t] += w[:, None] * z
+            return out
+
+        # randomised truncated SVD of the labelled rows, which stay sparse
+        rank = max(1, min(rank, *shape)) if min(shape) else 0
+        q = np.random.default_rng(seed).standard_normal((shape[1], min(rank + 12, shape[1]))).astype(np.float32) if rank else np.zeros((shape[1], 0), np.float32)
         for _ in range(4 if rank else 0):
-            q, _ = np.linalg.qr(a.T @ (a @ q))
+            q, _ = np.linalg.qr(back(times(q)))
         if rank:
-            _, _, v = np.linalg.svd(a @ q, full_matrices=False)
+            _, _, v = np.linalg.svd(times(q), full_matrices=False)
             q = q @ v[:rank].T
         self.space = np.zeros((len(idf), q.shape[1]), np.float32)
         self.space[used] = q
-        self.vectors = self._normal(a @ q)
+        self.vectors = self._normal(times(q))
 
     def _weights(self, terms, share):
         w = np.sqrt(share).astype(np.float32) * self.idf[terms]
@@ -131,21 +152,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def terms(batches):
         for batch in batches:
             rows = list(term_counts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([t for t, _ in rows], pa.list_(pa.int64())), pa.array([x for _, x in rows], pa.list_(pa.float64()))], ["label", "terms", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([t.astype(np.int32) for t, _ in rows], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in rows], pa.list_(pa.float32()))], ["label", "terms", "share"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n = counts.pop(-1, 0)
+    counts = rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, df = (counts.column(k).to_numpy() for k in ("term", "n"))
+    n = int(df[at < 0].sum())
     idf = np.full(TERMS, np.log(n + 1.0) + 1)
-    for term, df in counts.items():
-        idf[term] = np.log((n + 1) / (df + 1)) + 1
+    idf[at[at >= 0]] = np.log((n + 1) / (df[at >= 0] + 1)) + 1
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
     texts = rows.join(chosen, "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    got = texts.mapInArrow(terms, "label double, terms array<long>, share array<double>").collect()
-    got = sorted(got, key=lambda r: (r["label"], r["terms"], r["share"]))
-    return Model(idf, [(np.array(r["terms"], np.int64), np.array(r["share"])) for r in got], np.array([r["label"] for r in got]))
+    got = texts.mapInArrow(terms, "label double, terms array<int>, share array<float>").toArrow()
+    got = [(label, t.values.to_numpy().astype(np.int64), x.values.to_numpy()) for label, t, x in zip(got.column("label").to_pylist(), got.column("terms"), got.column("share"))]
+    got.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    return Model(idf, [(t, x) for _, t, x in got], np.array([label for label, _, _ in got]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
