@@ -112,7 +112,7 @@ for _c in range(65, 91):
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE[_IS_SPACE] = 0
-_WINDOW = 1 << 21
+_WINDOW = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -134,6 +134,7 @@ def _powers() -> list[np.ndarray]:
 
 
 def _window(data: np.ndarray, fresh: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bytes times powers of the base, and where the words begin."""
     space = _IS_SPACE[data]
     start = ~space
     start[1:] &= space[:-1] | fresh[1:]
@@ -141,36 +142,42 @@ def _window(data: np.ndarray, fresh: np.ndarray, base: int) -> tuple[np.ndarray,
     if not len(starts):
         return np.empty(0, np.uint64), starts
     power, inverse = _powers()
-    h = np.add.reduceat(_BYTE[data] * power[: len(data)], starts) * inverse[starts]
-    return mix(h), starts + base
+    return np.add.reduceat(_BYTE[data] * power[: len(data)], starts) * inverse[starts], starts + base
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased) of UTF-8 texts in one buffer, and how many each text has.
 
-    offsets: where each text begins, and the end. Works through windows of some MB, cut at white space; a single word of
-    over a window's length is hashed in pieces, always alike.
+    offsets: where each text begins, and the end. Works through windows of half a MB, cut at white space or between texts;
+    the sum of a word that is longer goes on in the next window.
     """
     begin, end = int(offsets[0]), int(offsets[-1])
-    hashes, starts, at = [], [], begin
+    hashes, starts, at, open_length = [], [], begin, 0
     while at < end:
-        stop = min(end, at + _WINDOW)
+        stop, cut = min(end, at + _WINDOW), True
         if stop < end:
             spaces = np.flatnonzero(_IS_SPACE[data[at:stop]])
-            cut = int(np.searchsorted(offsets, stop, "right")) - 1
-            stop = max(at + int(spaces[-1]) + 1 if len(spaces) else 0, int(offsets[cut]) if offsets[cut] > at else 0) or stop
+            text = int(offsets[np.searchsorted(offsets, stop, "right") - 1])
+            last = max(at + int(spaces[-1]) + 1 if len(spaces) else 0, text if text > at else 0)
+            stop, cut = last or stop, bool(last)
         part = data[at:stop]
         fresh = np.zeros(len(part), bool)
         inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)] - at
         fresh[inside] = True
         h, s = _window(part, fresh, at)
-        hashes.append(h)
-        starts.append(s)
+        if open_length and len(s) and s[0] == at and not fresh[0]:  # the rest of a word
+            power = pow(_BASE, open_length, 2**64)
+            hashes[-1][-1] = (int(hashes[-1][-1]) + int(h[0]) * power) % 2**64
+            h, s = h[1:], s[1:]
+        if len(s):
+            hashes.append(h)
+            starts.append(s)
+        open_length = 0 if cut else stop - int(starts[-1][-1])
         at = stop
     if not hashes:
         return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     at = np.concatenate(starts)
-    return np.concatenate(hashes), np.diff(np.searchsorted(at, offsets)).astype(np.int64)
+    return mix(np.concatenate(hashes)), np.diff(np.searchsorted(at, offsets)).astype(np.int64)
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:

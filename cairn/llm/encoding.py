@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -9,33 +10,64 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts, and pieces made of several, that a worker remembers; beyond, it forgets all and starts anew.
-PARTS = 800_000
-PIECES = 600_000
-#: Characters of text that are cut at once.
-SLICE = 6 << 20
+from .common import text_buffer
+
+#: Entries of one generation of a worker's memory: parts, and pieces made of several. Two generations are kept, and strings of
+#: over LONGEST characters never are, so a memory takes some 100 MB at most.
+PARTS, PIECES, LONGEST = 160_000, 50_000, 48
+#: Bytes of text that are cut at once.
+SLICE = 3 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Texts of these characters only, without runs of white space, are cut further than at spaces, always where the tokenizer's own
-#: pattern ends a token: behind letters, and (words) before letters unless an apostrophe stands there or (bytes) behind a line feed.
-_PLAIN = re.compile(rf"[\n!-~{_LETTERS}]?(?:[ \n]?[!-~{_LETTERS}]+)*[ \n]?")
-_CUTS = {"words": re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]*'[{_LETTERS}]*|[^{_LETTERS}]+"), "bytes": re.compile(rf" ?[{_LETTERS}]+|\n|[^{_LETTERS}\n]+[{_LETTERS}]*")}
+#: Bytes of plain texts: printable ASCII, single spaces and line feeds, and Latin-1 letters (0xC3 and one more byte).
+_PLAIN_BYTE = np.zeros(256, bool)
+_PLAIN_BYTE[[10, *range(32, 127), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))]] = True
+#: Plain pieces are cut further, always where the tokenizer's own pattern ends a token: behind letters, and (words) before letters
+#: unless an apostrophe stands there or (bytes) behind a line feed.
+_PLAIN_PIECE = re.compile(rf"[ \n]?[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*\n?|[ \n]?")
+_CUTS = {"words": re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]*'[{_LETTERS}]+|[^{_LETTERS}]+"), "bytes": re.compile(rf" ?[{_LETTERS}]+|\n|[^{_LETTERS}\n]+[{_LETTERS}]*")}
+#: Other texts are cut where a tokenizer can't join anything: (words) at ASCII white space, (bytes) before white space behind
+#: other characters. _UNSURE: characters that count as white space for some, where the second cut could be wrong.
+_PIECES = {"words": re.compile(r"[^\t-\r ]+"), "bytes": re.compile(r"[\t-\r ]*+[^\t-\r ]+|[\t-\r ]+")}
+_ODD = "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF]))
+_UNSURE = re.compile(f"[{_ODD}][\\t-\\r ]")
+#: What starts the string of a special token.
+_SPECIAL = "<|"
+
+
+class _Memory:
+    """A dictionary of at most two generations: what the older one still serves moves to the younger one."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(key) <= LONGEST:
+            if len(self.young) >= self.most:
+                self.young, self.old = {}, self.young
+            self.young[key] = value
 
 
 class Encoder:
-    """Encodes texts exactly as the tokenizer would encode them whole, add_special_tokens=False.
+    """Encodes texts exactly as the tokenizer encodes them whole, add_special_tokens=False, strings of special tokens included.
 
     kind "words": the tokenizer drops white space and case. kind "bytes": a space starts a token unless other white space
-    stands before it. Texts other than _PLAIN are encoded whole. Strings of special tokens in a text are ordinary text. Null
-    texts are empty.
+    stands before it. Work and memory grow with the text's length only, whatever it holds.
     """
 
     _own: dict[tuple[str, str], Encoder] = {}
 
     @classmethod
     def of(cls, path: str, kind: str) -> Encoder:
-        """The worker's own, which it keeps from task to task."""
+        """The worker's own, which it keeps from task to task; only the last one asked for."""
         if (path, kind) not in cls._own:
+            cls._own.clear()
             cls._own[path, kind] = cls(path, kind)
         return cls._own[path, kind]
 
@@ -44,76 +76,119 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kind, self.pieces, self.parts = kind, {}, {}
-
-    def _bytes(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.kind, self.pieces, self.parts = kind, _Memory(PIECES), _Memory(PARTS)
 
-    def _learn(self, every: set[str]) -> None:
-        new = list(every - self.parts.keys())
-        if len(self.parts) + len(new) > PARTS:
-            self.parts, new = {}, list(every)
-        self.parts.update(zip(new, self._bytes(new)))
+    def _cut(self, piece: str) -> list[str]:
+        if _SPECIAL in piece or not _PLAIN_PIECE.fullmatch(piece):
+            return [piece]
+        return _CUTS[self.kind].findall(piece.lower() if self.kind == "words" else piece)
 
-    def _of_pieces(self, pieces: list[str], heads: list[str] = []) -> list[bytes]:
-        """Ids of distinct pieces, which are single words mostly; others are cut into parts. heads: pieces without a space before them."""
-        cut, lead = _CUTS[self.kind].findall, " " if self.kind == "bytes" else ""
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
         out = list(map(self.pieces.get, pieces))
         new = [i for i, x in enumerate(out) if x is None]
-        keys = [lead + pieces[i] if lead else pieces[i].lower() for i in new]
-        split = [[k] if pieces[i].isalpha() else cut(k) for i, k in zip(new, keys)]
-        first = [cut(x) for x in heads]
-        self._learn(set().union(*split, *first))
-        get = self.parts.__getitem__
+        split = [self._cut(pieces[i]) for i in new]
+        parts = dict.fromkeys(itertools.chain.from_iterable(split))
+        for p in parts:
+            parts[p] = self.parts.get(p)
+        unknown = [p for p, x in parts.items() if x is None]
+        for p, x in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+            parts[p] = np.array(x.ids, self.dtype).tobytes()
+            self.parts.put(p, parts[p])
+        get = parts.__getitem__
         for i, x in zip(new, split):
             out[i] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
-        if len(self.pieces) + len(new) > PIECES:
-            self.pieces = {}
-        self.pieces.update((pieces[i], out[i]) for i in new)
-        return out + [b"".join(map(get, x)) for x in first]
-
-    def _slice(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of plain texts: their distinct pieces are encoded, and gathered by number."""
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        ends, coded = lists.offsets.to_numpy()[1:], lists.values.dictionary_encode()
-        at = coded.indices.to_numpy()
-        if self.kind == "bytes":  # a text's first piece has no space before it
+            if len(x) > 1:
+                self.pieces.put(pieces[i], out[i])
+        return out
+
+    def _gathered(self, pieces: pa.Array, ends: np.ndarray, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows of pieces, and how many each row has. lead: what stands before all pieces but a row's first."""
+        coded = pieces.dictionary_encode()
+        at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if lead:
             firsts = np.concatenate([[0], ends[:-1]])
-            heads = coded.dictionary.take(pa.array(at[firsts])).to_pylist()
-            at = at.copy()
-            at[firsts] = len(coded.dictionary) + np.arange(len(texts))
-            ids = self._of_pieces(coded.dictionary.to_pylist(), heads)
-        else:
-            ids = self._of_pieces(coded.dictionary.to_pylist())
+            at, heads = at.copy(), at[firsts]
+            at[firsts] = len(names) + np.arange(len(firsts))
+            names = [lead + x for x in names] + [names[i] for i in heads.tolist()]
+        ids = self._ids(names)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), self.dtype)
         n = size[at]
-        upto = np.cumsum(n)
-        tokens = flat[np.repeat(start[at] - (upto - n), n) + np.arange(upto[-1])]
-        return np.split(tokens, upto[ends[:-1] - 1])
-
-    def encode(self, texts) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
-        plain, size = [], 0
-
-        def flush():
-            if plain:
-                for (i, _), ids in zip(plain, self._slice([x for _, x in plain])):
-                    out[i] = ids
-                plain.clear()
-
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _PLAIN.fullmatch(text):
-                plain.append((i, text))
-                size += len(text)
-                if size >= SLICE:
-                    flush()
-                    size = 0
-            else:
-                out[i] = np.frombuffer(self._bytes([text])[0], self.dtype)
-        flush()
+        upto = np.concatenate([[0], np.cumsum(n)])
+        tokens = flat[np.repeat(start[at] - upto[:-1], n) + np.arange(upto[-1])]
+        return tokens, np.diff(upto[ends], prepend=0)
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold plain bytes and no two white spaces in a row."""
+        data, offsets = text_buffer(texts)
+        base, offsets = int(offsets[0]), offsets - offsets[0]
+        x = data[base : base + int(offsets[-1])]
+        bad, lead, space = ~_PLAIN_BYTE[x], x == 0xC3, (x == 10) | (x == 32)
+        bad[1:] |= (x[1:] >= 0x80) & (x[1:] < 0xC0) & ~lead[:-1]
+        pair = space[1:] & space[:-1]
+        inner = offsets[1:-1]
+        pair[inner[(inner > 0) & (inner < len(x))] - 1] = False
+        bad[1:] |= pair
+        return np.diff(np.searchsorted(np.flatnonzero(bad), offsets)) == 0
+
+    def _others(self, texts: list[str]) -> list[list[str]]:
+        out = []
+        for text in texts:
+            pieces = _PIECES[self.kind].findall(text)
+            if self.kind == "bytes" and _UNSURE.search(text):  # what was cut behind such a character is joined again
+                whole: list[list[str]] = []
+                for p in pieces:
+                    if whole and _UNSURE.match(whole[-1][-1][-1] + p[0]):
+                        whole[-1].append(p)
+                    else:
+                        whole.append([p])
+                pieces = ["".join(x) for x in whole]
+            out.append(pieces)
         return out
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow string column, one after another, and how many each text has. Null: none."""
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        tokens, counts = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + SLICE, "right")) - 1)
+            ids, n = self._slice(texts.slice(lo, hi - lo))
+            tokens.append(ids)
+            counts.append(n)
+            lo = hi
+        return np.concatenate(tokens), np.concatenate(counts)
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = self._plain(texts)
+        if plain.all():
+            return self._split(texts)
+        (a, n), counts = self._split(texts.filter(pa.array(plain))), np.zeros(len(texts), np.int64)
+        pieces = self._others(texts.filter(pa.array(~plain)).to_pylist())
+        b, m = self._gathered(pa.array(list(itertools.chain.from_iterable(pieces)), pa.large_string()), np.cumsum(list(map(len, pieces))))
+        counts[plain], counts[~plain] = n, m
+        out = np.empty(counts.sum(), self.dtype)
+        of_plain = np.repeat(plain, counts)
+        out[of_plain], out[~of_plain] = a, b
+        return out, counts
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Plain texts are cut at spaces."""
+        if not len(texts):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy()
+        return self._gathered(lists.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets[1:] - offsets[0], " " if self.kind == "bytes" else "")
+
+
+def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned 32-bit ids with the end id behind each text, and the new counts."""
+    counts = counts + 1
+    out = np.full(int(counts.sum()), end_id, "<u4")
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(counts) - 1] = False
+    out[inner] = ids
+    return out, counts

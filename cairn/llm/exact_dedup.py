@@ -8,48 +8,86 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, Scratch, attach
 
 
+def digest(text):
+    """SHA-256 of the text without ASCII white space; a null text counts as empty."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS, ""), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, digest): SHA-256 of the text without ASCII white space; a null text counts as empty."""
+    """(id, n_chars, digest) of each row; n_chars counts the code points of the original text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.char_length(text).cast("long").alias("n_chars"), F.sha2(F.regexp_replace(text, SPACE_CLASS, ""), 256).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.char_length(text).cast("long").alias("n_chars"), digest(F.col(text_col)).alias("digest"))
+
+
+def _rank(n_chars, id_):
+    """The smallest one stays: the longest original, then the smallest id, null last."""
+    return F.struct((-n_chars).alias("less"), id_.isNull().alias("none"), id_.alias("id"))
 
 
 class DigestIndex:
-    """A table (digest, keep_id, n) with one row for each text seen so far, bucketed and sorted by digest.
+    """A table (digest, keep_id, n_chars, batch), bucketed and sorted by digest, to which batches of documents are added.
 
-    A batch joins it by sort-merge without a shuffle or sort of the index itself, and only new digests are appended.
+    A row says that the batch brought a text that no other batch had, or a longer original of it (or one as long with a smaller
+    id), which takes over. A batch joins the table by sort-merge, without a shuffle or sort of the table itself, and only such
+    rows are appended. A batch is known by its name: adding it again, after a failure or by mistake, adds what is missing and
+    gives the same answer.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
         self.spark, self.table, self.buckets = spark, table, buckets
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (digest STRING, keep_id BIGINT, n_chars BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS")
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    def read(self, but: str | None = None) -> DataFrame:
+        """(digest, keep_id, n_chars): the best document of each text, of all batches but one."""
+        rows = self.spark.table(self.table)
+        rows = rows if but is None else rows.where(F.col("batch") != but)
+        return rows.groupBy("digest").agg(F.min(_rank(F.col("n_chars"), F.col("keep_id"))).alias("best")).select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("n_chars"))
 
-    def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def append(self, fresh: DataFrame) -> None:
-        fresh.select("digest", "keep_id", "n").repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """rows: written (id, n_chars, digest) of a batch."""
+        best = rows.groupBy("digest").agg(F.min(_rank(F.col("n_chars"), F.col("id"))).alias("best")).select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("n_chars")).alias("b")
+        known = self.read(but=batch).hint("merge").alias("k")
+        as_good = _rank(F.col("k.n_chars"), F.col("k.keep_id")) <= _rank(F.col("b.n_chars"), F.col("b.keep_id"))
+        fresh = best.join(known, (F.col("b.digest") == F.col("k.digest")) & as_good, "left_anti")
+        there = self.spark.table(self.table).where(F.col("batch") == batch).select(F.col("digest").alias("there")).hint("merge")
+        fresh = fresh.join(there, F.col("b.digest") == F.col("there"), "left_anti").select("digest", "keep_id", "n_chars", F.lit(batch).alias("batch"))
+        # a written table between, as a table can't be appended to while it is read
+        fresh = Scratch(self.spark, "digests").save(fresh, "fresh")
+        fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Dedups a batch against itself and the index, appends what is new, and returns a row for each row of the batch.
+    def judge(self, rows: DataFrame, total: int) -> DataFrame:
+        """(id, keep_id, group_size, kept, digest) for written (id, n_chars, digest), total in number, that were appended before.
 
-        Columns id, keep_id, group_size, kept, digest. Of equal texts in the batch, the longest original stays, then the
-        smallest id (null last); a text already indexed stays under the id that it has there and none of the batch is kept.
-        group_size counts the batch's rows. Rows that share id and text with the kept one: exactly one of them is kept only
-        if ids are unique; otherwise all rows of that id count as kept. An empty batch gives no rows and leaves the index.
+        keep_id is the id of the best row of all batches so far, group_size counts the equal rows given here. kept: the row has the
+        best one's id and length; rows that repeat both are all kept, as they can't be told apart.
         """
         scratch = Scratch(self.spark, "digests")
-        rows = scratch.save(digests(docs, id_col, text_col), "rows")
-        best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-        groups = scratch.save(rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n")).select("digest", F.col("best.id").alias("keep_id"), "n"), "groups")
-        if self.exists():
-            known = self.read().select("digest", F.col("keep_id").alias("old_id"))
-            fresh = scratch.save(groups.join(known.hint("merge"), "digest", "left_anti"), "fresh")
-            groups = scratch.save(groups.join(known.hint("merge"), "digest", "left").select("digest", F.when(F.col("old_id").isNull(), F.col("keep_id")).otherwise(F.col("old_id")).alias("keep_id"), "n", F.col("old_id").isNull().alias("new")), "known")
-        else:
-            fresh, groups = groups, groups.withColumn("new", F.lit(True))
-        self.append(fresh)
-        found = attach(rows, groups, "digest", "n", rows.count())
-        return found.select("id", "keep_id", F.col("n").alias("group_size"), (F.col("new") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "digest")
+        groups = rows.groupBy("digest").agg(F.count("*").alias("n"))
+        best = self.read().withColumnRenamed("n_chars", "most").hint("merge")
+        groups = scratch.save(groups.join(best, "digest"), "groups")
+        kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most"))
+        return attach(rows, groups, "digest", "n", total).select("id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), "digest")
+
+    def add(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Dedups a batch against itself and the index, appends what is new or takes over, and judges each row of the batch.
+
+        Of equal texts the longest original stays, then the smallest id (null last). Rows of earlier batches that are taken over are
+        found by judging them again. Null texts are empty ones, null ids stay null, other columns are not read, whatever their
+        names. An empty batch gives no rows and leaves the index.
+        """
+        rows = Scratch(self.spark, "digests").save(digests(docs, id_col, text_col), "rows")
+        self.append(rows, batch)
+        return self.judge(rows, rows.count())
+
+
+def dedup(docs: DataFrame, table: str, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Judges all rows of docs, added to a new index in batches (by a hash of the id) that take over from one another. The index stays."""
+    spark = docs.sparkSession
+    index = DigestIndex(spark, table)
+    rows = Scratch(spark, "digests").save(digests(docs, id_col, text_col), "rows")
+    for k in range(batches):
+        index.append(rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k), str(k))
+    return index.judge(rows, rows.count())

@@ -25,12 +25,14 @@ def water_fill(sources: DataFrame, scratch: Scratch, budget: int, max_epochs: in
     """Adds target: the budget shared by weight, where no source gets over max_epochs times its size.
 
     sources: (source, source_size, weight). Sources above their cap are clamped to it and the excess is shared among the
-    others by weight, until none is above; each round clamps at least one source. Weights of 0 and empty sources get 0.
+    others by weight, until none is above; each round clamps all sources above the level so far, so rounds are few, and as
+    many as needed. Weights of 0 and empty sources get 0.
     A budget over all caps leaves every source at its cap.
     """
     cap = F.col("source_size") * max_epochs
     now = scratch.save(sources.withColumn("full", (F.col("weight") <= 0) | (F.col("source_size") <= 0)), "fill0")
-    for step in range(1, 10_000):
+    step = 0
+    while True:
         left, weight = now.agg(F.lit(budget) - F.coalesce(F.sum(F.when(F.col("full") & (F.col("weight") > 0), cap)), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))), F.lit(0))).first()
         if not weight:
             return now.select("source", "source_size", "weight", F.when(F.col("weight") > 0, cap).otherwise(0).cast("double").alias("target"))
@@ -38,8 +40,8 @@ def water_fill(sources: DataFrame, scratch: Scratch, budget: int, max_epochs: in
         over = ~F.col("full") & (share > cap)
         if not now.where(over).limit(1).count():
             return now.select("source", "source_size", "weight", F.when(~F.col("full"), share).when(F.col("weight") > 0, cap.cast("double")).otherwise(0.0).alias("target"))
+        step += 1
         now = scratch.save(now.withColumn("full", F.col("full") | over), f"fill{step}")
-    raise RuntimeError("water_fill did not settle")
 
 
 def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.0, max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -7,13 +7,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .encoding import Encoder
+from .encoding import Encoder, with_ends
+
+_PIECE = ["id", "piece", "start", "length", "ids_crc32", "task", "number"]
+_OUT = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -80,36 +83,58 @@ def pack(docs: DataFrame, tokenizer_path: str, kind: str = "bytes", end_id: int
     never straddle sequences, and a sequence's pieces follow one another without gaps from 0. Packing is planned on the
     counts of lengths (at most `capacity` numbers, all that the driver sees), and pieces find their places by their number
     among those of their length. Null and empty texts are one piece with the end id. Repeated rows are packed each; null
-    ids stay null. An empty table gives no rows.
+    ids stay null. Other columns of docs are not read, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
 
     def cut(batches):
-        encoder, seen = Encoder.of(tokenizer_path, kind), Counter()
-        task, end = TaskContext.get().partitionId(), np.array([end_id], "<u4")
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                out = []
-                for k, ids in zip(pdf["key"][lo : lo + 2048], encoder.encode(pdf["text"][lo : lo + 2048])):
-                    ids = np.concatenate([ids.astype("<u4"), end])
-                    at, n, piece = 0, (len(ids) - 1) % capacity + 1, 0
-                    while at < len(ids):
-                        out.append((k, piece, at, n, zlib.crc32(ids[at : at + n]), task, seen[n]))
-                        seen[n] += 1
-                        at, n, piece = at + n, capacity, piece + 1
-                yield pd.DataFrame(out, columns=["key", "piece", "start", "length", "ids_crc32", "task", "number"])
-
-    # ids go through Python as text, so that nulls don't turn them into floats
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = scratch.save(rows.mapInPandas(cut, "key string, piece int, start long, length long, ids_crc32 long, task int, number long"), "pieces")
+        encoder, seen = Encoder.of(tokenizer_path, kind), np.zeros(capacity + 1, np.int64)
+        task = TaskContext.get().partitionId()
+        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
+            ids, counts = with_ends(*encoder.encode(batch.column("text")), end_id)
+            pieces = (counts - 1) // capacity + 1
+            row = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = (counts - 1) % capacity + 1
+            start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[row])
+            at = (np.cumsum(counts) - counts)[row] + start
+            crc = [zlib.crc32(ids[i:j]) for i, j in zip(at.tolist(), (at + length).tolist())]
+            # each piece's number among those of its length in this task
+            order = np.argsort(length, kind="stable")
+            runs = np.searchsorted(length[order], np.arange(capacity + 2))
+            number = np.empty(len(length), np.int64)
+            number[order] = np.arange(len(length)) - runs[length[order]] + seen[length[order]]
+            seen += np.diff(runs)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (piece, start, length, crc, np.full(len(row), task), number))], _PIECE)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    pieces = scratch.save(rows.mapInArrow(cut, ", ".join(f"{c} long" for c in _PIECE)), "pieces")
     by_task = scratch.save(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     ranges, _ = plan_bins({r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each length and task: too many for a broadcast when tasks are many, so the pieces' few columns are shuffled
     before = by_task.select("length", "task", before.alias("before"))
+    numbered = pieces.join(before.hint("merge"), ["length", "task"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("before")).alias("number"))
     # as many ranges as there are pairs of lengths in one bin at most, whatever the number of pieces
-    places = F.broadcast(spark.createDataFrame(pd.DataFrame(ranges, columns=["length", "first", "until", "copies", "bin", "place"]) if ranges else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("length", "first", "until", "copies", "bin", "place")}), "length long, first long, until long, copies long, bin long, place long"))
-    numbered = pieces.join(before, ["length", "task"]).withColumn("number", F.col("number") + F.col("before"))
-    found = numbered.join(places, (numbered["length"] == places["length"]) & F.col("number").between(F.col("first"), F.col("until") - 1)).drop(places["length"])
-    k = F.col("number") - F.col("first")
-    return found.select(F.when(F.col("key") != "", F.col("key")).cast("long").alias("id"), "piece", "start", "length", "ids_crc32", (F.col("bin") + F.floor(k / F.col("copies"))).cast("long").alias("sequence_id"), (F.col("place") + k % F.col("copies") * F.col("length")).alias("offset"))
+    plan = np.array(sorted(ranges), np.int64).reshape(len(ranges), 6)
+    plan = spark.sparkContext.broadcast(plan)
+
+    def place(batches):
+        length, first, _, copies, bins, offset = plan.value.T
+        least = np.searchsorted(length, np.arange(capacity + 2))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, k = (batch.column(c).to_numpy() for c in ("length", "number"))
+            at = np.empty(len(n), np.int64)
+            for x in np.unique(n).tolist():  # a binary search among the ranges of each length
+                own = n == x
+                at[own] = least[x] + np.searchsorted(first[least[x] : least[x + 1]], k[own], "right") - 1
+            k = k - first[at]
+            found = bins[at] + k // copies[at], offset[at] + k % copies[at] * n
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _OUT[:5]), *map(pa.array, found)], _OUT)
+
+    placed = numbered.mapInArrow(place, ", ".join(f"{c} long" for c in _OUT))
+    return placed.withColumn("piece", F.col("piece").cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, packing, pitman_yor, quality, secrets, token_files
+from .common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +62,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, f"cairn_digests_{uuid.uuid4().hex}")
-    found = index.add(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    name = f"cairn_digests_{uuid.uuid4().hex}"
+    found = exact_dedup.dedup(table(spark, sf_dir, "documents"), name)
+    found = Scratch(spark, "exact-dedup").save(found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")), "found")
+    exact_dedup.DigestIndex(spark, name).drop()  # this query's own index; a standing one is kept between batches
+    return found
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import io
 import struct
 import zlib
 
@@ -13,70 +15,112 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .encoding import Encoder
+from .encoding import Encoder, with_ends
 
-MAGIC = b"CWM1"
-#: Bits between two entries of a plane's rank directory.
-BLOCK = 1024
+MAGIC = b"CWM2"
+#: Bits of a plane that are compressed together, and have one entry in its directory.
+BLOCK = 1 << 18
+_HEAD = struct.Struct("<4sQQIQQ")
+_ENTRY = np.dtype([("ones", "<u8"), ("at", "<u8"), ("size", "<u4")])
 
 
-class WaveletMatrix:
-    """A sequence of ids as bit-planes, from the highest bit down: each plane's zeros come before its ones in the next plane.
+def _planes(ids: np.ndarray) -> list[np.ndarray]:
+    """Bit-planes from the highest bit down, as packed bits; each plane's zeros come before its ones in the next plane."""
+    planes = []
+    for level in reversed(range(max(1, int(ids.max()).bit_length()) if len(ids) else 1)):
+        ones = (ids >> ids.dtype.type(level) & ids.dtype.type(1)).astype(bool)
+        planes.append(np.packbits(ones))
+        ids = np.concatenate([ids[~ones], ids[ones]])
+    return planes
 
-    planes: packed bits; ranks: for each plane the ones before each BLOCK bits; zeros: each plane's zeros. Answers come from
-    a few bytes of each plane.
+
+def token_file(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The file of a shard: head, directory, documents, planes.
+
+    The head has the magic, the numbers of ids, documents and planes, and the sizes of the compressed document ids and lengths.
+    The directory has an entry for each block of each plane: the plane's ones before it, where its bytes begin, and how many
+    they are. Documents and blocks are compressed by zstd, each on its own.
     """
+    ids = np.asarray(ids)
+    planes = _planes(ids)
+    docs = [pa.compress(np.asarray(x, "<i8").tobytes(), codec="zstd", asbytes=True) if len(x) else b"" for x in (doc_ids, lengths)]
+    blocks = -(-len(ids) // BLOCK)
+    entries, body = np.zeros((len(planes), blocks), _ENTRY), []
+    at = _HEAD.size + entries.nbytes + sum(map(len, docs))
+    for row, plane in zip(entries, planes):
+        ones = 0
+        for k in range(blocks):
+            part = plane[k * BLOCK // 8 : (k + 1) * BLOCK // 8]
+            body.append(pa.compress(part.tobytes(), codec="zstd", asbytes=True))
+            row[k] = ones, at, len(body[-1])
+            ones, at = ones + int(np.bitwise_count(part).sum(dtype=np.int64)), at + len(body[-1])
+    return b"".join([_HEAD.pack(MAGIC, len(ids), len(doc_ids), len(planes), *map(len, docs)), entries.tobytes(), *docs, *body])
+
+
+class TokenFile:
+    """Reads a token file where it lies: source is the file's bytes or a seekable file. Only the head and the directory are held;
+    an answer reads and decompresses the one or two blocks of each plane that it needs (the last 64 stay in memory)."""
+
+    def __init__(self, source):
+        self.file = io.BytesIO(source) if isinstance(source, (bytes, bytearray, memoryview)) else source
+        head = self._read(0, _HEAD.size)
+        if head[:4] != MAGIC:
+            raise ValueError("not a token file")
+        _, self.n, self.n_docs, self.levels, self._ids_size, self._lengths_size = _HEAD.unpack(head)
+        blocks = -(-self.n // BLOCK)
+        self.entries = np.frombuffer(self._read(_HEAD.size, self.levels * blocks * _ENTRY.itemsize), _ENTRY).reshape(self.levels, blocks)
+        self.block = functools.lru_cache(64)(self._block)
+        self.totals = [int(self.entries[level]["ones"][-1]) + int(np.bitwise_count(self._block(level, blocks - 1)).sum(dtype=np.int64)) if blocks else 0 for level in range(self.levels)]
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes = n, planes
-        self.ranks = []
-        for p in planes:
-            ones = np.bitwise_count(np.pad(p, (0, -len(p) % (BLOCK // 8))).reshape(-1, BLOCK // 8)).sum(1, dtype=np.int64)
-            self.ranks.append(np.concatenate([[0], np.cumsum(ones)]))
-        self.zeros = [n - int(r[-1]) for r in self.ranks]
-
-    @classmethod
-    def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = np.asarray(ids)
-        planes = []
-        for level in reversed(range(max(1, int(ids.max()).bit_length()) if len(ids) else 1)):
-            ones = (ids >> ids.dtype.type(level) & ids.dtype.type(1)).astype(bool)
-            planes.append(np.packbits(ones))
-            ids = np.concatenate([ids[~ones], ids[ones]])
-        return cls(len(ids), planes)
+    def _block(self, level: int, k: int) -> np.ndarray:
+        e = self.entries[level, k]
+        bits = min(BLOCK, self.n - k * BLOCK)
+        return np.frombuffer(pa.decompress(self._read(int(e["at"]), int(e["size"])), decompressed_size=(bits + 7) // 8, codec="zstd", asbytes=True), np.uint8)
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (7 - (i & 7)) & 1
+        return int(self.block(level, i // BLOCK)[i % BLOCK >> 3]) >> (7 - (i & 7)) & 1
 
     def _ones(self, level: int, i: int) -> int:
-        """Ones before position i of a plane."""
-        block = i // BLOCK
-        part = self.planes[level][block * (BLOCK // 8) : (i + 7) >> 3]
-        ones = int(self.ranks[level][block]) + int(np.bitwise_count(part).sum())
-        return ones - (int(part[-1] & ((1 << (-i & 7)) - 1)).bit_count() if i & 7 else 0)
+        """Rank: ones before position i of a plane."""
+        if i >= self.n:
+            return self.totals[level]
+        k, rest = divmod(i, BLOCK)
+        part = self.block(level, k)[: (rest + 7) >> 3]
+        ones = int(self.entries[level, k]["ones"]) + int(np.bitwise_count(part).sum(dtype=np.int64))
+        return ones - (int(part[-1] & ((1 << (-rest & 7)) - 1)).bit_count() if rest & 7 else 0)
+
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """Position of the bit's occurrence k in a plane."""
+        ones = self.entries[level]["ones"].astype(np.int64)
+        before = ones if bit else np.arange(len(ones)) * BLOCK - ones
+        at = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self.block(level, at), count=min(BLOCK, self.n - at * BLOCK))
+        return at * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[at])])
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level in range(len(self.planes)):
+        for level in range(self.levels):
             bit, ones = self._bit(level, i), self._ones(level, i)
-            i = self.zeros[level] + ones if bit else i - ones
+            i = self.n - self.totals[level] + ones if bit else i - ones
             value = value << 1 | bit
         return value
 
     def _interval(self, symbol: int, i: int) -> tuple[int, int]:
         """Where the symbol's occurrences among the first i positions stand behind the last plane."""
-        if symbol >> len(self.planes):
+        if symbol < 0 or symbol >> self.levels:
             return 0, 0
         lo, hi = 0, i
-        for level in range(len(self.planes)):
+        for level in range(self.levels):
             a, b = self._ones(level, lo), self._ones(level, hi)
-            if symbol >> (len(self.planes) - 1 - level) & 1:
-                lo, hi = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                lo, hi = lo - a, hi - b
+            zeros = self.n - self.totals[level]
+            lo, hi = (zeros + a, zeros + b) if symbol >> (self.levels - 1 - level) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def count(self, symbol: int, i: int | None = None) -> int:
@@ -90,84 +134,74 @@ class WaveletMatrix:
         if not 0 <= k < hi - lo:
             raise IndexError(k)
         at = lo + k
-        for level in reversed(range(len(self.planes))):
-            bit = symbol >> (len(self.planes) - 1 - level) & 1
-            at = self._select(level, bit, at - self.zeros[level] if bit else at)
+        for level in reversed(range(self.levels)):
+            bit = symbol >> (self.levels - 1 - level) & 1
+            at = self._select(level, bit, at - (self.n - self.totals[level]) if bit else at)
         return at
 
-    def _select(self, level: int, bit: int, k: int) -> int:
-        ranks = self.ranks[level]
-        before = ranks if bit else np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
-        block = int(np.searchsorted(before, k, "right")) - 1
-        bits = np.unpackbits(self.planes[level][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)])[: self.n - block * BLOCK]
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
-
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
-        ids = np.zeros(self.n, np.uint32 if len(self.planes) > 16 else np.uint16)
-        for level in reversed(range(len(self.planes))):
-            ones = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+        ids = np.zeros(self.n, np.uint32 if self.levels > 16 else np.uint16)
+        for level in reversed(range(self.levels)):
+            packed = np.concatenate([np.empty(0, np.uint8), *(self._block(level, k) for k in range(self.entries.shape[1]))])
+            ones, zeros = np.unpackbits(packed, count=self.n).astype(bool), self.n - self.totals[level]
             up = np.empty_like(ids)
-            up[~ones] = ids[: self.zeros[level]]
-            up[ones] = ids[self.zeros[level] :] | ids.dtype.type(1 << (len(self.planes) - 1 - level))
+            up[~ones] = ids[:zeros]
+            up[ones] = ids[zeros:] | ids.dtype.type(1 << (self.levels - 1 - level))
             ids = up
         return ids
 
-    def to_bytes(self, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
-        """The file: magic, ids, documents, planes, sizes of the parts; then document ids, lengths and planes, each compressed by zstd."""
-        parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (np.asarray(doc_ids, "<i8"), np.asarray(lengths, "<i8"), *self.planes)]
-        return MAGIC + struct.pack(f"<QQI{len(parts)}I", self.n, len(doc_ids), len(self.planes), *map(len, parts)) + b"".join(parts)
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
-        """The matrix, the document ids and their lengths."""
-        if bytes(data[:4]) != MAGIC:
-            raise ValueError("not a token file")
-        n, docs, planes = struct.unpack_from("<QQI", data, 4)
-        at, parts = 24 + 4 * (planes + 2), []
-        for k, size in enumerate(struct.unpack_from(f"<{planes + 2}I", data, 24)):
-            parts.append(pa.decompress(data[at : at + size], decompressed_size=8 * docs if k < 2 else (n + 7) // 8, codec="zstd", asbytes=True) if size else b"")
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """Document ids and how many ids each has."""
+        at = _HEAD.size + self.entries.nbytes
+        out = []
+        for size in (self._ids_size, self._lengths_size):
+            out.append(np.frombuffer(pa.decompress(self._read(at, size), decompressed_size=8 * self.n_docs, codec="zstd", asbytes=True), "<i8") if size else np.empty(0, "<i8"))
             at += size
-        return cls(n, [np.frombuffer(x, np.uint8) for x in parts[2:]]), np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8")
+        return out[0], out[1]
 
 
 #: Stands for a null document id in a file.
 NO_ID = -(2**63)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str = "words", end_id: int = 1, shard_bytes: int = 32 << 20, shard_ids: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str = "words", end_id: int = 1, range_bytes: int = 16 << 20, shard_ids: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes a table (part, seq, n_ids, n_docs, file) of token files: ordered by (part, seq) they hold all ids in ascending order of ids.
 
     Each row of docs is encoded whole, with the end id after it; null and empty texts are the end id alone. Rows of one id
-    follow each other by text, null ids come first. Rows are dealt to tasks by ranges of ids, of about shard_bytes of text,
-    and each task closes a file at shard_ids ids or more, never within a document. An empty table writes no file.
+    follow each other by text, null ids come first. Rows are dealt to tasks by ranges of ids, of about range_bytes of text,
+    and each task closes a file at shard_ids ids or more, never within a document. Other columns of docs are not read,
+    whatever their names. An empty table writes no file.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ordered = rows.repartitionByRange(max(8, -(-total // shard_bytes)), "id").sortWithinPartitions("id", "text")
+    ordered = rows.repartitionByRange(max(1, -(-total // range_bytes)), "id").sortWithinPartitions("id", "text")
 
     def encode(batches):
         encoder, part, seq = Encoder.of(tokenizer_path, kind), TaskContext.get().partitionId(), 0
-        end, ids, keys, size = np.array([end_id], encoder.dtype), [], [], 0
+        ids, keys, lengths, size = [], [], [], 0
 
         def shard():
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [size], "n_docs": [len(keys)], "file": [WaveletMatrix.build(np.concatenate(ids)).to_bytes(np.array(keys, "<i8"), np.array([len(x) for x in ids], "<i8"))]})
-
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                for k, x in zip(pdf["id"][lo : lo + 2048], encoder.encode(pdf["text"][lo : lo + 2048])):
-                    x = np.concatenate([x, end])
-                    keys.append(k)
-                    ids.append(x)
-                    size += len(x)
-                    if size >= shard_ids:
-                        yield shard()
-                        seq, ids, keys, size = seq + 1, [], [], 0
+            sizes = np.concatenate(lengths)
+            file = token_file(np.concatenate(ids).astype(encoder.dtype), np.concatenate(keys), sizes)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": size, "n_docs": len(sizes), "file": file}], schema=_FILES)
+
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+            flat, counts = with_ends(*encoder.encode(batch.column("text")), end_id)
+            ids.append(flat.astype(encoder.dtype))
+            keys.append(batch.column("id").to_numpy())
+            lengths.append(counts)
+            size += len(flat)
+            if size >= shard_ids:
+                yield shard()
+                seq, ids, keys, lengths, size = seq + 1, [], [], [], 0
         if keys:
             yield shard()
 
-    safe = ordered.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text")
-    safe.mapInPandas(encode, "part int, seq int, n_ids long, n_docs long, file binary").write.mode("overwrite").option("compression", "none").parquet(path)
+    ordered.mapInArrow(encode, "part int, seq int, n_ids long, n_docs long, file binary").write.mode("overwrite").option("compression", "none").parquet(path)
+
+
+_FILES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("file", pa.binary())])
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -181,9 +215,10 @@ def read_documents(files: DataFrame) -> DataFrame:
     def decode(batches):
         for pdf in batches:
             for part, seq, data in zip(pdf["part"], pdf["seq"], pdf["file"]):
-                matrix, keys, lengths = WaveletMatrix.from_bytes(data)
-                ids, ends = matrix.decode().astype("<u4"), np.cumsum(lengths)
-                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends, lengths)]
+                file = TokenFile(data)
+                ids, (keys, lengths) = file.decode().astype("<u4"), file.documents()
+                ends = np.cumsum(lengths)
+                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pd.DataFrame({"part": part, "seq": seq, "key": keys, "within": ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
 
     rows = files.select("part", "seq", "file").mapInPandas(decode, "part int, seq int, key long, within long, n_tokens long, ids_crc32 long")

@@ -1,12 +1,16 @@
 """Each operator against brute force, on hard texts and on the smallest tables."""
 
 import hashlib
+import io
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import HARD, crc, labels_of, words
 from small import SMALL
@@ -139,25 +143,60 @@ def test_pitman_yor_beats_the_unigram(spark):
 # ---- 4
 
 
-def test_wavelet_matrix():
+def test_wavelet_matrix(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 1024)  # several blocks in each plane
     x = np.random.default_rng(1).integers(0, 3000, 5000).astype("<u2")
-    w, ids, lengths = token_files.WaveletMatrix.from_bytes(token_files.WaveletMatrix.build(x).to_bytes(np.array([7]), np.array([5000])))
-    assert (w.decode() == x).all() and ids.tolist() == [7] and lengths.tolist() == [5000]
+    data = token_files.token_file(x, np.array([7]), np.array([5000]))
+    reads = []
+
+    class Watched(io.BytesIO):
+        def read(self, size=-1):
+            reads.append(size)
+            return super().read(size)
+
+    w = token_files.TokenFile(Watched(data))
+    before = sum(reads)
+    assert w.access(2500) == x[2500] and sum(reads) - before < len(data) / 3  # not the whole file
+    assert (w.decode() == x).all() and [v.tolist() for v in w.documents()] == [[7], [5000]]
     for s in x[:60].tolist():
         at = np.flatnonzero(x == s)
         assert w.count(s) == len(at) and [w.occurrence(s, k) for k in range(len(at))] == at.tolist() and w.count(s, 2500) == (x[:2500] == s).sum()
     assert [w.access(i) for i in range(0, 5000, 97)] == x[::97].tolist() and w.count(70_000) == 0
-    assert token_files.WaveletMatrix.build(np.zeros(0, "<u2")).decode().tolist() == []
+    empty = token_files.TokenFile(token_files.token_file(np.zeros(0, "<u2"), [], []))
+    assert empty.decode().tolist() == [] and empty.count(3) == 0 and empty.documents()[0].tolist() == []
 
 
-@pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+TOKENIZERS = [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")]
+
+
+def _encoded(e, texts):
+    ids, counts = e.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+@pytest.mark.parametrize(("file", "kind"), TOKENIZERS)
 def test_encoder_agrees_with_whole_texts(spark, file, kind, monkeypatch):
-    monkeypatch.setattr(encoding, "PARTS", 500)
+    monkeypatch.setattr(encoding, "SLICE", 20_000)
+    e = encoding.Encoder(queries.tokenizer(file), kind)
+    e.parts, e.pieces = encoding._Memory(300), encoding._Memory(20)
+    rng = random.Random(3)
+    odd = ["a", "B", "é", "ß", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'", "'s", "don't", "1", "23", ".", "!!", "日本", "😀", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "\ufeff", "Σ", "İ", "e\u0301", "\u0301", "ﬁ", "½", "×", "÷", "<|endoftext|>", "<|", "|>", "_", "ª", " word", " 'll"]
+    hard = ["".join(rng.choice(odd) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts = [*TEXTS.values(), *hard, None, *list(documents(spark).values())[:40]]
+    for x, ids in zip(texts, _encoded(e, texts)):
+        assert ids == e.tokenizer.encode(x or "", add_special_tokens=False).ids, x
+
+
+@pytest.mark.parametrize(("file", "kind"), TOKENIZERS)
+def test_encoder_on_long_texts(file, kind):
     e = encoding.Encoder(queries.tokenizer(file), kind)
-    hard = ["Don't (it's) 'tis ,'s x'\n\nfoo\nBar's. \nq r\n s 12abc d34 a'LL É'S Ωσ Ας ab́c naïve×y", "a  b", "x\n y \n", "<|endoftext|> d　 e", "it's I'm  'll", " a", "a ", "\n", "a\n\nb", "'S 'Re x're", "aªb º c", "ß ẞ", "x\ty", "﻿a b"]
-    texts = [*TEXTS.values(), *hard, *list(documents(spark).values())[:40]]
-    for x, ids in zip(texts, e.encode(texts)):
-        assert ids.tolist() == (e.tokenizer.encode(x, add_special_tokens=False).ids if x else [])
+    n = 100_000
+    texts = ["This is a normal sentence with forty letters or so.  Two spaces before this.", "Une phrase tout à fait normale, puis un signe : 日本", "x" * n + "\t", ("word\tand  more\n" * n)[:n], ("日本語😀" * n)[:n], ("'!" * n)[:n], ("a1 " * n)[:n] + "\x07"]
+    began = time.time()
+    got = _encoded(e, texts)
+    assert time.time() - began < 20
+    for x, ids in zip(texts, got):
+        assert ids == e.tokenizer.encode(x, add_special_tokens=False).ids
 
 
 def test_token_files(spark, rest):
@@ -284,7 +323,8 @@ def test_signature_tree_and_routing():
 
 def test_digest_index(spark, rest):
     index = exact_dedup.DigestIndex(spark, "test_digests", 4)
-    got = index.add(rest).collect()
+    index.add(rest, "first")  # as if a job had failed behind it
+    got = index.add(rest, "first").collect()
     bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
     groups = defaultdict(list)
     for i in [*TEXTS, 9, None]:
@@ -297,9 +337,20 @@ def test_digest_index(spark, rest):
         assert (r["keep_id"], r["group_size"], r["digest"]) == (best, len(group), hashlib.sha256(bare(text).encode()).hexdigest())
         assert r["kept"] == (r["id"] == best)
     more = spark.createDataFrame([(500, "new text"), (501, "newtext"), (502, TEXTS[3])], "doc_id long, text string")
-    second = {r["id"]: r for r in index.add(more).collect()}
+    second = {r["id"]: r for r in index.add(more, "second").collect()}
     assert second[502]["keep_id"] == 3 and not second[502]["kept"] and second[500]["kept"] and second[501]["keep_id"] == 500
-    assert index.read().count() == len(groups) + 1 and index.add(more.limit(0)).count() == 0
+    assert index.read().count() == len(groups) + 1 and index.add(more.limit(0), "third").count() == 0
+    longer = spark.createDataFrame([(600, "new  text"), (400, TEXTS[3])], "doc_id long, text string")
+    third = {r["id"]: r for r in index.add(longer, "fourth").collect()}
+    assert third[600]["kept"] and not third[400]["kept"]  # a longer original takes over, a larger id doesn't
+    assert not {r["id"]: r for r in index.add(more, "second").collect()}[500]["kept"]
+    assert index.read().count() == len(groups) + 1
+    index.drop()
+
+
+def test_dedup_in_batches(spark, rest):
+    once, many = (sorted(map(str, exact_dedup.dedup(rest, f"test_batches{k}", k).collect())) for k in (1, 5))
+    assert once == many and len(once) == rest.count()
 
 
 # ---- 10
