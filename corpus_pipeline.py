@@ -1,19 +1,33 @@
 """The corpus pipeline: quality classifier, exact dedup, n-gram Jaccard join, mixing of sources, packing.
 
 Each stage takes what its predecessor kept. All but the last return the columns of documents; the last returns the pieces
-of the packed documents. Nulls, empty texts, repeated rows and empty tables are as the operators' docstrings define them:
-rows with a null id are judged, mixed and packed like others, but are no near duplicates of anything.
+of the packed documents. Null and empty texts, repeated rows and empty tables are as the operators' docstrings define them.
+Stages that choose among documents choose rows: where ids are null or repeated, those rows are told apart and come after all
+others. Further columns pass through, whatever their names, but those of a stage itself, which begin with two underscores.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from cairn.llm.common import SPACE_CLASS, Scratch
+from cairn.llm.common import Scratch
+
+
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a unique number for each row, __row: the id, if no other row has it; else one behind all ids, fixed in a written table."""
+    again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__again"))
+    if not again.limit(1).count():
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    scratch = Scratch(spark, "rows")
+    again = scratch.save(again.where("__again is not null"), "again")
+    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    marked = docs.join(again, docs["doc_id"] == again["__again"], "left")
+    odd = F.col("doc_id").isNull() | F.col("__again").isNotNull()
+    return scratch.save(marked.withColumn("__row", F.when(odd, F.lit(last + 1) + F.monotonically_increasing_id()).otherwise(F.col("doc_id"))).drop("__again"), "keyed")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,28 +38,27 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space: the longest, then the smallest id."""
-    found = exact_dedup.DigestIndex(spark, f"cairn_corpus_{uuid.uuid4().hex}").add(docs)
-    gone = found.where("not kept").select(F.col("id").alias("__id"), F.col("digest").alias("__gone")).distinct()
-    marked = docs.withColumn("__digest", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_CLASS, ""), 256))
-    kept = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__digest"] == gone["__gone"]), "left_anti")
-    if found.where("kept").groupBy("id", "digest").count().where("count > 1").limit(1).count():  # rows that repeat id and text
-        best = Window.partitionBy("doc_id", "__digest").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), "text", "lang", "source", "n_chars")
-        kept = kept.withColumn("__best", F.row_number().over(best)).where("__best = 1").drop("__best")
-    return kept.drop("__digest")
+    keyed = _keyed(spark, docs)
+    index = exact_dedup.DigestIndex(spark, f"cairn_corpus_{uuid.uuid4().hex}")
+    found = index.add(keyed, "corpus", id_col="__row")
+    gone = Scratch(spark, "copies").save(found.where("not kept").select("id"), "gone")
+    index.drop()
+    return keyed.join(gone, keyed["__row"] == gone["id"], "left_anti").drop("__row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at a similarity of 0.8 or more connect: the smallest id."""
-    found = jaccard_join.jaccard_join(docs, words=5, num=4, den=5)
-    gone = found.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    keyed = _keyed(spark, docs)
+    found = jaccard_join.jaccard_join(keyed, words=5, num=4, den=5, id_col="__row")
+    gone = found.where("id <> component_id").select("id")
+    return keyed.join(gone, keyed["__row"] == gone["id"], "left_anti").drop("__row")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    copies = mixing.mix_sources(docs).where("copies > 0").groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    sized = docs.withColumn("__words", mixing.word_count(F.col("text")))
-    taken = sized.join(copies, sized["doc_id"].eqNullSafe(copies["__id"]) & sized["source"].eqNullSafe(copies["__source"]) & (sized["__words"] == copies["__size"]))
+    keyed = _keyed(spark, docs)
+    copies = mixing.mix_sources(keyed, id_col="__row").where("copies > 0").select("id", "copies")
+    taken = keyed.join(copies.withColumnsRenamed({"id": "__id", "copies": "__copies"}), F.col("__row") == F.col("__id"))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
 
 
@@ -70,5 +83,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier and the tokenizer have no SQL; the tests hold the stages against brute force.
+#: The classifier and the tokenizer have no SQL; tests/llm/test_pipeline.py holds each stage and the whole against brute force.
 ORACLE_SQL = None
