@@ -214,10 +214,6 @@ def link(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[t
 
 def narrow(maps: np.ndarray, sizes: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Indices of a spanning forest of the pairs that bitmaps and sizes don't rule out, within side 0 or between sides 0 and 1."""
-    if len(sizes) == 2:  # most groups
-        (a, b), hidden = sizes, sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
-        common = min(int(np.bitwise_count(maps[0] & maps[1]).sum(dtype=np.int64)) + hidden.min(), a, b)
-        return [(1, 0)] if (den + num) * common >= num * (a + b) and min(a, b) * den >= num * max(a, b) else []
     root = np.arange(len(sizes))
     at = [np.flatnonzero(side == k) for k in (0, 1)]
     if not len(at[0]):
@@ -243,6 +239,46 @@ def narrow(maps: np.ndarray, sizes: np.ndarray, side: np.ndarray, num: int, den:
     return list(zip(hung.tolist(), root[hung].tolist()))
 
 
+def narrow_pairs(maps: np.ndarray, sizes: np.ndarray, first: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of pairs (first, first + 1), those that bitmaps and sizes don't rule out: what narrow() does with groups of two, for many at once."""
+    a, b = sizes[first], sizes[first + 1]
+    hidden = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
+    common = np.bitwise_count(maps[first] & maps[first + 1]).sum(1, dtype=np.int64) + np.minimum(hidden[first], hidden[first + 1])
+    return first[((den + num) * np.minimum(common, np.minimum(a, b)) >= num * (a + b)) & (np.minimum(a, b) * den >= num * np.maximum(a, b))]
+
+
+def _narrowed(num: int, den: int):
+    """Rows (sig, i, j, side, d1, n, map) sorted by group, to the (a, b) that hang a group together. Groups of two, which most are, are judged together."""
+    def judge(rows: pa.Table) -> pa.RecordBatch:
+        sig, i, j, side, d, n = (rows.column(c).to_numpy() for c in ("sig", "i", "j", "side", "d1", "n"))
+        maps = np.frombuffer(b"".join(rows.column("map").to_pylist()), np.uint64).reshape(len(d), SKETCH // 64)
+        starts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.diff(starts, append=len(d))
+        two = narrow_pairs(maps, n, starts[size == 2], num, den)
+        a, b = [d[two + 1]], [d[two]]
+        for lo, m in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
+            pairs = np.array(narrow(maps[lo : lo + m], n[lo : lo + m], side[lo : lo + m], num, den), np.int64).reshape(-1, 2) + lo
+            a.append(d[pairs[:, 0]])
+            b.append(d[pairs[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def run(batches):
+        rest = None  # rows of the group that may go on in the next batch
+        for batch in (b.slice(lo, 4096) for b in batches for lo in range(0, b.num_rows, 4096)):
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            key = [rows.column(c).to_numpy() for c in ("sig", "i", "j")]
+            other = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            rest = rows.slice(last)
+            if last:
+                yield judge(rows.slice(0, last))
+        if rest is not None:
+            yield judge(rest)
+
+    return run
+
+
 def jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): for each row the number of its distinct shingles and the smallest id that links lead to.
 
@@ -269,14 +305,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id
     maps = signed.where("n > 0").groupBy("d1").agg(F.first("n").alias("n"), F.first("map").alias("map"))
     spread = lambda df, key: df.withColumn("mine", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")})
 
-    def narrowed(pdf):
-        maps = np.frombuffer(b"".join(pdf["map"]), np.uint64).reshape(len(pdf), SKETCH // 64)
-        d = pdf["d1"].to_numpy()
-        pairs = narrow(maps, pdf["n"].to_numpy(), pdf["side"].to_numpy(), num, den)
-        return pd.DataFrame([(d[x], d[y]) for x, y in pairs], columns=["a", "b"])
-
     asked = scratch.save(members.join(blocks, "sig").join(maps, "d1"), "asked")
-    edges = spread(asked, "d1").groupBy("sig", "i", "j").applyInPandas(narrowed, "a long, b long").distinct()
+    sorted_groups = spread(asked, "d1").select("sig", "i", "j", "side", "d1", "n", "map").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    edges = sorted_groups.mapInArrow(_narrowed(num, den), "a long, b long").distinct()
     edges = scratch.save(edges, "edges")
     sets = scratch.save(signed.select("id", "n", "d1", "d2"), "sets")
     scratch.drop("signed", "shared", "members", "asked")

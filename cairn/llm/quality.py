@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import mix, text_buffer, word_hashes
-from .shingles import PART
 
 #: Labelled rows that the model is fitted on, at most; which ones, a hash of their ids decides.
 SAMPLE = 4000
@@ -35,33 +34,56 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Bytes of text whose terms are sorted together, and rows at most.
+GROUP, GROUP_ROWS = 1 << 18, 1 << 13
+_TERM_BITS = (TERMS - 1).bit_length()
+
+
+def _repeats(w: np.ndarray) -> np.ndarray:
+    """Shares of words like the one before, and of pairs, triples and words that the text had before."""
+    if len(w) < 4:
+        return np.zeros(EXTRA)
+    two = mix(w[:-1] * np.uint64(3) + w[1:])
+    three = mix(two[:-1] * np.uint64(3) + w[2:])
+    return np.array([(w[1:] == w[:-1]).mean(), *(1 - len(np.unique(x)) / len(x) for x in (two, three, w))])
+
+
+def _group_terms(data: np.ndarray, lengths: np.ndarray, words: np.ndarray, counts: np.ndarray):
+    """For each row of some, its terms in ascending order and their shares."""
+    rows = len(lengths)
+    row = np.repeat(np.arange(rows, dtype=np.uint32), lengths)
+    of_word = np.repeat(np.arange(rows, dtype=np.uint32), counts)
+    shift = np.uint32(_TERM_BITS)
+    keys = [(of_word << shift) + np.uint32(N_CLASSES**3) + (words >> np.uint64(47)).astype(np.uint32)]
+    if len(data) > 2:
+        c = _CLASSES[data].astype(np.uint32)
+        tri = (c[:-2] * np.uint32(N_CLASSES) + c[1:-1]) * np.uint32(N_CLASSES) + c[2:]
+        keys.append(((row[2:] << shift) + tri)[row[:-2] == row[2:]])
+    if len(data) > 3:
+        x = _LOWER[data].astype(np.uint32)
+        x = (x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)) * np.uint32(0x9E3779B1)
+        run = ((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(16)) + np.uint32(N_CLASSES**3 + WORDS)
+        keys.append(((row[3:] << shift) + run)[row[:-3] == row[3:]])
+    keys = np.sort(np.concatenate(keys))
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    n, of, term = np.diff(starts, append=len(keys)), keys[starts] >> shift, (keys[starts] & np.uint32((1 << _TERM_BITS) - 1)).astype(np.int64)
+    kind = (term >= N_CLASSES**3).astype(np.int64) + (term >= N_CLASSES**3 + WORDS)
+    share = n / np.maximum(1, np.stack([lengths - 2, counts, lengths - 3]))[kind, of]
+    cuts, ends = np.searchsorted(of, np.arange(rows + 1)), np.cumsum(counts)
+    for i in range(rows):
+        extra = _repeats(words[ends[i] - counts[i] : ends[i]])
+        mine = slice(cuts[i], cuts[i + 1])
+        yield np.concatenate([term[mine], TERMS - EXTRA + np.flatnonzero(extra)]), np.concatenate([share[mine], extra[extra > 0]])
+
+
 def term_counts(column):
     """For each row of an Arrow string column, its terms and their shares of the text, from the whole text."""
     data, offsets = text_buffer(column)
     lo = 0
     while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PART, "right")) - 1)
+        hi = max(lo + 1, min(lo + GROUP_ROWS, int(np.searchsorted(offsets, offsets[lo] + GROUP, "right")) - 1))
         words, counts = word_hashes(data, offsets[lo : hi + 1])
-        ends = np.cumsum(counts)
-        for i in range(lo, hi):
-            c = _CLASSES[data[offsets[i] : offsets[i + 1]]]
-            w = words[ends[i - lo] - counts[i - lo] : ends[i - lo]]
-            terms, n = np.unique((c[:-2] * N_CLASSES + c[1:-1]) * N_CLASSES + c[2:], return_counts=True) if len(c) > 2 else (np.empty(0, np.int64), np.empty(0, np.int64))
-            share = n / max(1, len(c) - 2)
-            if len(w):
-                at, n = np.unique((w >> np.uint64(47)).astype(np.uint32), return_counts=True)
-                terms, share = np.concatenate([terms, N_CLASSES**3 + at.astype(np.int64)]), np.concatenate([share, n / len(w)])
-            if len(c) > 3:
-                x = _LOWER[data[offsets[i] : offsets[i + 1]]].astype(np.uint32)
-                x = (x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)) * np.uint32(0x9E3779B1)
-                at, n = np.unique(((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.uint16), return_counts=True)
-                terms, share = np.concatenate([terms, N_CLASSES**3 + WORDS + at.astype(np.int64)]), np.concatenate([share, n / len(x)])
-            if len(w) > 3:
-                two = mix(w[:-1] * np.uint64(3) + w[1:])
-                three = mix(two[:-1] * np.uint64(3) + w[2:])
-                extra = np.array([(w[1:] == w[:-1]).mean(), 1 - len(np.unique(two)) / len(two), 1 - len(np.unique(three)) / len(three), 1 - len(np.unique(w)) / len(w)])
-                terms, share = np.concatenate([terms, TERMS - EXTRA + np.flatnonzero(extra)]), np.concatenate([share, extra[extra > 0]])
-            yield terms, share
+        yield from _group_terms(data[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1]), words, counts)
         lo = hi
 
 
@@ -87,8 +109,8 @@ class Model:
         # randomised truncated SVD of the labelled rows, which stay sparse
         rank = max(1, min(rank, *shape)) if min(shape) else 0
         q = np.random.default_rng(seed).standard_normal((shape[1], min(rank + 12, shape[1]))).astype(np.float32) if rank else np.zeros((shape[1], 0), np.float32)
-        for _ in range(4 if rank else 0):
-            q, _ = np.linalg.qr(back(times(q)))
+        for _ in range(2 if rank else 0):
+            q = self._orthonormal(back(times(q)))
         if rank:
             _, _, v = np.linalg.svd(times(q), full_matrices=False)
             q = q @ v[:rank].T
@@ -102,6 +124,13 @@ class Model:
         norm = np.sqrt((w * w).sum())
         return w / norm if norm else w
 
+    @staticmethod
+    def _orthonormal(x):
+        """A basis of the columns' space, through their small Gram matrix."""
+        values, v = np.linalg.eigh(x.T.astype(np.float64) @ x)
+        keep = values > 1e-10 * max(values.max(), 1e-300)
+        return (x @ (v[:, keep] / np.sqrt(values[keep])).astype(np.float32)).astype(np.float32)
+
     @staticmethod
     def _normal(x):
         n = np.linalg.norm(x, axis=1, keepdims=True)

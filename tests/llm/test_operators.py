@@ -316,6 +316,8 @@ def test_signature_tree_and_routing():
             near = labels_of(120, jaccard_join.narrow(maps, sizes, sides, num, den))
             assert all(near[i] == near[j] for i, j in pairs if not sides.any() or sides[i] != sides[j])
             assert len(set(near)) >= 5  # sets of different texts are told apart
+        two = set(jaccard_join.narrow_pairs(maps, sizes, np.arange(119), num, den).tolist())
+        assert two == {i for i in range(119) if jaccard_join.narrow(maps[i : i + 2], sizes[i : i + 2], np.zeros(2, int), num, den)}
 
 
 # ---- 9
