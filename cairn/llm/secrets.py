@@ -22,9 +22,29 @@ WIDTH = len(ALPHABET) + 1
 BACKOFF = 10.0
 
 
+#: Elements that one step of a running value goes through.
+STRIDE = 256
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, combine, start: int) -> Column:
+    """For each element of a long array, combine() of all before it (start for the first). By strides: linear for all practical lengths."""
+    def run(items, of):
+        state = F.struct(F.lit(start).cast("long").alias("acc"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(items, state, lambda s, x: F.struct(combine(s["acc"], of(x)).alias("acc"), F.concat(s["out"], F.array(s["acc"])).alias("out")))
+
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / STRIDE).cast("int")), lambda k: run(F.slice(values, k * STRIDE + 1, STRIDE), lambda x: x))
+    return _let(strides, lambda parts: F.flatten(F.zip_with(parts, run(parts, lambda p: p["acc"])["out"], lambda p, before: F.transform(p["out"], lambda x: combine(x, before)))))
+
+
 def _pairs(text: Column) -> Column:
     """Indices of each character with the one before it: previous * WIDTH + this."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.when(i > 1, F.instr(F.lit(ALPHABET), F.substring(text, i - 1, 1))).otherwise(0) * WIDTH + F.instr(F.lit(ALPHABET), F.substring(text, i, 1)))
+    at = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return _let(at, lambda a: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(a, 1, F.size(a) - 1)), a, lambda before, this: before * WIDTH + this))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -75,26 +95,39 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, size: i
     return samples
 
 
+_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None, group: int | None = None) -> Column:
     """Array of (start, kind, end, value) of all leftmost matches: the gaps between them give their places. Code points, end exclusive."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = match if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gap = F.transform(F.split(text, pattern, -1), F.char_length)
-    rows = F.arrays_zip(gap.alias("gap"), match.alias("match"), inner.alias("inner"))
-    found = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.coalesce(x["gap"], F.lit(0)) + F.coalesce(F.char_length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (s["at"] + x["gap"] + F.char_length(x["match"])).cast("int").alias("end"), x["inner"].alias("value"))))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return found if keep is None else F.filter(found, keep)
+
+    def placed(rows):
+        before = _running(F.transform(rows, lambda x: (x["gap"] + x["size"]).cast("long")), lambda a, b: a + b, 0)
+        return F.zip_with(rows, before, lambda x, at: F.struct((at + x["gap"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["size"]).cast("int").alias("end"), x["inner"].alias("value")))
+
+    rows = _let(match, lambda m: F.zip_with(F.arrays_zip(m.alias("match"), inner.alias("inner")), F.slice(gap, 1, F.greatest(F.size(m), F.lit(0))), lambda x, g: F.struct(g.alias("gap"), F.char_length(x["match"]).alias("size"), x["inner"].alias("inner"))))
+    found = _let(rows, placed)
+    return (found if keep is None else F.filter(found, keep)).cast(_SPAN)
+
+
+def _apart(candidates: Column, base: Column) -> Column:
+    """Candidates that no base span overlaps: in the order of base starts and candidates' ends, none of the ends before reaches a candidate's start."""
+    event = lambda at, is_base, s: F.struct(at.cast("int").alias("at"), F.lit(is_base).alias("base"), s.alias("s"))
+    events = F.array_sort(F.concat(F.transform(base, lambda s: event(s["start"], 1, s)), F.transform(candidates, lambda s: event(s["end"], 0, s))))
+
+    def free(every):
+        reach = _running(F.transform(every, lambda e: F.when(e["base"] == 1, e["s"]["end"]).otherwise(0).cast("long")), F.greatest, 0)
+        marked = F.zip_with(every, reach, lambda e, r: F.struct(((e["base"] == 0) & (r <= e["s"]["start"])).alias("free"), e["s"].alias("s")))
+        return F.transform(F.filter(marked, lambda m: m["free"]), lambda m: m["s"])
+
+    return F.when(F.size(candidates) > 0, _let(events, free)).otherwise(candidates)
 
 
 def _if_any(text: Column, pattern: str, spans: Column) -> Column:
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
 def listed(spans: Column) -> Column:
@@ -109,6 +142,7 @@ def scan_secrets(docs: DataFrame, model: list[float], threshold: float = 1.5, id
     base: matches of the fixed patterns, leftmost and non-overlapping for each kind; assignments count if the value has 8
     characters or more. spans adds candidates that no base span touches and whose mean log-likelihood ratio is threshold bits
     a character or more. Null and empty texts have no spans; rows are independent, so repeats and null ids need no care.
+    Other columns of docs are not read, whatever their names. The work grows with a text's length, whatever it holds.
     """
     ratios = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folded to one constant
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -121,5 +155,4 @@ def scan_secrets(docs: DataFrame, model: list[float], threshold: float = 1.5, id
     score = lambda v: F.aggregate(_pairs(v), F.lit(0.0), lambda a, i: a + F.element_at(ratios, (i + 1).cast("int"))) / F.char_length(v)
     likely = _if_any(text, CANDIDATE, _spans(text, CANDIDATE, 3, lambda s: score(s["value"]) >= threshold))
     rows = rows.select("id", base.alias("base"), likely.alias("likely"))
-    extra = F.filter("likely", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select("id", "base", F.concat("base", extra).alias("spans"))
+    return rows.select("id", "base", F.concat("base", _apart(F.col("likely"), F.col("base"))).alias("spans"))
