@@ -37,6 +37,17 @@ def _unpacked(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=dtype) if ascending else x
 
 
+def _packed_samples(x: np.ndarray) -> bytes:
+    """Values of some samples, a row each, in 32-bit floats; most are the same in all samples, so what changes is packed."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32).copy()
+    bits[1:] ^= bits[:-1].copy()
+    return _packed(bits.ravel())
+
+
+def _unpacked_samples(data: bytes) -> np.ndarray:
+    return np.bitwise_xor.accumulate(_unpacked(data, np.uint32).reshape(SAMPLES, -1), axis=0).view(np.float32)
+
+
 # ---- tokens, in rows of some million
 
 
@@ -83,9 +94,9 @@ def _owners(words, buckets):
     return _runs(((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
 
 
-def _joined(parts, name, dtype):
+def _joined(parts, name, unpack):
     """A column of packed parts, in the order of buckets."""
-    return np.concatenate([_unpacked(x[name], dtype) for x in sorted(parts, key=lambda x: x["bucket"]) if x[name] is not None])
+    return np.concatenate([unpack(x[name]) for x in sorted(parts, key=lambda x: x["bucket"]) if x[name] is not None], axis=-1)
 
 
 # ---- seating
@@ -162,7 +173,7 @@ def _gibbs(rng, c, t, weight, discount):
 
 
 def _seating(w, u, c, guests, tokens, seed):
-    """Mean tables of each dish (word w, context u, c customers) and of each word in the shared parent, and the parent's mean customers, over samples.
+    """Mean tables of each dish (word w, context u, c customers); and of each sample, the tables of each context, and tables and customers of each word in the shared parent.
 
     A task has all contexts of its words, and the customers (guests) of each context exactly. What it needs of the contexts'
     other words, their tables, it takes from its own in proportion to the customers; the predictions later use exact sums.
@@ -174,7 +185,7 @@ def _seating(w, u, c, guests, tokens, seed):
     grown = lambda t: np.bincount(u, weights=t, minlength=len(guests)) * share
     t = _seat(rng, c, (STRENGTH + DISCOUNT * 0.3 * guests[u]) * p[w], DISCOUNT)
     root = None
-    sums = [np.zeros(len(c)), np.zeros(n_words), np.zeros(n_words)]
+    mean, samples = np.zeros(len(c)), []
     scale = tokens / max(1, c.sum())
     for sweep in range(BURN_IN + SAMPLES):
         customers = np.bincount(w, weights=t, minlength=n_words)
@@ -190,9 +201,9 @@ def _seating(w, u, c, guests, tokens, seed):
             t = _gibbs(rng, c, t, (STRENGTH + DISCOUNT * grown(t)[u]) * p[w], DISCOUNT)
         if sweep >= BURN_IN:
             customers = np.bincount(w, weights=t, minlength=n_words)
-            for total_, now in zip(sums, (t, np.minimum(root, customers), customers)):
-                total_ += now / SAMPLES
-    return sums
+            mean += t / SAMPLES
+            samples.append((np.bincount(u, weights=t, minlength=len(guests)), np.minimum(root, customers), customers))
+    return mean, *map(np.array, zip(*samples))
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +226,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     tokens = scratch.save(rows.mapInArrow(_tokens, _TOKENS), "tokens")
 
     total, size = tokens.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(8, int(size // CHUNK))
+    # tasks that sample: one for each CHUNK tokens, and up to 8 where these are fewer but not few
+    buckets = max(1, min(8, int(size >> 17)), int(size // CHUNK))
 
     def listed(batches):
         for pdf in batches:
@@ -241,7 +253,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         for pdf in batches:
             for r in pdf.itertuples():
                 words, lengths, at = _unpacked(r.words, np.uint64, True), _unpacked(r.lengths, np.uint32), _unpacked(r.at, np.uint32)
-                counts, width = _joined(r.known, "counts", np.uint64), len(words)
+                counts, width = _joined(r.known, "counts", lambda x: _unpacked(x, np.uint64)), len(words)
                 dish = _dishes(words, lengths, at)
                 keys, n = np.unique(dish, return_counts=True)
                 held = np.repeat(np.array(r.held, bool), lengths)
@@ -269,47 +281,49 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         trained = n > 0
         used, w = np.unique(dishes[trained] // width, return_inverse=True)
         u, n = dishes[trained] % width, n[trained]
-        t, root, customers = _seating(w, u, n, guests, total, int(pdf["bucket"].iloc[0]))
-        rest, roots = np.zeros(len(dishes), np.float32), np.zeros(len(words), np.float32)
-        rest[trained], roots[used] = n - DISCOUNT * t, customers - ROOT_DISCOUNT * root
-        tables = np.bincount(u, weights=t, minlength=width)
+        t, tables, root, customers = _seating(w, u, n, guests, total, int(pdf["bucket"].iloc[0]))
+        rest, roots = np.zeros(len(dishes), np.float32), np.zeros((SAMPLES, len(words)), np.float32)
+        rest[trained], roots[:, used] = n - DISCOUNT * t, customers - ROOT_DISCOUNT * root
+        hosts = tables[0] > 0  # a context with customers has a table in every sample
         return pd.DataFrame({
             "bucket": pdf["bucket"][:1].tolist(), "chunks": [pdf["chunk"].tolist()], "words": [[_packed(x.astype(np.uint32), True) for x in places]],
             "places": [[_packed(at[i:j].astype(np.uint32), True) for i, j in zip(starts, starts[1:])]],
-            "rest": [_packed(rest.view(np.uint32))], "roots": [_packed(roots.view(np.uint32))], "contexts": [_packed(contexts[tables > 0], True)], "tables": [_packed(tables[tables > 0].view(np.uint64))],
-            "root_tables": [float(root.sum())], "root_guests": [float(customers.sum())],
+            "rest": [_packed(rest.view(np.uint32))], "roots": [_packed_samples(roots)], "contexts": [_packed(contexts[hosts], True)], "tables": [_packed_samples(tables[:, hosts])],
+            "root_tables": [root.sum(1).tolist()], "root_guests": [customers.sum(1).tolist()],
         })
 
     requests = numbered.select("chunk", "held", "lengths", "words", "at", "known").mapInPandas(asked, "bucket long, chunk long, words binary, contexts binary, guests binary, dishes binary, n binary")
-    state = scratch.save(requests.groupBy("bucket").applyInPandas(seated, "bucket long, chunks array<long>, words array<binary>, places array<binary>, rest binary, roots binary, contexts binary, tables binary, root_tables double, root_guests double"), "state")
-    root_tables, root_guests = state.agg(F.coalesce(F.sum("root_tables"), F.lit(0.0)), F.coalesce(F.sum("root_guests"), F.lit(0.0))).first()
+    state = scratch.save(requests.groupBy("bucket").applyInPandas(seated, "bucket long, chunks array<long>, words array<binary>, places array<binary>, rest binary, roots binary, contexts binary, tables binary, root_tables array<double>, root_guests array<double>"), "state")
+    sample = lambda k: [F.coalesce(F.sum(F.element_at(c, k + 1)), F.lit(0.0)) for c in ("root_tables", "root_guests")]
+    root = state.agg(*[c.alias(f"{k}{n}") for k in range(SAMPLES) for n, c in enumerate(sample(k))]).first()
+    root_tables, root_guests = (np.array(root[n::2])[:, None] for n in (0, 1))
 
     def dealt(batches):
         for pdf in batches:
             for chunk, x, y in zip(pdf["chunk"], pdf["words"], pdf["tables"]):
                 words = _unpacked(x, np.uint64, True)
-                tables = None if y is None else _unpacked(y, np.uint64)
+                tables = None if y is None else _unpacked_samples(y)
                 for b, lo, hi in _owners(words, buckets):
-                    yield pd.DataFrame({"bucket": [b], "chunk": [chunk], "words": [_packed(words[lo:hi], True)], "tables": pd.Series([None if tables is None else _packed(tables[lo:hi])], dtype=object)})
+                    yield pd.DataFrame({"bucket": [b], "chunk": [chunk], "words": [_packed(words[lo:hi], True)], "tables": pd.Series([None if tables is None else _packed_samples(tables[:, lo:hi])], dtype=object)})
 
     def summed(pdf):
         parts = [_unpacked(x, np.uint64, True) for x in pdf["words"]]
         words, at = np.unique(np.concatenate(parts), return_inverse=True)
-        sums, starts, out = np.zeros(len(words)), np.cumsum([0, *map(len, parts)]), []
+        sums, starts, out = np.zeros((SAMPLES, len(words))), np.cumsum([0, *map(len, parts)]), []
         for i, j, tables in zip(starts, starts[1:], pdf["tables"]):
             if tables is not None:
-                sums[at[i:j]] += _unpacked(tables, np.uint64).view(np.float64)
+                sums[:, at[i:j]] += _unpacked_samples(tables)
         for chunk, i, j in zip(pdf["chunk"], starts, starts[1:]):
             if chunk >= 0:
-                out.append((chunk, _packed(sums[at[i:j]].astype(np.float32).view(np.uint32))))
+                out.append((chunk, _packed_samples(sums[:, at[i:j]])))
         return pd.DataFrame({"chunk": [x for x, _ in out], "bucket": pdf["bucket"].iloc[0], "rest": pd.Series([None] * len(out), dtype=object), "roots": pd.Series([None] * len(out), dtype=object), "tables": [x for _, x in out]})
 
     def answered(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                rest, roots = _unpacked(r.rest, np.uint32), _unpacked(r.roots, np.uint32)
+                rest, roots = _unpacked(r.rest, np.uint32), _unpacked_samples(r.roots)
                 for chunk, a, b in zip(r.chunks, r.words, r.places):
-                    yield pd.DataFrame({"chunk": [chunk], "bucket": [r.bucket], "rest": [_packed(rest[_unpacked(b, np.uint32, True)])], "roots": [_packed(roots[_unpacked(a, np.uint32, True)])], "tables": pd.Series([None], dtype=object)})
+                    yield pd.DataFrame({"chunk": [chunk], "bucket": [r.bucket], "rest": [_packed(rest[_unpacked(b, np.uint32, True)])], "roots": [_packed_samples(roots[:, _unpacked(a, np.uint32, True)])], "tables": pd.Series([None], dtype=object)})
 
     reply = "chunk long, bucket long, rest binary, roots binary, tables binary"
     replies = state.select("bucket", "chunks", "words", "places", "rest", "roots").mapInPandas(answered, reply)
@@ -320,12 +334,16 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         for pdf in batches:
             for r in pdf.itertuples():
                 words, lengths, at = _unpacked(r.words, np.uint64, True), _unpacked(r.lengths, np.uint32), _unpacked(r.at, np.uint32)
-                counts = _joined(r.known, "counts", np.uint64).astype(np.float64)
-                rest, roots, tables = (_joined(r.parts, x, np.uint32).view(np.float32).astype(np.float64) for x in ("rest", "roots", "tables"))
+                counts = _joined(r.known, "counts", lambda x: _unpacked(x, np.uint64)).astype(np.float64)
+                rest = _joined(r.parts, "rest", lambda x: _unpacked(x, np.uint32)).view(np.float32).astype(np.float64)
+                roots, tables = (_joined(r.parts, x, _unpacked_samples).astype(np.float64) for x in ("roots", "tables"))
                 keys, which = np.unique(_dishes(words, lengths, at), return_inverse=True)
                 w, u = keys // len(words), keys % len(words)
                 p = (np.maximum(roots, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1)) / (ROOT_STRENGTH + root_guests)
-                logs = np.log10((np.maximum(rest, 0) + (STRENGTH + DISCOUNT * tables[u]) * p[w]) / (STRENGTH + counts[u]))
+                logs = np.maximum(rest, 0)
+                for of_context, of_word in zip(tables, p):  # the mean of all samples' predictions
+                    logs += (STRENGTH + DISCOUNT * of_context[u]) * of_word[w] / SAMPLES
+                logs = np.log10(logs / (STRENGTH + counts[u]))
                 base = np.log10((counts + 0.5) / (total + 0.5 * (known + 1)))
                 starts = np.cumsum(lengths.astype(np.int64)) - lengths
                 yield pd.DataFrame({"id": list(r.ids), "held_out": np.array(r.held, bool), "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((counts[at] > 0).astype(np.int64), starts), "base_score": np.add.reduceat(base[at], starts), "score": np.add.reduceat(logs[which], starts)})
