@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch
+from .common import SPACES, Scratch, attach
 
 #: Bits of a filter that one row holds while filters are merged.
 SEGMENT = 1 << 19
 PROBES = 2
+#: Nodes of the merging tree below one node.
+FAN_IN = 32
 #: A filter never takes more bits (64 MB): beyond, more lines are suspected and confirmed exactly, with the same results.
 MAX_BITS = 1 << 29
 
@@ -41,8 +43,8 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
 def repeated_filter(docs: DataFrame, bits: int, least: int) -> dict[int, bytes]:
     """The filter of lines seen twice, as its non-empty segments. Lines count once for each document.
 
-    Each task gives the bit positions that its lines set, and those set by two or more; merging by segment, a bit that two
-    tasks set has been hit twice. So every line of two documents has all its bits in the filter; others rarely.
+    Each task gives the bit positions that its lines set, and those set by two or more; merging by segment in a tree, a bit
+    that two tasks set has been hit twice. So every line of two documents has all its bits in the filter; others rarely.
     """
     def local(batches):
         for pdf in batches:
@@ -67,10 +69,23 @@ def repeated_filter(docs: DataFrame, bits: int, least: int) -> dict[int, bytes]:
             at = np.frombuffer(at, np.uint32)
             twice[at] |= once[at] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
             once[at] = True
-        return pd.DataFrame({"segment": pdf["segment"][:1], "bits": [np.packbits(twice).tobytes()]})
+        return pd.DataFrame({"segment": pdf["segment"][:1], "node": pdf["node"][:1] // FAN_IN, "once": [np.packbits(once).tobytes()], "twice": [np.packbits(twice).tobytes()]})
 
-    parts = docs.select("text").mapInPandas(local, "segment long, at binary, twice binary")
-    return {r["segment"]: r["bits"] for r in parts.groupBy("segment").applyInPandas(merge, "segment long, bits binary").toLocalIterator()}
+    def merge_again(pdf):
+        once, twice = np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
+        for x, y in zip(pdf["once"], pdf["twice"]):
+            x = np.frombuffer(x, np.uint8)
+            twice |= np.frombuffer(y, np.uint8) | once & x
+            once |= x
+        return pd.DataFrame({"segment": pdf["segment"][:1], "node": pdf["node"][:1] // FAN_IN, "once": [once.tobytes()], "twice": [twice.tobytes()]})
+
+    # a tree over the tasks: no group takes the bitmaps of more than FAN_IN nodes, whatever the number of tasks
+    parts = docs.select("text").mapInPandas(local, "segment long, at binary, twice binary").withColumn("node", F.spark_partition_id().cast("long"))
+    nodes, schema = docs.rdd.getNumPartitions(), "segment long, node long, once binary, twice binary"
+    merged = parts.groupBy("segment", F.expr(f"node div {FAN_IN}")).applyInPandas(merge, schema)
+    while (nodes := -(-nodes // FAN_IN)) > 1:
+        merged = merged.groupBy("segment", F.expr(f"node div {FAN_IN}")).applyInPandas(merge_again, schema)
+    return {r["segment"]: r["twice"] for r in merged.select("segment", "twice").toLocalIterator()}
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -79,7 +94,8 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     A line's key is the line without white space around it, A-Z lower-cased. Keys of at least `least` code points found in
     two documents lose all their lines except those of the smallest id. Other lines stay, joined by \\n. Null and empty texts
     are one empty line. Rows that share an id are one document for this, and each keeps its lines where the id is the smallest;
-    rows with a null id are never compared and stay whole. An empty table gives no rows.
+    rows with a null id are never compared and stay whole. Other columns of docs are not read, whatever their names. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -108,9 +124,8 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
 
     scanned = scratch.save(docs.mapInPandas(suspects, "id long, text string, n_lines long, asked array<binary>"), "scanned")
     asked = scratch.save(scanned.select("id", F.explode("asked").alias("key")), "asked")
-    first = scratch.save(asked.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "first")
-    # both sides are written tables without repeats of a key on the right: Spark splits the tasks of a hot line
-    drops = asked.join(first, "key").where("id <> first").groupBy("id").agg(F.collect_set("key").alias("drops"))
+    first = scratch.save(asked.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("holders")).where("first < last").select("key", "first", "holders"), "first")
+    drops = attach(asked, first, "key", "holders", asked.count()).where("id <> first").groupBy("id").agg(F.collect_set("key").alias("drops"))
 
     def finish(batches):
         for pdf in batches:

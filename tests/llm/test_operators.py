@@ -86,7 +86,7 @@ def test_secret_model_on_held_out_strings(spark):
 # ---- 2
 
 
-def test_line_dedup(spark, rest):
+def test_line_dedup(spark, rest, monkeypatch):
     lines = {i: t.split("\n") for i, t in TEXTS.items()}
     first = defaultdict(set)
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))
@@ -94,8 +94,9 @@ def test_line_dedup(spark, rest):
         for x in ls:
             if len(key(x)) >= 10:
                 first[key(x)].add(i)
-    for bits in (1 << 29, 1 << 19):
-        got = line_dedup.dedup_lines(rest, max_bits=bits).collect()
+    for bits, fan_in in ((1 << 29, 32), (1 << 19, 2)):
+        monkeypatch.setattr(line_dedup, "FAN_IN", fan_in)
+        got = line_dedup.dedup_lines(rest.repartition(7) if fan_in == 2 else rest, max_bits=bits).collect()
         assert len(got) == rest.count()
         for r in got:
             if r["id"] is None:
