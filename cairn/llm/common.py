@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,11 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where it is unset on a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "cairn-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -103,6 +108,64 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
         now, step = now_after, step + 1
 
 
+# ---- memory of Python workers, which serve one stage after another
+
+_KEPT: dict[str, dict] = {}
+_given = 0.0
+
+
+def kept(name: str) -> dict:
+    """What a worker keeps for an operator from task to task; gone when it is given a task of another one."""
+    return _KEPT.setdefault(name, {})
+
+
+def _give_back(every: float = 0.0) -> None:
+    """Returns freed memory to the system, as allocators would keep it while the worker stands idle; at most once in so many seconds."""
+    global _given
+    if time.monotonic() - _given >= every:
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            import ctypes
+
+            ctypes.CDLL(None).malloc_trim(0)
+        _given = time.monotonic()
+
+
+def _enter(name: str) -> None:
+    for other in _KEPT.keys() - {name}:
+        _KEPT[other].clear()
+
+
+def in_task(name: str):
+    """For functions over a task's batches: forgets what other operators kept, and gives memory back at the end."""
+    def wrap(run):
+        def inner(batches):
+            _enter(name)
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+        return inner
+
+    return wrap
+
+
+def in_group(name: str):
+    """The same for functions of one group."""
+    def wrap(run):
+        def inner(pdf):
+            _enter(name)
+            try:
+                return run(pdf)
+            finally:
+                _give_back(1.0)
+
+        return inner
+
+    return wrap
+
+
 # ---- hashes of words, in numpy within tasks
 
 _RNG = np.random.default_rng(20240607)
@@ -182,7 +245,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of an Arrow string column; null counts as empty."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     column = pc.fill_null(column.cast(pa.large_string()), "")

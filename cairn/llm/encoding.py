@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import text_buffer
+from .common import kept, text_buffer
 
 #: Entries of one generation of a worker's memory: parts, and pieces made of several. Two generations are kept, and strings of
 #: over LONGEST characters never are, so a memory takes some 100 MB at most.
-PARTS, PIECES, LONGEST = 160_000, 50_000, 48
+PARTS, PIECES, LONGEST = 120_000, 40_000, 48
 #: Bytes of text that are cut at once.
 SLICE = 3 << 20
 
@@ -61,15 +61,14 @@ class Encoder:
     stands before it. Work and memory grow with the text's length only, whatever it holds.
     """
 
-    _own: dict[tuple[str, str], Encoder] = {}
-
     @classmethod
     def of(cls, path: str, kind: str) -> Encoder:
-        """The worker's own, which it keeps from task to task; only the last one asked for."""
-        if (path, kind) not in cls._own:
-            cls._own.clear()
-            cls._own[path, kind] = cls(path, kind)
-        return cls._own[path, kind]
+        """The worker's own, which it keeps from task to task while these encode; only the last one asked for."""
+        own = kept("encoding")
+        if (path, kind) not in own:
+            own.clear()
+            own[path, kind] = cls(path, kind)
+        return own[path, kind]
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,9 +92,11 @@ class Encoder:
         for p in parts:
             parts[p] = self.parts.get(p)
         unknown = [p for p, x in parts.items() if x is None]
-        for p, x in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-            parts[p] = np.array(x.ids, self.dtype).tobytes()
-            self.parts.put(p, parts[p])
+        for lo in range(0, len(unknown), 2048):  # the library's answers are large
+            some = unknown[lo : lo + 2048]
+            for p, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                parts[p] = np.array(x.ids, self.dtype).tobytes()
+                self.parts.put(p, parts[p])
         get = parts.__getitem__
         for i, x in zip(new, split):
             out[i] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, connected_components, mix, prefilter
+from .common import Scratch, attach, connected_components, in_group, in_task, mix, prefilter
 from .shingles import shingle_sets
 
 #: Shingles in one block of a group; larger groups are compared block by block.
@@ -62,6 +62,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 def _signed(words: int, num: int, den: int):
     """Per batch: of each distinct set its signatures, those that another set of the batch has too being links to that one."""
+    @in_task("jaccard")
     def run(batches):
         for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):  # bounds what a task holds
             n, d1, d2, maps, keys, owner, seen = [], [], [], [], [], [], set()
@@ -94,6 +95,7 @@ def _signed(words: int, num: int, den: int):
     return run
 
 
+@in_task("jaccard")
 def _stars(batches):
     """Rows (sig, d1) sorted: each further d1 of a signature, with the first one."""
     sig, head = None, None
@@ -262,6 +264,7 @@ def _narrowed(num: int, den: int):
             b.append(d[pairs[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
+    @in_task("jaccard")
     def run(batches):
         rest = None  # rows of the group that may go on in the next batch
         for batch in (b.slice(lo, 4096) for b in batches for lo in range(0, b.num_rows, 4096)):
@@ -317,6 +320,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id
     blocks = asked.groupBy("component").agg(F.sum("n").alias("work"), F.count("*").alias("members")).where("members > 1").select("component", F.ceil(F.col("work") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     routed = scratch.save(spread(asked.join(blocks, "component"), "rep").select(F.col("rep").alias("id"), "component", "i", "j", "side"), "routed")
 
+    @in_group("jaccard")
     def verify(pdf):
         sets = list(shingle_sets(pa.array(pdf["text"]), words))
         ids = pdf["id"].to_numpy()

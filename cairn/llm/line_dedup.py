@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, attach
+from .common import SPACES, Scratch, attach, in_group, in_task
 
 #: Bits of a filter that one row holds while filters are merged.
 SEGMENT = 1 << 19
@@ -46,6 +46,7 @@ def repeated_filter(docs: DataFrame, bits: int, least: int) -> dict[int, bytes]:
     Each task gives the bit positions that its lines set, and those set by two or more; merging by segment in a tree, a bit
     that two tasks set has been hit twice. So every line of two documents has all its bits in the filter; others rarely.
     """
+    @in_task("lines")
     def local(batches):
         for pdf in batches:
             found = [np.empty(0, np.uint64)]
@@ -63,6 +64,7 @@ def repeated_filter(docs: DataFrame, bits: int, least: int) -> dict[int, bytes]:
                 "twice": [np.packbits(x > 1).tobytes() for x in np.split(hit, cuts)],
             })
 
+    @in_group("lines")
     def merge(pdf):
         once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
         for at, more in zip(pdf["at"], pdf["twice"]):
@@ -71,6 +73,7 @@ def repeated_filter(docs: DataFrame, bits: int, least: int) -> dict[int, bytes]:
             once[at] = True
         return pd.DataFrame({"segment": pdf["segment"][:1], "node": pdf["node"][:1] // FAN_IN, "once": [np.packbits(once).tobytes()], "twice": [np.packbits(twice).tobytes()]})
 
+    @in_group("lines")
     def merge_again(pdf):
         once, twice = np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
         for x, y in zip(pdf["once"], pdf["twice"]):
@@ -106,6 +109,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     bits = 1 << max(19, min(int(max_bits).bit_length() - 1, int(16 * lines).bit_length()))
     segments = spark.sparkContext.broadcast(repeated_filter(docs, bits, least))
 
+    @in_task("lines")
     def suspects(batches):
         packed = np.zeros(bits // 8, np.uint8)
         for k, x in segments.value.items():
@@ -127,6 +131,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     first = scratch.save(asked.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("holders")).where("first < last").select("key", "first", "holders"), "first")
     drops = attach(asked, first, "key", "holders", asked.count()).where("id <> first").groupBy("id").agg(F.collect_set("key").alias("drops"))
 
+    @in_task("lines")
     def finish(batches):
         for pdf in batches:
             dropped, texts = [], []

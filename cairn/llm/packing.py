@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_task
 from .encoding import Encoder, with_ends
 
 _PIECE = ["id", "piece", "start", "length", "ids_crc32", "task", "number"]
@@ -88,6 +88,7 @@ def pack(docs: DataFrame, tokenizer_path: str, kind: str = "bytes", end_id: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
 
+    @in_task("encoding")
     def cut(batches):
         encoder, seen = Encoder.of(tokenizer_path, kind), np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
@@ -121,6 +122,7 @@ def pack(docs: DataFrame, tokenizer_path: str, kind: str = "bytes", end_id: int
     plan = np.array(sorted(ranges), np.int64).reshape(len(ranges), 6)
     plan = spark.sparkContext.broadcast(plan)
 
+    @in_task("encoding")
     def place(batches):
         length, first, _, copies, bins, offset = plan.value.T
         least = np.searchsorted(length, np.arange(capacity + 2))

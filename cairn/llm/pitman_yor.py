@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix
+from .common import Scratch, in_group, in_task, mix
 from .shingles import word_batches
 
 #: Tokens that one row of the token table holds, about.
@@ -51,6 +51,7 @@ def _unpacked_samples(data: bytes) -> np.ndarray:
 # ---- tokens, in rows of some million
 
 
+@in_task("pitman-yor")
 def _tokens(batches):
     part, seq = TaskContext.get().partitionId(), 0
     ids, held, lengths, hashes, size = [], [], [], [], 0
@@ -229,6 +230,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     # tasks that sample: one for each CHUNK tokens, and up to 8 where these are fewer but not few
     buckets = max(1, min(8, int(size >> 17)), int(size // CHUNK))
 
+    @in_task("pitman-yor")
     def listed(batches):
         for pdf in batches:
             for r in pdf.itertuples():
@@ -236,6 +238,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 for b, lo, hi in _owners(words, buckets):
                     yield pd.DataFrame({"bucket": [b], "chunk": [r.chunk], "words": [_packed(words[lo:hi], True)], "train": [_packed(train[lo:hi])]})
 
+    @in_group("pitman-yor")
     def counted(pdf):
         parts = [_unpacked(x, np.uint64, True) for x in pdf["words"]]
         words, at = np.unique(np.concatenate(parts), return_inverse=True)
@@ -249,6 +252,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     numbered = scratch.save(tokens.select("chunk", "ids", "held", "lengths", "words", "at").join(counts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("known")), "chunk"), "numbered")
     scratch.drop("tokens", "counts")
 
+    @in_task("pitman-yor")
     def asked(batches):
         for pdf in batches:
             for r in pdf.itertuples():
@@ -265,6 +269,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                     used, context = np.unique(keys[i:j] % width, return_inverse=True)
                     yield pd.DataFrame({"bucket": [b], "chunk": [r.chunk], "words": [_packed(words[lo:hi], True)], "contexts": [_packed(words[used], True)], "guests": [_packed(counts[used])], "dishes": [_packed((keys[i:j] // width - lo) * len(used) + context, True)], "n": [_packed(n[i:j].astype(np.uint32))]})
 
+    @in_group("pitman-yor")
     def seated(pdf):
         every = [_unpacked(x, np.uint64, True) for x in pdf["words"]], [_unpacked(x, np.uint64, True) for x in pdf["contexts"]]
         words = np.unique(np.concatenate(every[0]))
@@ -298,6 +303,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     root = state.agg(*[c.alias(f"{k}{n}") for k in range(SAMPLES) for n, c in enumerate(sample(k))]).first()
     root_tables, root_guests = (np.array(root[n::2])[:, None] for n in (0, 1))
 
+    @in_task("pitman-yor")
     def dealt(batches):
         for pdf in batches:
             for chunk, x, y in zip(pdf["chunk"], pdf["words"], pdf["tables"]):
@@ -306,6 +312,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 for b, lo, hi in _owners(words, buckets):
                     yield pd.DataFrame({"bucket": [b], "chunk": [chunk], "words": [_packed(words[lo:hi], True)], "tables": pd.Series([None if tables is None else _packed_samples(tables[:, lo:hi])], dtype=object)})
 
+    @in_group("pitman-yor")
     def summed(pdf):
         parts = [_unpacked(x, np.uint64, True) for x in pdf["words"]]
         words, at = np.unique(np.concatenate(parts), return_inverse=True)
@@ -318,6 +325,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 out.append((chunk, _packed_samples(sums[:, at[i:j]])))
         return pd.DataFrame({"chunk": [x for x, _ in out], "bucket": pdf["bucket"].iloc[0], "rest": pd.Series([None] * len(out), dtype=object), "roots": pd.Series([None] * len(out), dtype=object), "tables": [x for _, x in out]})
 
+    @in_task("pitman-yor")
     def answered(batches):
         for pdf in batches:
             for r in pdf.itertuples():
@@ -330,6 +338,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     told = state.select(F.lit(-1).cast("long").alias("chunk"), F.col("contexts").alias("words"), "tables").unionByName(numbered.select("chunk", "words", F.lit(None).cast("binary").alias("tables")))
     tabled = told.mapInPandas(dealt, "bucket long, chunk long, words binary, tables binary").groupBy("bucket").applyInPandas(summed, reply)
 
+    @in_task("pitman-yor")
     def scored(batches):
         for pdf in batches:
             for r in pdf.itertuples():

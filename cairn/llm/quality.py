@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix, text_buffer, word_hashes
+from .common import in_task, mix, text_buffer, word_hashes
 
 #: Labelled rows that the model is fitted on, at most; which ones, a hash of their ids decides.
 SAMPLE = 4000
@@ -93,15 +95,14 @@ class Model:
     def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS, seed: int = 5):
         self.idf, self.labels, self.neighbours = idf.astype(np.float32), labels.astype(np.float32), neighbours
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        used = np.unique(np.concatenate([t for t, _ in rows])) if rows else np.empty(0, np.int64)
-        sparse = [(np.searchsorted(used, t), self._weights(t, s)) for t, s in rows]
-        shape = len(rows), len(used)
+        sparse = [(t, self._weights(t, s)) for t, s in rows]
+        shape = len(rows), len(idf)
 
         def times(q):
             return np.array([w @ q[t] for t, w in sparse], np.float32).reshape(len(sparse), q.shape[1])
 
         def back(y):
-            out = np.zeros((len(used), y.shape[1]), np.float32)
+            out = np.zeros((len(idf), y.shape[1]), np.float32)
             for (t, w), z in zip(sparse, y):
                 out[t] += w[:, None] * z
             return out
@@ -114,9 +115,8 @@ class Model:
         if rank:
             _, _, v = np.linalg.svd(times(q), full_matrices=False)
             q = q @ v[:rank].T
-        self.space = np.zeros((len(idf), q.shape[1]), np.float32)
-        self.space[used] = q
-        self.vectors = self._normal(times(q))
+        self.space = q.astype(np.float16)  # half the size to broadcast
+        self.vectors = self.vectors_of(rows)
 
     def _weights(self, terms, share):
         w = np.sqrt(share).astype(np.float32) * self.idf[terms]
@@ -127,7 +127,8 @@ class Model:
     @staticmethod
     def _orthonormal(x):
         """A basis of the columns' space, through their small Gram matrix."""
-        values, v = np.linalg.eigh(x.T.astype(np.float64) @ x)
+        parts = (x[lo : lo + 8192].astype(np.float64) for lo in range(0, len(x), 8192))
+        values, v = np.linalg.eigh(sum((p.T @ p for p in parts), np.zeros((x.shape[1],) * 2)))
         keep = values > 1e-10 * max(values.max(), 1e-300)
         return (x @ (v[:, keep] / np.sqrt(values[keep])).astype(np.float32)).astype(np.float32)
 
@@ -137,7 +138,7 @@ class Model:
         return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
     def vectors_of(self, rows) -> np.ndarray:
-        x = [self._weights(t, s) @ self.space[t] for t, s in rows]
+        x = [self._weights(t, s) @ self.space[t].astype(np.float32) for t, s in rows]
         return self._normal(np.array(x, np.float32).reshape(len(x), self.space.shape[1]))
 
     def scores(self, rows) -> np.ndarray:
@@ -168,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Ids and labels that are null are left out; of several labels or texts of one id the smallest counts. The driver gets the sampled
     rows' terms and one number for each term that occurs (at most TERMS). With no label at all every score is 0.5.
     """
+    @in_task("quality")
     def count(batches):
         df = np.zeros(TERMS, np.int64)
         n = 0
@@ -178,10 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *df[at].tolist()], pa.int64())], ["term", "n"])
 
+    @in_task("quality")
     def terms(batches):
         for batch in batches:
             rows = list(term_counts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([t.astype(np.int32) for t, _ in rows], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in rows], pa.list_(pa.float32()))], ["label", "terms", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([t.astype(np.int32) for t, _ in rows], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in rows], pa.list_(pa.float32()))], ["id", "label", "terms", "share"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -193,10 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
     texts = rows.join(chosen, "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    got = texts.mapInArrow(terms, "label double, terms array<int>, share array<float>").toArrow()
-    got = [(label, t.values.to_numpy().astype(np.int64), x.values.to_numpy()) for label, t, x in zip(got.column("label").to_pylist(), got.column("terms"), got.column("share"))]
-    got.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
-    return Model(idf, [(t, x) for _, t, x in got], np.array([label for label, _, _ in got]))
+    got = texts.mapInArrow(terms, "id long, label double, terms array<int>, share array<float>").toArrow()
+    order = np.argsort(got.column("id").to_numpy())
+    rows = [(got.column("terms")[i].values.to_numpy(), got.column("share")[i].values.to_numpy()) for i in order.tolist()]
+    return Model(idf, rows, got.column("label").to_numpy()[order])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
@@ -208,9 +211,13 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
         raise ValueError(f"docs has a column {name}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @in_task("quality")
     def run(batches):
         for batch in batches:
-            votes = shared.value.scores(list(term_counts(batch.column(text_col))))
+            rows, votes = term_counts(batch.column(text_col)), [np.empty(0)]
+            while some := list(itertools.islice(rows, 256)):  # the terms of few texts at once
+                votes.append(shared.value.scores(some))
+            votes = np.concatenate(votes)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_task
 from .encoding import Encoder, with_ends
 
 MAGIC = b"CWM2"
@@ -177,6 +177,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ordered = rows.repartitionByRange(max(1, -(-total // range_bytes)), "id").sortWithinPartitions("id", "text")
 
+    @in_task("encoding")
     def encode(batches):
         encoder, part, seq = Encoder.of(tokenizer_path, kind), TaskContext.get().partitionId(), 0
         ids, keys, lengths, size = [], [], [], 0
@@ -212,6 +213,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
     base = files.select("part", "seq", files_before.alias("files_before")).join(parts, "part").select("part", "seq", (F.col("files_before") + F.col("parts_before")).alias("base"))
 
+    @in_task("encoding")
     def decode(batches):
         for pdf in batches:
             for part, seq, data in zip(pdf["part"], pdf["seq"], pdf["file"]):
