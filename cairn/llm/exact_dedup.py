@@ -56,7 +56,8 @@ class DigestIndex:
         fresh = fresh.join(there, F.col("b.digest") == F.col("there"), "left_anti").select("digest", "keep_id", "n_chars", F.lit(batch).alias("batch"))
         # a written table between, as a table can't be appended to while it is read
         fresh = Scratch(self.spark, "digests").save(fresh, "fresh")
-        fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        # by the number of the bucket, so that each has one file, however many partitions there are
+        fresh.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets))).write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def judge(self, rows: DataFrame, total: int) -> DataFrame:
         """(id, keep_id, group_size, kept, digest) for written (id, n_chars, digest), total in number, that were appended before.
