@@ -76,6 +76,15 @@ def overlap_volume(a, sa, b, sb) -> Column:
     return side(0) * side(1) * side(2)
 
 
+def merge_spheres(a, ra: Column, b, rb: Column) -> tuple[Column, Column, Column, Column]:
+    """Centre and radius of the smallest sphere around two: the larger one if it holds the other."""
+    step = tuple(y - x for x, y in zip(a, b))
+    d = norm(step)
+    r = (d + ra + rb) / 2
+    pick = lambda outer, inner, else_: F.when(d + rb <= ra, outer).when(d + ra <= rb, inner).otherwise(else_)
+    return (*[pick(x, y, x + F.try_divide(s * (r - ra), d)) for x, y, s in zip(a, b, step)], pick(ra, rb, r))
+
+
 # ---- pinhole camera: z forward, x right, y down
 
 

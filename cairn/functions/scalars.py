@@ -141,6 +141,11 @@ def path_time(distance: Column, yaw_change: Column, speed: float, turning: float
     return F.when(t > 1e-9, t)
 
 
+def within_threshold(position_error: Column, yaw_error: Column, most_apart: float, most_turned: float) -> Column:
+    """Whether a pose has reached its goal."""
+    return (position_error <= most_apart) & (F.abs(yaw_error) <= most_turned)
+
+
 def pack_rgba(r: Column, g: Column, b: Column, a=255) -> Column:
     return r.cast("long").bitwiseOR(F.shiftleft(g.cast("long"), 8)).bitwiseOR(F.shiftleft(b.cast("long"), 16)).bitwiseOR(F.shiftleft(F.lit(a).cast("long"), 24))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import morton
+from ..sources.scratch import Scratch
 
 
 def filter_ancestors(keys: DataFrame, depth_of_map: int) -> DataFrame:
@@ -36,19 +37,35 @@ def delete_subtrees(keys: DataFrame, roots: DataFrame, depth_of_map: int) -> Dat
     return keys.join(gone, "key", "left_anti")
 
 
+def delete_up_to(keys: DataFrame, depth: int) -> DataFrame:
+    """Keys no deeper than a depth."""
+    return keys.where(morton.depth(F.col("key")) <= depth)
+
+
+def allocate_down_to(keys: DataFrame, depth: int, depth_of_map: int) -> DataFrame:
+    """Adds all descendants of the deepest level down to a depth: eight for each key and level."""
+    deepest = keys.agg(F.max(morton.depth(F.col("key")))).first()[0]
+    level, out = keys.where(morton.depth(F.col("key")) == deepest), keys
+    for _ in range(deepest or 0, depth):
+        level = level.select(F.explode(F.array(*[morton.child(F.col("key"), i, depth_of_map) for i in range(8)])).alias("key"))
+        out = out.unionByName(level)
+    return out
+
+
 def balance(keys: DataFrame, depth_of_map: int) -> DataFrame:
     """Adds keys until the parent of each octant has all its face neighbours: depths of neighbours differ by one at most.
 
     Octants ask level by level, from the deepest up: a level needs only what the one below it has asked for, so the number of
     steps is the map's depth and not a matter of data.
     """
-    edge, out = 1 << depth_of_map, with_ancestors(keys, depth_of_map)
-    for d in range(depth_of_map, 1, -1):
+    scratch = Scratch(keys.sparkSession, "balance")
+    edge, out = 1 << depth_of_map, scratch.save(with_ancestors(keys, depth_of_map), "keys")
+    for d in range(depth_of_map, 1, -1):  # each level is written, so the plan stays small
         up = out.where(morton.depth(F.col("key")) == d).select(morton.prefix(F.col("key"), d - 1, depth_of_map).alias("key")).distinct()
         x, y, z = morton.coords(F.col("key"), depth_of_map)
         near = up.select(F.explode(morton.face_neighbours(x, y, z, 1 << (depth_of_map - d + 1), edge)).alias("n"))
         asked = near.select(morton.encode(F.col("n.x"), F.col("n.y"), F.col("n.z"), d - 1, depth_of_map).alias("key")).distinct()
-        out = out.unionByName(with_ancestors(asked, depth_of_map)).distinct()
+        out = scratch.save(out.unionByName(with_ancestors(asked, depth_of_map)).distinct(), f"depth{d}")
     return out
 
 

@@ -55,10 +55,17 @@ def coordinates(spark, sf_dir):
     return p.select("x", "y", "z", *[((F.col(k) + 0.5) * 0.05).alias("m" + k) for k in "xyz"], index.alias("index"), *[c.cast("long").alias("s" + k) for k, c in zip("xyz", (vx, vy, vz))], morton.block_offset(F.col("x") % 4).cast("long").alias("offset"), *[F.floor((F.col(k) + 0.5) * 0.05 / 0.4).cast("long").alias("c" + k) for k in "xyz"])
 
 
+def _occupied(spark, sf_dir):
+    """(key, n, hundredths): each block's points, and the sum of their discounts, with the mean of points in a block (blocks, points)."""
+    blocks = relation(spark, sf_dir, "points").groupBy(_key().alias("key")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("disc") * 100).cast("long")).alias("hundredths"))
+    return blocks, *blocks.agg(F.count("*"), F.sum("n")).first()
+
+
 def _wanted(spark, sf_dir):
-    """Keys at depths 1 to 3 that mix ancestors and descendants."""
-    p = relation(spark, sf_dir, "points")
-    return p.where("o3 < 40").select(morton.encode(F.col("x"), F.col("y"), F.col("z"), F.col("frame") % 3 + 1, DEPTH).alias("key")).distinct()
+    """Keys at depths 1 to 3 that mix ancestors and descendants: blocks with at least the mean of points, octants of those with at least 9/10 of it, and of the others."""
+    blocks, many, points = _occupied(spark, sf_dir)
+    k, share = F.col("key"), F.col("n") * many
+    return blocks.select(F.when(share >= points, k).when(share * 10 >= F.lit(points) * 9, morton.prefix(k, 2, DEPTH)).otherwise(morton.prefix(k, 1, DEPTH)).alias("key")).distinct()
 
 
 def filter_ancestors(spark, sf_dir):
@@ -70,8 +77,7 @@ def unique_multiscale(spark, sf_dir):
 
 
 def allocate(spark, sf_dir):
-    p = relation(spark, sf_dir, "points")
-    existing = p.where("o3 % 2 = 0").select(_key().alias("key")).distinct()
+    existing = _occupied(spark, sf_dir)[0].where("hundredths > 5 * n").select("key")  # blocks whose mean distance is positive
     return allocation.allocate(existing, _wanted(spark, sf_dir), DEPTH).withColumn("depth", morton.depth(F.col("key")))
 
 
@@ -83,9 +89,8 @@ def delete_subtrees(spark, sf_dir):
 
 def _leaves_by_occupancy(spark, sf_dir):
     """Leaves that hold all points: blocks with at least the mean of points in a block, and the depth-1 octants of the others."""
-    blocks = relation(spark, sf_dir, "points").groupBy(_key().alias("key")).agg(F.count("*").alias("n"))
-    mean = F.broadcast(blocks.agg(F.avg("n").alias("mean")))
-    return blocks.crossJoin(mean).select(F.when(F.col("n") >= F.col("mean"), F.col("key")).otherwise(morton.prefix(F.col("key"), 1, DEPTH)).alias("key")).distinct()
+    blocks, many, points = _occupied(spark, sf_dir)
+    return blocks.select(F.when(F.col("n") * many >= points, F.col("key")).otherwise(morton.prefix(F.col("key"), 1, DEPTH)).alias("key")).distinct()
 
 
 def balance(spark, sf_dir):
@@ -105,7 +110,9 @@ QUERIES = {f.__name__: f for f in (key_encode, key_family, key_neighbours, key_e
 
 _P = sql("points")
 _BLOCKS = f"{_P}, blocks AS (SELECT DISTINCT x - x % 8 AS x, y - y % 8 AS y, z - z % 8 AS z FROM points)"
-_WANT = "want AS (SELECT DISTINCT frame % 3 + 1 AS d, " + ", ".join(f"{c} - {c} % CASE frame % 3 WHEN 0 THEN 32 WHEN 1 THEN 16 ELSE 8 END AS {c}" for c in "xyz") + " FROM points WHERE o3 < 40)"
+_OCCUPIED = "occupied AS (SELECT x - x % 8 AS x, y - y % 8 AS y, z - z % 8 AS z, count(*) AS n, sum(CAST(round(disc * 100) AS BIGINT)) AS s FROM points GROUP BY ALL), ranked AS (SELECT *, n * count(*) OVER () AS share, sum(n) OVER () AS points FROM occupied)"
+_WANT = f"{_OCCUPIED}, deep AS (SELECT *, CASE WHEN share >= points THEN 3 WHEN share * 10 >= points * 9 THEN 2 ELSE 1 END AS d FROM ranked), want AS (SELECT DISTINCT d, " + ", ".join(f"{c} - {c} % (1 << (6 - d)) AS {c}" for c in "xyz") + " FROM deep)"
+_LEAVES = f"{_OCCUPIED}, deep AS (SELECT *, CASE WHEN share >= points THEN 3 ELSE 1 END AS d FROM ranked), leaves AS (SELECT DISTINCT d, " + ", ".join(f"{c} - {c} % (1 << (6 - d)) AS {c}" for c in "xyz") + " FROM deep)"
 _KEY = morton_sql("x", "y", "z", DEPTH)
 _PARENT = lambda n: ", ".join(f"{c} - {c} % {n} AS {c}" for c in "xyz")
 _SIZE = "(1 << CAST(6 - {} AS INTEGER))"
@@ -121,8 +128,12 @@ ORACLE = {
     "coordinates": f"{_P} SELECT DISTINCT x, y, z, (x + 0.5e0) * 5e-2 AS mx, (y + 0.5e0) * 5e-2 AS my, (z + 0.5e0) * 5e-2 AS mz, x % 8 + y % 8 * 8 + z % 8 * 64 AS index, ((x % 8 + y % 8 * 8) % 4) * 2 AS sx, (x % 8 + y % 8 * 8) // 4 % 4 * 2 AS sy, (x % 8 + y % 8 * 8) // 16 * 2 AS sz, CAST(CASE x % 4 WHEN 0 THEN 0 WHEN 1 THEN 512 WHEN 2 THEN 576 ELSE 584 END AS BIGINT) AS offset, CAST(floor((x + 0.5e0) * 5e-2 / 4e-1) AS BIGINT) AS cx, CAST(floor((y + 0.5e0) * 5e-2 / 4e-1) AS BIGINT) AS cy, CAST(floor((z + 0.5e0) * 5e-2 / 4e-1) AS BIGINT) AS cz FROM points",
     "filter_ancestors": f"{_P}, {_WANT} SELECT {_KEY} + d AS key FROM want a WHERE NOT EXISTS (SELECT 1 FROM want b WHERE b.d > a.d AND b.x - b.x % {_SIZE.format('a.d')} = a.x AND b.y - b.y % {_SIZE.format('a.d')} = a.y AND b.z - b.z % {_SIZE.format('a.d')} = a.z)",
     "unique_multiscale": f"{_P}, {_WANT} SELECT {_KEY} + max(d) AS key FROM want GROUP BY x, y, z",
-    "allocate": f"{_P}, {_WANT}, have AS (SELECT DISTINCT x - x % 8 AS x, y - y % 8 AS y, z - z % 8 AS z FROM points WHERE o3 % 2 = 0), every AS (SELECT d, x, y, z FROM want{_UP.format('want')}) SELECT {_KEY} + d AS key, CAST(d AS BIGINT) AS depth FROM every WHERE NOT (d = 3 AND (x, y, z) IN (SELECT (x, y, z) FROM have))",
+    "allocate": f"{_P}, {_WANT}, have AS (SELECT x, y, z FROM occupied WHERE s > 5 * n), every AS (SELECT d, x, y, z FROM want{_UP.format('want')}) SELECT {_KEY} + d AS key, CAST(d AS BIGINT) AS depth FROM every WHERE NOT (d = 3 AND (x, y, z) IN (SELECT (x, y, z) FROM have))",
     "delete_subtrees": f"{_BLOCKS}, want AS (SELECT 3 AS d, x, y, z FROM blocks), every AS (SELECT d, x, y, z FROM want{_UP.format('want')}) SELECT {_KEY} + d AS key FROM every WHERE d = 0 OR x < 32",
+    "balance": f"""{_P}, {_LEAVES}, every AS (SELECT d, x, y, z FROM leaves UNION SELECT * FROM (
+      SELECT d - 1 AS d, x - x % (1 << (7 - d)) + a * (1 << (7 - d)) AS x, y - y % (1 << (7 - d)) + b * (1 << (7 - d)) AS y, z - z % (1 << (7 - d)) + c * (1 << (7 - d)) AS z
+      FROM every, (VALUES (0, 0, 0), (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) f(a, b, c) WHERE d > 0) WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63 AND z BETWEEN 0 AND 63)
+      SELECT {_KEY} + d AS key, CAST(d AS BIGINT) AS depth FROM every""",
     "boxes": f"""{_P}, p AS (SELECT DISTINCT x, y, z, o1, o2, o3, frame AS s FROM points), f AS (SELECT
       abs(2 * x + s - 56) <= s + 16 AND abs(2 * y + s - 56) <= s + 16 AND abs(2 * z + s - 56) <= s + 16 AS overlap,
       x > 20 AND x + s < 36 AND y > 20 AND y + s < 36 AND z > 20 AND z + s < 36 AS inside,

@@ -26,9 +26,9 @@ def match_objects(spark, sf_dir):
 
 
 def undetected_objects(spark, sf_dir):
-    p = relation(spark, sf_dir, "pixels").where("det_id < 3")
+    p = relation(spark, sf_dir, "pixels")
     o = relation(spark, sf_dir, "object_pixels")
-    return detections.undetected(o, detections.match_objects(p, o, 0.4))
+    return detections.undetected(o, detections.match_objects(p, o, 0.8))
 
 
 def large_masks(spark, sf_dir):
@@ -137,7 +137,7 @@ def pooling(spark, sf_dir):
 
 
 def dilated_masks(spark, sf_dir):
-    return images.morphology(relation(spark, sf_dir, "pixels").where("det_id < 5"), 1, 40, 52, "dilate", ["frame", "det_id"])
+    return images.morphology(relation(spark, sf_dir, "pixels"), 1, 40, 52, "dilate", ["frame", "det_id"])
 
 
 def eroded_masks(spark, sf_dir):
@@ -192,7 +192,7 @@ _AROUND = "(SELECT unnest(range(-{0}, {0} + 1)) AS a), (SELECT unnest(range(-{0}
 ORACLE = {
     "mask_overlap": f"{_M}, {_SCORES} SELECT frame, det_id, obj_id, common, a AS area_left, b AS area_right, round(iou, 9) AS iou, round(share, 9) AS share FROM m",
     "match_objects": f"{_M}, {_SCORES}, {_BEST.format(0.25)} SELECT d.frame, d.det_id, obj_id, round(share, 9) AS share FROM (SELECT DISTINCT frame, det_id FROM pixels) d LEFT JOIN (SELECT * FROM r WHERE n = 1) q USING (frame, det_id)",
-    "undetected_objects": f"{_M.replace('FROM lineitem)', 'FROM lineitem WHERE l_suppkey < 3)', 1)}, {_SCORES}, {_BEST.format(0.4)} SELECT DISTINCT frame, obj_id FROM object_pixels o WHERE obj_id <> 0 AND NOT EXISTS (SELECT 1 FROM r WHERE n = 1 AND r.frame = o.frame AND r.obj_id = o.obj_id)",
+    "undetected_objects": f"{_M}, {_SCORES}, {_BEST.format(0.8)} SELECT DISTINCT frame, obj_id FROM object_pixels o WHERE obj_id <> 0 AND NOT EXISTS (SELECT 1 FROM r WHERE n = 1 AND r.frame = o.frame AND r.obj_id = o.obj_id)",
     "large_masks": f"{sql('pixels')}, a AS (SELECT frame, det_id, count(*) AS n FROM pixels GROUP BY ALL HAVING count(*) >= 0.04e0 * 2040) SELECT frame, count(*) AS detections, CAST(sum(n) AS BIGINT) AS pixels FROM a GROUP BY frame",
     "class_filter": f"{sql('detections')}, d AS (SELECT det_id, CAST(list_position(conf, list_max(conf)) - 1 AS BIGINT) AS class_id, CAST(list_max(conf) AS DOUBLE) AS confidence FROM detections) SELECT * FROM d WHERE confidence >= 0.3e0 AND class_id % 3 <> 0",
     "merged_confidences": f"{sql('detections')}, l AS (SELECT instance_id, n_updates, generate_subscripts(conf, 1) AS k, CAST(unnest(conf) AS DOUBLE) AS c FROM detections), m AS (SELECT instance_id, k, sum(n_updates * c) / sum(n_updates) AS c FROM l GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY c DESC, k) AS n FROM m) SELECT instance_id, k - 1 AS class_id, round(c, 9) AS best FROM b WHERE n = 1",
@@ -224,7 +224,7 @@ ORACLE = {
     "bilateral": f"{sql('image')}, w AS (SELECT i.u, i.v, j.depth AS d, exp(-(a * a + b * b) / 32e0) * exp(-pow(j.depth - i.depth, 2) / 0.5e0) AS w FROM image i CROSS JOIN {_AROUND.format(2)} JOIN image j ON j.u = greatest(0, least(63, i.u + a)) AND j.v = greatest(0, least(63, i.v + b))) SELECT u, v, round(sum(w * d) / sum(w), 6) AS depth FROM w GROUP BY u, v",
     "depth_edges": f"{sql('image')} SELECT i.u, i.v, round(max(abs(j.depth - i.depth)) + 0.5e0 * max(greatest(i.depth - j.depth, 0)), 6) AS edge FROM image i JOIN image j ON abs(i.u - j.u) = 1 AND abs(i.v - j.v) = 1 GROUP BY 1, 2",
     "pooling": f"{sql('image')}, d AS (SELECT u, v, CASE WHEN u % 5 > 0 AND depth > 0 THEN depth END AS d FROM image) " + " UNION ALL ".join(f"SELECT {k} AS level, u // {1 << k} AS u, v // {1 << k} AS v, round(min(d), 6) AS low, round(max(d), 6) AS high, CASE WHEN count(d) = 0 THEN 'unknown' WHEN count(d) < count(*) THEN 'part' ELSE 'known' END AS known FROM d GROUP BY ALL" for k in (1, 2, 3)),
-    "dilated_masks": f"{sql('pixels')} SELECT DISTINCT frame, det_id, u + a AS u, v + b AS v FROM pixels CROSS JOIN {_AROUND.format(1)} WHERE det_id < 5 AND u + a BETWEEN 0 AND 39 AND v + b BETWEEN 0 AND 51",
+    "dilated_masks": f"{sql('pixels')} SELECT DISTINCT frame, det_id, u + a AS u, v + b AS v FROM pixels CROSS JOIN {_AROUND.format(1)} WHERE u + a BETWEEN 0 AND 39 AND v + b BETWEEN 0 AND 51",
     "eroded_masks": f"{sql('object_pixels')}, p AS (SELECT DISTINCT frame, u, v FROM object_pixels), m AS (SELECT frame, u + a AS u, v + b AS v, count(*) AS n FROM p CROSS JOIN {_AROUND.format(1)} GROUP BY ALL) SELECT frame, u, v FROM m WHERE u BETWEEN 0 AND 39 AND v BETWEEN 0 AND 51 AND n = (least(u + 1, 39) - greatest(u - 1, 0) + 1) * (least(v + 1, 51) - greatest(v - 1, 0) + 1)",
     "back_projection": f"{sql('image')}, p AS (SELECT u, v, (u - 31.5e0) / 60 * depth AS px, (v - 31.5e0) / 60 * depth AS py, depth AS pz FROM image), q AS (SELECT *, px * cos(0.3e0) - py * sin(0.3e0) AS qx, px * sin(0.3e0) + py * cos(0.3e0) AS qy FROM p) SELECT u, v, round(px, 10) + 0e0 AS px, round(py, 10) + 0e0 AS py, round(pz, 10) AS pz, round(qx, 10) + 0e0 AS qx, round(qy, 10) + 0e0 AS qy, round(pz, 10) AS qz, pz >= 0.4e0 AND pz <= 6 AS inside, pz >= 0.2e0 AND pz <= 6.2e0 AND abs(qx) <= 32e0 / 60 * pz + 0.2e0 * sqrt(1 + pow(32e0 / 60, 2)) AND abs(qy) <= 32e0 / 60 * pz + 0.2e0 * sqrt(1 + pow(32e0 / 60, 2)) AS near FROM q",
     "scalar_functions": f"""{sql('frames')}, f AS (SELECT frame, value / 500e0 AS p, value / 10e0 AS a FROM frames) SELECT frame, round(log2(p / (1 - p)), 7) + 0e0 AS odds, round(-p * log2(p) - (1 - p) * log2(1 - p), 7) AS bits, round(p, 7) AS p, round({_WRAP('a')}, 7) AS w2, round({_WRAPPI('a')}, 7) + 0e0 AS w1, round({_WRAPPI('(a * 1.7e0 - a)')}, 7) + 0e0 AS d,

@@ -3,10 +3,10 @@
 import pytest
 from small import SMALL
 
-from cairn.plans import keys, maps, scenes
+from cairn.plans import keys, maps, scenes, space
 
-QUERIES = keys.QUERIES | maps.QUERIES | scenes.QUERIES
-ORACLE = keys.ORACLE | maps.ORACLE | scenes.ORACLE
+QUERIES = keys.QUERIES | maps.QUERIES | scenes.QUERIES | space.QUERIES
+ORACLE = keys.ORACLE | maps.ORACLE | scenes.ORACLE | space.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
