@@ -57,10 +57,13 @@ def _tokens(batches):
     ids, held, lengths, hashes, size = [], [], [], [], 0
 
     def row():
-        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        n = np.array(lengths, np.uint32)
+        every = np.concatenate(hashes)
+        hashes.clear()
+        words, at = np.unique(every, return_inverse=True)
+        del every
+        at, n = at.astype(np.uint32), np.array(lengths, np.uint32)
         train = np.bincount(at[np.repeat(~np.array(held), n)], minlength=len(words)).astype(np.uint32)
-        return pa.RecordBatch.from_pydict({"chunk": [part << 24 | seq], "ids": [ids], "held": [held], "lengths": [_packed(n)], "words": [_packed(words, True)], "train": [_packed(train)], "at": [_packed(at.astype(np.uint32))], "size": [len(at)], "trained": [int(train.sum())]}, schema=_ARROW)
+        return pa.RecordBatch.from_pydict({"chunk": [part << 24 | seq], "ids": [ids], "held": [held], "lengths": [_packed(n)], "words": [_packed(words, True)], "train": [_packed(train)], "at": [_packed(at)], "size": [len(at)], "trained": [int(train.sum())]}, schema=_ARROW)
 
     for batch in batches:
         keys, out = batch.column("id").to_pylist(), batch.column("held").to_pylist()
@@ -84,10 +87,14 @@ _ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("hel
 
 def _dishes(words, lengths, at):
     """For each token its word's number * how many words there are + its context's: the word before, or the end for a text's first."""
-    at, end = at.astype(np.int64), np.searchsorted(words, END)
-    previous = np.concatenate([[end], at[:-1]])
+    end = np.searchsorted(words, END)
+    previous = np.empty_like(at)
+    previous[:1], previous[1:] = end, at[:-1]
     previous[np.cumsum(lengths.astype(np.int64))[:-1]] = end
-    return at * len(words) + previous
+    dishes = at.astype(np.int64)
+    dishes *= len(words)
+    dishes += previous
+    return dishes
 
 
 def _owners(words, buckets):
@@ -345,13 +352,15 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 words, lengths, at = _unpacked(r.words, np.uint64, True), _unpacked(r.lengths, np.uint32), _unpacked(r.at, np.uint32)
                 counts = _joined(r.known, "counts", lambda x: _unpacked(x, np.uint64)).astype(np.float64)
                 rest = _joined(r.parts, "rest", lambda x: _unpacked(x, np.uint32)).view(np.float32).astype(np.float64)
-                roots, tables = (_joined(r.parts, x, _unpacked_samples).astype(np.float64) for x in ("roots", "tables"))
+                roots, tables = (_joined(r.parts, x, _unpacked_samples) for x in ("roots", "tables"))
                 keys, which = np.unique(_dishes(words, lengths, at), return_inverse=True)
                 w, u = keys // len(words), keys % len(words)
-                p = (np.maximum(roots, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1)) / (ROOT_STRENGTH + root_guests)
+                del keys
+                share = (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1), ROOT_STRENGTH + root_guests
                 logs = np.maximum(rest, 0)
-                for of_context, of_word in zip(tables, p):  # the mean of all samples' predictions
-                    logs += (STRENGTH + DISCOUNT * of_context[u]) * of_word[w] / SAMPLES
+                for of_context, of_word, own, whole in zip(tables, roots, *share):  # the mean of all samples' predictions
+                    p = (np.maximum(of_word, 0).astype(np.float64) + own) / whole
+                    logs += (STRENGTH + DISCOUNT * of_context.astype(np.float64)[u]) * p[w] / SAMPLES
                 logs = np.log10(logs / (STRENGTH + counts[u]))
                 base = np.log10((counts + 0.5) / (total + 0.5 * (known + 1)))
                 starts = np.cumsum(lengths.astype(np.int64)) - lengths
