@@ -12,9 +12,11 @@ import pyarrow.compute as pc
 
 from .common import kept, text_buffer
 
-#: Entries of one generation of a worker's memory: parts, and pieces made of several. Two generations are kept, and strings of
-#: over LONGEST characters never are, so a memory takes some 100 MB at most.
-PARTS, PIECES, LONGEST = 120_000, 40_000, 48
+#: Parts in one generation of a worker's memory. Two generations are kept, and strings of over LONGEST characters never are, so
+#: a memory takes some 100 MB at most.
+PARTS, LONGEST = 160_000, 48
+#: Parts that the library encodes at once (its answers are large), and that the memory takes in at once.
+BATCH = 2048
 #: Bytes of text that are cut at once.
 SLICE = 3 << 20
 
@@ -23,9 +25,9 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN_BYTE = np.zeros(256, bool)
 _PLAIN_BYTE[[10, *range(32, 127), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))]] = True
 #: Plain pieces are cut further, always where the tokenizer's own pattern ends a token: behind letters, and (words) before letters
-#: unless an apostrophe stands there or (bytes) behind a line feed.
+#: unless an apostrophe stands there or (bytes) behind a line feed. Many pieces are cut at once, with a NUL between them.
 _PLAIN_PIECE = re.compile(rf"[ \n]?[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*\n?|[ \n]?")
-_CUTS = {"words": re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]*'[{_LETTERS}]+|[^{_LETTERS}]+"), "bytes": re.compile(rf" ?[{_LETTERS}]+|\n|[^{_LETTERS}\n]+[{_LETTERS}]*")}
+_CUTS = {"words": re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}\0]*'[{_LETTERS}]+|[^{_LETTERS}\0]+|\0"), "bytes": re.compile(rf" ?[{_LETTERS}]+|[\n\0]|[^{_LETTERS}\n\0]+[{_LETTERS}]*")}
 #: Other texts are cut where a tokenizer can't join anything: (words) at ASCII white space, (bytes) before white space behind
 #: other characters. _UNSURE: characters that count as white space for some, where the second cut could be wrong.
 _PIECES = {"words": re.compile(r"[^\t-\r ]+"), "bytes": re.compile(r"[\t-\r ]*+[^\t-\r ]+|[\t-\r ]+")}
@@ -41,17 +43,21 @@ class _Memory:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+    def find(self, keys: list) -> list:
+        """What is kept for each key, or None."""
+        out = list(map(self.young.get, keys))
+        at = [i for i, x in enumerate(out) if x is None and keys[i] in self.old]
+        for i in at:
+            out[i] = self.old[keys[i]]
+        for lo in range(0, len(at), BATCH):
+            self.put([keys[i] for i in at[lo : lo + BATCH]], [out[i] for i in at[lo : lo + BATCH]])
+        return out
 
-    def put(self, key, value) -> None:
-        if len(key) <= LONGEST:
-            if len(self.young) >= self.most:
-                self.young, self.old = {}, self.young
-            self.young[key] = value
+    def put(self, keys: list, values: list) -> None:
+        """Takes in some keys, BATCH at most."""
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young.update((k, v) for k, v in zip(keys, values) if len(k) <= LONGEST)
 
 
 class Encoder:
@@ -76,36 +82,53 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kind, self.pieces, self.parts = kind, _Memory(PIECES), _Memory(PARTS)
+        self.kind, self.parts = kind, _Memory(PARTS)
 
     def _cut(self, piece: str) -> list[str]:
         if _SPECIAL in piece or not _PLAIN_PIECE.fullmatch(piece):
             return [piece]
         return _CUTS[self.kind].findall(piece.lower() if self.kind == "words" else piece)
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        out = list(map(self.pieces.get, pieces))
-        new = [i for i, x in enumerate(out) if x is None]
-        split = [self._cut(pieces[i]) for i in new]
-        parts = dict.fromkeys(itertools.chain.from_iterable(split))
-        for p in parts:
-            parts[p] = self.parts.get(p)
-        unknown = [p for p, x in parts.items() if x is None]
-        for lo in range(0, len(unknown), 2048):  # the library's answers are large
-            some = unknown[lo : lo + 2048]
-            for p, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                parts[p] = np.array(x.ids, self.dtype).tobytes()
-                self.parts.put(p, parts[p])
-        get = parts.__getitem__
-        for i, x in zip(new, split):
-            out[i] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
-            if len(x) > 1:
-                self.pieces.put(pieces[i], out[i])
+    def _parts(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Parts of pieces as places in a list of distinct parts, that list, and how many parts each piece has."""
+        together = "\0".join(pieces) if plain else ""
+        if plain and _SPECIAL not in together:
+            parts = _CUTS[self.kind].findall(together.lower() if self.kind == "words" else together)
+            coded = pa.array(parts, pa.large_string()).dictionary_encode()
+            at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            between = at == (names.index("\0") if len(pieces) > 1 else -1)
+            return at[~between], names, np.diff(np.flatnonzero(between), prepend=-1, append=len(at)) - 1
+        split = list(map(self._cut, pieces))
+        coded = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.fromiter(map(len, split), np.int64, len(split))
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts."""
+        out = self.parts.find(parts)
+        unknown = [i for i, x in enumerate(out) if x is None]
+        for lo in range(0, len(unknown), BATCH):
+            at = unknown[lo : lo + BATCH]
+            some = [parts[i] for i in at]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ends = list(itertools.accumulate(len(x) * self.dtype.itemsize for x in ids))
+            data = np.fromiter(itertools.chain.from_iterable(ids), self.dtype, ends[-1] // self.dtype.itemsize).tobytes()
+            values = [data[i:j] for i, j in zip([0, *ends], ends)]
+            for i, x in zip(at, values):
+                out[i] = x
+            self.parts.put(some, values)
         return out
 
-    def _gathered(self, pieces: pa.Array, ends: np.ndarray, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
-        """Ids of rows of pieces, and how many each row has. lead: what stands before all pieces but a row's first."""
+    def _ids(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another, and how many each has."""
+        at, names, counts = self._parts(pieces, plain)
+        known = self._known(names)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        ids, n = _taken(np.frombuffer(b"".join(known), self.dtype), size, at)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return ids, np.diff(upto[np.cumsum(counts)], prepend=0)
+
+    def _gathered(self, pieces: pa.Array, ends: np.ndarray, plain: bool, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows of pieces, and how many each row has. plain: all are plain pieces. lead: what stands before all pieces but a row's first."""
         coded = pieces.dictionary_encode()
         at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if lead:
@@ -113,12 +136,8 @@ class Encoder:
             at, heads = at.copy(), at[firsts]
             at[firsts] = len(names) + np.arange(len(firsts))
             names = [lead + x for x in names] + [names[i] for i in heads.tolist()]
-        ids = self._ids(names)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), self.dtype)
-        n = size[at]
+        tokens, n = _taken(*self._ids(names, plain), at)
         upto = np.concatenate([[0], np.cumsum(n)])
-        tokens = flat[np.repeat(start[at] - upto[:-1], n) + np.arange(upto[-1])]
         return tokens, np.diff(upto[ends], prepend=0)
 
     def _plain(self, texts: pa.Array) -> np.ndarray:
@@ -169,7 +188,7 @@ class Encoder:
             return self._split(texts)
         (a, n), counts = self._split(texts.filter(pa.array(plain))), np.zeros(len(texts), np.int64)
         pieces = self._others(texts.filter(pa.array(~plain)).to_pylist())
-        b, m = self._gathered(pa.array(list(itertools.chain.from_iterable(pieces)), pa.large_string()), np.cumsum(list(map(len, pieces))))
+        b, m = self._gathered(pa.array(list(itertools.chain.from_iterable(pieces)), pa.large_string()), np.cumsum(list(map(len, pieces))), False)
         counts[plain], counts[~plain] = n, m
         out = np.empty(counts.sum(), self.dtype)
         of_plain = np.repeat(plain, counts)
@@ -182,7 +201,14 @@ class Encoder:
             return np.empty(0, self.dtype), np.empty(0, np.int64)
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy()
-        return self._gathered(lists.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets[1:] - offsets[0], " " if self.kind == "bytes" else "")
+        return self._gathered(lists.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets[1:] - offsets[0], True, " " if self.kind == "bytes" else "")
+
+
+def _taken(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat holds runs of these sizes: the runs at some places, one after another, and their sizes."""
+    n = size[at]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat((np.cumsum(size) - size)[at] - upto[:-1], n) + np.arange(upto[-1])], n
 
 
 def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -179,7 +179,7 @@ def _encoded(e, texts):
 def test_encoder_agrees_with_whole_texts(spark, file, kind, monkeypatch):
     monkeypatch.setattr(encoding, "SLICE", 20_000)
     e = encoding.Encoder(queries.tokenizer(file), kind)
-    e.parts, e.pieces = encoding._Memory(300), encoding._Memory(20)
+    e.parts = encoding._Memory(300)
     rng = random.Random(3)
     odd = ["a", "B", "é", "ß", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'", "'s", "don't", "1", "23", ".", "!!", "日本", "😀", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "\ufeff", "Σ", "İ", "e\u0301", "\u0301", "ﬁ", "½", "×", "÷", "<|endoftext|>", "<|", "|>", "_", "ª", " word", " 'll"]
     hard = ["".join(rng.choice(odd) for _ in range(rng.randrange(30))) for _ in range(3000)]
