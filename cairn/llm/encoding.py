@@ -18,7 +18,7 @@ PARTS, LONGEST = 160_000, 48
 #: Parts that the library encodes at once (its answers are large), and that the memory takes in at once.
 BATCH = 2048
 #: Bytes of text that are cut at once.
-SLICE = 3 << 20
+SLICE = 6 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Bytes of plain texts: printable ASCII, single spaces and line feeds, and Latin-1 letters (0xC3 and one more byte).

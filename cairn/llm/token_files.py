@@ -187,7 +187,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str
             file = token_file(np.concatenate(ids).astype(encoder.dtype), np.concatenate(keys), sizes)
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": size, "n_docs": len(sizes), "file": file}], schema=_FILES)
 
-        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+        for batch in (b.slice(lo, 2048) for b in batches for lo in range(0, b.num_rows, 2048)):
             flat, counts = with_ends(*encoder.encode(batch.column("text")), end_id)
             ids.append(flat.astype(encoder.dtype))
             keys.append(batch.column("id").to_numpy())
