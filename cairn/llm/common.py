@@ -253,3 +253,16 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     raw = column.buffers()
     offsets = np.frombuffer(raw[1], np.int64)[column.offset : column.offset + len(column) + 1] if raw[1] else np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(raw[2], np.uint8) if raw[2] is not None and raw[2].size else np.empty(0, np.uint8), offsets
+
+
+def text_slices(batches, most: int = 8 << 20, text: str = "text"):
+    """Record batches cut so that none holds over `most` bytes of text, but for single rows that are longer."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi

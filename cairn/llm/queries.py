@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over whole tables, and their SQL where there is any."""
+"""The queries op1 to op13 over whole tables, and their SQL where there is any."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, packing, pitman_yor, quality, secrets, token_files
+from . import alignment, embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, packing, pitman_yor, quality, resampling, secrets, substring_dedup, token_files
 from .common import Scratch
 
 
@@ -73,7 +73,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), kind="bytes", end_id=2, capacity=1024).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_pitman_yor, op4_token_files, op5_embedding_dedup, op6_quality_classifier, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_packing)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return docs.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=2, buckets=10_000, percent=25, least_words=20, seed=7)
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), window=20)
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_pitman_yor, op4_token_files, op5_embedding_dedup, op6_quality_classifier, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_packing, op11_alignment, op12_resampling, op13_substring_dedup)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""
@@ -114,6 +130,49 @@ WITH sized AS (
   FROM sized s JOIN filled f ON s.source IS NOT DISTINCT FROM f.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN target - whole * source_size > 0 AND upto - size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM dealt""",
+    "op13_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM again
+), word AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d
+), kept AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS t, count(*) AS n FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_resampling": r"""
+WITH crc_table AS (  -- the 256 steps of CRC-32, by its rule
+  SELECT [list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FOR b IN range(256)] AS t
+), texts AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark
+), cut AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT side, id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS f FROM cut
+), counted AS (
+  SELECT side, id, f, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(f)), '..')]), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), crc_table
+), sums AS (
+  SELECT bucket, sum(CASE WHEN side = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 1 THEN n ELSE 0 END) AS t FROM counted JOIN hashed USING (f) GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln(CAST((t + 1) * (ss + 10000) AS DOUBLE) / CAST((s + 1) * (tt + 10000) AS DOUBLE))) AS g FROM sums, (SELECT sum(s) AS ss, sum(t) AS tt FROM sums)
+), weighed AS (
+  SELECT c.id AS doc_id, sum(n) AS n_features, floor(sum(n * g) / sum(n)) AS weight FROM counted c JOIN hashed USING (f) JOIN gain USING (bucket) WHERE side = 0 GROUP BY c.id
+), scored AS (
+  SELECT cut.id AS doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || cut.id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM cut LEFT JOIN weighed ON cut.id = weighed.doc_id WHERE side = 0
+), ranked AS (
+  SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS r, sum(CASE WHEN n_words >= 20 THEN 1 ELSE 0 END) OVER () AS total FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * total // 100 THEN r END AS rank FROM ranked""",
     "op9_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
