@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from .common import Scratch, attach, in_task, kept, text_buffer, text_slices
 
 #: Bytes of text that are aligned at once.
 SLICE = 8 << 20
+#: Tokens of A that one run of the SQL takes, about; a single cell may have more, and DuckDB then spills to the task's own disk.
+TOKENS = 60_000
 #: A pair of ids in one number: A's id in the upper half, B's in the lower.
 _HALF = 32
 #: Where both tokenizers surely end a token: before a space behind a character that is no white space for either. After these
@@ -34,10 +38,12 @@ SELECT s.cell, (s.id::BIGINT << 32) + b.id AS pair, count(*) AS n FROM spans s J
 _GROUPS = """
 WITH common AS (SELECT hi FROM a JOIN b USING (hi)),
 ga AS (SELECT a.*, coalesce(sum((common.hi IS NOT NULL)::BIGINT) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM a LEFT JOIN common USING (hi)),
-gb AS (SELECT b.*, coalesce(sum((common.hi IS NOT NULL)::BIGINT) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM b LEFT JOIN common USING (hi)),
-sa AS (SELECT cell, g, string_agg(id, ',' ORDER BY k) AS ids, count(*) AS n FROM ga GROUP BY ALL),
-sb AS (SELECT g, string_agg(id, ',' ORDER BY k) AS ids, count(*) AS n FROM gb GROUP BY ALL)
-SELECT cell, sum(sa.n) AS n_a, sum(sb.n) AS n_b, count(*) AS n_groups, string_agg(sa.ids || '|' || sb.ids, ';' ORDER BY g) AS groups FROM sa JOIN sb USING (g) GROUP BY cell ORDER BY cell"""
+gb AS (SELECT b.*, coalesce(sum((common.hi IS NOT NULL)::BIGINT) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM b LEFT JOIN common USING (hi))
+SELECT cell, g::BIGINT AS g, 0 AS side, k, id FROM ga UNION ALL SELECT cell, g::BIGINT, 1, k, id FROM gb ORDER BY g, side, k"""
+#: Cells of more characters go to the tokenizer itself.
+_LONG = 500
+#: How the byte-level tokenizer cuts a text before it merges bytes (fixed by its vocabulary).
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _byte_values() -> dict[str, int]:
@@ -72,17 +78,34 @@ class Sides:
         for name, i in vocab:
             names[i] = bytes(values[c] for c in name) if all(c in values for c in name) else name.encode()
         self.a_bytes = _Flat(names)
+        self.short = self._ranked(a_path, names)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = _Flat([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.space = self.b.piece_to_id("▁")
-        self.sql = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.sql = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"cairn-duckdb-{os.getpid()}"), "preserve_insertion_order": False})
+
+    def _ranked(self, path: str, names: list[bytes]):
+        """The same byte pairs merged by a faster library, if the file's ids are in the order of its merges and its pattern is the usual one; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["model"]["merges"]]
+        ids, cut = model["model"]["vocab"], model.get("pre_tokenizer") or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not model.get("normalizer")
+        if not plain or any(ids[m] != 256 + i for i, m in enumerate(merges)):
+            return None
+        return tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks={names[i]: i for i in range(256 + len(merges))}, special_tokens={})
 
     def encode(self, cells: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each cell. B puts a space before a text, so that cells go without theirs."""
         a, b = [], []
         for lo in range(0, len(cells), 4096):
             some = cells[lo : lo + 4096]
-            a += [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            if self.short:
+                a += [self.short.encode_ordinary(x) if len(x) <= _LONG else self.a.encode(x, add_special_tokens=False).ids for x in some]
+            else:
+                a += [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
             b += self.b.encode([x[1:] for x in some], num_threads=1)
         for k, x in enumerate(cells):
             if x == " ":
@@ -143,6 +166,38 @@ def _intervals(tokens: np.ndarray, n: np.ndarray, side: _Flat, bad: np.ndarray)
     return pa.table({"k": np.arange(len(tokens)), "cell": cell, "id": tokens, "lo": hi - side.size[tokens], "hi": hi})
 
 
+def _aligned(sql, a: pa.Table, b: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Links, and tokens with their groups, of some cells at a time."""
+    links, tokens, (a_cell, b_cell) = [], [], (x.column("cell").to_numpy() for x in (a, b))
+    at, last = 0, int(a_cell[-1]) + 1 if len(a_cell) else 0
+    while at < last:
+        end = int(np.searchsorted(a_cell, at)) + TOKENS
+        upto = max(at + 1, int(a_cell[end])) if end < len(a_cell) else last
+        for name, table, cell in (("a", a, a_cell), ("b", b, b_cell)):
+            lo, hi = np.searchsorted(cell, [at, upto])
+            sql.register(name, table.slice(lo, hi - lo))
+        for out, query in ((links, _LINKS), (tokens, _GROUPS)):
+            out.append({k: np.asarray(v, np.int64) for k, v in sql.sql(query).fetchnumpy().items()})
+        for name in "ab":
+            sql.unregister(name)
+        at = upto
+    joined = lambda parts, names: {k: np.concatenate([np.empty(0, np.int64), *(x[k] for x in parts)]) for k in names}
+    return joined(links, ("cell", "pair", "n")), joined(tokens, ("cell", "g", "side", "id"))
+
+
+def _listed(tokens: dict[str, np.ndarray], n_cells: int) -> tuple[pa.Array, dict[str, np.ndarray]]:
+    """Each cell's groups as a string, with ; behind the last, and its numbers of tokens and groups."""
+    cell, g, side = tokens["cell"], tokens["g"], tokens["side"]
+    new_group = np.ones(len(cell), bool)  # groups are numbered anew in each run of the SQL, but cells are not
+    new_group[1:] = (g[1:] != g[:-1]) | (cell[1:] != cell[:-1])
+    behind = np.append(np.where(new_group[1:], 2, np.where(side[1:] != side[:-1], 1, 0)), 2)[: len(cell)]
+    parts = pc.binary_join_element_wise(pa.array(tokens["id"]).cast(pa.large_string()), pa.array([",", "|", ";"], pa.large_string()).take(pa.array(behind)), pa.scalar("", pa.large_string()))
+    flat, offsets = text_buffer(parts)
+    bounds = offsets[np.searchsorted(cell, np.arange(n_cells + 1))] - offsets[0]
+    texts = pa.Array.from_buffers(pa.large_string(), n_cells, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(flat[int(offsets[0]) : int(offsets[-1])]))])
+    return texts, {"n_a": np.bincount(cell[side == 0], minlength=n_cells), "n_b": np.bincount(cell[side == 1], minlength=n_cells), "n_groups": np.bincount(cell[new_group], minlength=n_cells)}
+
+
 _DOC = "slice long, id long, n_a long, n_b long, n_groups long, n_links long, cells binary, pairs array<long>, times array<long>, of binary, at binary, n binary, texts array<string>"
 _NAMES = [x.split()[0] for x in _DOC.split(", ")]
 
@@ -177,15 +232,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             ids = sides.encode(names.to_pylist())
             (a, n_a, a_bad), (b, n_b, b_bad) = (_tokens(x, side, sizes, flat) for x, side in zip(ids, (sides.a_bytes, sides.b_bytes)))
             bad = a_bad | b_bad
-            sides.sql.register("a", _intervals(a, n_a, sides.a_bytes, bad))
-            sides.sql.register("b", _intervals(b, n_b, sides.b_bytes, bad))
-            links = {k: np.asarray(v, np.int64) for k, v in sides.sql.sql(_LINKS).fetchnumpy().items()}
-            groups = sides.sql.sql(_GROUPS).to_arrow_table()
-            sides.sql.unregister("a")
-            sides.sql.unregister("b")
-            texts = np.full(len(names), "", object)
-            own = groups.column("cell").to_numpy()
-            texts[own] = groups.column("groups").to_pylist()
+            links, tokens = _aligned(sides.sql, _intervals(a, n_a, sides.a_bytes, bad), _intervals(b, n_b, sides.b_bytes, bad))
+            texts, of_cell = _listed(tokens, len(names))
 
             # a text is spelt if all its cells are; empty texts have no tokens
             starts = np.concatenate([[0], np.cumsum(counts)])
@@ -193,9 +241,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             stay = np.repeat(spelt, counts)
             code, counts = code[stay].astype(np.uint32), np.where(spelt, counts, 0)
             starts = np.concatenate([[0], np.cumsum(counts)])
-            of_cell = {c: np.zeros(len(names), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-            for c in ("n_a", "n_b", "n_groups"):
-                of_cell[c][own] = np.asarray(groups.column(c).to_numpy(), np.int64)
+            of_cell["n_links"] = np.zeros(len(names), np.int64)
             np.add.at(of_cell["n_links"], links["cell"], links["n"])
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[code])])[starts]) for x in of_cell.values()]
 
@@ -206,7 +252,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             raw, m = code.tobytes(), batch.num_rows
             row = [np.full(m, number), batch.column("id"), *sums, [raw[4 * i : 4 * j] for i, j in zip(starts, starts[1:])]]
             yield _batch(row + [pa.nulls(m)] * 6)
-            whole = [[number], [None], *[[0]] * 4, [None], [pairs[there]], [times[there]], [links["cell"].astype(np.uint32).tobytes()], [links["pair"].tobytes()], [links["n"].astype(np.uint32).tobytes()], [texts.tolist()]]
+            whole = [[number], [None], *[[0]] * 4, [None], [pairs[there]], [times[there]], [links["cell"].astype(np.uint32).tobytes()], [links["pair"].tobytes()], [links["n"].astype(np.uint32).tobytes()], pa.ListArray.from_arrays([0, len(texts)], texts.cast(pa.string()))]
             yield _batch(whole)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -235,7 +281,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         out: list[list] = [[], [], []]
         for cells in left.column("cells").to_pylist():
             code = np.frombuffer(cells, np.uint32)
-            for x, y in zip(out, (int(bests[code].sum()), int(sums[code].sum()), ";".join([texts[i] for i in code.tolist()]))):
+            for x, y in zip(out, (int(bests[code].sum()), int(sums[code].sum()), "".join([texts[i] for i in code.tolist()])[:-1])):
                 x.append(y)
         return pa.table([*(left.column(c) for c in _NAMES[1:6]), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=[*_NAMES[1:6], "n_best", "count_sum", "groups"])
 
