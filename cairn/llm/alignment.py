@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, attach, in_task, kept, text_buffer, text_slices
 
 #: Bytes of text that are aligned at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Tokens of A that one run of the SQL takes, about; a single cell may have more, and DuckDB then spills to the task's own disk.
-TOKENS = 60_000
+TOKENS = 40_000
 #: A pair of ids in one number: A's id in the upper half, B's in the lower.
 _HALF = 32
 #: Where both tokenizers surely end a token: before a space behind a character that is no white space for either. After these
@@ -82,7 +82,7 @@ class Sides:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = _Flat([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.space = self.b.piece_to_id("▁")
-        self.sql = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"cairn-duckdb-{os.getpid()}"), "preserve_insertion_order": False})
+        self.sql = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"cairn-duckdb-{os.getpid()}"), "preserve_insertion_order": False})
 
     def _ranked(self, path: str, names: list[bytes]):
         """The same byte pairs merged by a faster library, if the file's ids are in the order of its merges and its pattern is the usual one; else None."""
@@ -97,20 +97,23 @@ class Sides:
             return None
         return tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks={names[i]: i for i in range(256 + len(merges))}, special_tokens={})
 
-    def encode(self, cells: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each cell. B puts a space before a text, so that cells go without theirs."""
-        a, b = [], []
-        for lo in range(0, len(cells), 4096):
-            some = cells[lo : lo + 4096]
+    def encode(self, cells: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: the ids of all cells, and how many each has. B puts a space before a text, so that cells go without theirs."""
+        out: tuple[list, list] = ([], [])
+        for lo in range(0, len(cells), 4096):  # ids move into arrays at once, as lists take much room
+            some = cells.slice(lo, 4096).to_pylist()
             if self.short:
-                a += [self.short.encode_ordinary(x) if len(x) <= _LONG else self.a.encode(x, add_special_tokens=False).ids for x in some]
+                a = [self.short.encode_ordinary(x) if len(x) <= _LONG else self.a.encode(x, add_special_tokens=False).ids for x in some]
             else:
-                a += [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            b += self.b.encode([x[1:] for x in some], num_threads=1)
-        for k, x in enumerate(cells):
-            if x == " ":
-                b[k] = [self.space]
-        return a, b
+                a = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            b = self.b.encode([x[1:] for x in some], num_threads=1)
+            for k, x in enumerate(some):
+                if x == " ":
+                    b[k] = [self.space]
+            for ids, parts in zip((a, b), out):
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                parts.append((np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum())), n))
+        return [tuple(np.concatenate([np.empty(0, t), *(x[k] for x in parts)]) for k, t in ((0, np.int32), (1, np.int64))) for parts in out]
 
 
 class _Flat:
@@ -145,17 +148,14 @@ def _cells(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]), np.diff(np.searchsorted(at, offsets))
 
 
-def _tokens(ids: list[list[int]], side: _Flat, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all cells, how many each has, and which cells' tokens hold other bytes than the cell."""
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    tokens = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum()))
+def _misspelt(tokens: np.ndarray, n: np.ndarray, side: _Flat, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Which cells' tokens hold other bytes than the cell."""
     cell = np.repeat(np.arange(len(n)), n)
     bad = np.bincount(cell, weights=side.size[tokens], minlength=len(n)).astype(np.int64) != sizes
     of = np.repeat(np.arange(len(n)), sizes)
     stay = ~bad[of]
-    wrong = of[stay][side.joined(tokens[~bad[cell]]) != flat[stay]]
-    bad[wrong] = True
-    return tokens, n, bad
+    bad[of[stay][side.joined(tokens[~bad[cell]]) != flat[stay]]] = True
+    return bad
 
 
 def _intervals(tokens: np.ndarray, n: np.ndarray, side: _Flat, bad: np.ndarray) -> pa.Table:
@@ -229,9 +229,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
             sizes, (flat, offsets) = pc.binary_length(names).to_numpy(zero_copy_only=False), text_buffer(names)
             flat = flat[int(offsets[0]) : int(offsets[-1])]
-            ids = sides.encode(names.to_pylist())
-            (a, n_a, a_bad), (b, n_b, b_bad) = (_tokens(x, side, sizes, flat) for x, side in zip(ids, (sides.a_bytes, sides.b_bytes)))
-            bad = a_bad | b_bad
+            (a, n_a), (b, n_b) = sides.encode(names)
+            bad = _misspelt(a, n_a, sides.a_bytes, sizes, flat) | _misspelt(b, n_b, sides.b_bytes, sizes, flat)
             links, tokens = _aligned(sides.sql, _intervals(a, n_a, sides.a_bytes, bad), _intervals(b, n_b, sides.b_bytes, bad))
             texts, of_cell = _listed(tokens, len(names))
 
