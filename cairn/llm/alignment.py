@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import pickle
 import tempfile
 
 import numpy as np
@@ -198,8 +199,20 @@ def _listed(tokens: dict[str, np.ndarray], n_cells: int) -> tuple[pa.Array, dict
     return texts, {"n_a": np.bincount(cell[side == 0], minlength=n_cells), "n_b": np.bincount(cell[side == 1], minlength=n_cells), "n_groups": np.bincount(cell[new_group], minlength=n_cells)}
 
 
-_DOC = "slice long, id long, n_a long, n_b long, n_groups long, n_links long, cells binary, pairs array<long>, times array<long>, of binary, at binary, n binary, texts array<string>"
-_NAMES = [x.split()[0] for x in _DOC.split(", ")]
+_SLICE = "slice long, packed binary, pairs array<long>, times array<int>"
+_OUT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+_SUMS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def _packed(parts: dict[str, np.ndarray]) -> bytes:
+    """Arrays in one compressed string; whole numbers take as few bytes as their greatest needs."""
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max()))) if x.dtype.kind in "iu" and len(x) and x.min() >= 0 else x
+    data = pickle.dumps({k: small(x) for k, x in parts.items()}, 5)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -244,19 +257,24 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             np.add.at(of_cell["n_links"], links["cell"], links["n"])
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[code])])[starts]) for x in of_cell.values()]
 
+            used = np.bincount(code, minlength=len(names))
+            there = used[links["cell"]] > 0  # cells that only texts without tokens hold have no links
+            links = {k: x[there] for k, x in links.items()}
             pairs, at = np.unique(links["pair"], return_inverse=True)
             times = np.zeros(len(pairs), np.int64)
-            np.add.at(times, at, links["n"] * np.bincount(code, minlength=len(names))[links["cell"]])
-            there = times > 0  # pairs of cells in texts that count
-            raw, m = code.tobytes(), batch.num_rows
-            row = [np.full(m, number), batch.column("id"), *sums, [raw[4 * i : 4 * j] for i, j in zip(starts, starts[1:])]]
-            yield _batch(row + [pa.nulls(m)] * 6)
-            whole = [[number], [None], *[[0]] * 4, [None], [pairs[there]], [times[there]], [links["cell"].astype(np.uint32).tobytes()], [links["pair"].tobytes()], [links["n"].astype(np.uint32).tobytes()], pa.ListArray.from_arrays([0, len(texts)], texts.cast(pa.string()))]
-            yield _batch(whole)
+            np.add.at(times, at, links["n"] * used[links["cell"]])
+            flat, offsets = text_buffer(texts)
+            null = batch.column("id").is_null().to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(batch.column("id"), 0).to_numpy()
+            packed = _packed({
+                "id": ids, "null": null, "cells": counts, "code": code, **dict(zip(_SUMS, sums)), "links": np.bincount(links["cell"], minlength=len(names)), "at": at, "n": links["n"],
+                "text": flat[int(offsets[0]) : int(offsets[-1])], "ends": np.diff(offsets),
+            })
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([times.astype(np.int32)], pa.list_(pa.int32()))], ["slice", "packed", "pairs", "times"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    aligned = scratch.save(rows.mapInArrow(slices, _DOC), "aligned")
-    asked = aligned.where("pairs is not null").select("slice", F.explode(F.arrays_zip("pairs", "times")).alias("x"))
+    aligned = scratch.save(rows.mapInArrow(slices, _SLICE), "aligned")
+    asked = aligned.select("slice", F.explode(F.arrays_zip("pairs", "times")).alias("x"))
     asked = scratch.save(asked.select("slice", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times")), "asked")
     totals = asked.groupBy("pair").agg(F.sum("times").alias("n"), F.count("*").alias("slices"))
     b_id = F.expr(f"pair & {(1 << _HALF) - 1}L")  # an id of B has as many pairs as A has ids, at most
@@ -264,30 +282,26 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     answers = attach(asked, totals, "pair", "slices", asked.count()).select("slice", "pair", F.col("n").alias("total"), "best")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        whole = pc.is_valid(left.column("texts"))
-        one, left = left.filter(whole), left.filter(pc.invert(whole))
-        of, n = (np.frombuffer(one.column(c)[0].as_py(), np.uint32).astype(np.int64) for c in ("of", "n"))
-        link = np.frombuffer(one.column("at")[0].as_py(), np.int64)
-        texts = one.column("texts")[0].as_py()
-        pair = right.column("pair").to_numpy()
-        order = np.argsort(pair)
-        pair, total, best = pair[order], right.column("total").to_numpy()[order], right.column("best").to_numpy(zero_copy_only=False)[order].astype(np.int64)
-        known = np.isin(link, pair)  # pairs of cells that only texts without tokens hold have no count
-        of, n, at = of[known], n[known], np.searchsorted(pair, link[known])
-        bests, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        np.add.at(bests, of, n * best[at])
-        np.add.at(sums, of, n * total[at])
-        out: list[list] = [[], [], []]
-        for cells in left.column("cells").to_pylist():
-            code = np.frombuffer(cells, np.uint32)
-            for x, y in zip(out, (int(bests[code].sum()), int(sums[code].sum()), "".join([texts[i] for i in code.tolist()])[:-1])):
-                x.append(y)
-        return pa.table([*(left.column(c) for c in _NAMES[1:6]), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=[*_NAMES[1:6], "n_best", "count_sum", "groups"])
-
-    done = aligned.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+        x = _unpacked(left.column("packed")[0].as_py())
+        order = np.argsort(right.column("pair").to_numpy())  # the slice's distinct pairs, in the order in which it numbered them
+        total, best = (right.column(c).to_numpy(zero_copy_only=False)[order].astype(np.int64) for c in ("total", "best"))
+        at, n, of = x["at"], x["n"].astype(np.int64), np.repeat(np.arange(len(x["links"])), x["links"])
+        of_cell = []
+        for values in (best, total):
+            sums = np.zeros(len(x["links"]), np.int64)
+            np.add.at(sums, of, n * values[at])
+            of_cell.append(sums)
+        ends = np.cumsum(x["ends"].astype(np.int64))
+        text = x["text"].tobytes().decode()  # ids and separators, one byte each
+        texts = [text[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())]
+        upto = np.concatenate([[0], np.cumsum(x["cells"].astype(np.int64))])
+        code = x["code"].astype(np.int64)
+        by_doc = [np.diff(np.concatenate([[0], np.cumsum(sums[code])])[upto]) for sums in of_cell]
+        named = [texts[i] for i in code.tolist()]
+        groups = ["".join(named[i:j])[:-1] for i, j in zip(upto.tolist(), upto[1:].tolist())]
+        columns = [pa.array(x["id"].astype(np.int64), mask=x["null"]), *(pa.array(x[c].astype(np.int64)) for c in _SUMS), *map(pa.array, by_doc), pa.array(groups, pa.string())]
+        return pa.table(columns, names=[c.split()[0] for c in _OUT.split(", ")])
+
+    done = aligned.select("slice", "packed").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, _OUT)
     return done, totals.select(F.shiftright("pair", _HALF).alias("a_id"), b_id.alias("b_id"), "n")
 
-
-def _batch(columns: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, kinds)], _NAMES)
