@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 
@@ -28,6 +29,8 @@ _PLAIN_BYTE[[10, *range(32, 127), 0xC3, *(x for x in range(0x80, 0xC0) if x not
 #: unless an apostrophe stands there or (bytes) behind a line feed. Many pieces are cut at once, with a NUL between them.
 _PLAIN_PIECE = re.compile(rf"[ \n]?[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*\n?|[ \n]?")
 _CUTS = {"words": re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}\0]*'[{_LETTERS}]+|[^{_LETTERS}\0]+|\0"), "bytes": re.compile(rf" ?[{_LETTERS}]+|[\n\0]|[^{_LETTERS}\n\0]+[{_LETTERS}]*")}
+#: Parts that every pattern takes as one word. Longer ones go through the tokenizer, as do letters beyond these.
+_WORD_PART = {"words": re.compile(rf"[a-zà-öø-ÿ]{{1,{LONGEST}}}"), "bytes": re.compile(rf" ?[{_LETTERS}]{{1,{LONGEST}}}")}
 #: Other texts are cut where a tokenizer can't join anything: (words) at ASCII white space, (bytes) before white space behind
 #: other characters. _UNSURE: characters that count as white space for some, where the second cut could be wrong.
 _PIECES = {"words": re.compile(r"[^\t-\r ]+"), "bytes": re.compile(r"[\t-\r ]*+[^\t-\r ]+|[\t-\r ]+")}
@@ -60,6 +63,48 @@ class _Memory:
         self.young.update((k, v) for k, v in zip(keys, values) if len(k) <= LONGEST)
 
 
+class _Ranked:
+    """Merges the bytes of a single word as the tokenizer does, by a faster library; for vocabularies whose ids are in the order of their merges.
+
+    A tokenizer that marks the ends of words merges the last byte with the mark before all else: the byte 0xFF, which is in no
+    UTF-8, stands for it.
+    """
+
+    @classmethod
+    def of(cls, path: str) -> _Ranked | None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end, vocab = model.get("end_of_word_suffix") or "", model.get("vocab")
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges") or ()]
+        first = 512 if end else 256
+        if not merges or model.get("dropout") or any(vocab[m] != first + i for i, m in enumerate(merges)):
+            return None
+        return cls(vocab, merges, end)
+
+    def __init__(self, vocab: dict[str, int], merges: list[str], end: str):
+        import tiktoken
+
+        chars = byte_characters()
+        value, self.end = {c: b for b, c in enumerate(chars)}, b"\xff" if end else b""
+        ranks = {bytes([b]): vocab[c] for b, c in enumerate(chars)}
+        if end:
+            ranks |= {bytes([b, 255]): vocab[c + end] for b, c in enumerate(chars[:255])}
+        for m in merges:
+            last = bool(end) and m.endswith(end)
+            ranks[bytes(value[c] for c in (m[: -len(end)] if last else m)) + (self.end if last else b"")] = vocab[m]
+        self.merge = tiktoken.Encoding("ranked", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [self.merge(x.encode() + self.end) for x in words]
+
+
+def byte_characters() -> list[str]:
+    """The characters by which byte-level tokenizers write the bytes 0 to 255: printable ones stand for themselves, the others follow one another from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """Encodes texts exactly as the tokenizer encodes them whole, add_special_tokens=False, strings of special tokens included.
 
@@ -82,7 +127,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kind, self.parts = kind, _Memory(PARTS)
+        self.kind, self.parts, self.ranked = kind, _Memory(PARTS), _Ranked.of(path)
 
     def _cut(self, piece: str) -> list[str]:
         if _SPECIAL in piece or not _PLAIN_PIECE.fullmatch(piece):
@@ -109,7 +154,7 @@ class Encoder:
         for lo in range(0, len(unknown), BATCH):
             at = unknown[lo : lo + BATCH]
             some = [parts[i] for i in at]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ids = self._encoded(some)
             ends = list(itertools.accumulate(len(x) * self.dtype.itemsize for x in ids))
             data = np.fromiter(itertools.chain.from_iterable(ids), self.dtype, ends[-1] // self.dtype.itemsize).tobytes()
             values = [data[i:j] for i, j in zip([0, *ends], ends)]
@@ -118,6 +163,14 @@ class Encoder:
             self.parts.put(some, values)
         return out
 
+    def _encoded(self, parts: list[str]) -> list:
+        """Words of letters are merged as they are; other parts go through the tokenizer."""
+        plain = [bool(_WORD_PART[self.kind].fullmatch(x)) for x in parts] if self.ranked else [False] * len(parts)
+        words = iter(self.ranked.encode(list(itertools.compress(parts, plain))) if self.ranked else ())
+        others = [x for x, p in zip(parts, plain) if not p]
+        rest = iter([x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else ())
+        return [next(words) if p else next(rest) for p in plain]
+
     def _ids(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, one after another, and how many each has."""
         at, names, counts = self._parts(pieces, plain)
