@@ -15,20 +15,20 @@ POSE = ["tx", "ty", "tz", "qx", "qy", "qz", "qw"]
 def read_poses(spark: SparkSession, path: str, tolerance: float = 1e-3) -> DataFrame:
     """(line, time, tx .. qw) of the text lines that are no comments: the last 7 columns, and the first as time if there are more.
 
-    Lines with fewer columns, other than numbers, or no unit quaternion are skipped. line counts a file's lines in order; text
-    files of poses are small, so their order is that of one sorted numbering.
+    Lines with fewer columns, other than numbers, or no unit quaternion are skipped. line counts the good lines of each file in
+    order: files are numbered apart from one another, by where a line's block begins and its place in the block.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("#")).withColumn("__at", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")).where(~F.col("value").startswith("#")).withColumn("__at", F.monotonically_increasing_id())
     cells = F.split(F.trim("value"), r"\s+")
-    rows = lines.select("__at", cells.alias("c")).where(F.size("c") >= 7)
+    rows = lines.select("__file", "__block", "__at", cells.alias("c")).where(F.size("c") >= 7)
     last = F.slice("c", -7, 7)
-    numbers = rows.select("__at", F.when(F.size("c") > 7, F.element_at("c", 1).try_cast("double")).alias("time"), *[F.element_at(last, k + 1).try_cast("double").alias(n) for k, n in enumerate(POSE)])
+    numbers = rows.select("__file", "__block", "__at", F.when(F.size("c") > 7, F.element_at("c", 1).try_cast("double")).alias("time"), *[F.element_at(last, k + 1).try_cast("double").alias(n) for k, n in enumerate(POSE)])
     finite = F.lit(True)
     for n in POSE:
         finite = finite & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
     norm = F.sqrt(sum((F.col(n) * F.col(n) for n in POSE[4:]), F.col("qx") * F.col("qx")))
     good = numbers.where(finite & (F.abs(norm - 1) <= tolerance))
-    return good.withColumn("line", F.row_number().over(Window.orderBy("__at")) - 1).select("line", "time", *POSE)
+    return good.withColumn("line", F.row_number().over(Window.partitionBy("__file").orderBy("__block", "__at")) - 1).select("line", "time", *POSE)
 
 
 def read_time_list(spark: SparkSession, path: str) -> DataFrame:
@@ -41,23 +41,12 @@ def read_time_list(spark: SparkSession, path: str) -> DataFrame:
 def read_raw_frames(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
     """(frame, depth, rgb) of a file of frames of fixed length: two 32-bit sizes, depths in 16-bit millimetres, the sizes, 3 bytes of colour for each pixel.
 
-    Spark splits the file at frames, so a long sequence is read in parallel. depth: metres, row by row; rgb: bytes.
+    The file is read by ranges of frames, so a long sequence is read in parallel. depth: metres, row by row; rgb: bytes.
     """
-    n = width * height
-    records = spark.sparkContext.binaryRecords(path, 8 + 2 * n + 8 + 3 * n).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    rows = spark.createDataFrame(records, "frame long, data binary")
+    from .sequences import read_raw_sequence
 
-    def decode(batches):
-        for pdf in batches:
-            depth, rgb = [], []
-            for data in pdf["data"]:
-                if tuple(np.frombuffer(data, "<u4", 2)) != (width, height):
-                    raise ValueError("frames are of another size")
-                depth.append((np.frombuffer(data, "<u2", n, 8) / 1000.0).tolist())
-                rgb.append(bytes(data[16 + 2 * n :]))
-            yield pd.DataFrame({"frame": pdf["frame"], "depth": depth, "rgb": rgb})
-
-    return rows.mapInPandas(decode, "frame long, depth array<double>, rgb binary")
+    frames = read_raw_sequence(spark, path, width, height)
+    return frames.select("frame", F.transform("depth", lambda d: F.round(d.cast("double") * 1000) / 1000).alias("depth"), "rgb")
 
 
 def pixels(frames: DataFrame, width: int, value: str = "depth") -> DataFrame:
@@ -122,7 +111,39 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.try_element_at("c", F.lit(k + 1)).try_cast("double").alias(n) for k, n in enumerate(names)])
 
 
-READERS = {"raw": read_raw_frames, "poses": read_poses, "times": read_time_list, "masks": read_masks, "confidences": read_confidences, "pgm": read_pgm, "results": read_results}
+def read_class_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(path, det_id, class_id) of .npy files of N numbers."""
+    def decode(batches):
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"]):
+                a = np.load(io.BytesIO(data), allow_pickle=False).ravel().astype(np.int64)
+                yield pd.DataFrame({"path": name, "det_id": range(len(a)), "class_id": a})
+
+    return _files(spark, path, "*.npy").mapInPandas(decode, "path string, det_id long, class_id long")
+
+
+def read_segmentation(spark: SparkSession, masks: str, classes: str, confidences: str) -> tuple[DataFrame, DataFrame]:
+    """A folder each of masks, class ids and confidences, with one .npy file of the same name for each frame: (name, det_id, u, v) and (name, det_id, class_id, conf).
+
+    Detections whose files disagree in number keep what both have, as the masks' detections say.
+    """
+    name = lambda df: df.withColumn("name", F.regexp_replace("path", r"^.*/", "")).drop("path")
+    pixels = name(read_masks(spark, masks))
+    told = name(read_class_ids(spark, classes)).join(name(read_confidences(spark, confidences)), ["name", "det_id"], "left")
+    return pixels.select("name", "det_id", "u", "v"), told.select("name", "det_id", "class_id", "conf")
+
+
+def _sequences(kind: str):
+    def read(spark: SparkSession, path: str, **options) -> DataFrame:
+        from . import sequences
+
+        return getattr(sequences, kind)(spark, path, **options)
+
+    return read
+
+
+READERS = {"raw": read_raw_frames, "poses": read_poses, "times": read_time_list, "masks": read_masks, "classes": read_class_ids, "confidences": read_confidences, "pgm": read_pgm, "results": read_results}
+READERS |= {"raw_sequence": _sequences("read_raw_sequence"), "tum": _sequences("read_tum"), "interiornet": _sequences("read_interiornet"), "newercollege": _sequences("read_scans")}
 
 
 def open_sequence(kind: str, spark: SparkSession, path: str, **options) -> DataFrame:
