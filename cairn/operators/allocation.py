@@ -83,18 +83,3 @@ def band_blocks(rays: DataFrame, voxel_dim: float, band: float, depth_of_map: in
     edge = 1 << depth_of_map
     inside = cells.where(" and ".join(f"{k} >= 0 and {k} < {edge}" for k in "xyz"))
     return inside.select(morton.encode(F.col("x"), F.col("y"), F.col("z"), depth_of_map - morton.BLOCK_SCALE, depth_of_map).alias("key")).distinct()
-
-
-def carve(octants: DataFrame, depth_range: DataFrame, decide, depth_of_map: int, start: int, until: int) -> DataFrame:
-    """Coarse-to-fine allocation: at each depth a decision for each octant, 'split', 'free' or 'skip'; split ones ask for their children.
-
-    decide(octants, depth_range) adds the column decision. Returns the octants where the descent ended, with decision; those
-    still split at depth `until` are 'update'.
-    """
-    now, ended = octants, None
-    for d in range(start, until + 1):
-        judged = decide(now, depth_range)
-        done = judged.where("decision <> 'split'") if d < until else judged.withColumn("decision", F.when(F.col("decision") == "split", "update").otherwise(F.col("decision")))
-        ended = done if ended is None else ended.unionByName(done)
-        now = judged.where("decision = 'split'").select(F.explode(F.array(*[morton.child(F.col("key"), i, depth_of_map) for i in range(8)])).alias("key"))
-    return ended

@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.geometry import Pinhole, norm
+from ..functions.geometry import Pinhole, inverse_transform, norm
 
 
-def project_voxels(voxels: DataFrame, image: DataFrame, camera: Pinhole, position: tuple[float, float, float], voxel_dim: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def project_voxels(voxels: DataFrame, image: DataFrame, camera: Pinhole, position, voxel_dim: float, keys: tuple[str, ...] = (), orientation=None, extra: tuple[str, ...] = ()) -> DataFrame:
     """The projective join: each voxel (x, y, z and more) whose centre falls on a pixel (u, v) with depth > 0, with depth and sdf.
 
-    The camera stands at a position and looks along z. sdf is the measured minus the voxel's distance along the voxel's ray, positive
-    before the surface. keys: columns that voxels and image share, such as a frame's number. An equi-join on the pixel, so
-    voxels and images are dealt by pixel and neither has to be small.
+    The camera stands at a position and looks along z, or as an orientation (unit quaternion x, y, z, w, from the camera to the
+    map) turns it; both may be numbers or columns of voxels. sdf is the measured minus the voxel's distance along the voxel's ray,
+    positive before the surface. keys: columns that voxels and image share, such as a frame's number; extra: more columns of the
+    image, such as colours or masks. An equi-join on the pixel, so voxels and images are dealt by pixel and neither has to be small.
     """
-    centre = [(F.col(k) + 0.5) * voxel_dim - p for k, p in zip("xyz", position)]
+    centre = [(F.col(k) + 0.5) * voxel_dim for k in "xyz"]
+    at = [F.lit(p) if isinstance(p, (int, float)) else p for p in position]
+    if orientation is None:
+        centre = [c - p for c, p in zip(centre, at)]
+    else:
+        centre = inverse_transform([F.lit(c) if isinstance(c, (int, float)) else c for c in orientation], at, centre)
+    voxels = voxels.withColumn("__c", F.array(*centre))
+    centre = [F.col("__c")[k] for k in range(3)]
     u, v, seen = camera.project(centre)
     placed = voxels.withColumns({"u": u, "v": v, "__pz": centre[2], "__range": norm(centre)}).where(seen)
-    measured = image.where("depth > 0").select(*keys, "u", "v", "depth")
+    measured = image.where("depth > 0").select(*keys, "u", "v", "depth", *extra)
     sdf = (F.col("depth") - F.col("__pz")) / F.col("__pz") * F.col("__range")
-    return placed.join(measured, [*keys, "u", "v"]).withColumn("sdf", sdf).drop("__pz", "__range")
+    return placed.join(measured, [*keys, "u", "v"]).withColumn("sdf", sdf).drop("__pz", "__range", "__c")
 
 
 def update_tsdf(seen: DataFrame, band: float, max_weight: float) -> DataFrame:

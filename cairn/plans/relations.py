@@ -14,6 +14,9 @@ COLUMNS = {
     "pixels": ("lineitem", ["CAST(year(l_shipdate) AS BIGINT) AS frame", "l_suppkey AS det_id", "l_partkey % 40 AS u", "CAST(floor(l_quantity) AS BIGINT) AS v"]),
     "poses": ("orders", ["o_orderkey AS seq", "o_custkey AS body", "CAST(o_custkey % 20 AS DOUBLE) AS x", "CAST(floor(o_custkey / 20) AS BIGINT) % 20 * 1E0 AS y", "0E0 AS z", "CAST(o_totalprice AS DOUBLE) - floor(CAST(o_totalprice AS DOUBLE) / 6.283185307E0) * 6.283185307E0 AS yaw", "CAST(o_totalprice AS DOUBLE) AS price"]),
 }
+#: Depth images of 64 x 64 pixels, one for each 4096 orders: a slanted wall with noise, some pixels without depth. Their number grows with the table.
+SHOTS = "round(0.9 + 2.6 * u / 64 + 0.31 * (frame % 5) + 4 * avg(disc), 9) * CASE WHEN sum(hundredths) % 13 = 5 THEN 0 ELSE 1 END"
+COLUMNS["shots"] = ("lineitem", ["CAST(floor(l_orderkey / 4096) AS BIGINT) AS frame", "l_partkey % 64 AS u", "l_suppkey % 64 AS v", "CAST(l_discount AS DOUBLE) AS disc", "CAST(round(l_discount * 100) AS BIGINT) AS hundredths"])
 DISTINCT = {"pixels", "object_pixels"}
 EPOCH = {"spark": "unix_micros(cast(ts as timestamp)) / 1e6", "duckdb": "epoch_us(ts) / 1e6"}
 FRAMES = ["event_id AS frame", "user_id AS sensor", "event_type AS stream", "CAST(value AS DOUBLE) AS value"]
@@ -28,6 +31,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return relation(spark, sf_dir, "points").groupBy("x", "y").agg((F.avg("z") / 10).alias("depth")).selectExpr("x AS u", "y AS v", "depth")
     if name == "voxels":  # the factor keeps means off the ties of rounding
         return relation(spark, sf_dir, "dense").groupBy("x", "y", "z").agg((F.round(F.avg("sample") * 0.98712361, 9) + F.lit(0.0)).alias("value"), F.count("*").cast("double").alias("weight"))
+    if name == "depths":
+        return relation(spark, sf_dir, "shots").groupBy("frame", "u", "v").agg(F.expr(SHOTS).cast("double").alias("depth"))
     table, columns = COLUMNS[name]
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns)
     return df.distinct() if name in DISTINCT else df
@@ -51,6 +56,9 @@ def sql(*names: str) -> str:
         elif name == "voxels":
             add("dense")
             out[name] = "SELECT x, y, z, round(avg(sample) * 0.98712361e0, 9) + 0e0 AS value, CAST(count(*) AS DOUBLE) AS weight FROM dense GROUP BY x, y, z"
+        elif name == "depths":
+            add("shots")
+            out[name] = f"SELECT frame, u, v, CAST({SHOTS} AS DOUBLE) AS depth FROM shots GROUP BY frame, u, v"
         else:
             table, columns = COLUMNS[name]
             out[name] = f"SELECT {'DISTINCT ' * (name in DISTINCT)}{', '.join(columns)} FROM {table}"
