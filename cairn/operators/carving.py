@@ -65,32 +65,43 @@ def pool_boxes(boxes: DataFrame, pool: DataFrame, width: int, height: int, keys:
     return sums.select(*keys, *box, "low", "high", F.when(F.col("some") == 0, "none").when(F.col("full"), "all").otherwise("part").alias("known"))
 
 
-def judge(octants: DataFrame, pool: DataFrame, camera: Pinhole, voxel_dim: float, depth_of_map: int, sigma3: float, tau: float, known_free: DataFrame | None = None) -> DataFrame:
+def to_camera(frames: DataFrame) -> DataFrame:
+    """Adds m, the 12 numbers that take a point of the map into the camera's frame: a matrix by rows, then a shift. frames: q (x, y, z, w) and t, from the camera to the map."""
+    q, t = [F.col("q")[i] for i in range(4)], [F.col("t")[i] for i in range(3)]
+    zero = [F.lit(0.0)] * 3
+    columns = [geometry.inverse_transform(q, zero, [F.lit(float(i == k)) for i in range(3)]) for k in range(3)]
+    return frames.withColumn("m", F.array(*[columns[k][i] for i in range(3) for k in range(3)], *geometry.inverse_transform(q, t, zero)))
+
+
+def judge(octants: DataFrame, pool: DataFrame, camera: Pinhole, voxel_dim: float, sigma3: float, tau: float, known_free: DataFrame | None = None) -> DataFrame:
     """Adds decision (split, free or skip), low_variance (-1 before the surface, 1 behind it, 0 mixed, null unless judged by depths) and inside (all pixels valid).
 
-    octants: frame, key and the frame's pose q (x, y, z, w) and t, from the camera to the map. Octants out of reach, beside the
-    image, without valid pixels or behind the surface are skipped; those around the camera, over the image's border, with
-    invalid pixels or with depths near them are split; those that lie before all depths are free. known_free: keys that are
-    observed and free: they are skipped unless depths near them could change that.
+    octants: frame, key, corner x, y, z and size in voxels, and of the frame m (to_camera) and t, the camera's place. Octants out of
+    reach, beside the image, without valid pixels or behind the surface are skipped; those around the camera, over the image's
+    border, with invalid pixels or with depths near them are split; those that lie before all depths are free. known_free: keys
+    that are observed and free: they are skipped unless depths near them could change that.
     """
-    key, edge = F.col("key"), morton.octant_size(F.col("key"), depth_of_map)
-    q, t = [F.col("q")[i] for i in range(4)], [F.col("t")[i] for i in range(3)]
-    low = morton.coords(key, depth_of_map)
-    placed = octants.withColumns({"__size": edge * voxel_dim, "__low": F.array(*[c * voxel_dim for c in low])})
-    base = geometry.inverse_transform(q, t, [F.col("__low")[i] for i in range(3)])
-    back = (-q[0], -q[1], -q[2], q[3])
-    axes = [geometry.rotate(back, [F.lit(float(i == k)) for i in range(3)]) for k in range(3)]
-    placed = placed.withColumns({"__base": F.array(*base), **{f"__axis{k}": F.array(*a) for k, a in enumerate(axes)}})
-    corner = lambda i: [F.col("__base")[c] + sum(((F.col(f"__axis{k}")[c] * F.col("__size")) if i >> k & 1 else F.lit(0.0) for k in range(3)), F.lit(0.0)) for c in range(3)]
-    centre = [F.col("__base")[c] + sum((F.col(f"__axis{k}")[c] for k in range(3)), F.lit(0.0)) * F.col("__size") / 2 for c in range(3)]
-    placed = placed.withColumns({"__corners": F.array(*[F.struct(*[x.alias(n) for x, n in zip(corner(i), "xyz")]) for i in range(8)]), "__centre": F.array(*centre), "__radius": F.col("__size") * (math.sqrt(3) / 2)})
+    m, t, low = [F.col("m")[i] for i in range(12)], [F.col("t")[i] for i in range(3)], [F.col(k) * voxel_dim for k in "xyz"]
+    side = F.col("size") * voxel_dim
+
+    def at(*offset: Column) -> Column:
+        """A point of the octant, offset in sizes, before the camera."""
+        p = [a + o * side for a, o in zip(low, offset)]
+        return F.struct(*[(m[3 * k] * p[0] + m[3 * k + 1] * p[1] + m[3 * k + 2] * p[2] + m[9 + k]).alias(n) for k, n in enumerate("xyz")])
+
+    bit = lambda i, k: F.call_function("shiftright", i, F.lit(k)).bitwiseAND(F.lit(1))
+    corners = F.transform(F.array(*map(F.lit, range(8))), lambda i: at(bit(i, 0), bit(i, 1), bit(i, 2)))
+    half = F.lit(0.5)
+    placed = octants.withColumns({"__corners": corners, "__centre": at(half, half, half)})
     pixel = lambda p: F.struct((camera.fx * p["x"] / p["z"] + camera.cx).alias("u"), (camera.fy * p["y"] / p["z"] + camera.cy).alias("v"))
-    before = F.filter("__corners", lambda p: p["z"] >= camera.near)
-    placed = placed.withColumns({"__front": F.size(before), "__pixels": F.transform(before, pixel), "__z0": F.array_min(F.transform("__corners", lambda p: p["z"])), "__z1": F.array_max(F.transform("__corners", lambda p: p["z"]))})
+    before = F.transform(F.filter("__corners", lambda p: p["z"] >= camera.near), pixel)
+    radius = side * (math.sqrt(3) / 2)
+    placed = placed.withColumns({"__pixels": before, "__z0": F.array_min("__corners.z"), "__z1": F.array_max("__corners.z")})
+    placed = placed.withColumn("__front", F.size("__pixels"))
     seen = F.exists("__pixels", lambda p: (p["u"] >= -0.5) & (p["u"] < camera.width - 0.5) & (p["v"] >= -0.5) & (p["v"] < camera.height - 0.5))
-    centred, own = [F.col("__centre")[i] for i in range(3)], [F.col("__low")[i] for i in range(3)]
-    holds = geometry.in_box(t, own, [c + F.col("__size") for c in own])
-    placed = placed.withColumn("__near", F.when((centred[2] - F.col("__radius") > camera.far) | (centred[2] + F.col("__radius") < camera.near) | (F.col("__front") == 0), "skip").when(F.col("__front") < 8, F.when(holds | seen | camera.sphere_in_frustum(centred, F.col("__radius"), True), "split").otherwise("skip")))
+    centred = [F.col(f"__centre.{k}") for k in "xyz"]
+    holds = geometry.in_box(t, low, [c + side for c in low])
+    placed = placed.withColumn("__near", F.when((centred[2] - radius > camera.far) | (centred[2] + radius < camera.near) | (F.col("__front") == 0), "skip").when(F.col("__front") < 8, F.when(holds | seen | camera.sphere_in_frustum(centred, radius, True), "split").otherwise("skip")))
     span = {f"{c}{n}": F.floor(f(F.col(f"__pixels.{c}"))).cast("long") for c in "uv" for n, f in ((0, F.array_min), (1, F.array_max))}
     boxed = placed.where("__near is null").withColumns(span)
     w, h = camera.width - 1, camera.height - 1
@@ -119,13 +130,18 @@ def carve(frames: DataFrame, image: DataFrame, camera: Pinhole, voxel_dim: float
     """
     scratch = Scratch(frames.sparkSession, "carving")
     pool = scratch.save(pooled(image, camera.width, camera.height, ["frame"]), "pool")
-    now, blocks, ended = frames.select("frame", "q", "t", morton.encode(F.lit(0), F.lit(0), F.lit(0), 0, depth_of_map).alias("key")), depth_of_map - morton.BLOCK_SCALE, None
+    root = [F.lit(0).cast("long").alias(k) for k in "xyz"]
+    now = scratch.save(to_camera(frames).select("frame", "m", "t", *root, F.lit(1 << depth_of_map).cast("long").alias("size"), F.lit(0).cast("long").alias("key")), "root")
+    blocks, ended = depth_of_map - morton.BLOCK_SCALE, None
     for d in range(blocks + 1):
-        judged = scratch.save(judge(now, pool, camera, voxel_dim, depth_of_map, sigma3, tau, known_free), f"depth{d}")
+        judged = scratch.save(judge(now, pool, camera, voxel_dim, sigma3, tau, known_free), f"depth{d}")
         done = judged.where("decision = 'free'") if d < blocks else judged.where("decision <> 'skip'").withColumn("decision", F.when(F.col("decision") == "split", "update").otherwise(F.col("decision")))
         done = done.select("frame", "key", "decision", "low_variance", "inside")
         ended = done if ended is None else ended.unionByName(done)
-        now = judged.where("decision = 'split'").select("frame", "q", "t", F.explode(F.array(*[morton.child(F.col("key"), i, depth_of_map) for i in range(8)])).alias("key"))
+        step = F.explode(F.array(*[F.struct(*[F.lit(i >> k & 1).alias(n) for k, n in enumerate("xyz")], (F.lit(i << 3 * (depth_of_map - d - 1)) + F.lit(1)).alias("key")) for i in range(8)])).alias("c")
+        now = judged.where("decision = 'split'").select("frame", "m", "t", "x", "y", "z", (F.col("size") / 2).cast("long").alias("size"), "key", step)
+        # a child's key: its parent's, one bit of each axis more, and a depth greater by one
+        now = now.select("frame", "m", "t", *[(F.col(k) + F.col(f"c.{k}") * F.col("size")).alias(k) for k in "xyz"], "size", (F.col("key") + F.col("c.key")).alias("key"))
     return ended
 
 
