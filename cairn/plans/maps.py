@@ -184,5 +184,12 @@ ORACLE = {
     "sphere_free": f"{_V}, {_PROBES}, {_PLACES}, c AS (SELECT probe, CAST(floor(px) + a AS BIGINT) AS x, CAST(floor(py) + b AS BIGINT) AS y, CAST(floor(pz) + c AS BIGINT) AS z FROM places, (SELECT unnest(range(-3, 4)) AS a), (SELECT unnest(range(-3, 4)) AS b), (SELECT unnest(range(-3, 4)) AS c) WHERE pow(floor(px) + a + 0.5e0 - px, 2) + pow(floor(py) + b + 0.5e0 - py, 2) + pow(floor(pz) + c + 0.5e0 - pz, 2) <= 1.2e0 * 1.2e0) SELECT probe AS sphere, bool_and(coalesce(value < 0, false)) AS free, count(*) AS cells FROM c LEFT JOIN voxels USING (x, y, z) GROUP BY probe",
     "ray_hits": f"{_V}, {_PROBES}, {_RAYS}, s AS (SELECT ray, i, value, lag(value) OVER (PARTITION BY ray ORDER BY i) AS before FROM (SELECT ray, i, CAST(floor(ox + 0.6e0 * i * 0.5e0) AS BIGINT) AS x, CAST(floor(oy + -0.48e0 * i * 0.5e0) AS BIGINT) AS y, CAST(floor(oz + 0.64e0 * i * 0.5e0) AS BIGINT) AS z FROM rays, (SELECT unnest(range(0, 25)) AS i)) c LEFT JOIN voxels USING (x, y, z)), f AS (SELECT ray, min(i) AS i FROM s WHERE before <= 0 AND value > 0 GROUP BY ray) SELECT rays.ray, round((f.i - 1 + (0 - before) / (value - before)) * 0.5e0, 6) AS t FROM rays LEFT JOIN f USING (ray) LEFT JOIN s ON s.ray = f.ray AND s.i = f.i",
     "ray_entropy": f"{_V}, {_PROBES}, {_RAYS}, c AS (SELECT ray, i, CAST(floor(ox + 0.6e0 * (1 + i)) AS BIGINT) AS x, CAST(floor(oy + -0.48e0 * (1 + i)) AS BIGINT) AS y, CAST(floor(oz + 0.64e0 * (1 + i)) AS BIGINT) AS z FROM rays, (SELECT unnest(range(0, 12)) AS i)), s AS (SELECT ray, i, NOT (x BETWEEN 0 AND 31 AND y BETWEEN 0 AND 31 AND z BETWEEN 0 AND 31) AS gone, coalesce(value * weight, 0) AS l FROM c LEFT JOIN voxels USING (x, y, z)), e AS (SELECT ray, min(i) FILTER (gone) AS leave, min(i) FILTER (l > 0) AS hit FROM s GROUP BY ray), h AS (SELECT s.ray, CASE WHEN l <= -100 THEN 0 WHEN l >= 100 THEN 1 ELSE pow(2, l) / (1 + pow(2, l)) END AS p FROM s JOIN e USING (ray) WHERE i < coalesce(leave, 99) AND i <= coalesce(hit, 99)) SELECT rays.ray, round(coalesce(sum({_H}), 0) / 12, 6) AS entropy FROM rays LEFT JOIN h USING (ray) GROUP BY rays.ray",
+    # the cases' triangles are those that test_functions.py holds against the rules of a closed surface
+    "mesh": f"""{_V}, corners AS (SELECT x - dx AS x, y - dy AS y, z - dz AS z, i, value FROM voxels, (VALUES {", ".join(str((i, *c)) for i, c in enumerate(meshing.CORNERS))}) c(i, dx, dy, dz)),
+      closed AS (SELECT x, y, z, list(value ORDER BY i) AS v, sum(CASE WHEN value < 0 THEN 1 << i ELSE 0 END) AS case_of FROM corners GROUP BY x, y, z HAVING count(value) = 8),
+      edges AS (SELECT * FROM (VALUES {", ".join(str((k, a, b, *meshing.CORNERS[a], *(q - p for p, q in zip(meshing.CORNERS[a], meshing.CORNERS[b])))) for k, (a, b) in enumerate(meshing.EDGES))}) e(edge, a, b, x0, y0, z0, lx, ly, lz)),
+      cases AS (SELECT * FROM (VALUES {", ".join(str((c, k, e)) for c in range(256) for k, t in enumerate(meshing.triangles_of(c)) for e in t)}) t(case_of, triangle, edge)),
+      vertices AS (SELECT x, y, z, triangle, e.*, (0 - v[a + 1]) / (v[b + 1] - v[a + 1]) AS t FROM closed JOIN cases USING (case_of) JOIN edges e USING (edge))
+      SELECT x, y, z, max(triangle) + 1 AS triangles, count(*) AS vertices, round(avg(x + x0 + lx * t), 6) AS vx, round(avg(y + y0 + ly * t), 6) AS vy, round(avg(z + z0 + lz * t), 6) AS vz FROM vertices GROUP BY x, y, z""",
     "best_yaw": f"{sql('points')}, im AS (SELECT frame, x AS u, y % 10 AS v, avg(z) AS e FROM points GROUP BY 1, 2, 3), w AS (SELECT frame, (u - i + 64) % 64 AS start, avg(e) AS mean FROM im, (SELECT unnest(range(0, 13)) AS i) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(mean, 9) DESC, start) AS n FROM w) SELECT frame, start, round(mean, 6) AS mean, round(pi() - 2 * pi() * (start + 0.5e0) / 64 - pi() * 13 / 64, 6) AS yaw FROM r WHERE n = 1",
 }

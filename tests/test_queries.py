@@ -3,10 +3,10 @@
 import pytest
 from small import SMALL
 
-from cairn.plans import frames, keys, maps, rays, scenes, space
+from cairn.plans import frames, keys, maps, rays, scenes, shapes, space
 
-QUERIES = keys.QUERIES | maps.QUERIES | scenes.QUERIES | space.QUERIES | frames.QUERIES | rays.QUERIES
-ORACLE = keys.ORACLE | maps.ORACLE | scenes.ORACLE | space.ORACLE | frames.ORACLE | rays.ORACLE
+QUERIES = keys.QUERIES | maps.QUERIES | scenes.QUERIES | space.QUERIES | frames.QUERIES | rays.QUERIES | shapes.QUERIES
+ORACLE = keys.ORACLE | maps.ORACLE | scenes.ORACLE | space.ORACLE | frames.ORACLE | rays.ORACLE | shapes.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
