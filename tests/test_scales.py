@@ -24,7 +24,7 @@ def updates(seed, frames=24, n=5):
     return rows
 
 
-def plain(rows):
+def plain(rows, RULES=RULES):
     """The same rules written with dictionaries of voxels, one block at a time."""
     out = {}
     for key in {r[0] for r in rows}:
@@ -119,3 +119,17 @@ def test_voxels_of_states(spark):
     state = spark.createDataFrame([((1 << 9) + 3, 0, 2, -1, [float(i) for i in range(8)], [1.0, 0.0] + [2.0] * 6)], scales.OUTPUT)
     got = sorted(tuple(r) for r in scales.voxels(state, 6).collect())
     assert got == sorted((8 + 4 * (i & 1), 4 * (i >> 1 & 1), 4 * (i >> 2), 2, float(i), 1.0 if i == 0 else 2.0) for i in range(8) if i != 1)
+
+
+def test_query_equals_the_plain_form(spark):
+    from small import SMALL
+
+    from cairn.plans import upkeep
+
+    rows = [(r["key"], r["frame"], r["wanted"], r["free"], r["inside"], None if r["free"] else r["samples"]) for r in upkeep.block_updates(spark, SMALL).collect()]
+    want = plain(rows, upkeep.RULES)
+    got = {r["key"]: r for r in upkeep.block_scales(spark, SMALL).collect()}
+    assert got.keys() == want.keys()
+    for k, (frame, scale, buffer, value, weight) in want.items():
+        assert (got[k]["frame"], got[k]["scale"], got[k]["buffer"], got[k]["known"]) == (frame, scale, buffer, sum(w > 0 for w in weight))
+        assert got[k]["total"] == pytest.approx(sum(value), abs=1e-5)
