@@ -119,7 +119,7 @@ def kept(name: str) -> dict:
     return _KEPT.setdefault(name, {})
 
 
-def _give_back(every: float = 0.0) -> None:
+def give_back(every: float = 0.0) -> None:
     """Returns freed memory to the system, as allocators would keep it while the worker stands idle; at most once in so many seconds."""
     global _given
     if time.monotonic() - _given >= every:
@@ -144,7 +144,7 @@ def in_task(name: str):
             try:
                 yield from run(batches)
             finally:
-                _give_back()
+                give_back()
 
         return inner
 
@@ -159,7 +159,7 @@ def in_group(name: str):
             try:
                 return run(pdf)
             finally:
-                _give_back(1.0)
+                give_back(1.0)
 
         return inner
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import in_task, mix, text_buffer, word_hashes
+from .common import give_back, in_task, mix, text_buffer, word_hashes
 
 #: Labelled rows that the model is fitted on, at most; which ones, a hash of their ids decides.
 SAMPLE = 4000
@@ -95,29 +95,48 @@ class Model:
     def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS, seed: int = 5):
         self.idf, self.labels, self.neighbours = idf.astype(np.float32), labels.astype(np.float32), neighbours
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        sparse = [(t, self._weights(t, s)) for t, s in rows]
+        # a row of the latent space for each term that some labelled row has, and one of zeros (row 0) for all others
+        own = np.zeros(len(idf), bool)
+        for t, _ in rows:
+            own[t] = True
+        self.row = np.where(own, np.cumsum(own), 0).astype(np.int32)
+        sparse, size = [(self.row[t], self._weights(t, s)) for t, s in rows], int(own.sum()) + 1
         shape = len(rows), len(idf)
 
         def times(q):
             return np.array([w @ q[t] for t, w in sparse], np.float32).reshape(len(sparse), q.shape[1])
 
         def back(y):
-            out = np.zeros((len(idf), y.shape[1]), np.float32)
+            out = np.zeros((size, y.shape[1]), np.float32)
             for (t, w), z in zip(sparse, y):
                 out[t] += w[:, None] * z
             return out
 
-        # randomised truncated SVD of the labelled rows, which stay sparse
+        # randomised truncated SVD of the labelled rows, which stay sparse; one matrix is held at a time
         rank = max(1, min(rank, *shape)) if min(shape) else 0
-        q = np.random.default_rng(seed).standard_normal((shape[1], min(rank + 12, shape[1]))).astype(np.float32) if rank else np.zeros((shape[1], 0), np.float32)
+        q = self._random(own, min(rank + 12, shape[1]) if rank else 0, seed)
         for _ in range(2 if rank else 0):
-            q = self._orthonormal(back(times(q)))
+            y = times(q)
+            del q
+            q = self._orthonormal(back(y))
         if rank:
             _, _, v = np.linalg.svd(times(q), full_matrices=False)
             q = q @ v[:rank].T
         self.space = q.astype(np.float16)  # half the size to broadcast
         self.vectors = self.vectors_of(rows)
 
+    @staticmethod
+    def _random(own: np.ndarray, width: int, seed: int) -> np.ndarray:
+        """Normal numbers for each term, drawn for all and kept for those that occur."""
+        rng, out = np.random.default_rng(seed), np.zeros((int(own.sum()) + 1, width), np.float32)
+        at = 1
+        for lo in range(0, len(own) if width else 0, 8192):
+            some = own[lo : lo + 8192]
+            drawn = rng.standard_normal((len(some), width))[some]
+            out[at : at + len(drawn)] = drawn
+            at += len(drawn)
+        return out
+
     def _weights(self, terms, share):
         w = np.sqrt(share).astype(np.float32) * self.idf[terms]
         w[terms >= TERMS - EXTRA] *= 2
@@ -130,7 +149,10 @@ class Model:
         parts = (x[lo : lo + 8192].astype(np.float64) for lo in range(0, len(x), 8192))
         values, v = np.linalg.eigh(sum((p.T @ p for p in parts), np.zeros((x.shape[1],) * 2)))
         keep = values > 1e-10 * max(values.max(), 1e-300)
-        return (x @ (v[:, keep] / np.sqrt(values[keep])).astype(np.float32)).astype(np.float32)
+        by = (v[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+        for lo in range(0, len(x), 8192):  # in place
+            x[lo : lo + 8192, : by.shape[1]] = x[lo : lo + 8192] @ by
+        return x[:, : by.shape[1]]
 
     @staticmethod
     def _normal(x):
@@ -138,7 +160,7 @@ class Model:
         return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
     def vectors_of(self, rows) -> np.ndarray:
-        x = [self._weights(t, s) @ self.space[t].astype(np.float32) for t, s in rows]
+        x = [self._weights(t, s) @ self.space[self.row[t]].astype(np.float32) for t, s in rows]
         return self._normal(np.array(x, np.float32).reshape(len(x), self.space.shape[1]))
 
     def scores(self, rows) -> np.ndarray:
@@ -199,7 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = texts.mapInArrow(terms, "id long, label double, terms array<int>, share array<float>").toArrow()
     order = np.argsort(got.column("id").to_numpy())
     rows = [(got.column("terms")[i].values.to_numpy(), got.column("share")[i].values.to_numpy()) for i in order.tolist()]
-    return Model(idf, rows, got.column("label").to_numpy()[order])
+    model = Model(idf, rows, got.column("label").to_numpy()[order])
+    del got, rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
