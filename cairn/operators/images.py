@@ -118,3 +118,13 @@ def _runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
     line = Window.partitionBy(*keys, "v").orderBy("u")
     start = F.when(F.coalesce(F.col("u") - F.lag("u").over(line) > 1, F.lit(True)), F.col("v") * (1 << 20) + F.col("u"))
     return pixels.select(*keys, "u", "v").distinct().withColumn("__s", start).withColumn("run", F.last("__s", True).over(line)).drop("__s")
+
+
+def downsample_colour(image: DataFrame, ratio: int, keys: list[str] = []) -> DataFrame:
+    """ratio x ratio boxes of an image (keys, u, v, rgba): the means of red, green and blue, rounded down, opaque."""
+    from ..functions import scalars
+
+    box = [F.floor(F.col(k) / ratio).cast("long").alias(k) for k in "uv"]
+    r, g, b, _ = scalars.unpack_rgba(F.col("rgba"))
+    sums = image.groupBy(*keys, *box).agg(*[F.floor(F.sum(c) / (ratio * ratio)).cast("long").alias(n) for c, n in zip((r, g, b), "rgb")])
+    return sums.select(*keys, "u", "v", scalars.pack_rgba(F.col("r"), F.col("g"), F.col("b")).alias("rgba"))

@@ -3,10 +3,10 @@
 import pytest
 from small import SMALL
 
-from cairn.plans import frames, keys, maps, rays, scenes, shapes, space, upkeep
+from cairn.plans import frames, keys, maps, rays, scenes, shapes, space, upkeep, views
 
-QUERIES = keys.QUERIES | maps.QUERIES | scenes.QUERIES | space.QUERIES | frames.QUERIES | rays.QUERIES | shapes.QUERIES | upkeep.QUERIES
-ORACLE = keys.ORACLE | maps.ORACLE | scenes.ORACLE | space.ORACLE | frames.ORACLE | rays.ORACLE | shapes.ORACLE | upkeep.ORACLE
+QUERIES = keys.QUERIES | maps.QUERIES | scenes.QUERIES | space.QUERIES | frames.QUERIES | rays.QUERIES | shapes.QUERIES | upkeep.QUERIES | views.QUERIES
+ORACLE = keys.ORACLE | maps.ORACLE | scenes.ORACLE | space.ORACLE | frames.ORACLE | rays.ORACLE | shapes.ORACLE | upkeep.ORACLE | views.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
