@@ -128,3 +128,31 @@ def downsample_colour(image: DataFrame, ratio: int, keys: list[str] = []) -> Dat
     r, g, b, _ = scalars.unpack_rgba(F.col("rgba"))
     sums = image.groupBy(*keys, *box).agg(*[F.floor(F.sum(c) / (ratio * ratio)).cast("long").alias(n) for c, n in zip((r, g, b), "rgb")])
     return sums.select(*keys, "u", "v", scalars.pack_rgba(F.col("r"), F.col("g"), F.col("b")).alias("rgba"))
+
+
+def surface_edges(points: DataFrame, width: int, height: int, weight: float = 1.0) -> DataFrame:
+    """(u, v, edge): how much of an edge each inner pixel is, from the planes of its four diagonal neighbours.
+
+    points: u, v, px, py, pz, nx, ny, nz (null normals: none). A neighbour's distance is that of its point from the pixel's plane, taken
+    as -1 if one of both has no normal; edge is the greatest distance either way, plus weight times the greatest bend (one minus
+    the normals' product) towards neighbours that don't lie behind the plane.
+    """
+    here = points.where(F.col("u").between(1, width - 2) & F.col("v").between(1, height - 2))
+    moves = F.explode(F.array(*[F.struct(F.lit(du).alias("du"), F.lit(dv).alias("dv")) for du in (-1, 1) for dv in (-1, 1)])).alias("d")
+    asked = here.select("*", moves).select("*", (F.col("u") + F.col("d.du")).alias("mu"), (F.col("v") + F.col("d.dv")).alias("mv"))
+    near = points.select(F.col("u").alias("mu"), F.col("v").alias("mv"), *[F.col(f"{a}{k}").alias(f"m{a}{k}") for a in "pn" for k in "xyz"], F.lit(True).alias("there"))
+    both = asked.join(near, ["mu", "mv"], "left")
+    n, m = [F.col("n" + k) for k in "xyz"], [F.col("mn" + k) for k in "xyz"]
+    away = F.coalesce(F.when(n[0].isNotNull() & m[0].isNotNull(), geometry.dot(n, [F.col("mp" + k) - F.col("p" + k) for k in "xyz"])), F.lit(-1.0))
+    bend = F.when(away >= 0, 1 - geometry.dot(n, m)).otherwise(0.0)
+    return both.groupBy("u", "v").agg((F.max(F.abs(away)) + weight * F.max(bend)).alias("edge"))
+
+
+def geometric_segments(points: DataFrame, width: int, height: int, weight: float, most: float, radius: int, least: int, scratch) -> DataFrame:
+    """(u, v, component): connected areas of at least `least` pixels without edges, which are thickened by `radius` first."""
+    edge = surface_edges(points, width, height, weight)
+    inner = points.select("u", "v").where(F.col("u").between(1, width - 2) & F.col("v").between(1, height - 2))
+    thick = morphology(edge.where(F.col("edge") > most).select("u", "v"), radius, width, height, "dilate")
+    areas = components(inner.join(thick, ["u", "v"], "left_anti").withColumn("k", F.lit(0)), ["k"], scratch).drop("k")
+    large = areas.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("component")
+    return areas.join(large, "component").select("u", "v", "component")

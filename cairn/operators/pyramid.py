@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 
 def coarser(voxels: DataFrame, by: int = 2) -> DataFrame:
     """Mean and maximum over the 2 x 2 x 2 children with data (y > 0) of each voxel at the next scale.
@@ -24,11 +26,10 @@ def coarser(voxels: DataFrame, by: int = 2) -> DataFrame:
 
 
 def pyramid(voxels: DataFrame, scales: int) -> DataFrame:
-    """Voxels of all scales up to `scales`, mean data only; each level aggregates the one below."""
-    level = voxels
-    out = level
-    for _ in range(scales):
-        level = coarser(level).select("x", "y", "z", "scale", "value", "weight", "observed", "frontier")
+    """Voxels of all scales up to `scales`, mean data only; each level aggregates the one below, which is written."""
+    scratch, level, out = Scratch(voxels.sparkSession, "pyramid"), voxels, voxels
+    for k in range(scales):
+        level = scratch.save(coarser(level).select("x", "y", "z", "scale", "value", "weight", "observed", "frontier"), f"level{k}")
         out = out.unionByName(level)
     return out
 
@@ -43,10 +44,10 @@ def propagate_to_root(blocks: DataFrame, depth_of_map: int, min_occupancy: float
 
     blocks: x, y, z, scale, value, weight, observed, frontier. A node takes its greatest child (value * weight).
     """
-    level, out = blocks, blocks.select("x", "y", "z", "scale", "value", "weight", "observed", "frontier")
+    scratch, level, out = Scratch(blocks.sparkSession, "root"), blocks, blocks.select("x", "y", "z", "scale", "value", "weight", "observed", "frontier")
     first = min(3, depth_of_map)
-    for _ in range(first, depth_of_map):
+    for k in range(first, depth_of_map):
         up = coarser(level)
-        level = up.select("x", "y", "z", "scale", F.col("max_value").alias("value"), F.col("max_weight").alias("weight"), "observed", "frontier")
+        level = scratch.save(up.select("x", "y", "z", "scale", F.col("max_value").alias("value"), F.col("max_weight").alias("weight"), "observed", "frontier"), f"level{k}")
         out = out.unionByName(level)
     return out.withColumn("pruned", F.col("observed") & ~F.col("frontier") & (F.col("value") * F.col("weight") <= 0.95 * min_occupancy))

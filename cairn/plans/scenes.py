@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
 from ..operators import association, detections, histories, images, tracking, views
+from ..sources.scratch import Scratch
 from .relations import relation, sql
 
 WIDTH, HEIGHT = 64, 64
@@ -162,7 +163,22 @@ def alignment_sums(spark, sf_dir):
     one = i.select("u", "v", *[c.alias("p" + k) for k, c in zip("xyz", p)]).join(images.normals(i, CAMERA), ["u", "v"])
     moved = one.withColumn("px", F.col("px") + 0.02).withColumn("pz", F.col("pz") - 0.03)
     sums = tracking.normal_sums(tracking.associate(moved, one, CAMERA, None, 0.1, 0.8))
-    return sums.select("n1", "n1_rejected", "n2_rejected", "n3_rejected", "n4_rejected", "n5_rejected")
+    return _r(sums, 5, *[c for c in sums.columns if not c.startswith("n")])
+
+
+def _surface(spark, sf_dir):
+    """Points with normals of a smooth image with steps, from the depths of a frame for each pixel that has any."""
+    i = relation(spark, sf_dir, "image").withColumn("depth", 1.0 + F.col("u") * 0.01 + F.floor(F.col("v") / 16) * 0.2 + F.when(F.col("u") > 40, 0.5 + F.col("depth") * 0.004).otherwise(0.0))
+    p = CAMERA.back_project(F.col("u"), F.col("v"), F.col("depth"))
+    return i.select("u", "v", *[c.alias("p" + k) for k, c in zip("xyz", p)]).join(images.normals(i, CAMERA), ["u", "v"])
+
+
+def surface_edges(spark, sf_dir):
+    return _r(images.surface_edges(_surface(spark, sf_dir), WIDTH, HEIGHT, 0.7), 5, "edge")
+
+
+def geometric_segments(spark, sf_dir):
+    return images.geometric_segments(_surface(spark, sf_dir), WIDTH, HEIGHT, 0.7, 0.05, 1, 20, Scratch(spark, "segments"))
 
 
 def scalar_functions(spark, sf_dir):
@@ -178,7 +194,7 @@ def best_views(spark, sf_dir):
     return _r(views.best_candidate(views.utility(c, {"entropy": 0.7, "lod": 0.3}), ["sensor"], "frame"), 9, "utility")
 
 
-QUERIES = {f.__name__: f for f in (mask_overlap, match_objects, undetected_objects, large_masks, class_filter, merged_confidences, background_mask, instance_mask, object_scales, nearest_hits, depth_outliers, nearest_frames, interpolated_poses, path_segments, trajectory_error, pose_grid, pose_rejection, metric_summary, column_summary, upper_median, half_sample, downsample, bilateral, depth_edges, pooling, dilated_masks, eroded_masks, surface_normals, back_projection, alignment_sums, scalar_functions, best_views)}
+QUERIES = {f.__name__: f for f in (mask_overlap, match_objects, undetected_objects, large_masks, class_filter, merged_confidences, background_mask, instance_mask, object_scales, nearest_hits, depth_outliers, nearest_frames, interpolated_poses, path_segments, trajectory_error, pose_grid, pose_rejection, metric_summary, column_summary, upper_median, half_sample, downsample, bilateral, depth_edges, pooling, dilated_masks, eroded_masks, surface_normals, back_projection, alignment_sums, surface_edges, geometric_segments, scalar_functions, best_views)}
 
 _M = sql("pixels", "object_pixels")
 _SCORES = "na AS (SELECT frame, det_id, count(*) AS a FROM pixels GROUP BY ALL), nb AS (SELECT frame, obj_id, count(*) AS b FROM object_pixels GROUP BY ALL), s AS (SELECT p.frame, det_id, obj_id, count(*) AS common FROM pixels p JOIN object_pixels o ON p.frame = o.frame AND p.u = o.u AND p.v = o.v GROUP BY ALL), m AS (SELECT s.*, a, b, common / (a + b - common) AS iou, greatest(common / a, common / b) AS share FROM s JOIN na USING (frame, det_id) JOIN nb USING (frame, obj_id))"
@@ -189,6 +205,12 @@ _TAU = "6.283185307179586e0"
 _WRAP = lambda a: f"({a} - floor({a} / {_TAU}) * {_TAU})"
 _WRAPPI = lambda a: f"({_WRAP(f'({a} + 3.141592653589793e0)')} - 3.141592653589793e0)"
 _AROUND = "(SELECT unnest(range(-{0}, {0} + 1)) AS a), (SELECT unnest(range(-{0}, {0} + 1)) AS b)"
+#: Normals of a pixel's points, as surface_normals has them, and the points.
+_NORMALS = """w AS (SELECT i.u, i.v, l.depth AS ld, r.depth AS rd, a.depth AS ad, b.depth AS bd, (greatest(0, i.u - 1) - 31.5e0) / 60 AS lx, (least(63, i.u + 1) - 31.5e0) / 60 AS rx, (greatest(0, i.v - 1) - 31.5e0) / 60 AS ay, (least(63, i.v + 1) - 31.5e0) / 60 AS by_, (i.u - 31.5e0) / 60 AS x, (i.v - 31.5e0) / 60 AS y
+      FROM image i LEFT JOIN image l ON l.v = i.v AND l.u = greatest(0, i.u - 1) LEFT JOIN image r ON r.v = i.v AND r.u = least(63, i.u + 1) LEFT JOIN image a ON a.u = i.u AND a.v = greatest(0, i.v - 1) LEFT JOIN image b ON b.u = i.u AND b.v = least(63, i.v + 1)),
+      d AS (SELECT u, v, rx * rd - lx * ld AS ux, y * (rd - ld) AS uy, rd - ld AS uz, x * (bd - ad) AS vx, by_ * bd - ay * ad AS vy, bd - ad AS vz FROM w),
+      c AS (SELECT u, v, vy * uz - vz * uy AS a, vz * ux - vx * uz AS b, vx * uy - vy * ux AS c FROM d), n AS (SELECT u, v, CASE WHEN a * a + b * b + c * c > 0 THEN a / sqrt(a * a + b * b + c * c) END AS nx, CASE WHEN a * a + b * b + c * c > 0 THEN b / sqrt(a * a + b * b + c * c) END AS ny, CASE WHEN a * a + b * b + c * c > 0 THEN c / sqrt(a * a + b * b + c * c) END AS nz FROM c)"""
+_POINTS = "surf AS (SELECT i.u, i.v, (i.u - 31.5e0) / 60 * depth AS px, (i.v - 31.5e0) / 60 * depth AS py, depth AS pz, nx, ny, nz FROM image i JOIN n ON n.u = i.u AND n.v = i.v)"
 ORACLE = {
     "mask_overlap": f"{_M}, {_SCORES} SELECT frame, det_id, obj_id, common, a AS area_left, b AS area_right, round(iou, 9) AS iou, round(share, 9) AS share FROM m",
     "match_objects": f"{_M}, {_SCORES}, {_BEST.format(0.25)} SELECT d.frame, d.det_id, obj_id, round(share, 9) AS share FROM (SELECT DISTINCT frame, det_id FROM pixels) d LEFT JOIN (SELECT * FROM r WHERE n = 1) q USING (frame, det_id)",
@@ -212,6 +234,17 @@ ORACLE = {
       d AS (SELECT u, v, rx * rd - lx * ld AS ux, y * (rd - ld) AS uy, rd - ld AS uz, x * (bd - ad) AS vx, by_ * bd - ay * ad AS vy, bd - ad AS vz FROM w),
       c AS (SELECT u, v, vy * uz - vz * uy AS a, vz * ux - vx * uz AS b, vx * uy - vy * ux AS c FROM d), n AS (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM c)
       SELECT u, v, CASE WHEN n > 0 THEN round(a / n, 5) + 0e0 END AS nx, CASE WHEN n > 0 THEN round(b / n, 5) + 0e0 END AS ny, CASE WHEN n > 0 THEN round(c / n, 5) + 0e0 END AS nz FROM n""",
+    "alignment_sums": f"""{sql('image')}, {_NORMALS}, {_POINTS},
+      live AS (SELECT u, v, px + 0.02e0 AS px, py, pz - 0.03e0 AS pz, nx, ny, nz FROM surf), asked AS (SELECT *, CASE WHEN pz > 0 THEN floor(60 * px / pz + 31.5e0 + 0.5e0) END AS ru, CASE WHEN pz > 0 THEN floor(60 * py / pz + 31.5e0 + 0.5e0) END AS rv FROM live),
+      met AS (SELECT a.*, coalesce(ru >= 0 AND ru < 64 AND rv >= 0 AND rv < 64, false) AS seen, r.px - a.px AS gx, r.py - a.py AS gy, r.pz - a.pz AS gz, r.nx AS j0, r.ny AS j1, r.nz AS j2 FROM asked a LEFT JOIN (SELECT * FROM surf WHERE nx IS NOT NULL) r ON r.u = ru AND r.v = rv),
+      told AS (SELECT *, py * j2 - pz * j1 AS j3, pz * j0 - px * j2 AS j4, px * j1 - py * j0 AS j5, j0 * gx + j1 * gy + j2 * gz AS e,
+        CASE WHEN nx IS NULL THEN -1 WHEN NOT seen THEN -2 WHEN j0 IS NULL THEN -3 WHEN sqrt(gx * gx + gy * gy + gz * gz) > 0.1e0 THEN -4 WHEN nx * j0 + ny * j1 + nz * j2 < 0.8e0 THEN -5 ELSE 1 END AS code FROM met)
+      SELECT {", ".join([f"round(coalesce(sum(e * e) FILTER (code = 1), 0), 5) + 0e0 AS ee", *[f"round(coalesce(sum(j{i} * e) FILTER (code = 1), 0), 5) + 0e0 AS je{i}" for i in range(6)], *[f"round(coalesce(sum(j{i} * j{k}) FILTER (code = 1), 0), 5) + 0e0 AS jj{i}{k}" for i in range(6) for k in range(i, 6)], *[f"CAST(sum(CASE WHEN code = {c} THEN 1 ELSE 0 END) AS BIGINT) AS n{abs(c)}{'' if c > 0 else '_rejected'}" for c in (1, -1, -2, -3, -4, -5)]])} FROM told""",
+    "surface_edges": f"""{sql('image')}, raw AS (SELECT * FROM image), steps AS (SELECT u, v, 1 + u * 0.01e0 + (v // 16) * 0.2e0 + CASE WHEN u > 40 THEN 0.5e0 + depth * 0.004e0 ELSE 0 END AS depth FROM raw), {_NORMALS.replace("image", "steps")}, {_POINTS.replace("image", "steps")},
+      near AS (SELECT a.u, a.v, coalesce(a.nx * (b.px - a.px) + a.ny * (b.py - a.py) + a.nz * (b.pz - a.pz), -1) AS d, 1 - (a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) AS bend, b.nx AS there
+        FROM (SELECT surf.*, du, dv FROM surf, (VALUES (-1, -1), (-1, 1), (1, -1), (1, 1)) m(du, dv) WHERE u BETWEEN 1 AND 62 AND v BETWEEN 1 AND 62) a LEFT JOIN surf b ON b.u = a.u + du AND b.v = a.v + dv),
+      told AS (SELECT u, v, CASE WHEN there IS NULL THEN -1 ELSE d END AS d, bend FROM near)
+      SELECT u, v, round(max(abs(d)) + 0.7e0 * max(CASE WHEN d >= 0 THEN bend ELSE 0 END), 5) + 0e0 AS edge FROM told GROUP BY u, v""",
     "path_segments": f"{sql('poses')}, l AS (SELECT body, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(yaw) OVER w - yaw AS da FROM poses WINDOW w AS (PARTITION BY body ORDER BY seq)), s AS (SELECT body, sqrt(dx * dx + dy * dy) AS d, {_WRAPPI('da')} AS a FROM l WHERE dx IS NOT NULL), t AS (SELECT *, greatest(d / 1.5e0, abs(a) / 0.75e0) AS sec FROM s) SELECT body, count(*) AS segments, round(sum(d), 6) AS distance, round(sum(CASE WHEN sec > 1e-9 THEN sec END), 6) AS seconds, round(max(abs(a)), 6) AS turn FROM t GROUP BY body",
     "trajectory_error": f"{sql('poses')}, e AS (SELECT sqrt(pow(price % 1.7e0, 2) + pow(seq % 5 * 0.1e0, 2)) AS e FROM poses) SELECT round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS mean, round(median(e), 6) AS median, round(stddev_pop(e), 6) AS std, round(min(e), 6) AS min, round(max(e), 6) AS max, count(*) AS n FROM e",
     "pose_grid": f"{_GRID} SELECT * FROM g",

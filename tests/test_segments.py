@@ -53,3 +53,23 @@ def test_object_numbers(spark, tmp_path):
     table.update(spark.createDataFrame([(2, 0, 4, 0), (2, 1, 9, None), (3, 0, 4, 0)], schema), 1)
     assert sorted((r["obj_id"], r["class_id"], r["first_frame"], r["updates"]) for r in table.objects(1).collect()) == [(0, 4, 0, 3), (1, 3, 1, 1), (2, 3, 1, 1), (3, 9, 2, 1)]
     assert table.objects(0).count() == 3
+
+
+def test_geometric_segments_equal_a_flood(spark):
+    from cairn.plans import scenes
+
+    edge = {(r["u"], r["v"]): r["edge"] for r in scenes.surface_edges(spark, SMALL).collect()}
+    thick = {(u + a, v + b) for (u, v), e in edge.items() if e > 0.05 for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    left, want = set(edge) - thick, {}
+    while left:
+        ask, area = [left.pop()], []
+        while ask:
+            u, v = ask.pop()
+            area.append((u, v))
+            for n in ((u + 1, v), (u - 1, v), (u, v + 1), (u, v - 1)):
+                if n in left:
+                    left.remove(n)
+                    ask.append(n)
+        if len(area) >= 20:
+            want |= dict.fromkeys(area, min(v * 2**20 + u for u, v in area))
+    assert {(r["u"], r["v"]): r["component"] for r in scenes.geometric_segments(spark, SMALL).collect()} == want and want
