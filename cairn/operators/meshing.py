@@ -62,3 +62,41 @@ def marching_cubes(voxels: DataFrame, surface: float = 0.0) -> DataFrame:
         at = F.array(*[F.lit(float(c[k])) for c in CORNERS])
         place.append((F.col(n) + F.element_at(at, a + 1) + (F.element_at(at, b + 1) - F.element_at(at, a + 1)) * t).alias("v" + n))
     return hit.select("x", "y", "z", "triangle", "vertex", *place)
+
+
+def dual_marching_cubes(leaves: DataFrame, surface: float = 0.0) -> DataFrame:
+    """(x, y, z, triangle, vertex, vx, vy, vz): triangles over voxels of unequal scales, closed across the borders of scales.
+
+    leaves: x, y, z, scale, value: disjoint voxels of 2 ** scale, one scale in each block of 8. Around each corner x, y, z of a voxel
+    the centres of the eight voxels that meet there are a cell; where a larger voxel fills several of its places, their edges
+    have no length, and triangles on them are left out. Cells of neighbouring corners share faces, at borders of scales too.
+    Each corner asks for the scales of the blocks around it (few rows, which Spark may broadcast), then for eight voxels.
+    Corners without all eight have no cell.
+    """
+    spark = leaves.sparkSession
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("scale").cast("int"))
+    ends = F.explode(F.array(*[F.struct(*[(F.col(k) + (i >> j & 1) * size).alias(k) for j, k in enumerate("xyz")]) for i in range(8)])).alias("c")
+    corners = leaves.select(ends).select("c.*").distinct()
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[(F.col(k) + d - 1).alias("c" + k) for k, d in zip("xyz", c)]) for i, c in enumerate(CORNERS)])).alias("p")
+    asked = corners.select("x", "y", "z", places).select("x", "y", "z", "p.*").where("cx >= 0 and cy >= 0 and cz >= 0")
+    blocks = leaves.select(*[(F.col(k) - F.col(k) % 8).alias("b" + k) for k in "xyz"], "scale").distinct()
+    asked = asked.select("*", *[(F.col("c" + k) - F.col("c" + k) % 8).alias("b" + k) for k in "xyz"]).join(blocks, ["bx", "by", "bz"])
+    own = leaves.select(*[F.col(k).alias("l" + k) for k in "xyz"], "scale", "value")
+    found = asked.select("x", "y", "z", "i", "scale", *[(F.col("c" + k) - F.col("c" + k) % size).alias("l" + k) for k in "xyz"]).join(own, ["lx", "ly", "lz", "scale"])
+    data = F.struct("i", "value", *[(F.col("l" + k) + size / 2).alias("p" + k) for k in "xyz"])
+    cells = found.groupBy("x", "y", "z").agg(F.array_sort(F.collect_list(data)).alias("v")).where(F.size("v") == 8)  # eight at most
+    case = F.aggregate("v", F.lit(0), lambda a, s: a + F.when(s["value"] < surface, F.call_function("shiftleft", F.lit(1), s["i"])).otherwise(0))
+    table = F.broadcast(spark.createDataFrame([(c, k, [EDGES[e][0] for e in t], [EDGES[e][1] for e in t]) for c in range(256) for k, t in enumerate(triangles_of(c))], "case int, triangle int, a array<int>, b array<int>"))
+    hit = cells.withColumn("case", case).where("case > 0 and case < 255").join(table, "case")
+
+    def pair(i: int):
+        """The two voxels between which a vertex lies, in order of their centres: neighbouring cells compute it alike."""
+        ends = [F.element_at("v", F.col(c)[i] + 1) for c in "ab"]
+        return F.array_sort(F.array(*[F.struct(e["px"].alias("px"), e["py"].alias("py"), e["pz"].alias("pz"), e["value"].alias("value")) for e in ends]))
+
+    q = [F.col("q")[i] for i in range(3)]
+    made = hit.withColumn("q", F.array(*map(pair, range(3)))).where((q[0] != q[1]) & (q[1] != q[2]) & (q[0] != q[2]))
+    rows = made.select("x", "y", "z", "triangle", F.posexplode("q").alias("vertex", "q"))
+    a, b = F.col("q")[0], F.col("q")[1]
+    t = (surface - a["value"]) / (b["value"] - a["value"])
+    return rows.select("x", "y", "z", "triangle", "vertex", *[(a["p" + k] + (b["p" + k] - a["p" + k]) * t).alias("v" + k) for k in "xyz"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gather, traversal
+from ..operators import gather, meshing, traversal
 from .relations import relation, sql
 
 EDGE = 32
@@ -62,7 +62,13 @@ def propagate_down(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("value", "last")})
 
 
-QUERIES = {f.__name__: f for f in (ray_blocks, ray_casts, mixed_interpolation, propagate_down)}
+def dual_mesh(spark, sf_dir):
+    """The mesh over blocks of mixed scales, by corner."""
+    found = meshing.dual_marching_cubes(_mixed(spark, sf_dir), -2.0).groupBy("x", "y", "z").agg((F.count("*") / 3).cast("long").alias("triangles"), *[F.avg(c).alias(c) for c in ("vx", "vy", "vz")])
+    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("vx", "vy", "vz")})
+
+
+QUERIES = {f.__name__: f for f in (ray_blocks, ray_casts, mixed_interpolation, propagate_down, dual_mesh)}
 
 _D = {k: f"({a}e0 + (o1 % {m}) * 0.217e0 - 0.5e0)" for k, a, m in _TURN}
 _D["z"] = f"CASE WHEN o1 % 6 = 0 THEN 0e0 ELSE {_D['z']} END"
@@ -114,6 +120,15 @@ def _scale(s: int) -> str:
 
 
 ORACLE = {
+    "dual_mesh": f"""{sql('voxels')}, {_LEAVES}, corners AS (SELECT DISTINCT x + i * (1 << s) AS x, y + j * (1 << s) AS y, z + k * (1 << s) AS z FROM leaves, {_BITS}),
+      asked AS (SELECT x, y, z, n, x + dx - 1 AS cx, y + dy - 1 AS cy, z + dz - 1 AS cz FROM corners, (VALUES {", ".join(str((i, *c)) for i, c in enumerate(meshing.CORNERS))}) c(n, dx, dy, dz) WHERE x + dx > 0 AND y + dy > 0 AND z + dz > 0),
+      found AS (SELECT a.x, a.y, a.z, n, l.value, l.x + (1 << l.s) / 2e0 AS px, l.y + (1 << l.s) / 2e0 AS py, l.z + (1 << l.s) / 2e0 AS pz FROM asked a JOIN held h ON h.x = cx - cx % 8 AND h.y = cy - cy % 8 AND h.z = cz - cz % 8
+        JOIN leaves l ON l.s = h.s AND l.x = cx - cx % (1 << h.s) AND l.y = cy - cy % (1 << h.s) AND l.z = cz - cz % (1 << h.s)),
+      cells AS (SELECT x, y, z, list(struct_pack(px := px, py := py, pz := pz, value := value) ORDER BY n) AS v, sum(CASE WHEN value < -2 THEN 1 << n ELSE 0 END) AS case_of FROM found GROUP BY x, y, z HAVING count(*) = 8),
+      cases AS (SELECT * FROM (VALUES {", ".join(str((c, *(i + 1 for e in t for i in meshing.EDGES[e]))) for c in range(256) for t in meshing.triangles_of(c))}) t(case_of, a0, b0, a1, b1, a2, b2)),
+      made AS (SELECT x, y, z, list_sort([v[a0], v[b0]]) AS p, list_sort([v[a1], v[b1]]) AS q, list_sort([v[a2], v[b2]]) AS r FROM cells JOIN cases USING (case_of)),
+      real AS (SELECT x, y, z, unnest([p, q, r]) AS e FROM made WHERE p <> q AND q <> r AND p <> r)
+      SELECT x, y, z, count(*) // 3 AS triangles, {", ".join(f"round(avg(e[1].p{c} + (e[2].p{c} - e[1].p{c}) * ((-2e0 - e[1].value) / (e[2].value - e[1].value))), 6) + 0e0 AS v{c}" for c in "xyz")} FROM real GROUP BY x, y, z""",
     "mixed_interpolation": f"""{sql('voxels')}, {_LEAVES}, places AS (SELECT o1 AS probe, x + (o1 % 7) / 7e0 + 3e-3 AS px, y + (o1 % 8) / 8e0 + 3e-3 AS py, z + (o1 % 9) / 9e0 + 3e-3 AS pz FROM (SELECT o1, min(x) AS x, max(y) AS y, max(z) AS z FROM dense GROUP BY o1)),
       based AS (SELECT *, floor(px / n - 0.5e0) AS fx, floor(py / n - 0.5e0) AS fy, floor(pz / n - 0.5e0) AS fz FROM (SELECT *, 1 << s AS n FROM places, (SELECT unnest(range(4)) AS s))),
       corners AS (SELECT probe, s, CAST((fx + i) * n AS BIGINT) AS x, CAST((fy + j) * n AS BIGINT) AS y, CAST((fz + k) * n AS BIGINT) AS z,
