@@ -6,7 +6,6 @@ import itertools
 import json
 import os
 import pickle
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from .common import Scratch, attach, in_task, kept, text_buffer, text_slices
 
 #: Bytes of text that are aligned at once.
 SLICE = 2 << 20
-#: Tokens of A that one run of the SQL takes, about; a single cell may have more, and DuckDB then spills to the task's own disk.
+#: Tokens of A that one run of the SQL takes, about: those up to the next place where tokens of both end.
 TOKENS = 40_000
 #: A pair of ids in one number: A's id in the upper half, B's in the lower.
 _HALF = 32
@@ -83,7 +82,7 @@ class Sides:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = _Flat([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.space = self.b.piece_to_id("▁")
-        self.sql = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"cairn-duckdb-{os.getpid()}"), "preserve_insertion_order": False})
+        self.sql = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": "", "preserve_insertion_order": False})
 
     def _ranked(self, path: str, names: list[bytes]):
         """The same byte pairs merged by a faster library, if the file's ids are in the order of its merges and its pattern is the usual one; else None."""
@@ -168,20 +167,21 @@ def _intervals(tokens: np.ndarray, n: np.ndarray, side: _Flat, bad: np.ndarray)
 
 
 def _aligned(sql, a: pa.Table, b: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Links, and tokens with their groups, of some cells at a time."""
-    links, tokens, (a_cell, b_cell) = [], [], (x.column("cell").to_numpy() for x in (a, b))
-    at, last = 0, int(a_cell[-1]) + 1 if len(a_cell) else 0
-    while at < last:
-        end = int(np.searchsorted(a_cell, at)) + TOKENS
-        upto = max(at + 1, int(a_cell[end])) if end < len(a_cell) else last
-        for name, table, cell in (("a", a, a_cell), ("b", b, b_cell)):
-            lo, hi = np.searchsorted(cell, [at, upto])
-            sql.register(name, table.slice(lo, hi - lo))
+    """Links, and tokens with their groups. Some tokens at a time, always up to a place where tokens of both end: nothing lies across it."""
+    links, tokens, (a_hi, b_hi) = [], [], (x.column("hi").to_numpy() for x in (a, b))
+    shared = np.intersect1d(a_hi, b_hi, assume_unique=True)
+    at, b_at, groups = 0, 0, 0
+    while at < len(a_hi):
+        end = shared[np.searchsorted(shared, a_hi[min(at + TOKENS, len(a_hi)) - 1])]
+        upto, b_upto = (int(np.searchsorted(x, end, "right")) for x in (a_hi, b_hi))
+        sql.register("a", a.slice(at, upto - at))
+        sql.register("b", b.slice(b_at, b_upto - b_at))
         for out, query in ((links, _LINKS), (tokens, _GROUPS)):
             out.append({k: np.asarray(v, np.int64) for k, v in sql.sql(query).fetchnumpy().items()})
         for name in "ab":
             sql.unregister(name)
-        at = upto
+        tokens[-1]["g"] += groups  # numbered anew in each run
+        groups, at, b_at = int(tokens[-1]["g"][-1]) + 1, upto, b_upto
     joined = lambda parts, names: {k: np.concatenate([np.empty(0, np.int64), *(x[k] for x in parts)]) for k in names}
     return joined(links, ("cell", "pair", "n")), joined(tokens, ("cell", "g", "side", "id"))
 
@@ -189,8 +189,8 @@ def _aligned(sql, a: pa.Table, b: pa.Table) -> tuple[dict[str, np.ndarray], dict
 def _listed(tokens: dict[str, np.ndarray], n_cells: int) -> tuple[pa.Array, dict[str, np.ndarray]]:
     """Each cell's groups as a string, with ; behind the last, and its numbers of tokens and groups."""
     cell, g, side = tokens["cell"], tokens["g"], tokens["side"]
-    new_group = np.ones(len(cell), bool)  # groups are numbered anew in each run of the SQL, but cells are not
-    new_group[1:] = (g[1:] != g[:-1]) | (cell[1:] != cell[:-1])
+    new_group = np.ones(len(cell), bool)
+    new_group[1:] = g[1:] != g[:-1]
     behind = np.append(np.where(new_group[1:], 2, np.where(side[1:] != side[:-1], 1, 0)), 2)[: len(cell)]
     parts = pc.binary_join_element_wise(pa.array(tokens["id"]).cast(pa.large_string()), pa.array([",", "|", ";"], pa.large_string()).take(pa.array(behind)), pa.scalar("", pa.large_string()))
     flat, offsets = text_buffer(parts)

@@ -83,6 +83,26 @@ def test_against_brute_force(spark, monkeypatch, size):
     assert {(r["a_id"], r["b_id"]): r["n"] for r in pairs.collect()} == dict(count)
 
 
+def test_runs_of_any_length_agree(monkeypatch):
+    """The same links and groups however the tokens of a few texts, one of them very long, are cut into runs."""
+    import pyarrow as pa
+
+    sides, found = alignment.Sides.of(A, B), []
+    cells = alignment._cells(pa.array(ODD + ["ab" * 3000 + "日本語" * 500], pa.large_string()))[0].dictionary_encode().dictionary
+    (a, n_a), (b, n_b) = sides.encode(cells)
+    sizes, (flat, offsets) = [len(x.as_py().encode()) for x in cells], alignment.text_buffer(cells)
+    bad = alignment._misspelt(a, n_a, sides.a_bytes, sizes, flat[offsets[0] : offsets[-1]]) | alignment._misspelt(b, n_b, sides.b_bytes, sizes, flat[offsets[0] : offsets[-1]])
+    for tokens in (90, 1000, 10**6):
+        monkeypatch.setattr(alignment, "TOKENS", tokens)
+        links, groups = alignment._aligned(sides.sql, alignment._intervals(a, n_a, sides.a_bytes, bad), alignment._intervals(b, n_b, sides.b_bytes, bad))
+        texts, sums = alignment._listed(groups, len(cells))
+        total = Counter()
+        for c, p, n in zip(links["cell"].tolist(), links["pair"].tolist(), links["n"].tolist()):
+            total[c, p] += n
+        found.append((total, texts.to_pylist(), {k: v.tolist() for k, v in sums.items()}))
+    assert all(x == found[0] for x in found)
+
+
 def test_null_and_repeated_rows(spark, rest):
     found = alignment.align(rest, A, B)[0].select("id", "n_a", "n_b", "groups").collect()
     assert len(found) == rest.count()
