@@ -11,14 +11,15 @@ from ..functions import scalars
 def around(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
     """Each left row with the last right row at or before its time (prev) and the first at or after it (next), as structs.
 
-    One sort of both by key and time; equal right times keep the first by values. keys should spread the data (a sensor, a
+    Both are sorted by key and time, once each way; equal right times keep the first by values. keys should spread the data (a sensor, a
     session); with none all rows are in one order, so a long stream should pass a coarse time bucket and widen it by its neighbours.
     """
     here = left.select(*keys, F.col(time).alias("__t"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(F.struct(F.col(time).alias("t"), *values).alias("s")).schema["s"].dataType).alias("__seen"))
     there = right.groupBy(*keys, F.col(time).alias("__t")).agg(F.min(F.struct(F.col(time).alias("t"), *values)).alias("__seen")).select(*keys, "__t", F.lit(None).cast(here.schema["__row"].dataType).alias("__row"), "__seen")
-    order = Window.partitionBy(*keys).orderBy("__t")
     both = here.unionByName(there)
-    told = both.select("__row", F.last("__seen", True).over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("prev"), F.first("__seen", True).over(order.rangeBetween(0, Window.unboundedFollowing)).alias("next"))
+    # both ways from an end on: a frame that runs to the last row is summed up anew for every row
+    upto = lambda order: F.last("__seen", True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    told = both.select("__row", upto(F.col("__t")).alias("prev"), upto(F.col("__t").desc()).alias("next"))
     return told.where("__row is not null").select("__row.*", "prev", "next")
 
 
