@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -26,17 +27,30 @@ def rejection(grid: DataFrame, yaw_bins: int) -> DataFrame:
 
 
 def density_rejection(candidates: DataFrame, history: DataFrame, id_col: str, sigma: tuple[float, float, float, float], reach: float) -> DataFrame:
-    """Greatest normal density of a candidate's pose around past poses within reach, over the density at 0. Cells of that size pair them up."""
-    cell = lambda df: df.withColumns({f"c{k}": F.floor(F.col(k) / reach).cast("long") for k in "xyz"})
-    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    asked = cell(candidates).withColumn("o", spread).withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b"), "cz": F.col("cz") + F.col("o.c")})
-    # past poses of one value count once
-    past = cell(history).select("cx", "cy", "cz", *[F.col(k).alias("h" + k) for k in ("x", "y", "z", "yaw")]).distinct()
-    both = asked.join(past, ["cx", "cy", "cz"])
-    d = [F.col(k) - F.col("h" + k) for k in "xyz"] + [scalars.angle_difference(F.col("yaw"), F.col("hyaw"))]
-    power = sum(((x / s) * (x / s) for x, s in zip(d, sigma)), F.lit(0.0))
-    best = both.groupBy(id_col).agg(F.max(F.exp(-power / 2)).alias("rejection"))
-    return candidates.select(id_col).join(best, id_col, "left").select(id_col, F.coalesce("rejection", F.lit(0.0)).alias("rejection"))
+    """Greatest normal density of a candidate's pose around past poses within reach, over the density at 0.
+
+    Cells of that size pair candidates' poses (equal ones once) with past positions, not with past poses: of a position's yaws only the
+    nearest one counts, and a sort by yaw leaves four that it can be, the ones beside the candidate's and, around the turn, the first and the last.
+    """
+    pose, spot, cells = ["x", "y", "z", "yaw"], ["hx", "hy", "hz"], ["cx", "cy", "cz"]
+    turn = lambda c: scalars.wrap_2pi(F.col(c))
+    cell = lambda k: F.floor(F.col(k) / reach).cast("long")
+    near = F.explode(F.array(*[F.struct(*[(F.lit(v)).alias(n) for n, v in zip("abc", o)]) for o in itertools.product((-1, 0, 1), repeat=3)]))
+    asked = candidates.select(pose).distinct().withColumn("o", near).select(*pose, *[(cell(k) + F.col(f"o.{n}")).alias("c" + k) for k, n in zip("xyz", "abc")])
+    past = history.select(*[F.col(k).alias("h" + k) for k in pose]).distinct().withColumn("__t", turn("hyaw"))
+    spots = past.groupBy(spot).agg(F.min_by("hyaw", "__t").alias("__first"), F.max_by("hyaw", "__t").alias("__last")).select("*", *[cell("h" + k).alias("c" + k) for k in "xyz"])
+    pairs = asked.join(spots, cells).select(*spot, *pose, "__first", "__last", turn("yaw").alias("__t"), F.lit(None).cast("double").alias("hyaw"))
+    both = pairs.unionByName(past.select(*spot, F.col("hyaw").cast("double").alias("hyaw"), "__t", F.lit(True).alias("__past")), allowMissingColumns=True)
+    upto = lambda order: F.last("hyaw", True).over(Window.partitionBy(spot).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    told = both.select(*spot, *pose, "__past", "__first", "__last", upto(F.col("__t")).alias("__back"), upto(F.col("__t").desc()).alias("__ahead")).where("__past is null")
+
+    def power(yaw: str) -> Column:
+        d = [F.col(k) - F.col("h" + k) for k in "xyz"] + [scalars.angle_difference(F.col("yaw"), F.col(yaw))]
+        return sum(((x / s) * (x / s) for x, s in zip(d, sigma)), F.lit(0.0))
+
+    least = F.least(*map(power, ("__first", "__last", "__back", "__ahead")))
+    best = told.groupBy(pose).agg(F.exp(-F.min(least) / 2).alias("rejection"))
+    return candidates.select(id_col, *pose).join(best, pose, "left").select(id_col, F.coalesce("rejection", F.lit(0.0)).alias("rejection"))
 
 
 def metric_summary(samples: DataFrame) -> DataFrame:
@@ -65,8 +79,6 @@ def column_summary(results: DataFrame, columns: list[str], order: str) -> DataFr
 
 def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The element in the middle of the sorted values, the upper one of two. Ranks come from counts of equal values, so a group's rows are not listed."""
-    from pyspark.sql import Window
-
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     line = Window.partitionBy(*keys)
     ranked = counts.withColumn("upto", F.sum("n").over(line.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(line))
