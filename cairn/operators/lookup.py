@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import morton
+from ..sources.scratch import measured
 
 
 def lookup(probes: DataFrame, octants: DataFrame, depth_of_map: int, deepest: int, id_col: str = "probe", choose: str = "deepest", threshold: float | None = None) -> DataFrame:
@@ -43,7 +44,7 @@ def interpolate(probes: DataFrame, voxels: DataFrame, id_col: str = "probe", str
     frac = [F.col(f"p{k}") / stride - 0.5 - b for k, b in zip("xyz", base)]
     corners = F.array(*[F.struct(*[((b + (i >> k & 1)) * stride).cast("long").alias(n) for k, (n, b) in enumerate(zip("xyz", base))], _weight(frac, i).alias("w")) for i in range(8)])
     asked = probes.select(id_col, F.explode(corners).alias("c")).select(id_col, "c.*")
-    found = asked.join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"])
+    found = asked.join(measured(voxels.select("x", "y", "z", "value"), "voxels"), ["x", "y", "z"])
     sums = found.groupBy(id_col).agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.count("value").alias("n"))
     return probes.select(id_col).join(sums, id_col, "left").select(id_col, F.when(F.col("n") == 8, F.col("value")).alias("value"))
 
@@ -59,17 +60,19 @@ def gradient(probes: DataFrame, voxels: DataFrame, voxel_dim: float, id_col: str
     """Central differences of the voxels around a point, blended trilinearly: a stencil of -1 to +2 along each axis. Null unless all are known."""
     base = [F.floor(F.col(f"p{k}") - 0.5) for k in "xyz"]
     frac = [F.col(f"p{k}") - 0.5 - b for k, b in zip("xyz", base)]
-    stencil = []
+    # 32 voxels serve the 48 differences: each with its weight in all three
+    weights: dict[tuple, list] = {}
     for axis in range(3):
         for corner in range(8):
             for sign in (-1, 1):
-                at = [b + (corner >> k & 1) + (sign if k == axis else 0) for k, b in enumerate(base)]
-                stencil.append(F.struct(F.lit(axis).alias("axis"), *[c.cast("long").alias(n) for n, c in zip("xyz", at)], (_weight(frac, corner) * (0.5 * sign / voxel_dim)).alias("w")))
+                at = tuple((corner >> k & 1) + (sign if k == axis else 0) for k in range(3))
+                w = weights.setdefault(at, [F.lit(0.0)] * 3)
+                w[axis] = _weight(frac, corner) * (0.5 * sign / voxel_dim)
+    stencil = [F.struct(*[(b + o).cast("long").alias(n) for n, b, o in zip("xyz", base, at)], *[c.alias("w" + n) for n, c in zip("xyz", w)]) for at, w in weights.items()]
     asked = probes.select(id_col, F.explode(F.array(*stencil)).alias("c")).select(id_col, "c.*")
-    found = asked.join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"])
-    part = lambda k: F.sum(F.when(F.col("axis") == k, F.col("w") * F.col("value"))).alias("g" + "xyz"[k])
-    sums = found.groupBy(id_col).agg(part(0), part(1), part(2), F.count("value").alias("n"))
-    return sums.where("n = 48").select(id_col, "gx", "gy", "gz")
+    found = asked.join(measured(voxels.select("x", "y", "z", "value"), "voxels"), ["x", "y", "z"])
+    sums = found.groupBy(id_col).agg(*[F.sum(F.col("w" + k) * F.col("value")).alias("g" + k) for k in "xyz"], F.count("value").alias("n"))
+    return sums.where(F.col("n") == len(stencil)).select(id_col, "gx", "gy", "gz")
 
 
 def upsert(voxels: DataFrame, changes: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -82,13 +85,15 @@ def upsert(voxels: DataFrame, changes: DataFrame, blocks: DataFrame) -> DataFram
 def path_hits(rays: DataFrame, voxels: DataFrame, surface: float, steps: int, step: float, id_col: str = "ray") -> DataFrame:
     """First sample along each ray (o + t d, in voxels) whose value rises over the surface from a known one that doesn't; t is refined linearly.
 
-    Null t without a hit. Steps are fixed, so a ray costs `steps` rows of an equi-join; the first crossing is a minimum.
+    Null t without a hit. Steps are fixed, so a ray costs `steps` rows, each of which asks for its own cell and the one before; the first crossing is a minimum.
     """
-    at = rays.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
-    cell = [F.floor(F.col(f"o{k}") + F.col(f"d{k}") * F.col("i") * step).cast("long").alias(k) for k in "xyz"]
-    seen = at.select(id_col, "i", *cell).join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"], "left")
-    before = F.lag("value").over(Window.partitionBy(id_col).orderBy("i"))
-    crossing = seen.select(id_col, "i", "value", before.alias("before")).where((F.col("before") <= surface) & (F.col("value") > surface))
+    known = measured(voxels.select("x", "y", "z", "value"), "voxels")
+    at = rays.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("i"))
+    cell = lambda i, name: [F.floor(F.col(f"o{k}") + F.col(f"d{k}") * i * step).cast("long").alias(name + k) for k in "xyz"]
+    asked = at.select(id_col, "i", *cell(F.col("i"), "n"), *cell(F.col("i") - 1, "b"))
+    side = lambda name, value: known.select(*[F.col(k).alias(name + k) for k in "xyz"], F.col("value").alias(value))
+    behind, ahead = side("b", "before").where(F.col("before") <= surface), side("n", "value").where(F.col("value") > surface)
+    crossing = asked.join(ahead, ["nx", "ny", "nz"]).join(behind, ["bx", "by", "bz"])
     first = crossing.groupBy(id_col).agg(F.min_by(F.struct("i", "value", "before"), "i").alias("c"))
     refined = (F.col("c.i") - 1 + (surface - F.col("c.before")) / (F.col("c.value") - F.col("c.before"))) * step
     return rays.select(id_col).join(first.select(id_col, refined.alias("t")), id_col, "left")
