@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
+from ..sources.scratch import measured
 
 
 def ray_grid(width: int, height: int, vertical_fov: float, spark) -> DataFrame:
@@ -30,12 +31,12 @@ def ray_entropy(rays: DataFrame, voxels: DataFrame, near: float, far: float, ste
     inside = F.lit(True)
     for k in "xyz":
         inside = inside & F.col(k).between(0, edge - 1)
-    seen = cells.withColumn("out", (~inside).cast("int")).join(voxels.select("x", "y", "z", (F.col("value") * F.col("weight")).alias("l")), ["x", "y", "z"], "left")
-    stop = F.max(F.greatest(F.col("out") * 2, F.coalesce((F.col("l") > surface).cast("int"), F.lit(0))))
-    before = stop.over(Window.partitionBy(*id_cols).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    live = seen.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") == 0) & (F.col("out") == 0))
+    known = measured(voxels.select("x", "y", "z", (F.col("value") * F.col("weight")).alias("l")), "voxels")
+    seen = cells.withColumn("out", ~inside).join(known, ["x", "y", "z"], "left")
     h = scalars.entropy(scalars.probability(F.coalesce("l", F.lit(0.0))))
-    sums = live.groupBy(*id_cols).agg(F.sum(h).alias("h"))
+    # a column for each sample, so that a ray's samples need no order
+    line = seen.groupBy(*id_cols).agg(*[F.max(F.when((F.col("i") == i) & ~F.col("out"), h)).alias(f"__h{i}") for i in range(n)], F.min(F.when(F.col("out") | (F.col("l") > surface), F.col("i"))).alias("__stop"))
+    sums = line.select(*id_cols, sum((F.when(F.coalesce("__stop", F.lit(n)) >= i, F.coalesce(f"__h{i}", F.lit(0.0))).otherwise(0.0) for i in range(n)), F.lit(0.0)).alias("h"))
     return rays.select(*id_cols).join(sums, id_cols, "left").select(*id_cols, (F.coalesce("h", F.lit(0.0)) / n).alias("entropy"))
 
 
