@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, morton
+from ..sources.scratch import measured
 from .lookup import neighbours
 
 
@@ -50,5 +51,5 @@ def sphere_free(spheres: DataFrame, voxels: DataFrame, threshold: float = 0.0, i
     cells = spheres.select("*", span("x").alias("vx")).select("*", span("y").alias("vy")).select("*", span("z").alias("vz"))
     off = [F.col("v" + k) + 0.5 - F.col(k) for k in "xyz"]
     inside = cells.where(off[0] * off[0] + off[1] * off[1] + off[2] * off[2] <= F.col("radius") * F.col("radius"))
-    seen = inside.select(id_col, F.col("vx").alias("x"), F.col("vy").alias("y"), F.col("vz").alias("z")).join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"], "left")
+    seen = inside.select(id_col, F.col("vx").alias("x"), F.col("vy").alias("y"), F.col("vz").alias("z")).join(measured(voxels.select("x", "y", "z", "value"), "voxels"), ["x", "y", "z"], "left")
     return seen.groupBy(id_col).agg(F.min(F.coalesce(F.col("value") < threshold, F.lit(False))).alias("free"), F.count("*").alias("cells"))
