@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -67,15 +67,30 @@ def edges(image: DataFrame, width: int, height: int, weight: float = 1.0) -> Dat
 
 
 def morphology(pixels: DataFrame, radius: int, width: int, height: int, kind: str, keys: list[str] = []) -> DataFrame:
-    """Mask pixels (keys, u, v) dilated or eroded by a square; pixels outside the image neither grow nor erode a mask."""
-    offsets = [(du, dv) for du in range(-radius, radius + 1) for dv in range(-radius, radius + 1)]
-    moved = pixels.select(*keys, F.explode(F.array(*[F.struct((F.col("u") + du).alias("u"), (F.col("v") + dv).alias("v")) for du, dv in offsets])).alias("p")).select(*keys, "p.*")
-    moved = moved.where(F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1))
+    """Mask pixels (keys, u, v) dilated or eroded by a square; pixels outside the image neither grow nor erode a mask.
+
+    A mask becomes one row with the set of its places, which the image bounds, so its square's copies meet in that row. Eroding
+    a mask is dilating the image's other pixels.
+    """
+    wide = width + 2 * radius  # with a margin, which also takes what leaves a row at either end
+    inside = F.col("u").between(-radius, width + radius - 1) & F.col("v").between(-radius, height + radius - 1)
+    masks = pixels.where(inside).groupBy(*keys).agg(F.collect_set(((F.col("v") + radius) * wide + F.col("u") + radius).cast("int")).alias("p"))
+    image = F.flatten(F.transform(F.sequence(F.lit(radius), F.lit(radius + height - 1)), lambda v: F.sequence(v * wide + radius, v * wide + (radius + width - 1))))
+
+    moved = lambda by: lambda p: p + by
+
+    def grown(places: Column) -> Column:
+        for step in (1, wide):  # along rows, then along columns
+            places = F.array_distinct(F.concat(*[F.transform(places, moved(d * step)) for d in range(-radius, radius + 1)]))
+        return places
+
+    within = lambda p: (p % wide).between(radius, radius + width - 1) & p.between(radius * wide, (radius + height) * wide - 1)
     if kind == "dilate":
-        return moved.distinct()
-    inside = lambda c, n: F.least(F.col(c) + radius, F.lit(n - 1)) - F.greatest(F.col(c) - radius, F.lit(0)) + 1
-    full = moved.groupBy(*keys, "u", "v").agg(F.count("*").alias("n"))
-    return full.where(F.col("n") == inside("u", width) * inside("v", height)).select(*keys, "u", "v")
+        rows = masks.select(*keys, F.explode(F.filter(grown(F.col("p")), within)).alias("p"))
+    else:
+        own = F.filter("p", within)
+        rows = masks.select(*keys, F.explode(F.array_except(own, grown(F.array_except(image, own)))).alias("p"))
+    return rows.select(*keys, (F.col("p") % wide - radius).cast("long").alias("u"), (F.floor(F.col("p") / wide) - radius).cast("long").alias("v"))
 
 
 def pooling(image: DataFrame, levels: int, near: float = 0.0) -> DataFrame:
