@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, measured
 from . import pyramid
 
 #: Where a scale's voxels begin in a block with a halo of one voxel: 10, 6, 4 and 3 voxels along each edge.
 HALO = (0, 1000, 1216, 1280)
+HALO_SIZE = 1307
 _BLOCK = ["bx", "by", "bz"]
 
 
@@ -31,7 +32,7 @@ def halo_blocks(leaves: DataFrame) -> DataFrame:
     """(bx, by, bz, scale, scales, values): each block with what a read within it can need of its neighbours.
 
     values: data at every scale from its own on, of the block and one voxel around it, by place (HALO); scales: the scales of the 27
-    blocks around, by dx + 3 dy + 9 dz with 0 to 2 for -1 to 1. A voxel goes to two blocks on average, once for all reads, where
+    blocks around, by dx + 3 dy + 9 dz with 0 to 2 for -1 to 1; both are arrays. A voxel goes to two blocks on average, once for all reads, where
     asking for the eight voxels of each point would move eight rows a point. leaves: x, y, z, scale, value, weight.
     """
     block = [(F.col(k) - F.col(k) % 8).alias("b" + k) for k in "xyz"]
@@ -40,7 +41,7 @@ def halo_blocks(leaves: DataFrame) -> DataFrame:
     around = own.withColumn("o", F.explode(F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.array((i % 3).cast("int"), (F.floor(i / 3) % 3).cast("int"), F.floor(i / 9).cast("int")))))
     # a block at an offset sees this one at the opposite offset
     seen = around.select(*steps, F.struct((26 - (F.col("o")[0] + 3 * F.col("o")[1] + 9 * F.col("o")[2])).cast("int").alias("i"), F.col("scale").cast("int").alias("s")).alias("e"))
-    scales = seen.groupBy(*_BLOCK).agg(F.map_from_entries(F.collect_list("e")).alias("scales"))
+    scales = seen.groupBy(*_BLOCK).agg(F.map_from_entries(F.collect_list("e")).alias("m")).select(*_BLOCK, F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.col("m")[i]).alias("scales"))
 
     n, local = _right(8, F.col("scale")), lambda k: _right(F.col(k) % 8, F.col("scale"))
 
@@ -54,8 +55,11 @@ def halo_blocks(leaves: DataFrame) -> DataFrame:
         rows = rows.withColumn("t" + k, targets(k))
     width = n + 2
     place = F.element_at(F.array(*map(F.lit, HALO)), F.col("scale").cast("int") + 1) + F.col("tx.p") + width * (F.col("ty.p") + width * F.col("tz.p"))
-    entries = rows.select(*[F.col(f"t{k}.b").alias("b" + k) for k in "xyz"], F.struct(place.cast("int").alias("i"), F.col("value").alias("v")).alias("e"))
-    values = entries.groupBy(*_BLOCK).agg(F.map_from_entries(F.collect_list("e")).alias("values"))
+    entries = rows.select(*[F.col(f"t{k}.b").alias("b" + k) for k in "xyz"], place.cast("int").alias("i"), "value")
+    # every place has a row, so that sorted places are an array that is read by index
+    places = own.select(*_BLOCK, F.explode(F.sequence(F.lit(0), F.lit(HALO_SIZE - 1))).alias("i"), F.lit(None).cast("double").alias("value"))
+    filled = entries.unionByName(places).groupBy(*_BLOCK, "i").agg(F.max("value").alias("v"))
+    values = filled.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("values")).withColumn("values", F.transform("values", lambda e: e["v"]))
     return own.join(scales, _BLOCK).join(values, _BLOCK)
 
 
@@ -66,7 +70,7 @@ def interpolate(points: DataFrame, halos: DataFrame, id_col: str = "probe", leas
     which may reach other blocks, and so on. Null unless all eight have data there. Each point moves once, to its block.
     """
     block = [F.floor(F.col(f"p{k}") / 8).cast("long") * 8 for k in "xyz"]
-    rows = points.select(id_col, "px", "py", "pz", *[b.alias("b" + k) for b, k in zip(block, "xyz")]).join(halos, _BLOCK, "left")
+    rows = points.select(id_col, "px", "py", "pz", *[b.alias("b" + k) for b, k in zip(block, "xyz")]).join(measured(halos, "halos"), _BLOCK, "left")
 
     def base(k: str, s: Column) -> Column:
         """Place within the block of the lower of the two voxels around the point."""
@@ -80,7 +84,7 @@ def interpolate(points: DataFrame, halos: DataFrame, id_col: str = "probe", leas
     def need(s: int) -> Column:
         """The coarsest of the blocks that the eight voxels at scale s lie in."""
         at = F.lit(s)
-        return F.greatest(F.lit(s), *[F.col("scales")[side("x", at, c & 1) + 3 * side("y", at, c >> 1 & 1) + 9 * side("z", at, c >> 2)] for c in range(8)])
+        return F.greatest(F.lit(s), *[F.get("scales", side("x", at, c & 1) + 3 * side("y", at, c >> 1 & 1) + 9 * side("z", at, c >> 2)) for c in range(8)])
 
     rows = rows.withColumn("__s", F.greatest(F.col("scale"), F.lit(least_scale)).cast("int")).withColumn("__need", F.array(*[need(s).cast("int") for s in range(4)]))
     for _ in range(3):  # scales only rise, from 0 to 3
@@ -95,7 +99,7 @@ def interpolate(points: DataFrame, halos: DataFrame, id_col: str = "probe", leas
         w = F.lit(1.0)
         for k in "xyz":
             w = w * (F.col("__f" + k) if bits[k] else 1 - F.col("__f" + k))
-        term = w * F.col("values")[place.cast("int")]
+        term = w * F.get("values", place.cast("int"))
         total = term if total is None else total + term
     return rows.select(id_col, total.alias("value"), F.when(total.isNotNull(), s).alias("scale"))
 
