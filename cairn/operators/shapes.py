@@ -24,13 +24,40 @@ def _inside(p) -> Column:
     return (along >= 0) & (along <= F.col("length")) & (apart <= F.col("radius") * F.col("radius"))
 
 
+#: Octants of at most this size are divided within their task; larger ones are spread again, level by level.
+SPREAD = 16
+
+
+def _divided(octants: DataFrame) -> DataFrame:
+    """Octants (x, y, z, size, whole) one step on: whole ones and single voxels stay, those within become whole, those that stay clear go, the others give way to their eight children."""
+    rest = [c for c in octants.columns if c not in ("x", "y", "z", "size", "whole")]
+    centre = [F.col(k) + F.col("size") / 2.0 for k in "xyz"]
+    along, apart = _place(centre)
+    # from the centre to the outermost voxels' centres: along an axis, along the shape's axis and in all
+    half = (F.col("size") - 1) / 2.0
+    lean, clear = half * sum((F.abs(F.col("u" + k)) for k in "xyz"), F.lit(0.0)), half * math.sqrt(3)
+    farthest = [F.abs(c - F.col("a" + k)) + half for c, k in zip(centre, "xyz")]
+    placed = octants.select("*", along.alias("__along"), F.sqrt(F.greatest(apart, F.lit(0.0))).alias("__apart"), lean.alias("__lean"), clear.alias("__clear"), dot(farthest, farthest).alias("__farthest"))
+    along, apart, lean, clear = (F.col(c) for c in ("__along", "__apart", "__lean", "__clear"))
+    # the nearest voxel centre is no nearer to the axis' line, or to its ends along it, than this
+    away = (apart > F.col("radius") + clear + 1e-6) | (along < -clear - 1e-6) | (along > F.col("length") + clear + 1e-6)
+    sphere = F.col("__farthest") <= F.col("radius") * F.col("radius") - 1e-6
+    within = F.when(F.col("length") == 0, sphere).otherwise((along - lean >= 1e-6) & (along + lean <= F.col("length") - 1e-6) & (apart + clear <= F.col("radius") - 1e-6))
+    one = lambda *i: F.array(*map(F.lit, i)).cast("array<int>")
+    step = F.when(F.col("whole"), one(-1)).when(away, one()).when(F.col("size") == 1, one(-2)).when(within, one(-1)).otherwise(one(*range(8)))
+    split, size = F.col("i") >= 0, F.shiftright("size", 1)
+    at = [F.when(split, F.col(k) + F.shiftright("i", n).bitwiseAND(F.lit(1)) * size).otherwise(F.col(k)).alias(k) for n, k in enumerate("xyz")]
+    return placed.select(*rest, "x", "y", "z", "size", F.explode(step).alias("i")).select(*rest, *at, F.when(split, size).otherwise(F.col("size")).alias("size"), (F.col("i") == -1).alias("whole"))
+
+
 def cover(shapes: DataFrame, depth_of_map: int, id_col: str = "shape") -> DataFrame:
     """(shape, x, y, z, size): disjoint octants that hold exactly the voxels of the map whose centres lie in each shape.
 
     shapes: id, ax, ay, az, bx, by, bz, radius, in voxels: a cylinder with its axis from a to b and flat ends, or a sphere where both are
-    the same point. Shapes are convex, so an octant lies within if the centres of its eight outermost voxels do; it is left out
-    if even the sphere around it stays clear; else its eight children are asked. So there are about as many rows as voxels on
-    the shape's surface, not within it. Each level is written.
+    the same point. An octant is taken whole if the centres of its outermost voxels lie within (for a cylinder: if the sphere around them
+    does); it is left out if that sphere stays clear; else its eight children are asked, down to voxels, which are judged by their centres. So there are about as many rows as voxels on
+    the shape's surface, not within it. Shapes are written once; octants of over SPREAD voxels along an edge are written level by
+    level, so that a giant shape is shared out, and smaller ones are divided in one pass without a shuffle.
     """
     scratch = Scratch(shapes.sparkSession, "cover")
     line = ["ax", "ay", "az", "ux", "uy", "uz", "length", "radius"]
@@ -41,55 +68,47 @@ def cover(shapes: DataFrame, depth_of_map: int, id_col: str = "shape") -> DataFr
     size = F.least(F.lit(edge), F.pow(F.lit(2.0), F.ceil(F.log2(span)))).cast("long")
     axis = [(F.col("b" + k) - F.col("a" + k)).cast("double") for k in "xyz"]
     units = [F.coalesce(F.try_divide(d, norm(axis)), F.lit(0.0)).alias("u" + k) for d, k in zip(axis, "xyz")]
-    sized = shapes.select(id_col, *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "az", "bx", "by", "bz", "radius")], *units, norm(axis).alias("length")).withColumn("size", size)
+    sized = scratch.save(shapes.select(id_col, *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "az", "bx", "by", "bz", "radius")], *units, norm(axis).alias("length")).withColumn("size", size), "shapes")
     for k, (low, high) in zip("xyz", reach):
         first, last = F.floor(F.greatest(low, F.lit(0.0)) / F.col("size")), F.floor(F.least(high, F.lit(edge - 1.0)) / F.col("size"))
         sized = sized.withColumn(k, F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>")))).withColumn(k, F.col(k) * F.col("size"))
-    now, done, step = scratch.save(sized.select(id_col, *line, "x", "y", "z", "size"), "level0"), None, 0
-    while now.limit(1).count():
-        within = F.lit(True)
-        for i in range(8):
-            within = within & _inside([F.col(k) + (F.col("size") - 0.5 if i >> n & 1 else 0.5) for n, k in enumerate("xyz")])
-        centre = [F.col(k) + F.col("size") / 2.0 for k in "xyz"]
-        clear = (F.col("size") - 1) * (math.sqrt(3) / 2)
-        # the nearest voxel centre is no nearer to the axis' line, or to its ends along it, than this
-        along, apart = _place(centre)
-        away = (F.sqrt(F.greatest(apart, F.lit(0.0))) > F.col("radius") + clear + 1e-6) | (along < -clear - 1e-6) | (along > F.col("length") + clear + 1e-6)
-        one = F.col("size") == 1
-        told = F.when(one & _inside(centre), "in").when(one | away, "out").when(within, "in").otherwise("split")
-        told = scratch.save(now.withColumn("told", told).where("told <> 'out'"), f"told{step}")
-        inside = told.where("told = 'in'").select(id_col, "x", "y", "z", "size")
-        done = inside if done is None else done.unionByName(inside)
-        half = told.where("told = 'split'").select(id_col, *line, "x", "y", "z", (F.col("size") / 2).cast("long").alias("size"))
-        for k in "xyz":
-            half = half.withColumn(k, F.explode(F.array(F.col(k), F.col(k) + F.col("size"))))
-        step += 1
-        now = scratch.save(half, f"level{step}")
-    return done if done is not None else now.select(id_col, "x", "y", "z", "size")
+    roots = sized.select(id_col, *line, "x", "y", "z", "size", F.lit(False).alias("whole"))
+    large, small, step = roots.where(F.col("size") > SPREAD), roots.where(F.col("size") <= SPREAD), 0
+    while large.limit(1).count():
+        level = scratch.save(_divided(large), f"level{step}")
+        ready = F.col("whole") | (F.col("size") <= SPREAD)
+        large, small, step = level.where(~ready), small.unionByName(level.where(ready)), step + 1
+    most = min(SPREAD, edge)
+    while most > 1:
+        small, most = _divided(small), most // 2
+    centre = [F.col(k) + F.col("size") / 2.0 for k in "xyz"]
+    return small.where(F.col("whole") | _inside(centre)).select(id_col, "x", "y", "z", "size")
 
 
 def status(cover_of: DataFrame, leaves: DataFrame, depth_of_map: int, surface: float = 0.0, id_col: str = "shape") -> DataFrame:
     """(shape, free, occupied, cells): whether all of a shape's voxels are known to be free, whether one is occupied, and how many there are.
 
-    leaves: the map's disjoint octants x, y, z, size, value. Octants of the cover are met with leaves that lie in them and with
-    those that they lie in, by equi-joins on corners at each size; volumes are summed, so no side is cut into voxels.
+    leaves: the map's disjoint octants x, y, z, size, value. They are summed up once into the octants of every size that hold them, so
+    that an octant of the cover asks one row for all leaves in it, and one more for each larger size that leaves have. The
+    sums are written, so that Spark knows how small they are, and cover_of is read once.
     """
-    sizes = [1 << k for k in range(depth_of_map + 1)]
-
-    def above(df: DataFrame) -> DataFrame:
-        """Each octant once for every size from its own up, with the corner there."""
-        ups = F.explode(F.filter(F.array(*[F.lit(s).cast("long") for s in sizes]), lambda s: s >= F.col("size"))).alias("s")
-        return df.select("*", ups).withColumns({"c" + k: F.col(k) - F.col(k) % F.col("s") for k in "xyz"})
-
-    at = ["cx", "cy", "cz", "s"]
-    own = cover_of.select(id_col, *[F.col(k).alias(f"c{k}") for k in "xyz"], F.col("size").alias("s"))
-    held = leaves.select("x", "y", "z", F.col("size").cast("long").alias("size"), "value")
+    scratch = Scratch(cover_of.sparkSession, "status")
     volume = lambda c: F.col(c) * F.col(c) * F.col(c)
-    below = own.join(above(held).select(*at, "size", "value"), at).select(id_col, volume("size").alias("v"), "value")
-    larger = above(cover_of).where("s > size").select(id_col, *at, "size").join(held.select(*[F.col(k).alias("c" + k) for k in "xyz"], F.col("size").alias("s"), "value"), at).select(id_col, volume("size").alias("v"), "value")
-    met = below.unionByName(larger).groupBy(id_col).agg(F.sum(F.when(F.col("value") < surface, F.col("v")).otherwise(0)).alias("empty"), F.max(F.col("value") > surface).alias("occupied"))
-    whole = cover_of.groupBy(id_col).agg(F.sum(volume("size")).alias("cells"))
-    return whole.join(met, id_col, "left").select(id_col, (F.coalesce("empty", F.lit(0)) == F.col("cells")).alias("free"), F.coalesce("occupied", F.lit(False)).alias("occupied"), "cells")
+    corner = lambda s: [(F.col(k) - F.col(k) % s).alias("c" + k) for k in "xyz"]
+    ups = F.explode(F.filter(F.array(*[F.lit(1 << k).cast("long") for k in range(depth_of_map + 1)]), lambda s: s >= F.col("size"))).alias("s")
+    held = leaves.select("x", "y", "z", F.col("size").cast("long").alias("size"), "value").select("*", ups).select(*corner(F.col("s")), "s", "size", "value")
+    empty = F.sum(F.when(F.col("value") < surface, volume("size")).otherwise(0))
+    summed = held.groupBy("cx", "cy", "cz", "s").agg(empty.alias("empty"), F.max(F.coalesce(F.col("value") > surface, F.lit(False))).alias("occupied"), F.max(F.col("size") == F.col("s")).alias("leaf"))
+    summed = scratch.save(summed, "sums")
+    # a map has few sizes
+    sizes = [r["s"] for r in summed.where("leaf").select("s").distinct().collect()]
+    asked = F.concat(F.array("size"), F.filter(F.array(*map(F.lit, sizes)).cast("array<long>"), lambda s: s > F.col("size"))) if max(sizes, default=1) > 1 else F.array("size")
+    asks = cover_of.select(id_col, "x", "y", "z", "size", F.explode(asked).alias("s")).select(id_col, "size", "s", *corner(F.col("s")))
+    found = asks.join(summed, ["cx", "cy", "cz", "s"], "left")
+    own = F.col("s") == F.col("size")
+    told = F.when(own, F.col("empty")).when(F.col("leaf") & (F.col("empty") > 0), volume("size")).otherwise(0)
+    sums = found.groupBy(id_col).agg(F.sum(told).alias("empty"), F.max(F.col("occupied") & (own | F.col("leaf"))).alias("occupied"), F.sum(F.when(own, volume("size"))).alias("cells"))
+    return sums.select(id_col, (F.coalesce("empty", F.lit(0)) == F.col("cells")).alias("free"), F.coalesce("occupied", F.lit(False)).alias("occupied"), "cells")
 
 
 def keys(cover_of: DataFrame, depth_of_map: int) -> DataFrame:
