@@ -17,6 +17,12 @@ def _crossings(o: Column, d: Column, size: int, start: Column, stop: Column) ->
     return F.when(d != 0, inside).otherwise(F.array().cast("array<double>"))
 
 
+def _cuts(size: int, start: Column, stop: Column) -> Column:
+    """Where a ray passes from cell to cell between start and stop, with both ends, in order."""
+    ends = F.array(start.cast("double"), stop.cast("double"))
+    return F.array_sort(F.array_distinct(F.concat(ends, *[_crossings(F.col("o" + k).cast("double"), F.col("d" + k).cast("double"), size, start, stop) for k in "xyz"])))
+
+
 def cells(rays: DataFrame, size: int, keys: list[str], start: str = "t0", stop: str = "t1") -> DataFrame:
     """(keys, n, t_in, t_out, x, y, z): the cells of an edge of `size` (corners x, y, z) that each ray crosses between t0 and t1, from the first on.
 
@@ -24,9 +30,7 @@ def cells(rays: DataFrame, size: int, keys: list[str], start: str = "t0", stop:
     is missed or met twice; a ray through an edge or a corner goes straight to the cell behind it. A ray crosses three cells for
     each cell's edge of its length, at most.
     """
-    axes = [(F.col("o" + k), F.col("d" + k)) for k in "xyz"]
-    ends = F.array(F.col(start).cast("double"), F.col(stop).cast("double"))
-    cuts = F.array_sort(F.array_distinct(F.concat(ends, *[_crossings(o.cast("double"), d.cast("double"), size, F.col(start), F.col(stop)) for o, d in axes])))
+    cuts = _cuts(size, F.col(start), F.col(stop))
     spans = F.arrays_zip(F.slice("__cuts", F.lit(1), F.size("__cuts") - 1).alias("t_in"), F.slice("__cuts", F.lit(2), F.size("__cuts") - 1).alias("t_out"))
     rows = rays.where(F.col(start) < F.col(stop)).withColumn("__cuts", cuts).select(*keys, *[f"{c}{k}" for c in "od" for k in "xyz"], F.posexplode(spans).alias("n", "__s"))
     rows = rows.select(*keys, *[f"{c}{k}" for c in "od" for k in "xyz"], "n", "__s.t_in", "__s.t_out")
@@ -62,39 +66,38 @@ def raycast(rays: DataFrame, voxels: DataFrame, edge: int, nearest: float, farth
 
     Rays advance in rounds, each twice as long as the one before: blocks that a ray crosses in the round are looked up first, and
     only allocated ones are cut into voxels; rays that have hit or left the map drop out, so the rows of a round are those of
-    unfinished rays. Rounds are written; their number is the logarithm of the ray's length.
+    unfinished rays. A round deals out rays, not what they cross, if the map is small; its number is the logarithm of the ray's length.
     """
     scratch = Scratch(rays.sparkSession, "raycast")
-    known = voxels.select("x", "y", "z", "value")
+    known = scratch.save(voxels.select("x", "y", "z", "value"), "voxels")
     blocks = scratch.save(known.select(*[(F.col(k) - F.col(k) % 8).alias(k) for k in "xyz"]).distinct(), "blocks")
-    now = scratch.save(clipped(rays.select(id_col, *[f"{c}{k}" for c in "od" for k in "xyz"]), edge, nearest, farthest).withColumnRenamed("t1", "t_end").withColumn("t_known", F.lit(None).cast("double")), "rays0")
-    line, done, n = ["ox", "oy", "oz", "dx", "dy", "dz"], None, 0
+    line, none = [f"{c}{k}" for c in "od" for k in "xyz"], F.lit(None).cast("double")
+    now = clipped(rays.select(id_col, *line), edge, nearest, farthest).withColumnRenamed("t1", "t_end").withColumn("t_known", none)
+    now = scratch.save(now.withColumn("last", F.struct(none.alias("t_in"), none.alias("t_out"), none.alias("value"))), "rays0")
+    done, n = None, 0
     while now.limit(1).count():
-        reach = now.withColumn("t1", F.least(F.col("t_end"), F.col("t0") + span * 2**n))
-        crossed = cells(reach, 8, [id_col, "t_end", "t_known", "t1"])
+        now = now.repartition(id_col).withColumn("t1", F.least(F.col("t_end"), F.col("t0") + span * 2**n))
         # the block at a round's end is cut short: it is taken whole in the next round
-        short = (F.col("t_out") == F.col("t1")) & (F.col("t1") < F.col("t_end"))
-        crossed = scratch.save(crossed.withColumn("__short", short), f"crossed{n}")
-        met = crossed.where("not __short").join(blocks, ["x", "y", "z"], "left_semi").select(id_col, F.col("t_in").alias("t0"), F.col("t_out").alias("t1"))
-        through = cells(met.join(now.select(id_col, *line), id_col), 1, [id_col]).join(known, ["x", "y", "z"])
+        cuts = _cuts(8, F.col("t0"), F.col("t1"))
+        reach = now.withColumn("__next", F.when(F.col("t1") < F.col("t_end"), F.element_at(cuts, -2)))
+        bare = reach.select(id_col, *line, "t0", "t1", "t_end", "last")
+        crossed = cells(bare.select(id_col, "t0", "t1", "t_end", "last", *line, *[F.col(c).alias("__" + c) for c in line]), 8, [id_col, "t1", "t_end", "last", *["__" + c for c in line]])
+        met = crossed.where((F.col("t_out") < F.col("t1")) | (F.col("t1") >= F.col("t_end"))).join(blocks, ["x", "y", "z"], "left_semi")
+        met = met.select(id_col, "last", F.col("t_in").alias("t0"), F.col("t_out").alias("t1"), *[F.col("__" + c).alias(c) for c in line])
+        through = cells(met, 1, [id_col, "last"]).join(known, ["x", "y", "z"])
         # the last voxel of a round is carried over: the one that ends where the next round begins
-        if n:
-            through = through.unionByName(carried)
-        order = Window.partitionBy(id_col).orderBy("t_in")
-        pairs = through.select(id_col, "t_in", "t_out", "x", "y", "z", "value", F.lag(F.struct("t_in", "t_out", "value")).over(order).alias("p"))
+        before = F.coalesce(F.lag(F.struct("t_in", "t_out", "value")).over(Window.partitionBy(id_col).orderBy("t_in")), F.col("last"))
+        pairs = through.select(id_col, "t_in", "t_out", "x", "y", "z", "value", before.alias("p"))
         crossing = (F.col("p.t_out") == F.col("t_in")) & (F.col("p.value") <= surface) & (F.col("value") > surface)
         a, b = (F.col("p.t_in") + F.col("p.t_out")) / 2, (F.col("t_in") + F.col("t_out")) / 2
         hit = F.struct((a + (b - a) * (surface - F.col("p.value")) / (F.col("value") - F.col("p.value"))).alias("t"), "x", "y", "z")
-        found = pairs.groupBy(id_col).agg(F.min_by(F.when(crossing, hit), F.when(crossing, F.col("t_in"))).alias("hit"), F.min(F.when(F.col("value") <= surface, F.col("t_in"))).alias("__first"), F.max_by(F.struct("t_in", "t_out", "x", "y", "z", "value"), "t_in").alias("__last"))
-        found = scratch.save(found, f"found{n}")
-        state = now.join(found, id_col, "left").withColumn("t_known", F.coalesce("t_known", "__first"))
-        going = crossed.where("__short").select(id_col, F.col("t_in").alias("__next"))
-        state = scratch.save(state.join(going, id_col, "left"), f"state{n}")
+        found = pairs.groupBy(id_col).agg(F.min_by(F.when(crossing, hit), F.when(crossing, F.col("t_in"))).alias("hit"), F.min(F.when(F.col("value") <= surface, F.col("t_in"))).alias("__first"), F.max_by(F.struct("t_in", "t_out", "value"), "t_in").alias("__last"))
+        state = scratch.save(reach.join(found, id_col, "left").withColumn("t_known", F.coalesce("t_known", "__first")).withColumn("last", F.coalesce("__last", "last")).drop("__last", "t1"), f"state{n}")
         over = state.where("hit is not null or __next is null").select(id_col, "hit.t", "hit.x", "hit.y", "hit.z", F.when(F.col("hit").isNull() | (F.col("t_known") < F.col("hit.t")), F.col("t_known")).alias("t_known"))
         done = over if done is None else done.unionByName(over)
         left = state.where("hit is null and __next is not null")
-        carried = left.where("__last.t_out = __next").select(id_col, F.lit(-1).alias("n"), "__last.t_in", "__last.t_out", "__last.x", "__last.y", "__last.z", "__last.value")
-        now = left.select(id_col, *line, F.col("__next").alias("t0"), "t_end", "t_known")
+        kept = [F.when(F.col("last.t_out") == F.col("__next"), F.col(f"last.{c}")).alias(c) for c in ("t_in", "t_out", "value")]
+        now = left.select(id_col, *line, F.col("__next").alias("t0"), "t_end", "t_known", F.struct(*kept).alias("last"))
         n += 1
     names = [id_col, "t", "x", "y", "z", "t_known"]
     whole = rays.select(id_col)
