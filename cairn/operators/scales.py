@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,13 +137,42 @@ def told(key: int, block: Block) -> pd.DataFrame:
 
 
 def replay(updates: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Each block's state (OUTPUT) after all its updates (INPUT) in the order of frames. A block gets one row a frame, so its frames, not its voxels, bound a group."""
-    def run(key, rows):
-        block = Block()
-        take_rows(block, rows, rules)
-        return told(key[0], block)
+    """Each block's state (OUTPUT) after all its updates in the order of frames.
 
-    return updates.groupBy("key").applyInPandas(run, OUTPUT)
+    updates: INPUT, or with samples as array<struct<i int, v double>> of those that tell something. A task reads its blocks' frames
+    in order and holds one block and one batch of rows, however many frames there are.
+    """
+    sparse = "struct" in updates.schema["samples"].dataType.simpleString()
+
+    def run(batches):
+        now, block, last = None, None, None
+        for batch in batches:
+            key, frame, wanted, free, inside = (batch.column(c).to_pylist() for c in ("key", "frame", "wanted", "free", "inside"))
+            listed = batch.column("samples")
+            ends, flat = listed.offsets.to_numpy(), listed.values
+            if sparse:
+                place, flat = flat.field(0).to_numpy(), flat.field(1)
+            flat = flat.to_numpy(zero_copy_only=False).astype(float)
+            for r in range(len(key)):
+                if key[r] != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_pandas(told(now, block), schema=schema, preserve_index=False)
+                    now, block, last = key[r], Block(), None
+                if frame[r] == last:
+                    continue
+                last, samples, a, b = frame[r], None, ends[r], ends[r + 1]
+                if not free[r]:
+                    samples = np.full(OFFSETS[-1], np.nan) if sparse else flat[a:b]
+                    if sparse:
+                        samples[place[a:b]] = flat[a:b]
+                block.take(int(frame[r]), int(wanted[r]), bool(free[r]), bool(inside[r]), samples, rules)
+        if now is not None:
+            yield pa.RecordBatch.from_pandas(told(now, block), schema=schema, preserve_index=False)
+
+    wide = pa.list_(pa.float64())
+    schema = pa.schema([("key", pa.int64()), ("frame", pa.int64()), ("scale", pa.int32()), ("buffer", pa.int32()), ("value", wide), ("weight", wide)])
+    ordered = updates.select("key", "frame", "wanted", "free", "inside", "samples").repartition("key").sortWithinPartitions("key", "frame")
+    return ordered.mapInArrow(run, OUTPUT)
 
 
 def push_down(frees: DataFrame, blocks: DataFrame, depth_of_map: int) -> DataFrame:
