@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,23 +15,53 @@ def absorb(own: DataFrame, others: DataFrame, overlap: float) -> tuple[DataFrame
     """Each frame's other masks, in the order of their ids, join the first of its own masks that holds more than `overlap` of them, as it has grown so far.
 
     own: frame, obj_id, u, v; others: frame, det_id, u, v (pixels of masks). Returns (frame, det_id, obj_id), null where none takes it,
-    and the grown masks (frame, obj_id, u, v). Only masks of one frame meet in a task, which the sensor's image bounds; frames are
-    independent, so the order within one costs no rounds over all.
+    and the grown masks (frame, obj_id, u, v). Frames are independent, so the order within one costs no rounds over all: a task reads its
+    frames' pixels sorted by mask, own masks first, and holds the own masks of one frame and one other mask at a time.
     """
-    def one(key, mine: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        place = lambda df: df["v"].to_numpy(np.int64) << 32 | df["u"].to_numpy(np.int64)
-        masks = {i: np.unique(p) for i, p in pd.Series(place(mine)).groupby(mine["obj_id"].to_numpy())} if len(mine) else {}
-        out = []
-        for d, p in pd.Series(place(given)).groupby(given["det_id"].to_numpy()) if len(given) else ():
-            p, into = np.unique(p), None
-            for i in sorted(masks):
-                if np.isin(p, masks[i], assume_unique=True).sum() > overlap * len(p):
-                    masks[i], into = np.union1d(masks[i], p), i
-                    break
-            out.append((key[0], d, into))
-        return pd.DataFrame({"frame": [x[0] for x in out], "det_id": [x[1] for x in out], "obj_id": pd.array([x[2] for x in out], "Int64")})
-
-    taken = own.select("frame", "obj_id", "u", "v").groupBy("frame").cogroup(others.select("frame", "det_id", "u", "v").groupBy("frame")).applyInPandas(one, "frame long, det_id long, obj_id long")
+    place = (F.shiftleft(F.col("v").cast("long"), 32).bitwiseOR(F.col("u").cast("long"))).alias("place")
+    rows = own.select("frame", F.lit(0).alias("other"), F.col("obj_id").alias("mask"), place).unionByName(others.select("frame", F.lit(1).alias("other"), F.col("det_id").alias("mask"), place))
+
+    def one(batches):
+        now, masks, parts, out = None, {}, [], []
+
+        def end():
+            """The mask now is whole."""
+            p, (frame, other, mask) = np.unique(np.concatenate(parts)), now
+            if not other:
+                masks[mask] = p
+                return
+            into = next((i for i in sorted(masks) if np.isin(p, masks[i], assume_unique=True).sum() > overlap * len(p)), None)
+            if into is not None:
+                masks[into] = np.union1d(masks[into], p)
+            out.append((frame, mask, into))
+
+        def told():
+            frame, mask, into = zip(*out) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (frame, mask, into)], ["frame", "det_id", "obj_id"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("frame", "other", "mask", "place")]
+            new = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns[:3]], axis=0)) + 1
+            for i, k in zip([0, *new], [*new, batch.num_rows]):
+                key = tuple(int(c[i]) for c in columns[:3])
+                if now is not None and key != now:
+                    end()
+                    parts.clear()
+                    if key[0] != now[0]:
+                        masks.clear()
+                now = key
+                parts.append(columns[3][i:k])
+            yield told()
+            out.clear()
+        if now is not None:
+            end()
+        yield told()
+
+    # rows without a frame or a mask's number belong to no mask
+    ordered = rows.where("frame is not null and mask is not null").repartition("frame").sortWithinPartitions("frame", "other", "mask")
+    taken = ordered.mapInArrow(one, "frame long, det_id long, obj_id long")
     taken = Scratch(own.sparkSession, "absorb").save(taken, "taken")
     more = others.join(taken.where("obj_id is not null"), ["frame", "det_id"]).select("frame", "obj_id", "u", "v")
     return taken, own.select("frame", "obj_id", "u", "v").unionByName(more).distinct()
