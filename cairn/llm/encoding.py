@@ -13,24 +13,28 @@ import pyarrow.compute as pc
 
 from .common import kept, text_buffer
 
-#: Parts in one generation of a worker's memory. Two generations are kept, and strings of over LONGEST characters never are, so
-#: a memory takes some 100 MB at most.
-PARTS, LONGEST = 160_000, 48
-#: Parts that the library encodes at once (its answers are large), and that the memory takes in at once.
+#: Pieces and parts in one generation of a worker's memories. Two generations are kept, and strings of over LONGEST bytes never
+#: are, so both memories take some 130 MB at most.
+PIECES, PARTS, LONGEST = 250_000, 160_000, 48
+#: Parts that the library encodes at once (its answers are large).
 BATCH = 2048
 #: Bytes of text that are cut at once.
-SLICE = 6 << 20
+SLICE = 8 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Bytes of plain texts: printable ASCII, single spaces and line feeds, and Latin-1 letters (0xC3 and one more byte).
 _PLAIN_BYTE = np.zeros(256, bool)
 _PLAIN_BYTE[[10, *range(32, 127), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))]] = True
+#: What words are cut from: lower case, and spaces for line feeds. In plain texts 0x80 to 0x9E follow 0xC3 only, as capitals.
+_FOLDED_BYTE = np.arange(256, dtype=np.uint8)
+_FOLDED_BYTE[10] = 32
+_FOLDED_BYTE[[*range(65, 91), *range(0x80, 0x97), *range(0x98, 0x9F)]] += 32
 #: Plain pieces are cut further, always where the tokenizer's own pattern ends a token: behind letters, and (words) before letters
 #: unless an apostrophe stands there or (bytes) behind a line feed. Many pieces are cut at once, with a NUL between them.
 _PLAIN_PIECE = re.compile(rf"[ \n]?[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*\n?|[ \n]?")
 _CUTS = {"words": re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}\0]*'[{_LETTERS}]+|[^{_LETTERS}\0]+|\0"), "bytes": re.compile(rf" ?[{_LETTERS}]+|[\n\0]|[^{_LETTERS}\n\0]+[{_LETTERS}]*")}
 #: Parts that every pattern takes as one word. Longer ones go through the tokenizer, as do letters beyond these.
-_WORD_PART = {"words": re.compile(rf"[a-zà-öø-ÿ]{{1,{LONGEST}}}"), "bytes": re.compile(rf" ?[{_LETTERS}]{{1,{LONGEST}}}")}
+_WORD_PART = {"words": rf"\A[a-zà-öø-ÿ]{{1,{LONGEST}}}\z", "bytes": rf"\A ?[{_LETTERS}]{{1,{LONGEST}}}\z"}
 #: Other texts are cut where a tokenizer can't join anything: (words) at ASCII white space, (bytes) before white space behind
 #: other characters. _UNSURE: characters that count as white space for some, where the second cut could be wrong.
 _PIECES = {"words": re.compile(r"[^\t-\r ]+"), "bytes": re.compile(r"[\t-\r ]*+[^\t-\r ]+|[\t-\r ]+")}
@@ -41,26 +45,43 @@ _SPECIAL = "<|"
 
 
 class _Memory:
-    """A dictionary of at most two generations: what the older one still serves moves to the younger one."""
+    """Ids of strings, in Arrow arrays of at most two generations: what the older one still serves moves to the younger one."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def find(self, keys: list) -> list:
-        """What is kept for each key, or None."""
-        out = list(map(self.young.get, keys))
-        at = [i for i, x in enumerate(out) if x is None and keys[i] in self.old]
-        for i in at:
-            out[i] = self.old[keys[i]]
-        for lo in range(0, len(at), BATCH):
-            self.put([keys[i] for i in at[lo : lo + BATCH]], [out[i] for i in at[lo : lo + BATCH]])
-        return out
-
-    def put(self, keys: list, values: list) -> None:
-        """Takes in some keys, BATCH at most."""
-        if len(self.young) >= self.most:
-            self.young, self.old = {}, self.young
-        self.young.update((k, v) for k, v in zip(keys, values) if len(k) <= LONGEST)
+        self.most = most
+        self.young = self.old = (pa.array([], pa.large_string()), None, None)
+
+    def find(self, names: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some strings, one after another, and how many each has. encode tells both for those that are not kept."""
+        place, flats, sizes, upto = np.full(len(names), -1), [], [], 0
+        for kept_names, flat, size in (self.old, self.young):
+            if len(kept_names):
+                found = pc.index_in(kept_names, value_set=names)  # few names are hashed, and not all that is kept
+                place[found.drop_null().to_numpy()] = upto + np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                flats.append(flat)
+                sizes.append(size)
+                upto += len(kept_names)
+        missing = place < 0
+        if missing.any():
+            flat, size = encode(names.filter(pa.array(missing)))
+            flats.append(flat)
+            sizes.append(size)
+            place[missing] = upto + np.arange(len(size))
+        if not flats:
+            return encode(names)
+        ids, n = _taken(np.concatenate(flats), np.concatenate(sizes), place)
+        new = (missing | (place < len(self.old[0]))) & (pc.binary_length(names).to_numpy() <= LONGEST)
+        if new.any():
+            self._put(names.filter(pa.array(new)), ids[np.repeat(new, n)], n[new])
+        return ids, n
+
+    def _put(self, names: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        if len(self.young[0]) >= self.most:
+            self.young, self.old = (names, flat, size), self.young
+        elif len(self.young[0]):
+            self.young = (pa.concat_arrays([self.young[0], names]), np.concatenate([self.young[1], flat]), np.concatenate([self.young[2], size]))
+        else:
+            self.young = (names, flat, size)
 
 
 class _Ranked:
@@ -94,8 +115,8 @@ class _Ranked:
             ranks[bytes(value[c] for c in (m[: -len(end)] if last else m)) + (self.end if last else b"")] = vocab[m]
         self.merge = tiktoken.Encoding("ranked", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [self.merge(x.encode() + self.end) for x in words]
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        return [self.merge(x + self.end) for x in words]
 
 
 def byte_characters() -> list[str]:
@@ -127,74 +148,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kind, self.parts, self.ranked = kind, _Memory(PARTS), _Ranked.of(path)
+        self.kind, self.pieces, self.parts, self.ranked = kind, _Memory(PIECES), _Memory(PARTS), _Ranked.of(path)
 
     def _cut(self, piece: str) -> list[str]:
         if _SPECIAL in piece or not _PLAIN_PIECE.fullmatch(piece):
             return [piece]
         return _CUTS[self.kind].findall(piece.lower() if self.kind == "words" else piece)
 
-    def _parts(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """Parts of pieces as places in a list of distinct parts, that list, and how many parts each piece has."""
+    def _parts(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Parts of pieces as places in an array of distinct parts, that array, and how many parts each piece has."""
         together = "\0".join(pieces) if plain else ""
         if plain and _SPECIAL not in together:
-            parts = _CUTS[self.kind].findall(together.lower() if self.kind == "words" else together)
-            coded = pa.array(parts, pa.large_string()).dictionary_encode()
-            at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            between = at == (names.index("\0") if len(pieces) > 1 else -1)
+            coded = pa.array(_CUTS[self.kind].findall(together.lower() if self.kind == "words" else together), pa.large_string()).dictionary_encode()
+            at, names = coded.indices.to_numpy(), coded.dictionary
+            between = at == names.index("\0").as_py()
             return at[~between], names, np.diff(np.flatnonzero(between), prepend=-1, append=len(at)) - 1
         split = list(map(self._cut, pieces))
         coded = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string()).dictionary_encode()
-        return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.fromiter(map(len, split), np.int64, len(split))
-
-    def _known(self, parts: list[str]) -> list[bytes]:
-        """Ids of distinct parts."""
-        out = self.parts.find(parts)
-        unknown = [i for i, x in enumerate(out) if x is None]
-        for lo in range(0, len(unknown), BATCH):
-            at = unknown[lo : lo + BATCH]
-            some = [parts[i] for i in at]
-            ids = self._encoded(some)
-            ends = list(itertools.accumulate(len(x) * self.dtype.itemsize for x in ids))
-            data = np.fromiter(itertools.chain.from_iterable(ids), self.dtype, ends[-1] // self.dtype.itemsize).tobytes()
-            values = [data[i:j] for i, j in zip([0, *ends], ends)]
-            for i, x in zip(at, values):
-                out[i] = x
-            self.parts.put(some, values)
-        return out
-
-    def _encoded(self, parts: list[str]) -> list:
-        """Words of letters are merged as they are; other parts go through the tokenizer."""
-        plain = [bool(_WORD_PART[self.kind].fullmatch(x)) for x in parts] if self.ranked else [False] * len(parts)
-        words = iter(self.ranked.encode(list(itertools.compress(parts, plain))) if self.ranked else ())
-        others = [x for x, p in zip(parts, plain) if not p]
-        rest = iter([x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else ())
-        return [next(words) if p else next(rest) for p in plain]
-
-    def _ids(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pieces, one after another, and how many each has."""
-        at, names, counts = self._parts(pieces, plain)
-        known = self._known(names)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
-        ids, n = _taken(np.frombuffer(b"".join(known), self.dtype), size, at)
+        return coded.indices.to_numpy(), coded.dictionary, np.fromiter(map(len, split), np.int64, len(split))
+
+    def _encoded(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after another, and how many each has. Words of letters are merged as they are; other parts go through the tokenizer."""
+        plain = pc.match_substring_regex(parts, _WORD_PART[self.kind]).to_numpy(zero_copy_only=False) if self.ranked else np.zeros(len(parts), bool)
+        flat, size = [np.empty(0, self.dtype)], np.zeros(len(parts), np.int64)
+        for words in (True, False):
+            which = np.flatnonzero(plain == words)
+            some = parts.take(pa.array(which))
+            some = (some.cast(pa.large_binary()) if words else some).to_pylist()
+            for lo in range(0, len(some), BATCH):
+                ids = self.ranked.encode(some[lo : lo + BATCH]) if words else [x.ids for x in self.tokenizer.encode_batch_fast(some[lo : lo + BATCH], add_special_tokens=False)]
+                size[which[lo : lo + BATCH]] = n = list(map(len, ids))
+                flat.append(np.fromiter(itertools.chain.from_iterable(ids), self.dtype, sum(n)))
+        # ids of words stand before those of others
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return _taken(np.concatenate(flat), size[order], place)
+
+    def _ids(self, pieces: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are not kept, one after another, and how many each has."""
+        at, names, counts = self._parts(pieces.to_pylist(), plain)
+        ids, n = _taken(*self.parts.find(names, self._encoded), at)
         upto = np.concatenate([[0], np.cumsum(n)])
         return ids, np.diff(upto[np.cumsum(counts)], prepend=0)
 
     def _gathered(self, pieces: pa.Array, ends: np.ndarray, plain: bool, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
         """Ids of rows of pieces, and how many each row has. plain: all are plain pieces. lead: what stands before all pieces but a row's first."""
         coded = pieces.dictionary_encode()
-        at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at, names = coded.indices.to_numpy(), coded.dictionary
         if lead:
             firsts = np.concatenate([[0], ends[:-1]])
             at, heads = at.copy(), at[firsts]
             at[firsts] = len(names) + np.arange(len(firsts))
-            names = [lead + x for x in names] + [names[i] for i in heads.tolist()]
-        tokens, n = _taken(*self._ids(names, plain), at)
+            led = pc.binary_join_element_wise(pa.scalar(lead, names.type), names, pa.scalar("", names.type))
+            coded = pa.concat_arrays([led, names.take(pa.array(heads))]).dictionary_encode()
+            at, names = coded.indices.to_numpy()[at], coded.dictionary
+        tokens, n = _taken(*self.pieces.find(names, lambda x: self._ids(x, plain)), at)
         upto = np.concatenate([[0], np.cumsum(n)])
         return tokens, np.diff(upto[ends], prepend=0)
 
     def _plain(self, texts: pa.Array) -> np.ndarray:
-        """Which texts hold plain bytes and no two white spaces in a row."""
+        """Which texts hold plain bytes and no two white spaces in a row; words are folded, so that these texts hold no special token either."""
         data, offsets = text_buffer(texts)
         base, offsets = int(offsets[0]), offsets - offsets[0]
         x = data[base : base + int(offsets[-1])]
@@ -204,7 +218,8 @@ class Encoder:
         inner = offsets[1:-1]
         pair[inner[(inner > 0) & (inner < len(x))] - 1] = False
         bad[1:] |= pair
-        return np.diff(np.searchsorted(np.flatnonzero(bad), offsets)) == 0
+        plain = np.diff(np.searchsorted(np.flatnonzero(bad), offsets)) == 0
+        return plain & ~pc.match_substring(texts, _SPECIAL).to_numpy(zero_copy_only=False) if self.kind == "words" else plain
 
     def _others(self, texts: list[str]) -> list[list[str]]:
         out = []
@@ -249,9 +264,13 @@ class Encoder:
         return out, counts
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Plain texts are cut at spaces."""
+        """Plain texts are cut at spaces; words at line feeds too."""
         if not len(texts):
             return np.empty(0, self.dtype), np.empty(0, np.int64)
+        if self.kind == "words":
+            data, offsets = text_buffer(texts)
+            folded = _FOLDED_BYTE[data[int(offsets[0]) : int(offsets[-1])]]
+            texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(folded))
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy()
         return self._gathered(lists.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets[1:] - offsets[0], True, " " if self.kind == "bytes" else "")

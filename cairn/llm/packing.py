@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_task
+from .common import Scratch, in_task, text_slices
 from .encoding import Encoder, with_ends
 
 _PIECE = ["id", "piece", "start", "length", "ids_crc32", "task", "number"]
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, tokenizer_path: str, kind: str = "bytes", end_id: int
     def cut(batches):
         encoder, seen = Encoder.of(tokenizer_path, kind), np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
-        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
+        for batch in text_slices(batches):
             ids, counts = with_ends(*encoder.encode(batch.column("text")), end_id)
             pieces = (counts - 1) // capacity + 1
             row = np.repeat(np.arange(len(counts)), pieces)

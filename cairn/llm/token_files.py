@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_task
+from .common import Scratch, in_task, text_slices
 from .encoding import Encoder, with_ends
 
 MAGIC = b"CWM2"
@@ -30,7 +30,7 @@ def _planes(ids: np.ndarray) -> list[np.ndarray]:
     for level in reversed(range(max(1, int(ids.max()).bit_length()) if len(ids) else 1)):
         ones = (ids >> ids.dtype.type(level) & ids.dtype.type(1)).astype(bool)
         planes.append(np.packbits(ones))
-        ids = np.concatenate([ids[~ones], ids[ones]])
+        ids = np.concatenate([np.compress(~ones, ids), np.compress(ones, ids)])
     return planes
 
 
@@ -146,8 +146,8 @@ class TokenFile:
             packed = np.concatenate([np.empty(0, np.uint8), *(self._block(level, k) for k in range(self.entries.shape[1]))])
             ones, zeros = np.unpackbits(packed, count=self.n).astype(bool), self.n - self.totals[level]
             up = np.empty_like(ids)
-            up[~ones] = ids[:zeros]
-            up[ones] = ids[zeros:] | ids.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~ones)] = ids[:zeros]
+            up[np.flatnonzero(ones)] = ids[zeros:] | ids.dtype.type(1 << (self.levels - 1 - level))
             ids = up
         return ids
 
@@ -187,7 +187,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str
             file = token_file(np.concatenate(ids).astype(encoder.dtype), np.concatenate(keys), sizes)
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": size, "n_docs": len(sizes), "file": file}], schema=_FILES)
 
-        for batch in (b.slice(lo, 2048) for b in batches for lo in range(0, b.num_rows, 2048)):
+        for batch in text_slices(batches):
             flat, counts = with_ends(*encoder.encode(batch.column("text")), end_id)
             ids.append(flat.astype(encoder.dtype))
             keys.append(batch.column("id").to_numpy())
