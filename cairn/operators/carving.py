@@ -12,6 +12,11 @@ from ..functions.geometry import Pinhole
 from ..sources.scratch import Scratch
 
 
+#: As many boxes as may be sent to all tasks, if Spark's measure of them says so. It knows the size of the octants' file only,
+#: which is far less than that of their squares.
+FEW = 100_000
+
+
 def levels(width: int, height: int) -> int:
     """Sizes of pooled boxes: squares of 1, 2, 4 ... pixels, as large as fit."""
     return int(math.log2(min(width, height))) + 1
@@ -43,10 +48,11 @@ def pooled(image: DataFrame, width: int, height: int, keys: list[str], near: flo
     return df.select(*keys, "u", "v", *[F.array(*[f"{c}{i}" for i in range(k)]).alias(c) for c in ("low", "high", "n")])
 
 
-def pool_boxes(boxes: DataFrame, pool: DataFrame, width: int, height: int, keys: list[str], box: list[str]) -> DataFrame:
+def pool_boxes(boxes: DataFrame, pool: DataFrame, width: int, height: int, keys: list[str], box: list[str], few: bool = False) -> DataFrame:
     """(keys, box, low, high, known): the pixels from u0, v0 to u1, v1 (both included, within the image) of each box: exact least and greatest depth; known: all, part or none of the pixels are valid.
 
     A box is covered by the largest squares that fit, four unless one side is over twice the other, and each is one pooled row.
+    Squares are dealt out to meet their pooled rows, so that a task holds few boxes at once; few leaves that to Spark.
     """
     most = levels(width, height) - 1
     short = F.least(F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0")) + 1
@@ -60,7 +66,10 @@ def pool_boxes(boxes: DataFrame, pool: DataFrame, width: int, height: int, keys:
     asked = boxes.withColumn("level", level).select(*keys, *box, "level", F.explode(corners("u0", "u1")).alias("__u"), "v0", "v1")
     asked = asked.select(*keys, *box, "level", "__u", F.explode(corners("v0", "v1")).alias("__v"))
     at = F.col("level") + 1
-    got = asked.join(pool.withColumnsRenamed({"u": "__u", "v": "__v"}), [*keys, "__u", "__v"]).select(*keys, *box, *[F.element_at(c, at).alias(c) for c in ("low", "high", "n")], F.call_function("shiftleft", F.lit(1).cast("long"), 2 * F.col("level")).alias("all"))
+    # squares over the image's border are never asked for
+    within = F.floor(F.log2(F.least(width - F.col("u"), height - F.col("v")).cast("double") + 0.5)).cast("int") + 1
+    pooled = pool.select(*keys, F.col("u").alias("__u"), F.col("v").alias("__v"), *[F.slice(c, F.lit(1), within).alias(c) for c in ("low", "high", "n")])
+    got = (asked if few else asked.hint("merge")).join(pooled, [*keys, "__u", "__v"]).select(*keys, *box, *[F.element_at(c, at).alias(c) for c in ("low", "high", "n")], F.call_function("shiftleft", F.lit(1).cast("long"), 2 * F.col("level")).alias("all"))
     sums = got.groupBy(*keys, *box).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("some"), F.min(F.col("n") == F.col("all")).alias("full"))
     return sums.select(*keys, *box, "low", "high", F.when(F.col("some") == 0, "none").when(F.col("full"), "all").otherwise("part").alias("known"))
 
@@ -73,13 +82,13 @@ def to_camera(frames: DataFrame) -> DataFrame:
     return frames.withColumn("m", F.array(*[columns[k][i] for i in range(3) for k in range(3)], *geometry.inverse_transform(q, t, zero)))
 
 
-def judge(octants: DataFrame, pool: DataFrame, camera: Pinhole, voxel_dim: float, sigma3: float, tau: float, known_free: DataFrame | None = None) -> DataFrame:
+def judge(octants: DataFrame, pool: DataFrame, camera: Pinhole, voxel_dim: float, sigma3: float, tau: float, known_free: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Adds decision (split, free or skip), low_variance (-1 before the surface, 1 behind it, 0 mixed, null unless judged by depths) and inside (all pixels valid).
 
     octants: frame, key, corner x, y, z and size in voxels, and of the frame m (to_camera) and t, the camera's place. Octants out of
     reach, beside the image, without valid pixels or behind the surface are skipped; those around the camera, over the image's
     border, with invalid pixels or with depths near them are split; those that lie before all depths are free. known_free: keys
-    that are observed and free: they are skipped unless depths near them could change that.
+    that are observed and free: they are skipped unless depths near them could change that. few: FEW octants at most.
     """
     m, t, low = [F.col("m")[i] for i in range(12)], [F.col("t")[i] for i in range(3)], [F.col(k) * voxel_dim for k in "xyz"]
     side = F.col("size") * voxel_dim
@@ -108,7 +117,7 @@ def judge(octants: DataFrame, pool: DataFrame, camera: Pinhole, voxel_dim: float
     out = (F.col("u1") < 0) | (F.col("v1") < 0) | (F.col("u0") > w) | (F.col("v0") > h)
     crossing = (F.col("u0") < 0) | (F.col("v0") < 0) | (F.col("u1") > w) | (F.col("v1") > h)
     boxed = boxed.where(~out).select("frame", "key", "__z0", "__z1", crossing.alias("__crossing"), *[F.greatest(F.lit(0), F.least(F.col(c), F.lit(m))).cast("long").alias(c) for c, m in (("u0", w), ("u1", w), ("v0", h), ("v1", h))])
-    depths = pool_boxes(boxed, pool, camera.width, camera.height, ["frame"], ["key", "__z0", "__z1", "__crossing"])
+    depths = pool_boxes(boxed, pool, camera.width, camera.height, ["frame"], ["key", "__z0", "__z1", "__crossing"], few)
     if known_free is None:
         free = F.lit(False)
     else:
@@ -132,9 +141,10 @@ def carve(frames: DataFrame, image: DataFrame, camera: Pinhole, voxel_dim: float
     pool = scratch.save(pooled(image, camera.width, camera.height, ["frame"]), "pool")
     root = [F.lit(0).cast("long").alias(k) for k in "xyz"]
     now = scratch.save(to_camera(frames).select("frame", "m", "t", *root, F.lit(1 << depth_of_map).cast("long").alias("size"), F.lit(0).cast("long").alias("key")), "root")
-    blocks, ended = depth_of_map - morton.BLOCK_SCALE, None
+    blocks, ended, octants = depth_of_map - morton.BLOCK_SCALE, None, now.count()
     for d in range(blocks + 1):
-        judged = scratch.save(judge(now, pool, camera, voxel_dim, sigma3, tau, known_free), f"depth{d}")
+        judged = scratch.save(judge(now, pool, camera, voxel_dim, sigma3, tau, known_free, octants <= FEW), f"depth{d}")
+        octants = 8 * judged.where("decision = 'split'").count()
         done = judged.where("decision = 'free'") if d < blocks else judged.where("decision <> 'skip'").withColumn("decision", F.when(F.col("decision") == "split", "update").otherwise(F.col("decision")))
         done = done.select("frame", "key", "decision", "low_variance", "inside")
         ended = done if ended is None else ended.unionByName(done)

@@ -31,8 +31,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return relation(spark, sf_dir, "points").groupBy("x", "y").agg((F.avg("z") / 10).alias("depth")).selectExpr("x AS u", "y AS v", "depth")
     if name == "voxels":  # the factor keeps means off the ties of rounding
         return relation(spark, sf_dir, "dense").groupBy("x", "y", "z").agg((F.round(F.avg("sample") * 0.98712361, 9) + F.lit(0.0)).alias("value"), F.count("*").cast("double").alias("weight"))
-    if name == "depths":
-        return relation(spark, sf_dir, "shots").groupBy("frame", "u", "v").agg(F.expr(SHOTS).cast("double").alias("depth"))
+    if name == "depths":  # rows of a frame meet before they are summed: a task holds the pixels of few frames, and not those of all its rows of the table
+        return relation(spark, sf_dir, "shots").select("frame", "u", "v", "disc").repartition("frame").withColumn("hundredths", F.expr("CAST(round(disc * 100) AS BIGINT)")).groupBy("frame", "u", "v").agg(F.expr(SHOTS).cast("double").alias("depth"))
     table, columns = COLUMNS[name]
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns)
     return df.distinct() if name in DISTINCT else df
